@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space that separates words in every contract: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Largest side, in rows, that is sent to every executor. Beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Sends the package to the workers and bounds the Arrow batches that they hold at a time, by rows and bytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        held = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

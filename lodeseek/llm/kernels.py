@@ -11,7 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+#: Freed Arrow buffers go back to the system, as JVM and Python share the executor's memory.
+pa.set_memory_pool(pa.system_memory_pool())
+
+SLICE_BYTES = 1 << 19
 U = np.uint64
 
 

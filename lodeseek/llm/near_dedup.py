@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, small, spare, written
+from .common import col, ready, small, spare, written
 from .components import connected_components
 from .kernels import U, Words, class_table, mix, slices, stream
 
@@ -140,6 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     id_col must be of an integer type. The smallest id of a component is its class.
     """
+    ready(docs.sparkSession)
     features = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("t")).mapInArrow(_features, "id long, n long, digest binary, bands array<long>, sketch array<long>")
     features = written(features, "features")
     classes = features.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
