@@ -6,10 +6,12 @@ the collision-corrected estimate from counting equal bit pairs, and are confirme
 
 Pairs are never all listed: texts with equal sets form one class first; in each band group every class meets the
 group's smallest member only; then groups whose members still lie in different components are gone through once
-more, each minority member against all members of other components, so no candidate link is left out.
+more, each minority member against all members of other components, so no candidate link is left out. For that
+round the members get a finer sketch of 1,024 permutations, and a pair is taken up by its first common band only,
+so what is listed are pairs close to the threshold, not the pairs of a group.
 
 At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**6)**26, about 5e-6; the screen lets
-through estimates down to 0.18 (over 5 standard deviations) below the threshold.
+through estimates down to 0.18, the finer one down to 0.065, below the threshold (5 standard deviations).
 
 Rows: null text, blank text and empty tables give empty sets, linked with nothing. A null id is linked with
 nothing and has no component; its row is kept. Repeated ids are one document in the groups; each row is returned.
@@ -33,10 +35,11 @@ from .kernels import U, Words, class_table, mix, slices, stream
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS, BITS = 5, 160, 26, 6, 2
 MARGIN = 0.18
+FINE_PERMUTATIONS, FINE_MARGIN = 1024, 0.065
 WORD = class_table([(0x20, 0x20), (0x09, 0x0D)])
 _weights = stream(SHINGLE + 1, 2)
-_a = (stream(PERMUTATIONS, 3) >> U(32)).astype(np.uint32) | np.uint32(1)
-_b = (stream(PERMUTATIONS, 4) >> U(32)).astype(np.uint32)
+_a = (stream(FINE_PERMUTATIONS, 3) >> U(32)).astype(np.uint32) | np.uint32(1)
+_b = (stream(FINE_PERMUTATIONS, 4) >> U(32)).astype(np.uint32)
 _band = stream(ROWS, 5)
 
 
@@ -58,11 +61,11 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The smallest value of each permutation over a set that isn't empty."""
+def minima(s: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """The smallest value of each of the first permutations over a set that isn't empty."""
     h, out = (s >> U(32)).astype(np.uint32), None
     for k in range(0, len(h), 4096):
-        m = (_a[:, None] * h[None, k : k + 4096] + _b[:, None]).min(axis=1)
+        m = (_a[:permutations, None] * h[None, k : k + 4096] + _b[:permutations, None]).min(axis=1)
         out = m if out is None else np.minimum(out, m)
     return out
 
@@ -72,22 +75,25 @@ def signature(s: np.ndarray) -> tuple[list, list]:
     m = minima(s)
     rows = m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     keys = mix((mix(rows + _band[None, :]) * _band[None, :]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    low = mix(m.astype(np.uint64)) & U((1 << BITS) - 1)
-    per = 64 // BITS
-    packed = np.zeros((PERMUTATIONS + per - 1) // per * per, np.uint64)
-    packed[:PERMUTATIONS] = low
-    packed = (packed.reshape(-1, per) << (np.arange(per, dtype=np.uint64) * U(BITS))[None, :]).sum(axis=1, dtype=np.uint64)
-    return keys.view(np.int64), packed.view(np.int64)
+    return keys.view(np.int64), packed(m)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def packed(m: np.ndarray) -> np.ndarray:
+    """The lowest bits of mixed minima, as many to a long as fit."""
+    low, per = mix(m.astype(np.uint64)) & U((1 << BITS) - 1), 64 // BITS
+    out = np.zeros((len(m) + per - 1) // per * per, np.uint64)
+    out[: len(m)] = low
+    return (out.reshape(-1, per) << (np.arange(per, dtype=np.uint64) * U(BITS))[None, :]).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
     """Similarity from two sketches: the share of equal 2-bit values, less the share that agrees by chance."""
     differ = F.lit(0)
-    for k in range((PERMUTATIONS * BITS + 63) // 64):
+    for k in range((permutations * BITS + 63) // 64):
         x = a[k].bitwiseXOR(b[k])
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     chance = 2.0**-BITS
-    return ((F.lit(1.0) - differ / F.lit(float(PERMUTATIONS))) - chance) / (1 - chance)
+    return ((F.lit(1.0) - differ / F.lit(float(permutations))) - chance) / (1 - chance)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +114,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)], ["id", "n", "digest", "bands", "sketch"])
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fine = [packed(minima(s, FINE_PERMUTATIONS)) if len(s) else None for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.list_(pa.int64()))], ["id", "fine"])
+
+
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,6 +138,11 @@ def _near(n_a: str, n_b: str, percent: int) -> Column:
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN)
 
 
+def _first_common() -> Column:
+    """The first band key that both sides have."""
+    return F.coalesce(*[F.when(F.col("bands_a")[k] == F.col("bands_b")[k], F.col("bands_a")[k]) for k in range(BANDS)])
+
+
 def _links(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of ids those whose full sets are similar enough."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
@@ -161,10 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     known = written(known, "known")
     mixed = known.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
-    mixed = written(known.join(mixed, "key").join(reps.select("id", "n", "sketch"), "id"), "mixed")
-    x = mixed.where("comp <> major").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    y = mixed.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("ci") != F.col("cj")) & _near("n_a", "n_b", percent))
+    mixed = written(known.join(mixed, "key"), "mixed")
+    ids = written(mixed.select("id").distinct(), "mixed-ids")
+    fine = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("t")).join(small(ids), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_finer, "id long, fine array<long>")
+    mixed = written(mixed.join(written(fine.join(reps, "id"), "fine"), "id"), "mixed-fine")
+    x = mixed.where("comp <> major").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("fine").alias("fine_a"), F.col("bands").alias("bands_a"))
+    y = mixed.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("fine").alias("fine_b"), F.col("bands").alias("bands_b"))
+    close = estimate(F.col("fine_a"), F.col("fine_b"), FINE_PERMUTATIONS) >= percent / 100 - FINE_MARGIN
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("ci") != F.col("cj")) & (_first_common() == x["key"]) & _near("n_a", "n_b", percent) & close)
     rest = rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if not rest.isEmpty():
