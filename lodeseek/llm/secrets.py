@@ -7,7 +7,7 @@ less that of a background of ordinary words. Candidates are all runs of 16 or mo
 `[A-Za-z0-9+/_.=-]` (trailing full stops cut off); a candidate counts as a secret of kind `format` if its score
 reaches the threshold, which is calibrated on held-out labelled strings and ordinary words.
 
-Symbols: the first five characters as they are, later ones by class (digit, a-f, other lower, upper, as is).
+Symbols: the first four characters as they are, later ones by class (digit, a-f, other lower, upper, as is).
 The default labelled strings are made by rule from published formats, so training is bounded and the same
 everywhere; others can be given.
 
@@ -17,7 +17,6 @@ through whatever their names. Spans that touch a base span are not reported agai
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -38,9 +37,9 @@ HINT = re.compile(r"(?ai:passw|secret|token|api_?key)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-LITERAL = 5
+LITERAL = 4
 #: Hoeffding's alpha of the compatibility test, probability of an unseen step, labelled strings a format.
-ALPHA, UNSEEN, SAMPLES = 0.05, 1e-5, 120
+ALPHA, UNSEEN, SAMPLES = 0.05, 1e-5, 240
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _ALNUM = _LOWER + _UPPER + _DIGIT
@@ -161,14 +160,15 @@ class Formats:
 
     def __init__(self, strings: dict[str, list[str]], held_out: dict[str, list[str]]):
         self.automata = {name: Automaton(s) for name, s in strings.items()}
-        # Ordinary words: letters by their class, a few digits and signs.
-        self.background = {"0": math.log(0.04), "f": math.log(0.33), "z": math.log(0.5), "Z": math.log(0.1)}
+        # Ordinary words (letters by their class, a few digits and signs), and numbers.
+        self.backgrounds = [{c: math.log(p) for c, p in zip("0fzZ", of)} for of in ((0.04, 0.33, 0.5, 0.1), (0.93, 0.01, 0.01, 0.02))]
         good = sorted(x for s in held_out.values() for x in map(self.score, s) if x > -math.inf)
-        self.threshold = max(0.2, good[len(good) // 100] if good else 0.2)
+        self.threshold = max(0.2, good[len(good) // 50] if good else 0.2)
 
     def score(self, s: str) -> float:
         """Log-likelihood ratio a character of the best format against the background."""
-        plain = sum(self.background.get(c, math.log(0.03)) for c in symbols("-----" + s)[LITERAL:])
+        classes = symbols("-" * LITERAL + s)[LITERAL:]
+        plain = max(sum(b.get(c, math.log(0.03)) for c in classes) for b in self.backgrounds)
         return (max(a.log_likelihood(s) for a in self.automata.values()) - plain) / len(s)
 
 
