@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from . import kernels  # noqa: F401  sets the memory pool
 MAX_BITS, STEP, BLOCK_TOKENS, MAGIC = 16, 256, 1 << 18, 0x4C484246
 END = 0
 #: Distinct pieces that a worker keeps with their ids; at that number it starts anew.
-KEPT_PIECES, KEPT_WORDS = 400_000, 400_000
+KEPT_PIECES, KEPT_HEADS, LONGEST = 1_200_000, 200_000, 64
+SIGNS = ".,;:!?"
 
 
 def tokenizer_file() -> str:
@@ -45,13 +48,48 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Pieces(dict):
+    """ids, as little-endian 32-bit numbers, of pieces seen so far: what follows `lead` (a space, or nothing) up to the next space.
+
+    A piece with one line break between other characters is cut there; letters are cut from closing signs; a word of
+    letters is one unit of the pre-tokenizer and goes to the library's model at once; any other piece goes through the
+    whole library.
+    """
+
+    def __init__(self, owner: "Tokenizer", lead: str, most: int):
+        self.owner, self.lead, self.most = owner, lead, most
+        self.mark = "\u0120" if lead else ""
+
+    def __missing__(self, p: str) -> bytes:
+        i = p.find("\n")
+        if i >= 0:
+            if 0 < i < len(p) - 1 and p.find("\n", i + 1) < 0 and not p[i - 1].isspace() and not p[i + 1].isspace():
+                return self[p[:i]] + self.owner.line_break + self.owner.heads[p[i + 1 :]]
+            return self.owner.whole(self.lead + p)
+        core = p.rstrip(SIGNS)
+        n, keep = len(core), len(p) < LONGEST
+        if 0 < n and keep and core.isalpha():
+            if n < len(p):
+                keep = core in self  # at second sight
+                ids = self[core] + self.owner.signs(p[n:])
+            else:
+                mapped = self.mark + (p if p.isascii() else "".join(map(self.owner.alphabet.__getitem__, p.encode())))
+                ids = array("I", [t.id for t in self.owner.model.tokenize(mapped)]).tobytes()
+        else:
+            ids = self.owner.whole(self.lead + p)
+        if keep:
+            if len(self) >= self.most:
+                self.clear()
+            self[p] = ids
+        return ids
+
+
 class Tokenizer:
-    """The tokenizers library behind two tables of pieces it has seen.
+    """The tokenizers library behind tables of pieces it has seen.
 
     Byte-level pre-tokenising cuts before each space that stands between two characters which aren't spaces, so a
-    text without double spaces can be cut there and each piece tokenised alone. A piece of letters with closing
-    punctuation is cut between the two, and a line break between two other characters on both its sides. All other texts
-    and pieces go to the library whole.
+    text without double spaces can be cut there and each piece tokenised alone. All other texts, and all texts of
+    other kinds of tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -60,65 +98,62 @@ class Tokenizer:
         self.library = Library.from_file(path)
         config = json.loads(self.library.to_str())
         pre = config.get("pre_tokenizer") or {}
-        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config.get("normalizer") and all(" " not in t["content"] and "\n" not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in config.get("added_tokens", []))
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config.get("normalizer") and config["model"]["type"] == "BPE"
+        self.cuts = self.cuts and all(" " not in t["content"] and "\n" not in t["content"] and not t["content"].rstrip(SIGNS).isalpha() and not t["lstrip"] and not t["rstrip"] for t in config.get("added_tokens", []))
+        self.model = self.library.model
+        # Byte-level alphabet: printable bytes stand for themselves, others for the characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+        self.tails, self.heads = Pieces(self, " ", KEPT_PIECES), Pieces(self, "", KEPT_HEADS)
+        self.signs = lru_cache(1 << 12)(self.whole)
+        self.line_break = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, w: str) -> bytes:
-        if (ids := self.words.get(w)) is None:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            ids = self.words[w] = self.whole(w)
-        return ids
-
-    def piece(self, p: str) -> bytes:
-        """ids of a piece that holds one space at most, as its first character."""
-        if "\n" in p:
-            parts = p.split("\n")
-            if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts[1:-1]) and parts[-1] and not parts[-1][0].isspace() and parts[0].strip() and not parts[0][-1].isspace():
-                return self.word("\n").join(map(self.part, parts))
-        return self.part(p)
-
-    def part(self, p: str) -> bytes:
-        """Cuts ` letters` from closing signs, which can't join with them."""
-        core = p.rstrip(".,;:!?")
-        if len(core) < len(p) and core and (core[1:] if core[0] == " " else core).isalpha():
-            return self.word(core) + self.word(p[len(core) :])
-        return self.word(p) if len(p) < 64 else self.whole(p)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if not self.cuts or "  " in text:
             return self.whole(text)
         head, *rest = text.split(" ")
-        known, out = self.pieces, [self.piece(head)]
-        for p in rest:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(" " + p)
-                if len(known) >= KEPT_PIECES:
-                    known.clear()
-                if len(p) < 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.heads[head] if head else b"", *map(self.tails.__getitem__, rest)])
+
+
+@lru_cache(1)
+def tokenizer(path: str) -> Tokenizer:
+    """The worker's tokenizer, kept from task to task."""
+    return Tokenizer(path)
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, ids): all ids of the text and the closing END as little-endian 32-bit numbers, 16-bit ones where they fit."""
+    """(id, ids, counts): a row with null counts for each text, ids with the closing END, 16-bit ones where they fit.
+
+    Each task adds a row that has only counts: ids that occurred and how often, as 64-bit pairs.
+    """
     path = path or tokenizer_file()
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer(path)
+        t, names, n, kind = tokenizer(path), ["id", "ids", "counts"], np.zeros(0, np.int64), pa.null()
         for batch in batches:
-            ids = [np.frombuffer(t.ids(x.as_py() or "") + end, "<u4") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrowed(x) for x in ids], pa.binary())], ["id", "ids"])
-
-    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
+            ids, kind = [np.frombuffer(t.ids(x.as_py() or "") + end, "<u4") for x in batch.column(1)], batch.column(0).type
+            if ids:
+                n = added(n, np.bincount(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrowed(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if len(used := np.flatnonzero(n)):
+            pairs = np.stack([used, n[used]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], names)
+
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, counts binary")
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of two count vectors of different lengths."""
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
 
 
 def narrowed(ids: np.ndarray) -> bytes:
@@ -131,13 +166,12 @@ def widened(data: bytes) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of some tasks as rows (token, n)."""
     n = np.zeros(0, np.int64)
     for batch in batches:
         for x in batch.column(0):
-            got = np.bincount(widened(x.as_py()))
-            if len(got) > len(n):
-                n = np.concatenate([n, np.zeros(len(got) - len(n), np.int64)])
-            n[: len(got)] += got
+            token, k = np.frombuffer(x.as_py(), "<i8").reshape(-1, 2).T
+            n = added(n, np.bincount(token, weights=k).astype(np.int64))
     ids = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids], pa.int64())], ["token", "n"])
 
@@ -178,7 +212,7 @@ class Codes:
         order = np.lexsort((np.arange(len(lengths)), lengths))
         order = order[lengths[order] > 0]
         n = lengths[order].astype(np.int64)
-        self.codes = np.zeros(len(lengths), np.uint64)
+        self.codes = np.zeros(len(lengths), np.int64)
         starts = np.concatenate([[0], np.cumsum(np.int64(1) << (MAX_BITS - n))])
         self.codes[order] = starts[:-1] >> (MAX_BITS - n)
         # The table: for each 16 bits the id that they begin with; bits that begin no code are of id 0 and never met.
@@ -190,14 +224,15 @@ class Codes:
         n = self.lengths[ids].astype(np.int64)
         at = np.concatenate([[0], np.cumsum(n)])
         size = (int(at[-1]) + 7) // 8
-        # Each code lies within the 32 bits that begin at its first byte; bits of different codes never meet, so sums are unions.
-        value = self.codes[ids] << (np.uint64(32) - (at[:-1] & 7).astype(np.uint64) - n.astype(np.uint64))
-        byte = at[:-1] >> 3
-        out = np.zeros(size + 4, np.uint8)
-        for k in range(4):
-            part = (value >> np.uint64(24 - 8 * k) & np.uint64(255)).astype(np.float64)
-            out += np.bincount(byte + k, weights=part, minlength=size + 4).astype(np.uint8)
-        return out[:size], at
+        # Each code lies within the 24 bits that begin at its first byte; bits of different codes never meet, so sums are unions.
+        value = self.codes[ids] << (np.int64(24) - (at[:-1] & 7) - n)
+        byte, starts = at[:-1] >> 3, np.flatnonzero(np.diff(at[:-1] >> 3, prepend=-1))
+        # Codes that begin in the same byte are added first; then each of three bytes goes to its place, once.
+        sums, where = np.add.reduceat(value, starts), byte[starts]
+        out = np.zeros(size + 3, np.int64)
+        for k in range(3):
+            out[where + k] += sums >> (16 - 8 * k) & 255
+        return out[:size].astype(np.uint8), at
 
     def decode(self, data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
         """n ids from bytes and the bit offsets of every STEP-th symbol; all stretches advance together."""
@@ -247,7 +282,7 @@ def write_files(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str
     spark = ready(docs.sparkSession)
     ids = written(tokenised(docs, id_col, text_col, path), "ids")
     kind = docs.schema[id_col].dataType.simpleString()
-    counts = ids.select("ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    counts = ids.where("counts is not null").select("counts").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     n = np.zeros(max((r.token for r in counts), default=0) + 1, np.int64)
     for r in counts:
         n[r.token] = r.n
@@ -280,7 +315,7 @@ def write_files(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str
         if rows:
             yield flush()
 
-    dealt = ids.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    dealt = ids.where("counts is null").select("id", "ids").repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     dealt.mapInArrow(run, BLOCKS.format(kind)).write.option("compression", "none").parquet(out)
     return out
 
