@@ -21,20 +21,20 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, col, small, spare, words_of, written
+from .common import SPACES, col, small, spare, written
 
 #: The commonest function words of the four languages.
 COMMON = (
-    "the of and to in is that it for was on are as with by this from be or an",
-    "de la le et les des en un une du que est pour dans qui sur par au ne pas",
-    "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch",
-    "el los las del se por con para una su al lo como más pero sus este ya o sí",
-)
+    "the of and to in is that it",
+    "de la le et les des en que",
+    "der die und das den von zu mit",
+    "el los las del se por con una",
+)
 VOCABULARY = tuple(sorted({w for line in COMMON for w in line.split()}))
 #: At least so many characters and letter words before a histogram counts, and documents before a reference does.
 MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 40, 20
 #: Largest Jensen-Shannon distance of characters and of words.
-MAX_CHARS, MAX_WORDS = 0.30, 0.60
+MAX_CHARS, MAX_WORDS = 0.30, 0.50
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -44,10 +44,12 @@ def _without(text: Column, pattern: str) -> Column:
 
 def counted(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """docs with the base counts, and the names of those columns."""
-    name = dict(zip(keys := ("text", "words", "hashes", "windows", "sorted", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), spare(docs, *("q_" + k for k in keys))))
+    name = dict(zip(keys := ("text", "split", "words", "hashes", "windows", "sorted", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), spare(docs, *("q_" + k for k in keys))))
     c = {k: F.col(v) for k, v in name.items()}
     d = docs.withColumn(name["text"], F.coalesce(col(text_col), F.lit("")))
-    d = d.withColumn(name["words"], words_of(c["text"]))
+    d = d.withColumn(name["split"], F.split(c["text"], SPACES))
+    outer = (c["split"][0] == "") | (F.element_at(c["split"], -1) == "")  # only the first and the last can be empty
+    d = d.withColumn(name["words"], F.when(outer, F.filter(c["split"], lambda w: w != "")).otherwise(c["split"]))
     d = d.withColumn(name["hashes"], F.transform(c["words"], lambda w: F.xxhash64(w)))
     windows = F.transform(F.sequence(F.lit(0), F.size(c["hashes"]) - 5), lambda i: F.xxhash64(*[F.get(c["hashes"], i + k) for k in range(5)]))
     d = d.withColumn(name["windows"], F.when(F.size(c["hashes"]) >= 5, windows))
@@ -59,25 +61,26 @@ def counted(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[st
     lines = F.filter(F.split(c["text"], "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumns({
         name["n_words"]: F.size(c["words"]).cast("long"),
-        name["word_chars"]: _without(c["text"], SPACES).cast("long"),
-        name["n_symbols"]: (F.length(c["text"]) - _without(c["text"], SYMBOLS)).cast("long"),
+        name["word_chars"]: F.length(F.array_join(c["words"], "")).cast("long"),
+        name["n_symbols"]: _without(c["text"], "[^#*$%&|<>]+").cast("long"),
         name["n_dup_lines"]: F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
         name["n_repeat_words"]: F.coalesce(covered, F.lit(0)).cast("long"),
     })
-    return d.drop(*[name[k] for k in ("text", "words", "hashes", "windows", "sorted")]), name
+    return d.drop(*[name[k] for k in ("text", "split", "words", "hashes", "windows", "sorted")]), name
 
 
 def histograms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str]:
     """docs with two arrays of shares: of character classes and of common words; null where the guard says so."""
-    t, low, kept, classes, words = spare(docs, "h_text", "h_low", "h_common", "h_classes", "h_words")
+    t, rare, low, kept, classes, words = spare(docs, "h_text", "h_rare", "h_low", "h_common", "h_classes", "h_words")
     text = F.col(t)
     d = docs.withColumn(t, F.coalesce(col(text_col), F.lit("")))
     n = F.length(text)
-    some = [n - _without(text, p) for p in ("[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+", r"[.,;:!?'\"()-]+", SYMBOLS)]
+    d = d.withColumn(rare, F.regexp_replace(text, "[a-z]+", ""))  # other classes are counted on what is left
+    some = [F.length(rare) - _without(F.col(rare), p) for p in ("[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+", r"[.,;:!?'\"()-]+", SYMBOLS)]
     d = d.withColumn(classes, F.when(n >= MIN_CHARS, F.array(n, *some)))
     shares = lambda c, total: F.transform(c, lambda x: x / total)
     rest = F.col(classes)[0] - sum((F.col(classes)[k] for k in range(1, 7)), F.lit(0))
-    d = d.withColumn(low, F.split(F.lower(text), r"[^\p{L}]+"))
+    d = d.withColumn(low, F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?]+"))
     d = d.withColumn(kept, F.when(F.size(low) >= MIN_WORDS, F.concat(F.lit(" "), F.array_join(F.filter(low, lambda w: w.isin(*VOCABULARY)), "  "), F.lit(" "))))
     times = lambda w: ((F.length(F.col(kept)) - F.length(F.replace(F.col(kept), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
     d = d.withColumn(words, F.when(F.col(kept).isNotNull(), F.array(F.size(low), *[times(w) for w in VOCABULARY])))
@@ -86,7 +89,7 @@ def histograms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str,
         classes: shares(F.concat(F.array(rest), F.slice(classes, 2, 6)), F.col(classes)[0]),
         words: shares(F.concat(F.array(other), F.slice(words, 2, len(VOCABULARY))), F.col(words)[0]),
     })
-    return d.drop(t, low, kept), classes, words
+    return d.drop(t, rare, low, kept), classes, words
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
