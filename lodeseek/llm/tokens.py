@@ -212,27 +212,35 @@ class Codes:
         order = np.lexsort((np.arange(len(lengths)), lengths))
         order = order[lengths[order] > 0]
         n = lengths[order].astype(np.int64)
-        self.codes = np.zeros(len(lengths), np.int64)
+        self.codes = np.zeros(len(lengths), np.uint32)
         starts = np.concatenate([[0], np.cumsum(np.int64(1) << (MAX_BITS - n))])
-        self.codes[order] = starts[:-1] >> (MAX_BITS - n)
+        self.codes[order] = (starts[:-1] >> (MAX_BITS - n)).astype(np.uint32)
         # The table: for each 16 bits the id that they begin with; bits that begin no code are of id 0 and never met.
         self.table = np.zeros(1 << MAX_BITS, np.uint32)
         self.table[: starts[-1]] = np.repeat(order, np.diff(starts))
 
-    def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes, most significant bit first, and the bit offset of each symbol (one more at the end)."""
-        n = self.lengths[ids].astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(n)])
+    def encode(self, ids: np.ndarray, stretch: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes, most significant bit first, and the bit offset of each symbol (one more at the end).
+
+        A stretch of symbols at a time stays in the processor's cache. Each code lies within the 24 bits that begin at
+        its first byte; bits of different codes never meet, so sums are unions: codes that begin in the same byte are
+        added, then each of the three bytes goes to its place.
+        """
+        n = self.lengths[ids]
+        at = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(n, dtype=np.int64, out=at[1:])
         size = (int(at[-1]) + 7) // 8
-        # Each code lies within the 24 bits that begin at its first byte; bits of different codes never meet, so sums are unions.
-        value = self.codes[ids] << (np.int64(24) - (at[:-1] & 7) - n)
-        byte, starts = at[:-1] >> 3, np.flatnonzero(np.diff(at[:-1] >> 3, prepend=-1))
-        # Codes that begin in the same byte are added first; then each of three bytes goes to its place, once.
-        sums, where = np.add.reduceat(value, starts), byte[starts]
-        out = np.zeros(size + 3, np.int64)
-        for k in range(3):
-            out[where + k] += sums >> (16 - 8 * k) & 255
-        return out[:size].astype(np.uint8), at
+        out = np.zeros(size + 3, np.uint8)
+        for a in range(0, len(ids), stretch):
+            part = ids[a : a + stretch]
+            here = at[a : a + len(part)]
+            value = self.codes[part] << ((24 - (here & 7)).astype(np.uint32) - n[a : a + stretch])
+            byte = here >> 3
+            starts = np.flatnonzero(np.diff(byte, prepend=-1))
+            sums, where = np.add.reduceat(value, starts), byte[starts]
+            for k in range(3):
+                out[where + k] |= (sums >> np.uint32(16 - 8 * k)).astype(np.uint8)
+        return out[:size], at
 
     def decode(self, data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
         """n ids from bytes and the bit offsets of every STEP-th symbol; all stretches advance together."""
