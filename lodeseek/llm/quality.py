@@ -107,7 +107,7 @@ def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two arrays of shares; null if one is null."""
     part = lambda a, b: F.when(a > 0, a * F.ln(2 * a / (a + b))).otherwise(0.0)
     total = F.aggregate(F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a)), F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(F.greatest(F.lit(0.0), total / (2 * log(2))))
+    return F.sqrt(F.when(total < 0, 0.0).otherwise(total) / (2 * log(2)))
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
