@@ -87,6 +87,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def only(df: DataFrame, kept: str, columns: list[str]) -> DataFrame:
+    """The columns of those rows of df whose column kept is true.
+
+    A row number that the condition needs keeps the optimizer from moving the condition below the projections that
+    kept is made by, which would write their expressions out again and again.
+    """
+    (n,) = spare(df, "row_number")
+    rows = df.withColumn(n, F.monotonically_increasing_id()).where(F.col(kept) & (F.col(n) >= 0))
+    return rows.select(*[col(c) for c in columns])
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

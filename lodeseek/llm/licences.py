@@ -8,8 +8,7 @@ A document is restricted if one of its licences or notices is on the restricted
 
 Null and blank texts have the digest of the empty text and match nothing. Empty tables give empty ones; repeated
 rows are judged alike; other columns pass through whatever their names. The table of known texts is a parameter;
-it is broadcast up to BROADCAST_ROWS rows and shuffled beyond. Only documents whose canonical length could match
-are hashed against it, so no hot digest meets in one task: the join is by rows' own digests with a small side.
+it is broadcast up to BROADCAST_ROWS rows, so documents stay where they are; beyond, the join shuffles by digest.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, small, spare, written
+from .common import col, only, small, spare, written
 
 #: Public licence texts (copyright lines are dropped by the canonical form).
 PERMISSION_WARRANTY = (
@@ -123,7 +122,7 @@ def scanned(docs: DataFrame, text_col: str = "text", known: DataFrame | None = N
 def permitted(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are kept; their columns as they were."""
     d, name = scanned(docs, text_col, **options)
-    return d.where(F.col(name["kept"])).select(*[col(c) for c in docs.columns])
+    return only(d, name["kept"], docs.columns)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, col, small, spare, written
+from .common import SPACES, col, only, small, spare, written
 
 #: The commonest function words of the four languages.
 COMMON = (
@@ -135,4 +135,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def passed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept; their columns as they were."""
     d, name = judged(docs, text_col, lang_col)
-    return d.where(F.col(name["kept"])).select(*[col(c) for c in docs.columns])
+    return only(d, name["kept"], docs.columns)

@@ -21,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, spare
+from .common import col, only, spare
 
 #: (verdict, host and path) of the contract's rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -112,7 +112,8 @@ def judged(pages: DataFrame, url_col: str = "url", rules: tuple = RULES) -> tupl
 def allowed(pages: DataFrame, url_col: str = "url", rules: tuple = RULES) -> DataFrame:
     """The rows of pages whose URLs are allowed; their columns as they were."""
     d, name = judged(pages, url_col, rules)
-    return d.where(F.col(name["verdict"]) == "allow").select(*[col(c) for c in pages.columns])
+    (ok,) = spare(d, "allowed")
+    return only(d.withColumn(ok, F.col(name["verdict"]) == "allow"), ok, pages.columns)
 
 
 def report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
