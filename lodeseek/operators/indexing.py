@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ class BatchEmbedder:
         self.embed_many, self.dimensions, self.batch = embed_many, dimensions, batch
 
     def embed(self, rows: DataFrame, text_col: str, out: str) -> DataFrame:
-        import pandas as pd
-
         embed_many, size = self.embed_many, self.batch
 
         @F.pandas_udf("array<float>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ class PromptSummarizer:
         self.complete, self.batch = complete, batch
 
     def summarize(self, rows: DataFrame) -> DataFrame:
-        import pandas as pd
-
         complete, size = self.complete, self.batch
 
         @F.pandas_udf("string")
