@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -38,9 +39,19 @@ def positions(toks: Column, term) -> Column:
     return F.slice(F.filter(at, lambda p: p.isNotNull()), 1, POSITIONS)
 
 
-def nearness(distance: Column) -> Column:
+def nearness(distance: int) -> float:
     """Weight of two positions' distance."""
-    return F.when(distance > 100, F.lit(1e-30)).otherwise(1 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
+    return 1e-30 if distance > 100 else 1 / (1.005 + 0.05 * math.exp(distance / 1.5 - 2))
+
+
+def log_misses() -> Column:
+    """log(1 - weight) for distances 0 to 100; beyond them it is 0 to within 1e-15."""
+    return F.array(*[F.lit(math.log1p(-WEIGHT * math.sqrt(nearness(d)))) for d in range(101)])
+
+
+def pair_misses(p: Column, q: Column, table: Column) -> Column:
+    """Sum of log(1 - weight) over all pairs of positions."""
+    return F.aggregate(p, F.lit(0.0), lambda m, a: F.aggregate(q, m, lambda n, b: n + F.coalesce(F.get(table, F.abs(a - b)), F.lit(0.0))))
 
 
 def rank(term_positions: list[Column]) -> Column:
@@ -52,17 +63,11 @@ def rank(term_positions: list[Column]) -> Column:
         n = F.size(term_positions[0])
         total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))
         return F.when(every, WEIGHT * total / ONE_TERM)
-    miss = F.lit(1.0)
+    miss, table = F.lit(0.0), log_misses()
     for k, p in enumerate(term_positions):
         for q in term_positions[k + 1 :]:
-            of_pair = lambda a, b: 1 - WEIGHT * F.sqrt(nearness(F.abs(a - b).cast("double")))
-            miss = miss * _pairs_missed(p, q, of_pair)
-    return F.when(every, 1 - miss)
-
-
-def _pairs_missed(p: Column, q: Column, of_pair) -> Column:
-    """Product of of_pair over all pairs of positions."""
-    return F.aggregate(p, F.lit(1.0), lambda m, a: F.aggregate(q, m, lambda n, b: n * of_pair(a, b)))
+            miss = miss + pair_misses(p, q, table)
+    return F.when(every, 1 - F.exp(miss))
 
 
 def okapi_bm25(tf: Column, df: Column, n_docs: Column, length: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:

@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -39,16 +44,18 @@ def query_vector(text: str, dimensions: int) -> list[float]:
 
 def hash_vector_column(text: Column, dimensions: int) -> Column:
     """hash_vector for a column, without Python: bytes come from the hex digest."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
-    norm = F.sqrt(dot(raw, raw))
-    return F.transform(raw, lambda x: (x / norm).cast("float"))
+    byte = lambda d, i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1
+    of_digest = lambda d: F.transform(F.sequence(F.lit(0), F.lit(min(dimensions, 32) - 1)), lambda i: byte(d, i))
+    spread = lambda b: F.slice(F.flatten(F.array_repeat(b, (dimensions + 31) // 32)), 1, dimensions)
+    with_norm = lambda r: F.struct(r.alias("r"), F.sqrt(dot(r, r)).alias("n"))
+    scaled = let(let(let(let(F.sha2(text, 256), of_digest), spread), with_norm), lambda s: F.transform(s["r"], lambda x: (x / s["n"]).cast("float")))
+    return F.when(text.isNotNull(), scaled)
 
 
 def topk(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], k: int) -> DataFrame:
     """(id_col, score) of the k nearest by cosine; null vectors are skipped, ties go to the smaller id."""
     scored = vectors.where(F.col(vector_col).isNotNull()).select(id_col, F.round(cosine(F.col(vector_col), literal(query)), 6).alias("score"))
-    return scored.where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
+    return scored.orderBy(F.desc_nulls_last("score"), id_col).limit(k).where("score is not null")  # a filter below would score twice
 
 
 def topk_batch(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_col: str, k: int, block: int = 4096) -> DataFrame:

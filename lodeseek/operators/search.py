@@ -72,10 +72,12 @@ def text_search(contents: DataFrame, query: str, k: int, unicode_clean: bool = F
     low = F.lower("content")
     for t in terms:
         rows = rows.where(F.contains(low, F.lit(t)))
-    toks = rows.select("id", text.tokens(F.col("content")).alias("toks"))
-    held = toks.select("id", *[text.positions(F.col("toks"), F.lit(t)).alias(f"p{i}") for i, t in enumerate(terms)])
-    scored = held.select("id", F.round(text.rank([F.col(f"p{i}") for i in range(len(terms))]), 6).alias("score"))
-    return scored.where("score is not null").orderBy(F.desc("score"), "id").limit(k)
+    names = [f"p{i}" for i in range(len(terms))]
+    placed = lambda toks: F.struct(*[text.positions(toks, F.lit(t)).alias(n) for t, n in zip(terms, names)])
+    score = vector.let(vector.let(text.tokens(F.col("content")), placed), lambda s: text.rank([s[n] for n in names]))
+    # A filter on the score below the limit would compute it twice.
+    scored = rows.select("id", F.round(score, 6).alias("score")).orderBy(F.desc_nulls_last("score"), "id").limit(k)
+    return scored.where("score is not null")
 
 
 def vector_search(contents: DataFrame, query: list[float], k: int, column: str = "embedding") -> DataFrame:
@@ -168,8 +170,9 @@ def search_batch(contents: DataFrame, queries: DataFrame, k: int = RETRIEVE, wei
     posts = toks.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.slice(F.sort_array(F.collect_list(F.col("p") + 1)), 1, text.POSITIONS).alias("at"))
     hits = posts.join(terms, "term").groupBy("query_id", "id", "n").agg(F.sort_array(F.collect_list(F.struct("term", "at"))).alias("held")).where(F.size("held") == F.col("n"))
     one = F.aggregate(F.sequence(F.lit(1), F.size(F.col("held")[0]["at"])), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j)) * text.WEIGHT / text.ONE_TERM
-    weigh = lambda a, b: 1 - text.WEIGHT * F.sqrt(text.nearness(F.abs(a - b).cast("double")))
-    across = F.aggregate("held", F.struct(F.lit(1.0).alias("miss"), F.expr("cast(array() as array<int>)").alias("seen")), lambda s, h: F.struct(F.aggregate(h["at"], s["miss"], lambda m, a: F.aggregate(s["seen"], m, lambda n, b: n * weigh(a, b))).alias("miss"), F.concat(s["seen"], h["at"]).alias("seen")), lambda s: 1 - s["miss"])
+    none = F.struct(F.lit(0.0).alias("miss"), F.expr("cast(array() as array<int>)").alias("seen"))
+    step = lambda s, h: F.struct((s["miss"] + text.pair_misses(h["at"], s["seen"], text.log_misses())).alias("miss"), F.concat(s["seen"], h["at"]).alias("seen"))
+    across = F.aggregate("held", none, step, lambda s: 1 - F.exp(s["miss"]))
     scored = hits.select("query_id", "id", F.round(F.when(F.col("n") == 1, one).otherwise(across), 6).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     by_text = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
