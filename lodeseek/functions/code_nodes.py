@@ -23,7 +23,7 @@ class Node:
     receiver: str | None = None
 
 
-#: File extension to language.
+#: File extension to language.
 LANGUAGES = {".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".java": "java", ".kt": "kotlin", ".kts": "kotlin"}
 
 

@@ -19,7 +19,7 @@ from ..functions.code_nodes import EXTRACTORS, LANGUAGES
 
 CHARS_PER_TOKEN, MAX_TOKENS, OVERLAP = 4, 1000, 100
 MARKDOWN = (".md", ".mdx", ".markdown")
-#: Extension to language for files that are cut at blank lines.
+#: Extension to language for files that are cut at blank lines.
 BLOCK_LANGUAGES = {".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby", ".php": "php", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".swift": "swift", ".kt": "kotlin"}
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
 FIELDS = ("content", "source_type", "start_line", "end_line", "start_offset", "end_offset", "header_path", "header_level", "language", "fqn", "fragment_type", "fragment_subtype", "receiver_type")

@@ -63,6 +63,19 @@ def unpack(archive: str, folder: str) -> str:
     return folder
 
 
+def statements(text: str) -> list[str]:
+    """The statements of an SQL export: comment and blank lines are skipped, a line that ends in `;` ends one."""
+    out, held = [], []
+    for line in text.split("\n"):
+        if not held and (not line.strip() or line.lstrip().startswith("--")):
+            continue
+        held.append(line)
+        if line.rstrip().endswith(";"):
+            out.append("\n".join(held))
+            held = []
+    return out + (["\n".join(held)] if held else [])
+
+
 def export(store: Store, names: list[str], target: str, sql: bool = False) -> dict:
     """Writes the sources' tables with all columns to target (a folder, or an archive by its ending); gives the manifest.
 
