@@ -82,12 +82,16 @@ RESTRICTED = ("GPL-3.0", "CC-BY-NC-4.0")
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("favour", "favor"), ("organisation", "organization"), ("authorised", "authorized"), ("acknowledgement", "acknowledgment"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"))
 
 
+#: Lines that name a holder or years; marks at the start of list items; what separates words.
+HOLDER = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?: ?\(c\))? ?(?:©|\(c\)|[0-9])|©|\(c\) ?[0-9]|all rights reserved)[^\n]*$"
+MARK, APART, HINT = r"(?m)^[ \t\n\r]*(?:[0-9]{1,2}|[a-z])[.)][ \t\n\r]", r"[^\p{L}\p{N}]+", "(?i)licen[sc]e|released under"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is empty."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?: ?\(c\))? ?(?:©|\(c\)|[0-9])|©|\(c\) ?[0-9]|all rights reserved)[^\n]*$", " ")
-    t = F.regexp_replace(t, r"(?m)^\s*(?:[0-9]{1,2}|[a-z])[.)]\s", " ")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    t = F.regexp_replace(F.regexp_replace(t, HOLDER, " "), MARK, " ")
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, APART, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
@@ -107,10 +111,9 @@ def scanned(docs: DataFrame, text_col: str = "text", known: DataFrame | None = N
     known = written((known_texts(spark) if known is None else known).groupBy("digest").agg(F.min("license").alias("license")), "licences").toDF("known_" + digest, lic)
     text = F.coalesce(col(text_col), F.lit(""))
     d = docs.withColumn(digest, F.sha2(canonical(text), 256))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)licen[sc]e|released under"))
-    which = [(name, [n for n in of]) for name, of in sorted(notices.items())]
-    forms = F.transform(lines, lambda x: canonical(x))
-    names = [F.when(F.arrays_overlap(F.col(found), F.transform(F.array(*map(F.lit, of)), lambda x: canonical(x))), F.lit(name)) for name, of in which]
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(HINT))
+    forms = F.transform(lines, canonical)
+    names = [F.when(F.arrays_overlap(F.col(found), F.transform(F.array(*map(F.lit, of)), canonical)), F.lit(name)) for name, of in sorted(notices.items())]
     d = d.withColumn(found, F.array_distinct(forms))
     d = d.withColumn(found, F.when(F.size(found) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.filter(F.array(*names), lambda x: x.isNotNull())))
     d = d.join(small(known), F.col(digest) == F.col("known_" + digest), "left").drop("known_" + digest)
@@ -129,3 +132,34 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id_col, canonical_sha256, license, notices as one string, kept)."""
     d, name = scanned(docs.select(col(id_col).alias("id"), col(text_col).alias("text")))
     return d.select(F.col("id").alias(id_col), F.col(name["canonical_sha256"]).alias("canonical_sha256"), F.col(name["license"]).alias("license"), F.array_join(name["notices"], ",").alias("notices"), F.col(name["kept"]).alias("kept"))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    t = f"lower(coalesce({text}, ''))"
+    for pattern in (HOLDER, MARK):
+        t = f"regexp_replace({t}, {_quoted(pattern)}, ' ', 'g')"
+    t = f"' ' || trim(regexp_replace({t}, {_quoted(APART)}, ' ', 'g')) || ' '"
+    for a, b in SPELLINGS:
+        t = f"replace({t}, {_quoted(f' {a} ')}, {_quoted(f' {b} ')})"
+    return f"trim({t})"
+
+
+def sql() -> str:
+    """DuckDB's form of report() over `documents`, with the known texts and notices."""
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEXTS.items())
+    held = ", ".join(f"CASE WHEN list_has_any(found, [{', '.join(_canonical_sql(_quoted(n)) for n in of)}]) THEN {_quoted(name)} END" for name, of in sorted(NOTICES.items()))
+    no = ", ".join(map(_quoted, RESTRICTED))
+    return f"""
+WITH known AS (SELECT license, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {known}) AS k(license, body)),
+d AS (
+  SELECT doc_id, sha256({_canonical_sql("text")}) AS canonical_sha256,
+    list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_quoted(HINT)})), lambda x: {_canonical_sql("x")}) AS found
+  FROM documents
+), n AS (SELECT doc_id, canonical_sha256, list_filter([{held}], lambda x: x IS NOT NULL) AS names FROM d)
+SELECT n.doc_id, n.canonical_sha256, k.license, array_to_string(n.names, ',') AS notices, NOT (list_has_any(n.names, [{no}]) OR coalesce(k.license IN ({no}), false)) AS kept
+FROM n LEFT JOIN known k ON k.digest = n.canonical_sha256
+"""

@@ -57,4 +57,4 @@ QUERIES = {
         op6_source_mixing, op7_fm_decontamination, op8_url_language_models, op9_warc, op10_license_digests,
     )
 }
-SQL: dict[str, str] = {"op6_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_source_mixing": mixing.SQL, "op9_warc": warc.SQL, "op10_license_digests": licences.sql()}

@@ -82,9 +82,10 @@ class Reader:
         if self.over:
             raise ValueError("a record ends early")
         chunk = self.rest or self.stream.read(CHUNK)
-        if not chunk:
+        got = self.unzip.decompress(chunk, 4 * CHUNK)  # without input, what is still held back
+        if not chunk and not got and not self.unzip.eof:
             raise ValueError("the archive ends within a member")
-        self.data += self.unzip.decompress(chunk, 4 * CHUNK)
+        self.data += got
         self.rest = self.unzip.unconsumed_tail
         if self.unzip.eof:
             self.rest, self.over = self.unzip.unused_data, True
@@ -201,3 +202,12 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     report = write_archives(pages, fresh_path(pages.sparkSession, "warc"), id_col, url_col, html_col)
     out = read_archives(report, pages.schema[id_col].dataType.simpleString(), payloads=False)
     return out.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB's form of round_trip() over `pages`.
+SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER same THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+"""

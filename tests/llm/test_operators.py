@@ -450,6 +450,16 @@ def test_warc_odd(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_reader_at_chunk_edges():
+    import io
+
+    rng = random.Random(1)
+    for n in [4 * warc.CHUNK + d for d in range(-700, 700, 53)] + [rng.randrange(3 * 10**6) for _ in range(10)]:
+        p = b"a" * n
+        data = warc.member(warc.record(1, "u", p, hashlib.sha256(p).hexdigest(), None))
+        assert [r[2] for r in warc.Reader(io.BytesIO(data * 2))] == [p] * 2
+
+
 def test_warc_reader_finds_damage():
     import gzip
     import io
