@@ -1,7 +1,8 @@
 """Quality rules: base counts and distribution divergence, with built-in functions only and row by row.
 
 Each text gives two histograms: of character classes, and of common function words against all other words. A
-language's reference is the mean of its documents' histograms over the whole corpus (documents long enough only).
+language's reference is the median of each share over the whole corpus (documents long enough only), so junk up to
+half of a language does not move it. Digits count with lower-case letters: numbers are no sign of junk.
 A document is rejected when the Jensen-Shannon distance (base 2) from its language's reference exceeds the
 threshold for either histogram; a histogram of fewer characters or words than the guard says nothing, and so does
 a language with too few documents. Base rules: fewer than 10 words, or more than a fifth of the words in 5-word
@@ -34,7 +35,7 @@ VOCABULARY = tuple(sorted({w for line in COMMON for w in line.split()}))
 #: At least so many characters and letter words before a histogram counts, and documents before a reference does.
 MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 40, 20
 #: Largest Jensen-Shannon distance of characters and of words.
-MAX_CHARS, MAX_WORDS = 0.30, 0.50
+MAX_CHARS, MAX_WORDS = 0.20, 0.50
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -76,31 +77,32 @@ def histograms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str,
     d = docs.withColumn(t, F.coalesce(col(text_col), F.lit("")))
     n = F.length(text)
     d = d.withColumn(rare, F.regexp_replace(text, "[a-z]+", ""))  # other classes are counted on what is left
-    some = [F.length(rare) - _without(F.col(rare), p) for p in ("[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+", r"[.,;:!?'\"()-]+", SYMBOLS)]
+    some = [F.length(rare) - _without(F.col(rare), p) for p in ("[A-Z]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+", r"[.,;:!?'\"()-]+", SYMBOLS)]
     d = d.withColumn(classes, F.when(n >= MIN_CHARS, F.array(n, *some)))
     shares = lambda c, total: F.transform(c, lambda x: x / total)
-    rest = F.col(classes)[0] - sum((F.col(classes)[k] for k in range(1, 7)), F.lit(0))
+    rest = F.col(classes)[0] - sum((F.col(classes)[k] for k in range(1, 6)), F.lit(0))
     d = d.withColumn(low, F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?]+"))
     d = d.withColumn(kept, F.when(F.size(low) >= MIN_WORDS, F.concat(F.lit(" "), F.array_join(F.filter(low, lambda w: w.isin(*VOCABULARY)), "  "), F.lit(" "))))
     times = lambda w: ((F.length(F.col(kept)) - F.length(F.replace(F.col(kept), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
     d = d.withColumn(words, F.when(F.col(kept).isNotNull(), F.array(F.size(low), *[times(w) for w in VOCABULARY])))
     other = F.col(words)[0] - F.aggregate(F.slice(words, 2, len(VOCABULARY)), F.lit(0), lambda a, x: a + x)
     d = d.withColumns({
-        classes: shares(F.concat(F.array(rest), F.slice(classes, 2, 6)), F.col(classes)[0]),
+        classes: shares(F.concat(F.array(rest), F.slice(classes, 2, 5)), F.col(classes)[0]),
         words: shares(F.concat(F.array(other), F.slice(words, 2, len(VOCABULARY))), F.col(words)[0]),
     })
     return d.drop(t, rare, low, kept), classes, words
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, classes, words): each language's mean histograms over all documents; null below MIN_DOCS."""
+    """(lang, classes, words): each language's median histograms over all documents; null below MIN_DOCS."""
     d, classes, words = histograms(docs.select(col(lang_col).alias("lang"), col(text_col).alias("text")), "text")
     d = d.select("lang", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(classes).alias("shares")), F.struct(F.lit(1).alias("kind"), F.col(words).alias("shares")))).alias("x"))
     d = d.where("x.shares is not null").select("lang", "x.kind", F.posexplode("x.shares").alias("i", "share"))
-    means = d.groupBy("lang", "kind", "i").agg(F.avg("share").alias("share"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    medians = d.groupBy("lang", "kind", "i").agg(F.percentile_approx("share", 0.5, 1_000).alias("share"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     of = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("i", "share")))), lambda x: x["share"])
-    filled = lambda c: F.when(F.size(c) > 0, c)
-    return means.groupBy("lang").agg(filled(of(0)).alias("classes"), filled(of(1)).alias("words"))
+    sum_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    filled = lambda c: F.when(sum_of(c) > 0, F.transform(c, lambda x: x / sum_of(c)))
+    return medians.groupBy("lang").agg(filled(of(0)).alias("classes"), filled(of(1)).alias("words"))
 
 
 def distance(p: Column, q: Column) -> Column:
