@@ -287,16 +287,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, row: Column, row_type: str, text
     """
     spark = ready(docs.sparkSession)
     state = docs.select(row.alias("row"), F.coalesce(col(text_col), F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text)):
+    blocks = _blocks(benchmark, item_col, item_text)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         held = spark.sparkContext.broadcast(pickle.dumps(Phrases(block, window)))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            yield from _pass(pickle.loads(held.value))(batches)
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=after is None) -> Iterator[pa.RecordBatch]:
+            found = _pass(pickle.loads(held.value))(batches)
+            yield from _last(found) if last else found
 
-        state = state.mapInArrow(run, STATE.format(row_type))
-        if k:  # each pass but the first starts from what the last one has written
+        state = state.mapInArrow(run, (REPORT if after is None else STATE).format(row_type))
+        if after is not None:  # the next pass starts from what this one has written
             state = written(state, "hits")
-    return state.mapInArrow(_last, REPORT.format(row_type))
+        block = after
+    return state
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:

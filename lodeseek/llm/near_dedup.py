@@ -145,7 +145,7 @@ def _first_common() -> Column:
 
 def _links(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of ids those whose full sets are similar enough."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("t")).join(small(ids), "id", "left_semi")
     texts = written(texts.dropDuplicates(["id"]), "texts")
     sized = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = written(known, "known")
     mixed = known.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
     mixed = written(known.join(mixed, "key"), "mixed")
-    ids = written(mixed.select("id").distinct(), "mixed-ids")
+    ids = mixed.select("id").distinct()
     fine = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("t")).join(small(ids), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_finer, "id long, fine array<long>")
     mixed = written(mixed.join(written(fine.join(reps, "id"), "fine"), "id"), "mixed-fine")
     x = mixed.where("comp <> major").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("fine").alias("fine_a"), F.col("bands").alias("bands_a"))

@@ -36,8 +36,8 @@ from . import kernels  # noqa: F401  sets the memory pool
 
 MAX_BITS, STEP, BLOCK_TOKENS, MAGIC = 16, 256, 1 << 18, 0x4C484246
 END = 0
-#: Distinct pieces that a worker keeps with their ids; at that number it starts anew.
-KEPT_PIECES, KEPT_HEADS, LONGEST = 800_000, 150_000, 64
+#: Distinct pieces that a worker keeps with their ids; at that number it starts anew. Half as many are kept at first sight.
+KEPT_PIECES, KEPT_HEADS, LONGEST = 350_000, 60_000, 64
 SIGNS = ".,;:!?"
 
 
@@ -51,36 +51,47 @@ def tokenizer_file() -> str:
 class Pieces(dict):
     """ids, as little-endian 32-bit numbers, of pieces seen so far: what follows `lead` (a space, or nothing) up to the next space.
 
+    A piece is kept for good at its second sight; until then it waits among the young, which are dropped when they are
+    many, so words that occur once don't fill the memory.
+
     A piece with one line break between other characters is cut there; letters are cut from closing signs; a word of
     letters is one unit of the pre-tokenizer and goes to the library's model at once; any other piece goes through the
     whole library.
     """
 
     def __init__(self, owner: "Tokenizer", lead: str, most: int):
-        self.owner, self.lead, self.most = owner, lead, most
+        self.owner, self.lead, self.most, self.young = owner, lead, most, {}
         self.mark = "\u0120" if lead else ""
 
+    def keep(self, p: str, ids: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[p] = ids
+        return ids
+
     def __missing__(self, p: str) -> bytes:
+        if (ids := self.young.pop(p, None)) is not None:
+            return self.keep(p, ids)
         i = p.find("\n")
         if i >= 0:
             if 0 < i < len(p) - 1 and p.find("\n", i + 1) < 0 and not p[i - 1].isspace() and not p[i + 1].isspace():
                 return self[p[:i]] + self.owner.line_break + self.owner.heads[p[i + 1 :]]
             return self.owner.whole(self.lead + p)
         core = p.rstrip(SIGNS)
-        n, keep = len(core), len(p) < LONGEST
-        if 0 < n and keep and core.isalpha():
+        n = len(core)
+        if 0 < n and len(p) < LONGEST and core.isalpha():
             if n < len(p):
-                keep = core in self  # at second sight
+                known = core in self
                 ids = self[core] + self.owner.signs(p[n:])
-            else:
-                mapped = self.mark + (p if p.isascii() else "".join(map(self.owner.alphabet.__getitem__, p.encode())))
-                ids = array("I", [t.id for t in self.owner.model.tokenize(mapped)]).tobytes()
+                return self.keep(p, ids) if known else ids
+            mapped = self.mark + (p if p.isascii() else "".join(map(self.owner.alphabet.__getitem__, p.encode())))
+            ids = array("I", [t.id for t in self.owner.model.tokenize(mapped)]).tobytes()
         else:
             ids = self.owner.whole(self.lead + p)
-        if keep:
-            if len(self) >= self.most:
-                self.clear()
-            self[p] = ids
+        if len(p) < LONGEST:
+            if len(self.young) >= self.most // 2:
+                self.young.clear()
+            self.young[p] = ids
         return ids
 
 
