@@ -36,8 +36,8 @@ from . import kernels  # noqa: F401  sets the memory pool
 
 MAX_BITS, STEP, BLOCK_TOKENS, MAGIC = 16, 256, 1 << 18, 0x4C484246
 END = 0
-#: Distinct pieces that a worker keeps with their ids; at that number it starts anew. Half as many are kept at first sight.
-KEPT_PIECES, KEPT_HEADS, LONGEST = 350_000, 60_000, 64
+#: Distinct pieces that a worker keeps with their ids; at that number it starts anew. As many wait at first sight.
+KEPT_PIECES, KEPT_HEADS, LONGEST = 500_000, 60_000, 64
 SIGNS = ".,;:!?"
 
 
@@ -89,7 +89,7 @@ class Pieces(dict):
         else:
             ids = self.owner.whole(self.lead + p)
         if len(p) < LONGEST:
-            if len(self.young) >= self.most // 2:
+            if len(self.young) >= self.most:
                 self.young.clear()
             self.young[p] = ids
         return ids
