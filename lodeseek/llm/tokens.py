@@ -37,7 +37,7 @@ from . import kernels  # noqa: F401  sets the memory pool
 MAX_BITS, STEP, BLOCK_TOKENS, MAGIC = 16, 256, 1 << 18, 0x4C484246
 END = 0
 #: Distinct pieces that a worker keeps with their ids; at that number it starts anew. As many wait at first sight.
-KEPT_PIECES, KEPT_HEADS, LONGEST = 500_000, 60_000, 64
+KEPT_PIECES, KEPT_HEADS, LONGEST = 700_000, 60_000, 64
 SIGNS = ".,;:!?"
 
 
