@@ -18,6 +18,7 @@ rows are judged alike; other columns pass through whatever their names.
 from __future__ import annotations
 
 from math import log
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +27,16 @@ from .common import SPACES, col, only, small, spare, written
 
 #: The commonest function words of the four languages.
 COMMON = (
-    "the of and to in is that it",
-    "de la le et les des en que",
-    "der die und das den von zu mit",
-    "el los las del se por con una",
-)
+    "the of and to in is that it for was on are as with by this from be or an",
+    "de la le et les des en un une du que est pour dans qui sur par au ne pas",
+    "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch",
+    "el los las del se por con una para su al lo como más pero sus este ya o sí",
+)
 VOCABULARY = tuple(sorted({w for line in COMMON for w in line.split()}))
+#: A character for each common word, and a table of them by the word's checksum modulo SLOTS, where no two words meet.
+CODES = tuple(chr(33 + i) for i in range(len(VOCABULARY)))
+SLOTS = next(m for m in range(len(VOCABULARY), 1 << 20) if len({crc32(w.encode()) % m for w in VOCABULARY}) == len(VOCABULARY))
+_CODE_AT = {crc32(w.encode()) % SLOTS: c for w, c in zip(VOCABULARY, CODES)}
 #: At least so many characters and letter words before a histogram counts, and documents before a reference does.
 MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 40, 20
 #: Largest Jensen-Shannon distance of characters and of words.
@@ -72,7 +77,7 @@ def counted(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[st
 
 def histograms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str]:
     """docs with two arrays of shares: of character classes and of common words; null where the guard says so."""
-    t, rare, low, kept, classes, words = spare(docs, "h_text", "h_rare", "h_low", "h_common", "h_classes", "h_words")
+    t, rare, low, number, kept, classes, words = spare(docs, "h_text", "h_rare", "h_low", "h_number", "h_common", "h_classes", "h_words")
     text = F.col(t)
     d = docs.withColumn(t, F.coalesce(col(text_col), F.lit("")))
     n = F.length(text)
@@ -81,16 +86,20 @@ def histograms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str,
     d = d.withColumn(classes, F.when(n >= MIN_CHARS, F.array(n, *some)))
     shares = lambda c, total: F.transform(c, lambda x: x / total)
     rest = F.col(classes)[0] - sum((F.col(classes)[k] for k in range(1, 6)), F.lit(0))
-    d = d.withColumn(low, F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?]+"))
-    d = d.withColumn(kept, F.when(F.size(low) >= MIN_WORDS, F.concat(F.lit(" "), F.array_join(F.filter(low, lambda w: w.isin(*VOCABULARY)), "  "), F.lit(" "))))
-    times = lambda w: ((F.length(F.col(kept)) - F.length(F.replace(F.col(kept), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
-    d = d.withColumn(words, F.when(F.col(kept).isNotNull(), F.array(F.size(low), *[times(w) for w in VOCABULARY])))
+    d = d.withColumn(low, F.split(F.lower(text), r"\P{L}+"))
+    outer = (F.col(low)[0] == "").cast("int") + ((F.size(low) > 1) & (F.element_at(low, -1) == "")).cast("int")  # only the first and the last can be empty
+    d = d.withColumn(number, F.size(low) - outer)
+    codes = F.split(F.lit(" ".join(_CODE_AT.get(i, "~") for i in range(SLOTS))), " ")
+    common = F.transform(F.filter(low, lambda w: w.isin(*VOCABULARY)), lambda w: F.get(codes, (F.crc32(w) % SLOTS).cast("int")))
+    d = d.withColumn(kept, F.when(F.col(number) >= MIN_WORDS, F.array_join(common, "")))
+    times = F.transform(F.split(F.lit(" ".join(CODES)), " "), lambda c: F.octet_length(F.col(kept)) - F.octet_length(F.replace(F.col(kept), c, F.lit(""))))
+    d = d.withColumn(words, F.when(F.col(kept).isNotNull(), F.concat(F.array(F.col(number)), times)))
     other = F.col(words)[0] - F.aggregate(F.slice(words, 2, len(VOCABULARY)), F.lit(0), lambda a, x: a + x)
     d = d.withColumns({
         classes: shares(F.concat(F.array(rest), F.slice(classes, 2, 5)), F.col(classes)[0]),
         words: shares(F.concat(F.array(other), F.slice(words, 2, len(VOCABULARY))), F.col(words)[0]),
     })
-    return d.drop(t, rare, low, kept), classes, words
+    return d.drop(t, rare, low, number, kept), classes, words
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -79,6 +80,18 @@ def test_divergence_rejects_junk(spark):
     assert got[102]["char_distance"] is None and got[102]["word_distance"] is None
 
 
+def test_word_histogram_by_letters(spark):
+    texts = ["(the) \"of\" and-to l'on/für [mais] 12 this7from — pas d'une sí, ya " * 6, "'the' " * 39, "the\n" * 40, "42 " * 300, None]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, text string")
+    h, _, words = quality.histograms(d)
+    got = {r.i: r[words] for r in h.collect()}
+    for i, x in enumerate(texts):
+        low = re.findall(r"[^\W\d_]+", (x or "").lower())
+        counts = [sum(w not in quality.VOCABULARY for w in low), *[low.count(w) for w in quality.VOCABULARY]]
+        assert got[i] == (pytest.approx([n / len(low) for n in counts]) if len(low) >= 40 else None), i
+    assert len(quality.VOCABULARY) >= 70
+
+
 def test_distance(spark):
     d = lambda p, q: spark.range(1).select(quality.distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
     assert d([1.0, 0.0], [0.0, 1.0]) == pytest.approx(1) and d([0.5, 0.5], [0.5, 0.5]) == pytest.approx(0, abs=1e-7)
