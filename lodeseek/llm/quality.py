@@ -2,10 +2,12 @@
 
 Each text gives two histograms: of character classes, and of common function words against all other words. A
 language's reference is the median of each share over the whole corpus (documents long enough only), so junk up to
-half of a language does not move it. Digits count with lower-case letters: numbers are no sign of junk.
+half of a language does not move it. Digits are a class of their own.
 A document is rejected when the Jensen-Shannon distance (base 2) from its language's reference exceeds the
-threshold for either histogram; a histogram of fewer characters or words than the guard says nothing, and so does
-a language with too few documents. Base rules: fewer than 10 words, or more than a fifth of the words in 5-word
+threshold for either histogram. For words, the threshold is a part of the distance at which a text without any
+function word stands from the reference; short texts, whose words scatter more, have a larger part. A histogram of
+fewer characters or words than the guard says nothing, and so does a language with too few documents, or, for words,
+one whose reference has hardly any of the function words below. Base rules: fewer than 10 words, or more than a fifth of the words in 5-word
 windows that occur twice.
 
 Nothing is shuffled but the reference sums (a few rows a task and language). Windows are compared by 64-bit hashes
@@ -39,8 +41,9 @@ SLOTS = next(m for m in range(len(VOCABULARY), 1 << 20) if len({crc32(w.encode()
 _CODE_AT = {crc32(w.encode()) % SLOTS: c for w, c in zip(VOCABULARY, CODES)}
 #: At least so many characters and letter words before a histogram counts, and documents before a reference does.
 MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 40, 20
-#: Largest Jensen-Shannon distance of characters and of words.
-MAX_CHARS, MAX_WORDS = 0.20, 0.50
+#: Largest Jensen-Shannon distance of characters; that of words, as a part of the distance of a text without function
+#: words, for texts of LONG letter words or more and for shorter ones; least such distance at which words say anything.
+MAX_CHARS, LONG, PART_LONG, PART_SHORT, LEAST_BARE = 0.20, 200, 0.8, 0.9, 0.2
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -75,17 +78,20 @@ def counted(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[st
     return d.drop(*[name[k] for k in ("text", "split", "words", "hashes", "windows", "sorted")]), name
 
 
-def histograms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str]:
-    """docs with two arrays of shares: of character classes and of common words; null where the guard says so."""
+def histograms(docs: DataFrame, text_col: str = "text", number_col: str | None = None) -> tuple[DataFrame, str, str]:
+    """docs with two arrays of shares: of character classes and of common words; null where the guard says so.
+
+    With number_col, also the number of letter words, under that name.
+    """
     t, rare, low, number, kept, classes, words = spare(docs, "h_text", "h_rare", "h_low", "h_number", "h_common", "h_classes", "h_words")
     text = F.col(t)
     d = docs.withColumn(t, F.coalesce(col(text_col), F.lit("")))
     n = F.length(text)
     d = d.withColumn(rare, F.regexp_replace(text, "[a-z]+", ""))  # other classes are counted on what is left
-    some = [F.length(rare) - _without(F.col(rare), p) for p in ("[A-Z]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+", r"[.,;:!?'\"()-]+", SYMBOLS)]
+    some = [F.length(rare) - _without(F.col(rare), p) for p in ("[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+", r"[.,;:!?'\"()-]+", SYMBOLS)]
     d = d.withColumn(classes, F.when(n >= MIN_CHARS, F.array(n, *some)))
     shares = lambda c, total: F.transform(c, lambda x: x / total)
-    rest = F.col(classes)[0] - sum((F.col(classes)[k] for k in range(1, 6)), F.lit(0))
+    rest = F.col(classes)[0] - sum((F.col(classes)[k] for k in range(1, 7)), F.lit(0))
     d = d.withColumn(low, F.split(F.lower(text), r"\P{L}+"))
     outer = (F.col(low)[0] == "").cast("int") + ((F.size(low) > 1) & (F.element_at(low, -1) == "")).cast("int")  # only the first and the last can be empty
     d = d.withColumn(number, F.size(low) - outer)
@@ -96,9 +102,11 @@ def histograms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str,
     d = d.withColumn(words, F.when(F.col(kept).isNotNull(), F.concat(F.array(F.col(number)), times)))
     other = F.col(words)[0] - F.aggregate(F.slice(words, 2, len(VOCABULARY)), F.lit(0), lambda a, x: a + x)
     d = d.withColumns({
-        classes: shares(F.concat(F.array(rest), F.slice(classes, 2, 5)), F.col(classes)[0]),
+        classes: shares(F.concat(F.array(rest), F.slice(classes, 2, 6)), F.col(classes)[0]),
         words: shares(F.concat(F.array(other), F.slice(words, 2, len(VOCABULARY))), F.col(words)[0]),
     })
+    if number_col is not None:
+        d = d.withColumn(number_col, F.col(number))
     return d.drop(t, rare, low, number, kept), classes, words
 
 
@@ -125,14 +133,18 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
     """docs with the base counts, base_failed, both distances and kept, and the names of these columns."""
     refs = written(references(docs, text_col, lang_col) if refs is None else refs, "references")
     d, name = counted(docs, text_col)
-    d, classes, words = histograms(d, text_col)
-    lang, rc, rw, failed, dc, dw, kept = spare(d, "r_lang", "r_classes", "r_words", "base_failed", "char_distance", "word_distance", "kept")
-    d = d.join(small(refs.toDF(lang, rc, rw)), col(lang_col).eqNullSafe(F.col(lang)), "left")
-    d = d.withColumns({dc: distance(F.col(classes), F.col(rc)), dw: distance(F.col(words), F.col(rw))}).drop(classes, words, lang, rc, rw)
+    (number,) = spare(d, "n_letter_words")
+    d, classes, words = histograms(d, text_col, number)
+    lang, rc, rw, bare, most, failed, dc, dw, kept = spare(d, "r_lang", "r_classes", "r_words", "r_bare", "r_most", "base_failed", "char_distance", "word_distance", "kept")
+    none = F.array(*[F.lit(float(k == 0)) for k in range(len(VOCABULARY) + 1)])
+    refs = refs.toDF(lang, rc, rw).withColumn(bare, distance(none, F.col(rw)))
+    d = d.join(small(refs), col(lang_col).eqNullSafe(F.col(lang)), "left")
+    part = F.when(F.col(number) >= LONG, F.lit(PART_LONG)).otherwise(F.lit(PART_SHORT))
+    d = d.withColumns({dc: distance(F.col(classes), F.col(rc)), dw: distance(F.col(words), F.col(rw)), most: F.when(F.col(bare) >= LEAST_BARE, part * F.col(bare))}).drop(classes, words, lang, rc, rw, bare, number)
     d = d.withColumn(failed, (F.col(name["n_words"]) < 10) | (100 * F.col(name["n_repeat_words"]) > 20 * F.col(name["n_words"])))
-    ok = ~F.col(failed) & (F.coalesce(F.col(dc), F.lit(0.0)) <= MAX_CHARS) & (F.coalesce(F.col(dw), F.lit(0.0)) <= MAX_WORDS)
+    ok = ~F.col(failed) & (F.coalesce(F.col(dc), F.lit(0.0)) <= MAX_CHARS) & F.coalesce(F.col(dw) <= F.col(most), F.lit(True))
     counts = {k: name[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    return d.withColumn(kept, ok), counts | {"base_failed": failed, "char_distance": dc, "word_distance": dw, "kept": kept}
+    return d.withColumn(kept, ok).drop(most), counts | {"base_failed": failed, "char_distance": dc, "word_distance": dw, "kept": kept}
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

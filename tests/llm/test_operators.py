@@ -80,6 +80,25 @@ def test_divergence_rejects_junk(spark):
     assert got[102]["char_distance"] is None and got[102]["word_distance"] is None
 
 
+def test_divergence_rejects_gibberish_numbers_and_wrong_languages(spark):
+    rng = random.Random(2)
+    common = dict(zip(("en", "fr", "de", "es"), (line.split() for line in quality.COMMON)))
+    endings = {"en": ("ing", "er"), "fr": ("ent", "eux"), "de": ("ung", "en"), "es": ("ado", "os")}
+    content = lambda lang: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) + rng.choice(endings[lang])
+    prose = lambda lang, n: " ".join(rng.choices(common[lang], [1 / (k + 1) for k in range(len(common[lang]))])[0] if rng.random() < 0.4 else content(lang) for _ in range(n)) + "."
+    rows = [(100 * k + i, prose(lang, rng.choice((60, 120, 400))), lang) for k, lang in enumerate(common) for i in range(60)]
+    bad = [
+        *[("".join(rng.choice("etaoinshrdlu") if rng.random() < 0.84 else " " for _ in range(n)), lang) for n in (600, 3000) for lang in common],  # letters
+        *[(" ".join(content(lang) for _ in range(n)), lang) for n in (60, 300) for lang in common],  # word lists
+        *[(" ".join(str(rng.randint(100, 99999)) for _ in range(n)), lang) for n in (60, 300) for lang in common],  # number tables
+        *[(prose(is_lang, 300), lang) for is_lang in common for lang in common if lang != is_lang],  # wrong languages
+    ]
+    d = spark.createDataFrame(rows + [(1000 + i, x, lang) for i, (x, lang) in enumerate(bad)], "doc_id long, text string, lang string")
+    got = by([r.asDict() for r in quality.report(d).collect()])
+    assert [i for i, _, _ in rows if not got[i]["kept"] and not got[i]["base_failed"]] == []
+    assert [(x[:40], lang) for i, (x, lang) in enumerate(bad) if got[1000 + i]["kept"] or got[1000 + i]["base_failed"]] == []
+
+
 def test_word_histogram_by_letters(spark):
     texts = ["(the) \"of\" and-to l'on/für [mais] 12 this7from — pas d'une sí, ya " * 6, "'the' " * 39, "the\n" * 40, "42 " * 300, None]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, text string")
