@@ -2,7 +2,7 @@
 
 Text is made canonical: lower case, copyright lines and list marks dropped, equivalent spellings made one, anything
 but letters and digits read as one space. The SHA-256 of a whole canonical text is hash-joined to the digests of
-known licence texts. Within texts, each line is treated alike and looked up among known one-line notices.
+known licence texts, with and without their title and their appendix. Within texts, each line is treated alike and looked up among known one-line notices.
 
 A document is restricted if one of its licences or notices is on the restricted list; kept is false then.
 
@@ -13,6 +13,11 @@ it is broadcast up to BROADCAST_ROWS rows, so documents stay where they are; bey
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +74,17 @@ TEXTS = {
         "3. This notice may not be removed or altered from any source distribution."
     ),
 }
+#: Titles of the texts above.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License", "New BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
+#: Where a published text's appendix begins, or the line that ends its terms.
+APPENDIX = r"(?m)^[ \t]*(?:END OF TERMS AND CONDITIONS|APPENDIX: |How to Apply These Terms|Exhibit A - )"
 #: One-line notices.
 NOTICES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
@@ -87,20 +103,38 @@ HOLDER = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?: ?\(c\))? ?(?:©|\(c\)|[0-9])|©|
 MARK, APART, HINT = r"(?m)^[ \t\n\r]*(?:[0-9]{1,2}|[a-z])[.)][ \t\n\r]", r"[^\p{L}\p{N}]+", "(?i)licen[sc]e|released under"
 
 
+#: Lines that name a holder without a sign or year after the word; not those that go on as a sentence of a licence.
+NAMED = r"(?m)^[^\p{L}\p{N}\n]*copyright:? +(?!(?:notice|holder|owner|laws?\b|licen[sc]e|interest|disclaim|treat|protection|statement|permission|material|rights?\b|works?\b|means|(?:and|or|on|in|to|of|for|as|is|are|was|may|that|which|can|under|does|will|shall|has|it|this|if|not|with|from|at|an?)\b|the above))[\p{L}\p{N}<\[{(\"'][^\n]*$"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is empty."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(F.regexp_replace(t, HOLDER, " "), MARK, " ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, HOLDER, " "), NAMED, " "), MARK, " ")
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, APART, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
-def known_texts(spark: SparkSession, texts: dict[str, str] = TEXTS) -> DataFrame:
+@lru_cache(1)
+def published() -> tuple[tuple[str, str], ...]:
+    """(license, text) of all known texts: those above and the files beside this module, with and without title and appendix."""
+    forms = {(k, t) for k, v in TEXTS.items() for t in (v, *(title + "\n\n" + v for title in TITLES[k]))}
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8").strip("\n")
+        ends = [len(text)] + [x for m in re.finditer(APPENDIX, text) for x in (m.start(), m.end())[: 1 + m.group().strip().startswith("END")]]
+        blocks = [0] + [m.end() for m in re.finditer(r"\n[ \t]*\n", text)][: 2 if path.stem.startswith("CC") else 1]
+        for form in {text[a:b] for a in blocks for b in ends}:
+            forms |= {(path.stem, form), (path.stem, form.replace("https://", "http://")), (path.stem, form.replace("http://", "https://"))}
+    return tuple(sorted(forms))
+
+
+def known_texts(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license) of known texts."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in texts.items()])).alias("x")
-    return spark.range(1).select(rows).select(F.sha2(canonical(F.col("x.text")), 256).alias("digest"), F.col("x.license").alias("license"))
+    rows = published() if texts is None else tuple(texts.items())
+    d = spark.createDataFrame(pa.table({"license": pa.array([k for k, _ in rows], pa.string()), "text": pa.array([t for _, t in rows], pa.string())}))
+    return d.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
 
 
 def scanned(docs: DataFrame, text_col: str = "text", known: DataFrame | None = None, notices: dict = NOTICES, restricted: tuple = RESTRICTED) -> tuple[DataFrame, dict[str, str]]:

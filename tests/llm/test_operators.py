@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -521,6 +522,25 @@ def test_licences(spark):
     assert licences.permitted(d).columns == d.columns and licences.permitted(d).count() == 9 and licences.report(d.limit(0)).count() == 0
 
 
+def test_licences_of_whole_files(spark):
+    here = Path(licences.__file__).parent / "licence_texts"
+    file = lambda name: (here / f"{name}.txt").read_text(encoding="utf-8")
+    gpl, body = file("GPL-3.0"), licences.TEXTS
+    cases = [
+        *[(file(f.stem), f.stem) for f in sorted(here.glob("*.txt"))],
+        (gpl[: gpl.index("END OF TERMS")], "GPL-3.0"), (gpl[: gpl.index("How to Apply")].replace("https:", "http:"), "GPL-3.0"), (gpl[gpl.index(" Copyright (C) 2007") :], "GPL-3.0"), (gpl.replace("\n", "\r\n"), "GPL-3.0"),
+        (file("Apache-2.0").split("APPENDIX:")[0], "Apache-2.0"), (file("MPL-2.0").split("Exhibit A -")[0], "MPL-2.0"),
+        ("MIT License\n\nCopyright (c) 2020 Some One\n\n" + body["MIT"], "MIT"), ("BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + body["BSD-3-Clause"], "BSD-3-Clause"),
+        ("ISC License\n\nCopyright Some One 2020\n\n" + body["ISC"], "ISC"), ("zlib License\n\n(C) 2020 Some One\n\n" + body["Zlib"], "Zlib"), ("Copyright Foo Inc. and contributors\n\n" + body["MIT"], "MIT"),
+        ("Copyright <name> 2020\nCopyright The Foo Authors\n\n" + body["BSD-2-Clause"], "BSD-2-Clause"), (body["BSD-2-Clause"].replace("BY THE COPYRIGHT", "BY THE\nCOPYRIGHT").replace("THE COPYRIGHT HOLDER ", "THE\nCOPYRIGHT HOLDER "), "BSD-2-Clause"),
+        (body["MIT"].replace("The above copyright notice", "The above\ncopyright notice"), "MIT"), (gpl + " and more", None), ("MIT License", None),
+    ]
+    d = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = by([r.asDict() for r in licences.report(d).collect()])
+    assert [got[i]["license"] for i in range(len(cases))] == [x for _, x in cases]
+    assert all(got[i]["kept"] == (x not in licences.RESTRICTED) for i, (_, x) in enumerate(cases) if x)
+
+
 def test_licences_over_documents(spark, sf, tables):
     got = by(run(spark, sf, "op10_license_digests"))
     assert got.keys() == {r["doc_id"] for r in tables["documents"]}
