@@ -195,7 +195,7 @@ def s14(spark, sf):
 def s16(spark, sf):
     t = tables(spark, sf)
     n = search.scope_hashes(t["chunks"], _scope(t)).agg(F.count("*").alias("n")).first().n
-    return _found(spark, sf, False).agg(F.count("*").alias("total_candidates")).withColumn("retrieval_mode", F.lit(search.mode(min(n, search.NARROW - 1), False)))
+    return _found(spark, sf, False).agg(F.count("*").alias("total_candidates")).withColumn("retrieval_mode", F.lit(search.mode(n, False)))
 
 
 @query("s17_batch_search")

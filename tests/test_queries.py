@@ -51,6 +51,17 @@ def test_query(name, spark, sf, duck):
         assert rows
 
 
+def test_response_mode_follows_the_scope(spark, sf, monkeypatch):
+    from lodeseek.operators import search
+    from lodeseek.plans import search_queries
+
+    mode = lambda: QUERIES["s16_response_meta"](spark, sf).first().retrieval_mode
+    n = search.scope_hashes(search_queries.tables(spark, sf)["chunks"], search_queries._scope(search_queries.tables(spark, sf))).count()
+    for least, want in ((n + 1, "narrow"), (n, "broad"), (2, "broad")):
+        monkeypatch.setattr(search, "NARROW", least)
+        assert mode() == want
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns and df.count() >= 0
