@@ -9,13 +9,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
 #: White space that separates words in every contract: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Largest side, in rows, that is sent to every executor. Beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Largest side, in rows and in bytes, that is sent to every executor. Beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+#: A key of a join is hot with more rows than HOT_ROWS and than one in HOT_KEYS, so there are HOT_KEYS hot keys at most.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -32,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset in local mode (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("lodeseek.own.checkpoint.dir", None)
         if not base:
             base = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="lodeseek-"))
@@ -66,9 +71,44 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is; df should be a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """What a value takes: its bytes, and 16 for its place in a row."""
+    c = col(name)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType):
+        held = F.transform(c, lambda x: F.octet_length(x)) if isinstance(kind.elementType, (T.StringType, T.BinaryType)) else None
+        size = F.size(c) * 8 + (F.aggregate(held, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) if held is not None else 0)
+    else:
+        size = F.lit(0)
+    return (F.coalesce(size, F.lit(0)) + 16).cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes, else as it is; df should be a written table."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum((_bytes(f.name, f.dataType) for f in df.schema), F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
+
+
+def hot_keys(key: str, rows: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame | None:
+    """The hot keys of rows, HOT_KEYS at most; None if none is. Give rows, or counted (key, n); better a written table."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n")) if counted is None else counted
+    total = rows.count() if counted is None else counted.agg(F.sum("n")).first()[0] or 0
+    if total <= HOT_ROWS:
+        return None
+    hot = written(n.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(key), "hot")
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has a row a key at most, whatever share of the rows a key holds.
+
+    The table's rows of hot keys (from hot_keys) are broadcast, HOT_KEYS at most; all others meet in a shuffle.
+    """
+    if hot is None:
+        return rows.join(table, key, how)
+    of_hot = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(of_hot, key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
 
 
 def spare(df: DataFrame, *wanted: str) -> list[str]:

@@ -4,18 +4,25 @@ Every text gives the set of its distinct 5-word shingles, 160 minima (permutatio
 each, and a packed sketch of the lowest 2 bits of each minimum. Pairs come from equal band keys, are screened by
 the collision-corrected estimate from counting equal bit pairs, and are confirmed on the full shingle sets.
 
-Pairs are never all listed: texts with equal sets form one class first; in each band group every class meets the
-group's smallest member only; then groups whose members still lie in different components are gone through once
-more, each minority member against all members of other components, so no candidate link is left out. For that
-round the members get a finer sketch of 1,024 permutations, and a pair is taken up by its first common band only,
-so what is listed are pairs close to the threshold, not the pairs of a group.
+Pairs are never all listed. Texts with equal sets form one class first; in each band group every class meets the
+group's smallest member. Groups whose other members then still lie in different components (texts of one template,
+say) are split by rare shingles: by the number of these members that hold a shingle, fewest first, two sets as similar as
+that must share one of their first 15 %, and the smaller one (or either of two equal ones) one of its first 8 %; the
+places also bound what they can share at most. Pairs that share a band key and such a shingle, with sizes that allow
+the similarity, go the same way as the others. No candidate link is left out by this, and texts that share a template,
+but differ elsewhere by more than the threshold allows, don't meet.
 
 At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**6)**26, about 5e-6; the screen lets
-through estimates down to 0.18, the finer one down to 0.065, below the threshold (5 standard deviations).
+through estimates down to 0.18 below the threshold (3 standard deviations).
+
+Whatever share of the rows a band key, a leader, a class or a component holds, its rows are dealt over many tasks: hot
+keys are looked up by a broadcast of those few, and a leader's text goes to as many places as there are shuffle
+partitions at most, where it meets its members one after another.
 
 Rows: null text, blank text and empty tables give empty sets, linked with nothing. A null id is linked with
-nothing and has no component; its row is kept. Repeated ids are one document in the groups; each row is returned.
-Other columns pass through whatever their names.
+nothing and has no component; its row is kept. Rows of one id are one document, and each is returned; if their texts
+differ, the one whose set comes first by digest speaks for the id in the links, and each row has its own n_shingles.
+Long texts are taken whole; equal texts tie by id. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -23,23 +30,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import hashlib
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, ready, small, spare, written
+from .common import col, hot_keys, looked_up, ready, small, spare, written
 from .components import connected_components
 from .kernels import U, Words, class_table, mix, slices, stream
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS, BITS = 5, 160, 26, 6, 2
 MARGIN = 0.18
-FINE_PERMUTATIONS, FINE_MARGIN = 1024, 0.065
 WORD = class_table([(0x20, 0x20), (0x09, 0x0D)])
 _weights = stream(SHINGLE + 1, 2)
-_a = (stream(FINE_PERMUTATIONS, 3) >> U(32)).astype(np.uint32) | np.uint32(1)
-_b = (stream(FINE_PERMUTATIONS, 4) >> U(32)).astype(np.uint32)
+_a = (stream(1024, 3) >> U(32)).astype(np.uint32) | np.uint32(1)
+_b = (stream(1024, 4) >> U(32)).astype(np.uint32)
 _band = stream(ROWS, 5)
 
 
@@ -99,7 +106,7 @@ def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, digest, bands, sketch = [], [], [], []
-        for s in shingle_sets(batch.column(1)):
+        for s in shingle_sets(batch.column(2)):
             n.append(len(s))
             if len(s):
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -111,24 +118,33 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(None)
                 sketch.append(None)
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)], ["id", "n", "digest", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)], ["id", "h", "n", "digest", "bands", "sketch"])
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fine = [packed(minima(s, FINE_PERMUTATIONS)) if len(s) else None for s in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.list_(pa.int64()))], ["id", "fine"])
+        sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
 
 def _confirm(percent: int):
+    """Of sorted rows (a, place, b, t), where b is null in the row with a's text, the pairs that are similar enough."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             ok = []
-            for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3))):
+            for a, b, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3))):
+                if b is None:
+                    leader, x = a, y
+                    ok.append(False)
+                    continue
+                if a != leader:
+                    raise ValueError(f"no text for {a}")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["a", "b"])
 
     return confirm
 
@@ -138,18 +154,50 @@ def _near(n_a: str, n_b: str, percent: int) -> Column:
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN)
 
 
-def _first_common() -> Column:
-    """The first band key that both sides have."""
-    return F.coalesce(*[F.when(F.col("bands_a")[k] == F.col("bands_b")[k], F.col("bands_a")[k]) for k in range(BANDS)])
+def _common_band() -> Column:
+    """Both sides have a band key in common."""
+    return F.coalesce(*[F.when(F.col("bands_a")[k] == F.col("bands_b")[k], True) for k in range(BANDS)], F.lit(False))
 
 
-def _links(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids those whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("t")).join(small(ids), "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]), "texts")
-    sized = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return sized.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
+def _links(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of ids those whose full sets are similar enough; texts: (id, t).
+
+    A leader's pairs are dealt over places, as many as shuffle partitions at most; its text goes once to each.
+    """
+    places = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(places)).cast("int").alias("place"), "b")
+    asked = written(pairs.select("a", "place").distinct().withColumn("b", F.lit(None).cast("long")).unionByName(pairs), "asked")
+    who = F.coalesce("b", "a")
+    ids = written(asked.select(who.alias("id")).distinct(), "asked-ids")
+    held = written(texts.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    rows = asked.withColumn("id", who).join(held, "id").select("a", "place", "b", "t")
+    return rows.repartition("a", "place").sortWithinPartitions("a", "place", F.col("b").asc_nulls_first()).mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle rare enough; sets: (id, comp, shingles), an id once."""
+    posts = sets.select("id", "comp", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("w"))
+    times = written(posts.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "times")
+    held = looked_up(posts, times.withColumnRenamed("n", "times"), "w", hot_keys("w", counted=times))
+    # Shingles of one holder come first; they pair nothing, but take places.
+    of_id = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(of_id) + F.row_number().over(of_id.orderBy("times", "w")) - 1
+    first = lambda part, whole: F.col("n") - F.expr(f"({part} * n + {whole - 1}) div {whole}") + 1
+    near = held.select("id", "comp", "n", "w", place.alias("place")).where(F.col("place") < first(percent, 100))
+    near = written(near.withColumn("inner", F.col("place") < first(2 * percent, 100 + percent)), "rare")
+    # Of each shingle's holders, those of its commonest component meet only the others.
+    split = near.groupBy("w", "comp").agg(F.count("*").alias("m")).groupBy("w").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("m").alias("n"))
+    split = written(split.where("comps > 1"), "split")
+    near = written(looked_up(near, split.select("w", "major"), "w", hot_keys("w", counted=split)), "rare-split")
+    step = log(100 / percent) * 1.0001 if percent < 100 else 1.0
+    grade = F.floor(F.log("n") / F.lit(step)).cast("int")
+    x = near.where("inner").select("w", "place", grade.alias("grade"), F.col("id").alias("i"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"), (F.col("comp") != F.col("major")).alias("minor_x"))
+    y = near.select("w", F.explode(F.array(grade, grade - 1)).alias("grade"), F.col("place").alias("place_y"), F.col("id").alias("j"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"), (F.col("comp") != F.col("major")).alias("minor_y"))
+    sizes = ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("i") < F.col("j")))) & (100 * F.col("n_x") >= percent * F.col("n_y"))
+    most = F.least(F.col("n_x") - F.col("place"), F.col("n_y") - F.col("place_y"))  # what they can share from their first common shingle on
+    on = (F.col("c_x") != F.col("c_y")) & sizes & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
+    found = x.where("minor_x").join(y, ["w", "grade"]).where(on).unionByName(x.where("not minor_x").join(y.where("minor_y"), ["w", "grade"]).where(on))
+    return found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -158,41 +206,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_col must be of an integer type. The smallest id of a component is its class.
     """
     ready(docs.sparkSession)
-    features = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("t")).mapInArrow(_features, "id long, n long, digest binary, bands array<long>, sketch array<long>")
+    own = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("t"))
+    features = own.select("id", F.xxhash64("t").alias("h"), "t").mapInArrow(_features, "id long, h long, n long, digest binary, bands array<long>, sketch array<long>")
     features = written(features, "features")
-    classes = features.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = written(classes, "classes")
-    reps = features.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    held, texts = features.where("n > 0 and id is not null"), own.where("id is not null")
+    several = written(held.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("id"), "several")
+    others = None
+    if not several.isEmpty():  # ids with different texts
+        of = held.join(small(several), "id", "left_semi").select("id", "h", "digest").distinct()
+        one = of.groupBy("id").agg(F.min(F.struct("digest", "h")).alias("one")).select("id", "one.h")
+        others = written(of.select("id", "h").join(one, ["id", "h"], "left_anti"), "others")
+        held = held.join(small(others), ["id", "h"], "left_anti")
+        texts = texts.withColumn("h", F.xxhash64("t")).join(small(others), ["id", "h"], "left_anti").select("id", "t")
+    classes = written(held.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    reps = held.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
     reps = written(reps.select("id", "n", "bands", "sketch"), "reps")
     banded = reps.select("id", F.explode("bands").alias("key"))
-    groups = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
-    members = written(banded.join(groups, "key").select("key", "id", "leader"), "members")
-
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(_near("n_a", "n_b", percent)).select("a", "b"), "stars")
-    links = written(_links(docs, id_col, text_col, stars, percent), "links")
+    groups = written(banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n")).where("leader <> last"), "groups")
+    members = looked_up(banded, groups.select("key", "leader", F.col("n").alias("m")), "key", hot_keys("key", counted=groups))
+    members = written(members.where("id <> leader"), "members")
+
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    stars = written(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = looked_up(stars, side("a"), "a", hot_keys("a", stars)).join(side("b"), "b").where(_near("n_a", "n_b", percent)).select("a", "b")
+    stars = written(stars, "near-stars")
+    links = written(_links(texts, stars, percent), "links")
     found = connected_components(links)
 
-    # Groups whose members lie in several components: each member outside the commonest one meets all of other ones.
-    known = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    # Groups whose members beside the leader lie in several components.
+    known = members.where("m > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     known = written(known, "known")
-    mixed = known.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
-    mixed = written(known.join(mixed, "key"), "mixed")
-    ids = mixed.select("id").distinct()
-    fine = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("t")).join(small(ids), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_finer, "id long, fine array<long>")
-    mixed = written(mixed.join(written(fine.join(reps, "id"), "fine"), "id"), "mixed-fine")
-    x = mixed.where("comp <> major").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("fine").alias("fine_a"), F.col("bands").alias("bands_a"))
-    y = mixed.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("fine").alias("fine_b"), F.col("bands").alias("bands_b"))
-    close = estimate(F.col("fine_a"), F.col("fine_b"), FINE_PERMUTATIONS) >= percent / 100 - FINE_MARGIN
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("ci") != F.col("cj")) & (_first_common() == x["key"]) & _near("n_a", "n_b", percent) & close)
-    rest = rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    if not rest.isEmpty():
-        found = connected_components(links.union(_links(docs, id_col, text_col, rest, percent)))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    mixed = written(mixed, "mixed")
+    ids = written(looked_up(known, mixed.select("key"), "key", hot_keys("key", counted=mixed)).select("id", "comp").distinct(), "mixed-ids")
+    if not ids.isEmpty():
+        sets = texts.join(small(ids.select("id")), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>")
+        rest = written(_rare_pairs(written(sets.join(ids, "id"), "sets"), percent).join(stars, ["a", "b"], "left_anti"), "rest")
+        rest = looked_up(rest, side("a"), "a", hot_keys("a", rest))
+        rest = written(rest.join(side("b"), "b").where(_common_band() & _near("n_a", "n_b", percent)).select("a", "b"), "near-rest")
+        if not rest.isEmpty():
+            found = connected_components(links.union(_links(texts, rest, percent)))
 
     of = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = features.select("id", "n", "digest").join(of, "digest", "left")
+    out = features.select("id", "h", "n", F.coalesce("digest", F.encode(F.concat_ws(":", F.lit("none"), "id"), "UTF-8")).alias("digest"))
+    out = looked_up(out, of, "digest", hot_keys("digest", counted=classes), "left")
+    if others is not None:  # rows whose text doesn't speak for their id
+        spoken = written(out.join(small(several), "id", "left_semi").join(small(others), ["id", "h"], "left_anti").where("component is not null").groupBy("id").agg(F.min("component").alias("of_id")), "spoken")
+        out = out.join(small(spoken), "id", "left").withColumn("component", F.coalesce("of_id", "component"))
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -280,6 +280,58 @@ def test_chain_of_near_copies(spark):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+def template_rows(n, shared, own, seed=3):
+    """Texts of a few templates that differ in their own words, with near copies of some, and passages of others."""
+    rng = random.Random(seed)
+    templates = [[f"t{k}x{i}" for i in range(shared)] for k in range(3)]
+    rows = [(i, " ".join(templates[i % 3] + [f"o{rng.randrange(9000)}" for _ in range(rng.choice(own))])) for i in range(n)]
+    for k in range(0, n, 20):
+        w = rows[k][1].split(" ")
+        for _ in range(rng.choice((1, 2, 4))):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        rows.append((n + k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("n,shared,own,hot", [(2000, 120, (60,), None), (300, 100, (4, 8, 12, 16, 24, 40), 2)])
+def test_texts_of_a_template(spark, n, shared, own, hot, monkeypatch):
+    """Exact results where most band groups hold texts that aren't alike; the second time with hot keys everywhere."""
+    from lodeseek.llm import common
+
+    rows = template_rows(n, shared, own)
+    want = brute.components(dict(rows))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    if hot:
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
+def test_template_pairs_do_not_meet(spark):
+    """What is listed between texts of one template grows with the texts, not with their pairs."""
+    import pyarrow as pa
+
+    for n in (300, 1200):
+        rows = template_rows(n, 120, (60,))
+        sets = [(i, i, x.view(np.int64).tolist()) for (i, _), x in zip(rows, near_dedup.shingle_sets(pa.array([t for _, t in rows])))]
+        pairs = near_dedup._rare_pairs(spark.createDataFrame(sets, "id long, comp long, shingles array<long>"), 85).count()
+        assert n // 40 <= pairs <= n // 4
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """One text speaks for the id; all rows of the id have its component and their own set sizes."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(4)]
+    rows = [(9, texts[0]), (4, texts[0]), (9, texts[1] + " more"), (3, texts[1]), (3, texts[1].upper()), (7, texts[2]), (7, texts[3]), (7, texts[2]), (8, None), (8, texts[3])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(tuple(r) for r in near_dedup.near_duplicates(x).select("doc_id", "n_shingles", "component_id", "kept").collect()) for x in (d, d.repartition(7)))
+    assert a == b and len(a) == len(rows)
+    of = collections.defaultdict(set)
+    for i, _, c, _ in a:
+        of[i].add(c)
+    assert of[9] in ({4}, {3}) and of[4] == {4} and of[3] == {3} and of[7] == {7} and of[8] in ({8}, {7, 8})
+
+
 def test_estimate(spark):
     rng = random.Random(4)
     a = [f"w{rng.random()}" for _ in range(400)]
