@@ -231,9 +231,9 @@ class Formats:
         return [(a.log_likelihood(s) - plain) / len(s) for a in self.automata]
 
     def verdict(self, s: str) -> tuple[str, float] | None:
-        """The format that the string exceeds the threshold of by most, and its score; None if it reaches none."""
-        found = [(x - t, x, name) for x, t, name in zip(self.scores(s), self.thresholds, self.names) if x >= t]
-        return (max(found)[2], max(found)[1]) if found else None
+        """Of the formats whose threshold the string reaches, the likeliest one and its score; None if there is none."""
+        found = [(x, name) for x, t, name in zip(self.scores(s), self.thresholds, self.names) if x >= t]
+        return max(found)[::-1] if found else None
 
 
 @lru_cache(1)
