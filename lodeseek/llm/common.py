@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +138,23 @@ def only(df: DataFrame, kept: str, columns: list[str]) -> DataFrame:
     return rows.select(*[col(c) for c in columns])
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], label: str) -> DataFrame:
+    """df with columns that have, by name, the sum of a column of df over all rows before in the order; 0 for the first.
+
+    Rows are sorted by ranges; each range is summed on its own, and the ranges' totals (as many as shuffle partitions)
+    once. The order should have no ties.
+    """
+    part, *offsets = spare(df, "range_part", *(n + "_offset" for n in sums))
+    rows = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), label)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(part).agg(*[F.sum(c).alias(o) for o, c in zip(offsets, sums.values())])
+    totals = totals.select(part, *[F.sum(o).over(before).alias(o) for o in offsets])
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    out = rows.join(F.broadcast(totals), part)
+    return out.withColumns({n: F.coalesce(F.col(o), zero) + F.coalesce(F.sum(c).over(within), zero) for (n, c), o in zip(sums.items(), offsets)}).drop(part, *offsets)
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

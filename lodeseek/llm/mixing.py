@@ -3,38 +3,40 @@
 Tokens are summed for each source; sources in code-point order (null last) take the weights in turn; a share of
 all tokens is dealt by weight, but no source takes more than `cap` times its own tokens, and what is over goes to
 the others by weight. That level is found in one ordered pass over the sources: in order of cap / weight, a source
-is full if the level that is left for it and those behind it reaches its cap. A document's copies are
+is full if the level that is left for it and those behind it reaches its cap (running sums by ranges, so no task holds
+all sources). A document's copies are
 floor(rate) and one more if a number in [0, 1), hashed from seed and id, lies below the rate's fraction.
 
 Null or blank texts count 0 and are taken like the others (their copies weigh nothing); a null source is a source;
-rows of equal id draw the same number, so reruns and repeated rows agree; an empty table gives an empty one. The
+rows of equal id draw the same number, so reruns and repeated rows agree; equal caps are taken in the order of sources;
+texts of any length count all their words; an empty table gives an empty one. The
 table of sources has a row for each source only; it is broadcast up to BROADCAST_ROWS rows and shuffled beyond.
 Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, n_words_of, small, spare, unit, written
+from .common import col, n_words_of, running, small, spare, unit, written
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, 17
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size, target, rate) from rows (source, size)."""
-    every = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    t = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = t.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
+    by_name = F.col("source").asc_nulls_last()
+    t = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    t = running(t, [by_name], {"place": "one"}, "sources")
+    t = t.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")))
     t = t.withColumn("most", F.lit(float(cap)) * F.col("source_size")).withColumn("fill", F.col("most") / F.col("weight"))
-    before = Window.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    t = t.withColumn("level", level).withColumn("open", F.when(F.col("level") < F.col("fill"), F.struct("fill", F.col("source").isNull().alias("last"), "source", "level")))
-    t = t.withColumn("final", F.min("open").over(every)["level"])
-    target = F.least("most", F.coalesce(F.col("final") * F.col("weight"), F.col("most")))
+    t = written(running(t, [F.col("fill"), by_name], {"most_before": "most", "weight_before": "weight"}, "fills"), "levels")
+    whole = t.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(share) * (whole["size"] or 0)) - F.col("most_before")) / (F.lit(whole["weight"] or 0.0) - F.col("weight_before"))
+    t = t.withColumn("level", level)
+    final = t.where("level < fill").agg(F.min(F.struct("fill", F.col("source").isNull().alias("last"), "source", "level"))["level"]).first()[0]
+    target = F.col("most") if final is None else F.least("most", F.lit(final) * F.col("weight"))
     return t.select("source", "source_size", target.alias("target")).withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
 
 

@@ -34,7 +34,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"), docs["doc_id"], docs.schema["doc_id"].dataType.simpleString())
+    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"), docs["doc_id"])
     return found.selectExpr("row as doc_id", "n_words", "n_hit", "n_items", "items_sha256", "n_hit > 0 as contaminated")
 
 

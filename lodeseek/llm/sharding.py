@@ -6,10 +6,13 @@ shard, holds the sources in proportion (within one row a source).
 
 No task sees a whole source or the whole order: ranks are counted in two steps, the rows of each cell of the
 hash (or of the fraction) by a small table of counts, and the rows within the cell by a window. Cells hold about
-ROWS_A_CELL rows at any size of the input. Only counts and narrow rows are shuffled, never texts.
+ROWS_A_CELL rows at any size of the input. The cells' counts are summed up by ranges, so no task holds them all. Only
+counts and narrow rows are shuffled, never texts.
 
 Null texts count as empty; a null source is a source; rows alike in id, source and text share a hash and take
-neighbouring ranks; an empty table gives an empty one.
+neighbouring ranks; equal fractions of several sources are ordered by source, equal draws by id, checksum and size; texts
+of any length count by their bytes; an empty table gives an empty one. Further columns are kept by write_shards, whatever
+their names, and left out of the report.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, spare, written
+from .common import col, running, small, spare, written
 
 SHARDS, SEED, ROWS_A_CELL = 8, 29, 8_192
 
@@ -36,23 +39,18 @@ def assigned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     cells = 1 << (bits := _bits(total))
     narrow = narrow.withColumn("cell", F.shiftright("draw", 63 - bits))
 
-    counts = narrow.groupBy("source", "cell").agg(F.count("*").alias("n"))
-    of_source = Window.partitionBy("source")
-    counts = counts.select(
-        F.col("source").alias("s"), F.col("cell").alias("c"),
-        F.coalesce(F.sum("n").over(of_source.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("n").over(of_source).alias("of_source"),
-    )
+    counts = running(narrow.groupBy("source", "cell").agg(F.count("*").alias("n")), [F.col("source").asc_nulls_last(), F.col("cell")], {"passed": "n"}, "cells")
+    counts = written(counts, "passed")
+    of_source = small(written(counts.groupBy("source").agg(F.min("passed").alias("base"), F.sum("n").alias("of_source")), "of-source")).withColumnRenamed("source", "s")
+    counts = counts.join(of_source, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("cell").alias("c"), (F.col("passed") - F.col("base")).alias("before"), "of_source")
     within = Window.partitionBy("source", "cell").orderBy("draw", "id", "text_crc32", "size")
     ranked = narrow.withColumn("k", F.row_number().over(within)).join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
     fraction = (F.col("before") + F.col("k") - 0.5) / F.col("of_source")
     ranked = ranked.select("id", "source", "size", "text_crc32", "draw", fraction.alias("fraction"))
     ranked = written(ranked.withColumn("place", F.floor(F.col("fraction") * cells)), "ranked")
 
-    places = ranked.groupBy("place").agg(F.count("*").alias("n"))
-    places = places.select(F.col("place").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    places = running(ranked.groupBy("place").agg(F.count("*").alias("n")), [F.col("place")], {"before": "n"}, "places").select(F.col("place").alias("p"), "before")
     order = Window.partitionBy("place").orderBy("fraction", F.col("source").asc_nulls_last(), "draw", "id", "text_crc32", "size")
-    position = (F.col("before") + F.row_number().over(order) - 1).cast("long")
     out = ranked.withColumn("k", F.row_number().over(order)).join(places, F.col("place") == F.col("p"))
     out = out.select("id", "source", "size", "text_crc32", (F.col("before") + F.col("k") - 1).cast("long").alias("position"))
     shard = F.expr(f"(position * {shards}) div {max(total, 1)}").cast("int")
@@ -66,19 +64,21 @@ def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> None:
-    """Writes docs as Parquet below path, a folder shard=K for each shard, rows sorted by slot within a file.
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> tuple[str, str]:
+    """Writes docs as Parquet below path, a folder for each shard, rows sorted by slot within a file; gives the names of
+    the two columns that are added: shard and slot, with `_` before a name that docs has.
 
     Rows are matched with their places by id, source and text checksum; rows alike in all of these are counted
     off against each other, so each takes one place.
     """
-    i, s, n, c, k = spare(docs, "place_id", "place_source", "place_size", "place_crc32", "place_k")
-    at = assigned(docs, id_col, text_col, source_col, **options).toDF(i, s, n, c, "shard", "slot")
-    alike = Window.partitionBy(i, s, n, c).orderBy("shard", "slot")
+    shard, slot, i, s, n, c, k = spare(docs, "shard", "slot", "place_id", "place_source", "place_size", "place_crc32", "place_k")
+    at = assigned(docs, id_col, text_col, source_col, **options).toDF(i, s, n, c, shard, slot)
+    alike = Window.partitionBy(i, s, n, c).orderBy(shard, slot)
     at = at.withColumn(k, F.row_number().over(alike))
     text = F.coalesce(col(text_col), F.lit(""))
     rows = docs.withColumns({i + "_of": col(id_col), s + "_of": col(source_col), n + "_of": (F.octet_length(text) + 1).cast("long"), c + "_of": F.crc32(F.encode(text, "UTF-8"))})
     rows = rows.withColumn(k + "_of", F.row_number().over(Window.partitionBy(i + "_of", s + "_of", n + "_of", c + "_of").orderBy(F.lit(0))))
     same = [F.col(x + "_of").eqNullSafe(F.col(x)) for x in (i, s, n, c, k)]
-    out = rows.join(at, same[0] & same[1] & same[2] & same[3] & same[4]).select(*[col(x) for x in docs.columns if x not in ("shard", "slot")], "shard", "slot")
-    out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = rows.join(at, same[0] & same[1] & same[2] & same[3] & same[4]).select(*[col(x) for x in docs.columns], shard, slot)
+    out.repartition(shard, F.floor(F.col(slot) / 100_000)).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    return shard, slot

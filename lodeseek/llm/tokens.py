@@ -1,9 +1,10 @@
 """Token ids as binary blocks: canonical length-limited Huffman codes from global counts.
 
 Texts are tokenised once and their ids written to the shared folder. Counts of all ids give code lengths of at most
-16 bits (package-merge), and so the canonical codes. Documents are dealt by ranges of ids and sorted; each task
+16 bits (or as many as it takes to tell the ids in use apart, where they are more than 65,536) by package-merge, and so
+the canonical codes. Documents are dealt by ranges of ids and sorted; each task
 packs whole documents into independent blocks, with a bit offset for every 256 symbols. Decoding reads a block
-alone: all its checkpoints advance together, each looking 16 bits up in one table.
+alone: all its checkpoints advance together, each looking as many bits as the longest code up in one table.
 
 Block: magic, symbols, documents and checkpoint step as 32-bit numbers; documents' lengths (32 bits each); bit
 offsets of the checkpoints (64 bits each); the bits. The code lengths stand in the row of each task's first block, so
@@ -14,7 +15,8 @@ committer, so lost tasks leave nothing behind. A document's start is the sum of
 sum for each part, collected: as many numbers as parts), of its part's earlier blocks, and of its block.
 
 The tokenizer adds no special tokens; id 0 ends each document. Null text is empty (its id 0 alone). A null id comes
-first. Rows of equal id follow each other, ordered by their ids. Empty tables give empty ones.
+first. Rows of equal id follow each other, ordered by their ids. Empty tables give empty ones. A text longer than a block
+is a block of its own. Further columns, whatever their names, are left out: files hold the id column and token ids.
 """
 
 from __future__ import annotations
@@ -187,9 +189,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids], pa.int64())], ["token", "n"])
 
 
-def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most `most` bits (package-merge); 0 for ids that don't occur."""
+def code_lengths(counts: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Optimal code lengths of at most `most` bits (package-merge); 0 for ids that don't occur.
+
+    Default: MAX_BITS, or what the number of ids in use takes.
+    """
     used = np.flatnonzero(counts)
+    most = max(MAX_BITS, int(len(used) - 1).bit_length()) if most is None else most
     out = np.zeros(len(counts), np.uint8)
     if len(used) == 1:
         out[used] = 1
@@ -220,43 +226,51 @@ class Codes:
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.uint8)
+        self.bits = max(MAX_BITS, int(lengths.max(initial=0)))
+        self.span = 24 if self.bits <= 17 else 32  # bits from a code's first byte on that hold it whole
+        if self.bits > 25:
+            raise ValueError(f"codes of {self.bits} bits")
         order = np.lexsort((np.arange(len(lengths)), lengths))
         order = order[lengths[order] > 0]
         n = lengths[order].astype(np.int64)
         self.codes = np.zeros(len(lengths), np.uint32)
-        starts = np.concatenate([[0], np.cumsum(np.int64(1) << (MAX_BITS - n))])
-        self.codes[order] = (starts[:-1] >> (MAX_BITS - n)).astype(np.uint32)
-        # The table: for each 16 bits the id that they begin with; bits that begin no code are of id 0 and never met.
-        self.table = np.zeros(1 << MAX_BITS, np.uint32)
+        starts = np.concatenate([[0], np.cumsum(np.int64(1) << (self.bits - n))])
+        self.codes[order] = (starts[:-1] >> (self.bits - n)).astype(np.uint32)
+        # The table: for each so many bits the id that they begin with; bits that begin no code are of id 0 and never met.
+        self.table = np.zeros(1 << self.bits, np.uint32)
         self.table[: starts[-1]] = np.repeat(order, np.diff(starts))
 
     def encode(self, ids: np.ndarray, stretch: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
         """Bytes, most significant bit first, and the bit offset of each symbol (one more at the end).
 
-        A stretch of symbols at a time stays in the processor's cache. Each code lies within the 24 bits that begin at
+        A stretch of symbols at a time stays in the processor's cache. Each code lies within the `span` bits that begin at
         its first byte; bits of different codes never meet, so sums are unions: codes that begin in the same byte are
-        added, then each of the three bytes goes to its place.
+        added, then each of the span's bytes goes to its place.
         """
         n = self.lengths[ids]
         at = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(n, dtype=np.int64, out=at[1:])
         size = (int(at[-1]) + 7) // 8
-        out = np.zeros(size + 3, np.uint8)
+        span = np.uint32(self.span)
+        out = np.zeros(size + self.span // 8, np.uint8)
         for a in range(0, len(ids), stretch):
             part = ids[a : a + stretch]
             here = at[a : a + len(part)]
-            value = self.codes[part] << ((24 - (here & 7)).astype(np.uint32) - n[a : a + stretch])
+            value = self.codes[part] << (span - (here & 7).astype(np.uint32) - n[a : a + stretch])
             byte = here >> 3
             starts = np.flatnonzero(np.diff(byte, prepend=-1))
             sums, where = np.add.reduceat(value, starts), byte[starts]
-            for k in range(3):
-                out[where + k] |= (sums >> np.uint32(16 - 8 * k)).astype(np.uint8)
+            for k in range(self.span // 8):
+                out[where + k] |= (sums >> np.uint32(self.span - 8 - 8 * k)).astype(np.uint8)
         return out[:size], at
 
     def decode(self, data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
         """n ids from bytes and the bit offsets of every STEP-th symbol; all stretches advance together."""
         wide = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
         words = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
+        if self.span == 32:
+            words = words[:-1] << np.uint32(8) | wide[3:]
+        rest, mask = np.uint32(self.span - self.bits), np.uint32((1 << self.bits) - 1)
         out = np.zeros((len(offsets), STEP), np.uint32)
         at, left = offsets.astype(np.int64), np.full(len(offsets), STEP)
         if len(offsets):
@@ -266,7 +280,7 @@ class Codes:
                 at = at[:-1]  # the last stretch is over
                 if not len(at):
                     break
-            ids = self.table[words[at >> 3] >> (np.uint32(8) - (at & 7).astype(np.uint32)) & np.uint32(0xFFFF)]
+            ids = self.table[words[at >> 3] >> (rest - (at & 7).astype(np.uint32)) & mask]
             out[: len(at), k] = ids
             at = at + self.lengths[ids]
         return out.reshape(-1)[:n] if len(offsets) else out.reshape(-1)

@@ -2,16 +2,18 @@
 
 Writing: each task writes its rows as records to files of bounded size in a shared folder, under names that no other
 attempt uses, and reports them; the report is a table written by Spark's committer, so only files of successful
-attempts count (others may be left behind after a failure and are never read). Of records with equal payloads of at
+attempts count; files that other attempts left behind are then deleted, a folder a task. Of records with equal payloads of at
 least MIN_REVISIT bytes the one with the smallest id is a response, others are revisits without a payload. Equal
-payloads are found by digests, counted before the shuffle; pages are never gathered by digest.
+payloads are found by digests, counted before the shuffle; the digests that occur several times are broadcast if they are
+few, else frequent ones are broadcast and pages with others meet them in a shuffle, so no task gathers a frequent page.
 
 Reading: a file is read in chunks; each member is decompressed incrementally, its header lines parsed, its block
 framed by Content-Length, and block and payload digests verified; a wrong digest, a short block or a missing end
 raises an error. Memory holds one record.
 
 Null html is an empty payload, a null url is written as `about:blank`, a null id has no page id header (and is never
-the smallest). Rows of the smallest id that are repeated are all responses. Empty tables give no file and no rows.
+the smallest). Rows of the smallest id that are repeated are all responses. Long payloads are written and read whole. Empty
+tables give no file and no rows. Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh_path, ready, small, written
+from .common import col, fresh_path, hot_keys, looked_up, ready, small, written
 from . import kernels  # noqa: F401  sets the memory pool
 
 MIN_REVISIT, FILE_BYTES, CHUNK = 100, 32 << 20, 1 << 16
@@ -137,18 +139,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     ready(pages.sparkSession)
     html = F.encode(F.coalesce(col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    of = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(small(written(of, "payloads")), "digest", "left")
+    of = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    of = small(written(of, "payloads"))
+    rows = looked_up(rows, of.drop("n"), "digest", hot_keys("digest", counted=of), "left")
     rows = rows.select("id", "url", "payload", "digest", F.when((F.col("id") > F.col("first")) | (F.col("id").isNull() & F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
         task, out, done, size, n = TaskContext.get(), None, [], 0, 0
+        system, base = fs.FileSystem.from_uri(f"{folder}/part-{task.partitionId():06d}")
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}-{uuid.uuid4().hex[:8]}.warc.gz"
+                    system.create_dir(base, recursive=True)
+                    name = f"{task.taskAttemptId()}-{len(done):04d}-{uuid.uuid4().hex[:8]}.warc.gz"
                     out, size, n = system.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 data = member(record(page_id, url, payload, digest, refers_to))
                 out.write(data)
@@ -160,9 +163,28 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if out is not None:
             out.close()
             done.append((name, n, size))
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x[0]}" for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["file", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{task.partitionId():06d}/{x[0]}" for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["file", "records", "bytes"])
 
-    return written(rows.mapInArrow(run, "file string, records long, bytes long"), "archives")
+    report = written(rows.mapInArrow(run, "file string, records long, bytes long"), "archives")
+    tidied(report)
+    return report
+
+
+def tidied(report: DataFrame) -> int:
+    """Deletes files beside those of the report, which failed attempts have left; gives how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, files in zip(*(c.to_pylist() for c in batch.columns)):
+                system, base = fs.FileSystem.from_uri(folder)
+                kept = {x.rsplit("/", 1)[1] for x in files}
+                gone = [x.path for x in system.get_file_info(fs.FileSelector(base)) if x.base_name not in kept]
+                for path in gone:
+                    system.delete_file(path)
+                yield pa.RecordBatch.from_arrays([pa.array([len(gone)], pa.int64())], ["n"])
+
+    of_folder = report.groupBy(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).agg(F.collect_list("file").alias("files"))  # a task's files
+    return of_folder.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_archives(report: DataFrame, id_type: str = "long", payloads: bool = True) -> DataFrame:
