@@ -2,19 +2,23 @@
 
 Each text gives two histograms: of character classes, and of common function words against all other words. A
 language's reference is the median of each share over the whole corpus (documents long enough only), so junk up to
-half of a language does not move it. Digits are a class of their own.
+half of a language does not move it. Medians are exact over shares rounded to 1 / GRID, so they don't depend on how
+rows are dealt. Digits are a class of their own.
 A document is rejected when the Jensen-Shannon distance (base 2) from its language's reference exceeds the
 threshold for either histogram. For words, the threshold is a part of the distance at which a text without any
 function word stands from the reference; short texts, whose words scatter more, have a larger part. A histogram of
-fewer characters or words than the guard says nothing, and so does a language with too few documents, or, for words,
-one whose reference has hardly any of the function words below. Base rules: fewer than 10 words, or more than a fifth of the words in 5-word
-windows that occur twice.
+fewer characters or words than the guard says nothing. A language with fewer than MIN_DOCS long documents is held
+against the character classes of all documents, and its words say nothing, as they do where the reference has hardly
+any of the function words below. Base rules: fewer than 10 words, or more than a fifth of the words in 5-word windows
+that occur twice.
 
-Nothing is shuffled but the reference sums (a few rows a task and language). Windows are compared by 64-bit hashes
-inside the row; a text without a repeated window is settled by one distinct count, others by one sort.
+Nothing is shuffled but the counts of the shares that occur (at most GRID a language and bin, combined in each task).
+Windows are compared by 64-bit hashes inside the row; a text without a repeated window is settled by one distinct
+count, others by one sort.
 
 Null texts are empty (0 words: base_failed). A null language is a language. Empty tables give empty ones; repeated
-rows are judged alike; other columns pass through whatever their names.
+rows are judged alike (and count each in the medians; of two middle shares the lower one counts); texts of any length
+are read whole; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from math import log
 from zlib import crc32
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, col, only, small, spare, written
@@ -41,6 +45,8 @@ SLOTS = next(m for m in range(len(VOCABULARY), 1 << 20) if len({crc32(w.encode()
 _CODE_AT = {crc32(w.encode()) % SLOTS: c for w, c in zip(VOCABULARY, CODES)}
 #: At least so many characters and letter words before a histogram counts, and documents before a reference does.
 MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 40, 20
+#: Shares are rounded to multiples of 1 / GRID for the medians.
+GRID = 10_000
 #: Largest Jensen-Shannon distance of characters; that of words, as a part of the distance of a text without function
 #: words, for texts of LONG letter words or more and for shorter ones; least such distance at which words say anything.
 MAX_CHARS, LONG, PART_LONG, PART_SHORT, LEAST_BARE = 0.20, 200, 0.8, 0.9, 0.2
@@ -110,16 +116,46 @@ def histograms(docs: DataFrame, text_col: str = "text", number_col: str | None =
     return d.drop(t, rare, low, number, kept), classes, words
 
 
+def _medians(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., n0, n1, classes, words): documents and median shares of both histograms, from (lang, kind, i, v, n).
+
+    Rows of i = -1 count the documents; shares of 0 aren't listed.
+    """
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in (*keys, "kind")]
+    counts = counts.groupBy(*keys, "kind", "i", "v").agg(F.sum("n").alias("n"))
+    docs = counts.where("i < 0").select(*keys, "kind", F.col("n").alias("docs"))
+    of_bin = Window.partitionBy(*keys, "kind", "i")
+    rows = counts.where("i >= 0").withColumns({"upto": F.sum("n").over(of_bin.orderBy("v")), "some": F.sum("n").over(of_bin)})
+    both = same("r", "d")
+    rows = rows.alias("r").join(docs.alias("d"), both[0] if len(both) == 1 else both[0] & both[1]).select("r.*", "docs")
+    # Half of the documents or more are at 0, or at a share that is listed.
+    at = rows.where("2 * (docs - some) < docs and 2 * (docs - some + upto) >= docs").groupBy(*keys, "kind", "i").agg(F.min("v").alias("v"))
+    every = docs.select(*keys, "kind", F.lit(-1).alias("i"), F.col("docs").alias("v")).unionByName(at)
+    of = lambda k, size: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at(F.map_from_entries(F.collect_list(F.when((F.col("kind") == k) & (F.col("i") >= 0), F.struct("i", (F.col("v") / GRID).alias("v"))))), i), F.lit(0.0)))
+    n = lambda k: F.coalesce(F.max(F.when((F.col("kind") == k) & (F.col("i") < 0), F.col("v"))), F.lit(0))
+    out = every.groupBy(*keys).agg(n(0).alias("n0"), n(1).alias("n1"), of(0, 7).alias("classes"), of(1, len(VOCABULARY) + 1).alias("words"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    filled = lambda c: F.when(total(c) > 0, F.transform(c, lambda x: x / total(c))).alias(c)
+    return out.select(*keys, "n0", "n1", filled("classes"), filled("words"))
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, classes, words): each language's median histograms over all documents; null below MIN_DOCS."""
+    """(lang, classes, words): each language's median histograms over all documents.
+
+    Below MIN_DOCS documents the classes are those of all documents, and words are null.
+    """
     d, classes, words = histograms(docs.select(col(lang_col).alias("lang"), col(text_col).alias("text")), "text")
-    d = d.select("lang", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(classes).alias("shares")), F.struct(F.lit(1).alias("kind"), F.col(words).alias("shares")))).alias("x"))
-    d = d.where("x.shares is not null").select("lang", "x.kind", F.posexplode("x.shares").alias("i", "share"))
-    medians = d.groupBy("lang", "kind", "i").agg(F.percentile_approx("share", 0.5, 1_000).alias("share"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
-    of = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("i", "share")))), lambda x: x["share"])
-    sum_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    filled = lambda c: F.when(sum_of(c) > 0, F.transform(c, lambda x: x / sum_of(c)))
-    return medians.groupBy("lang").agg(filled(of(0)).alias("classes"), filled(of(1)).alias("words"))
+
+    def bins(kind: int, c: str) -> Column:
+        held = F.filter(F.transform(F.col(c), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.floor(x * GRID + 0.5).cast("int").alias("v"))), lambda x: x["v"] > 0)
+        one = F.array(F.struct(F.lit(kind).alias("kind"), F.lit(-1).alias("i"), F.lit(0).alias("v")))
+        return F.when(F.col(c).isNotNull(), F.concat(one, held)).otherwise(F.slice(one, 1, 0))
+
+    counts = d.select("lang", F.explode(F.concat(bins(0, classes), bins(1, words))).alias("x")).groupBy("lang", "x.kind", "x.i", "x.v").agg(F.count("*").alias("n"))
+    counts = written(counts, "shares")
+    whole = _medians(counts.where("kind = 0"), []).select("classes").first()
+    every = F.array(*map(F.lit, whole["classes"])) if whole and whole["classes"] else F.lit(None).cast("array<double>")
+    return _medians(counts, ["lang"]).select("lang", F.when(F.col("n0") >= MIN_DOCS, F.col("classes")).otherwise(every).alias("classes"), F.when(F.col("n1") >= MIN_DOCS, F.col("words")).alias("words"))
 
 
 def distance(p: Column, q: Column) -> Column:
