@@ -2,22 +2,30 @@
 
 Text is made canonical: lower case, copyright lines and list marks dropped, equivalent spellings made one, anything
 but letters and digits read as one space. The SHA-256 of a whole canonical text is hash-joined to the digests of
-known licence texts, with and without their title and their appendix. Within texts, each line is treated alike and looked up among known one-line notices.
+known licence texts, with and without their title and their appendix. Parts of a text are looked up by the digests of
+their canonical form in the same way: each of its paragraphs and each of its lines that names a licence, permission,
+redistribution or warranty, whole, among the digests of such paragraphs of the known texts (those that one licence
+alone has) and of one-line notices. That table is a constant of the plan, so texts are neither exploded nor shuffled.
 
-A document is restricted if one of its licences or notices is on the restricted list; kept is false then.
+license is that of the whole text, else the first by name of those of its parts. A document is restricted if one of
+these is on the restricted list; kept is false then.
 
 Null and blank texts have the digest of the empty text and match nothing. Empty tables give empty ones; repeated
-rows are judged alike; other columns pass through whatever their names. The table of known texts is a parameter;
-it is broadcast up to BROADCAST_ROWS rows, so documents stay where they are; beyond, the join shuffles by digest.
+rows are judged alike; a digest of several licences counts as the first by name; texts of any length are read whole;
+other columns pass through whatever their names. The table of known texts is a parameter; it is broadcast while it is
+small, so documents stay where they are; beyond, the join shuffles by digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import defaultdict
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,23 +108,43 @@ SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "
 
 #: Lines that name a holder or years; marks at the start of list items; what separates words.
 HOLDER = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?: ?\(c\))? ?(?:©|\(c\)|[0-9])|©|\(c\) ?[0-9]|all rights reserved)[^\n]*$"
-MARK, APART, HINT = r"(?m)^[ \t\n\r]*(?:[0-9]{1,2}|[a-z])[.)][ \t\n\r]", r"[^\p{L}\p{N}]+", "(?i)licen[sc]e|released under"
+MARK, APART, HINT = r"(?m)^[ \t\n\r]*(?:[0-9]{1,2}|[a-z])[.)][ \t\n\r]", r"[^\p{L}\p{N}]+", "(?i)licen[sc]e|released under|permission|redistribut|warrant"
+BLANK, SECTION_WORDS = r"\n[ \t\r]*\n", 12
 
 
 #: Lines that name a holder without a sign or year after the word; not those that go on as a sentence of a licence.
-NAMED = r"(?m)^[^\p{L}\p{N}\n]*copyright:? +(?!(?:notice|holder|owner|laws?\b|licen[sc]e|interest|disclaim|treat|protection|statement|permission|material|rights?\b|works?\b|means|(?:and|or|on|in|to|of|for|as|is|are|was|may|that|which|can|under|does|will|shall|has|it|this|if|not|with|from|at|an?)\b|the above))[\p{L}\p{N}<\[{(\"'][^\n]*$"
+NAMED_START = r"^[^\p{L}\p{N}\n]*copyright:? +"
+NAMED_GOES_ON = r"(?:notice|holder|owner|laws?\b|licen[sc]e|interest|disclaim|treat|protection|statement|permission|material|rights?\b|works?\b|means|(?:and|or|on|in|to|of|for|as|is|are|was|may|that|which|can|under|does|will|shall|has|it|this|if|not|with|from|at|an?)\b|the above)"
+NAMED_HOLDER = r"[\p{L}\p{N}<\[{(\"']"
+NAMED = f"(?m){NAMED_START}(?!{NAMED_GOES_ON}){NAMED_HOLDER}[^\\n]*$"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is empty."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, HOLDER, " "), NAMED, " "), MARK, " ")
+    for pattern in (HOLDER, NAMED, MARK):
+        t = F.regexp_replace(t, pattern.replace("(?m)", "(?md)"), " ")  # only \n ends a line
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, APART, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
+def canonical_text(text: str) -> str:
+    """The same for a string, for known texts."""
+    t = text.lower()
+    for pattern in (HOLDER, NAMED, MARK):
+        t = regex.sub(pattern, " ", t)
+    t = f" {regex.sub(APART, ' ', t).strip(' ')} "
+    for a, b in SPELLINGS:
+        t = t.replace(f" {a} ", f" {b} ")
+    return t.strip(" ")
+
+
+def digest_of(text: str) -> str:
+    return hashlib.sha256(canonical_text(text).encode()).hexdigest()
+
+
 @lru_cache(1)
 def published() -> tuple[tuple[str, str], ...]:
     """(license, text) of all known texts: those above and the files beside this module, with and without title and appendix."""
@@ -130,30 +158,47 @@ def published() -> tuple[tuple[str, str], ...]:
     return tuple(sorted(forms))
 
 
+@lru_cache(1)
+def known_parts() -> dict[str, str]:
+    """Digest to licence for paragraphs of SECTION_WORDS words or more that one licence alone has, and for notices."""
+    held: dict[str, set[str]] = defaultdict(set)
+    for name, text in published():
+        for part in re.split(BLANK, text):
+            if re.search(HINT, part) and len(canonical_text(part).split(" ")) >= SECTION_WORDS:
+                held[digest_of(part)].add(name)
+    for name, lines in NOTICES.items():
+        for line in lines:
+            held[digest_of(line)].add(name)
+    return {d: min(names) for d, names in sorted(held.items()) if len(names) == 1}
+
+
 def known_texts(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license) of known texts."""
     rows = published() if texts is None else tuple(texts.items())
-    d = spark.createDataFrame(pa.table({"license": pa.array([k for k, _ in rows], pa.string()), "text": pa.array([t for _, t in rows], pa.string())}))
-    return d.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    return spark.createDataFrame(pa.table({"digest": pa.array([digest_of(t) for _, t in rows], pa.string()), "license": pa.array([k for k, _ in rows], pa.string())}))
+
 
+def scanned(docs: DataFrame, text_col: str = "text", known: DataFrame | None = None, parts: dict[str, str] | None = None, restricted: tuple = RESTRICTED) -> tuple[DataFrame, dict[str, str]]:
+    """docs with canonical_sha256, license, notices (sorted array: licences of parts) and kept, and the names of these.
 
-def scanned(docs: DataFrame, text_col: str = "text", known: DataFrame | None = None, notices: dict = NOTICES, restricted: tuple = RESTRICTED) -> tuple[DataFrame, dict[str, str]]:
-    """docs with canonical_sha256, license (of the whole text, else null), notices (sorted array) and kept, and the names of these."""
+    known: (digest, license) of whole texts; parts: digest to licence, a bounded table that becomes part of the plan.
+    """
     spark = docs.sparkSession
     keys = ("canonical_sha256", "license", "notices", "kept")
-    digest, lic, found, kept = spare(docs, *keys)
-    known = written((known_texts(spark) if known is None else known).groupBy("digest").agg(F.min("license").alias("license")), "licences").toDF("known_" + digest, lic)
+    digest, lic, found, kept, whole, key = spare(docs, *keys, "whole_license", "known_digest")
+    known = (known_texts(spark) if known is None else known).groupBy("digest").agg(F.min("license").alias("license"))
+    known = written(known, "licences").toDF(key, whole)
     text = F.coalesce(col(text_col), F.lit(""))
     d = docs.withColumn(digest, F.sha2(canonical(text), 256))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(HINT))
-    forms = F.transform(lines, canonical)
-    names = [F.when(F.arrays_overlap(F.col(found), F.transform(F.array(*map(F.lit, of)), canonical)), F.lit(name)) for name, of in sorted(notices.items())]
-    d = d.withColumn(found, F.array_distinct(forms))
-    d = d.withColumn(found, F.when(F.size(found) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.filter(F.array(*names), lambda x: x.isNotNull())))
-    d = d.join(small(known), F.col(digest) == F.col("known_" + digest), "left").drop("known_" + digest)
+    pieces = F.filter(F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, BLANK))), lambda x: x.rlike(HINT))
+    table = F.create_map(*[F.lit(x) for pair in (known_parts() if parts is None else parts).items() for x in pair]).cast("map<string,string>")
+    names = F.filter(F.transform(pieces, lambda x: F.element_at(table, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
+    d = d.withColumn(found, F.when(text.rlike(HINT), F.array_sort(F.array_distinct(names))).otherwise(F.expr("cast(array() as array<string>)")))
+    d = d.join(small(known), F.col(digest) == F.col(key), "left").drop(key)
     no = F.array(*map(F.lit, restricted))
-    bad = F.arrays_overlap(F.col(found), no) | F.coalesce(F.array_contains(no, F.col(lic)), F.lit(False))
-    return d.withColumn(kept, ~F.coalesce(bad, F.lit(False))), dict(zip(keys, (digest, lic, found, kept)))
+    bad = F.arrays_overlap(F.col(found), no) | F.coalesce(F.array_contains(no, F.col(whole)), F.lit(False))
+    d = d.withColumns({lic: F.coalesce(F.col(whole), F.get(F.col(found), F.lit(0))), kept: ~F.coalesce(bad, F.lit(False))}).drop(whole)
+    return d, dict(zip(keys, (digest, lic, found, kept)))
 
 
 def permitted(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -173,27 +218,28 @@ def _quoted(s: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    t = f"lower(coalesce({text}, ''))"
-    for pattern in (HOLDER, MARK):
-        t = f"regexp_replace({t}, {_quoted(pattern)}, ' ', 'g')"
-    t = f"' ' || trim(regexp_replace({t}, {_quoted(APART)}, ' ', 'g')) || ' '"
+    t = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(HOLDER)}, ' ', 'g')"
+    named = f"regexp_matches(y, {_quoted(NAMED_START + NAMED_HOLDER)}) AND NOT regexp_matches(y, {_quoted(NAMED_START + NAMED_GOES_ON)})"
+    t = f"array_to_string(list_transform(string_split({t}, chr(10)), lambda y: CASE WHEN {named} THEN ' ' ELSE y END), chr(10))"
+    t = f"' ' || trim(regexp_replace(regexp_replace({t}, {_quoted(MARK)}, ' ', 'g'), {_quoted(APART)}, ' ', 'g')) || ' '"
     for a, b in SPELLINGS:
         t = f"replace({t}, {_quoted(f' {a} ')}, {_quoted(f' {b} ')})"
     return f"trim({t})"
 
 
 def sql() -> str:
-    """DuckDB's form of report() over `documents`, with the known texts and notices."""
-    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEXTS.items())
-    held = ", ".join(f"CASE WHEN list_has_any(found, [{', '.join(_canonical_sql(_quoted(n)) for n in of)}]) THEN {_quoted(name)} END" for name, of in sorted(NOTICES.items()))
+    """DuckDB's form of report() over `documents`, with the digests of the known texts and parts."""
+    known = {}
+    for name, text in published():
+        known.setdefault(digest_of(text), name)  # by name
+    values = lambda of: ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(of.items()))
     no = ", ".join(map(_quoted, RESTRICTED))
     return f"""
-WITH known AS (SELECT license, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {known}) AS k(license, body)),
-d AS (
-  SELECT doc_id, sha256({_canonical_sql("text")}) AS canonical_sha256,
-    list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_quoted(HINT)})), lambda x: {_canonical_sql("x")}) AS found
-  FROM documents
-), n AS (SELECT doc_id, canonical_sha256, list_filter([{held}], lambda x: x IS NOT NULL) AS names FROM d)
-SELECT n.doc_id, n.canonical_sha256, k.license, array_to_string(n.names, ',') AS notices, NOT (list_has_any(n.names, [{no}]) OR coalesce(k.license IN ({no}), false)) AS kept
-FROM n LEFT JOIN known k ON k.digest = n.canonical_sha256
+WITH known(digest, license) AS (VALUES {values(known)}), parts(digest, license) AS (VALUES {values(known_parts())}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM documents),
+u AS (SELECT DISTINCT doc_id, unnest(list_filter(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, {_quoted(BLANK)})), lambda x: regexp_matches(x, {_quoted(HINT)}))) AS part FROM d),
+n AS (SELECT u.doc_id, list_sort(list(DISTINCT p.license)) AS names FROM u JOIN parts p ON p.digest = sha256({_canonical_sql("u.part")}) GROUP BY u.doc_id)
+SELECT d.doc_id, d.canonical_sha256, coalesce(k.license, n.names[1]) AS license, coalesce(array_to_string(n.names, ','), '') AS notices,
+  NOT (coalesce(list_has_any(n.names, [{no}]), false) OR coalesce(k.license IN ({no}), false)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN known k ON k.digest = d.canonical_sha256
 """
