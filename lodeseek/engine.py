@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import aggregates, changes, indexing, joins, maintenance, search, summarize
+from .operators import aggregates, changes, indexing, ivf, joins, maintenance, search, summarize
 from .session import ship
 from .sources import archive, config as configuration, git
 from .sources.scan import scan
@@ -37,30 +40,37 @@ class Engine:
         return F.to_timestamp(F.lit(as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")))
 
     def _put(self, name: str, kind: str, path: str, view: tuple[str, str | None], files: DataFrame, as_of: str | None, state: git.Snapshot | None = None, paths: DataFrame | None = None, fingerprint: str | None = None) -> dict:
-        """Indexes files as a view and makes it the source's active one, in one commit."""
-        tables, now = self.store.tables(), self._now(as_of)
+        """Indexes files as a view and makes it the source's active one, in one commit that writes what changes."""
+        tables, now, change = self.store.tables(), self._now(as_of), self.store.change()
         source_id = _hash("source", name)
         view_id = _hash("view", name, *[x or "" for x in view])
         sizes = self.config["chunking"]
-        done = indexing.index_view(files, view_id, tables, self.embedder, now, paths, sizes["maxTokens"], sizes["overlap"])
-        status = done.status.persist()
-        counts = indexing.counters(status)
-        here = F.col("source_view_id") == view_id
-        left = lambda t: t.where(~here).unionByName(t.where(here).join(done.gone, "path", "left_anti").select(*t.columns))
-        new_files = left(tables["indexed_files"]).unionByName(done.files)
-        new_chunks = left(tables["chunks"]).unionByName(done.chunks)
-        contents = tables["chunk_contents"].unionByName(done.contents.select(*tables["chunk_contents"].columns))
-        blobs = tables["file_blobs"].unionByName(done.blobs.select(*tables["file_blobs"].columns))
-        s = state or git.Snapshot(path)
-        one = self.spark.range(1)
-        row = one.select(*[F.lit(v).cast(t).alias(k) for k, (v, t) in {"id": (source_id, "string"), "name": (name, "string"), "type": (kind, "string"), "path": (path, "string"), "git_url": (None, "string"), "repo_root_path": (s.root, "string"), "repo_subpath": (s.subpath, "string"), "active_view_id": (view_id, "string"), "config": (None, "string")}.items()], now.alias("last_indexed_at"), now.alias("created_at"), now.alias("updated_at"))
-        view_row = one.select(*[F.lit(v).cast(t).alias(k) for k, (v, t) in {"id": (view_id, "string"), "source_id": (source_id, "string"), "view_kind": (view[0], "string"), "ref_name": (view[1], "string"), "head_commit_oid": (s.head, "string"), "head_tree_oid": (s.tree, "string"), "subtree_oid": (s.subtree, "string"), "dirty": (s.dirty, "boolean"), "snapshot_fingerprint": (fingerprint, "string"), "file_count": (None, "int"), "chunk_count": (None, "int")}.items()], now.alias("last_seen_at"), now.alias("created_at"))
-        self.store.commit({"indexed_files": new_files, "chunks": new_chunks, "chunk_contents": contents, "file_blobs": blobs})
-        tables = self.store.tables()
-        n = lambda t: t.where(here).count()
-        view_row = view_row.withColumns({"file_count": F.lit(n(tables["indexed_files"])), "chunk_count": F.lit(n(tables["chunks"]))})
-        self.store.commit({"sources": maintenance.upsert(tables["sources"], row, ["name"]), "source_views": maintenance.upsert(tables["source_views"], view_row, ["source_id", "view_kind", "ref_name"])})
-        status.unpersist()
+        try:
+            done = indexing.index_view(files, view_id, tables, self.embedder, now, paths, sizes["maxTokens"], sizes["overlap"], change.scratch)
+            gone = done.gone.select(F.lit(view_id).alias("source_view_id"), "path")
+            some = not gone.isEmpty()
+            here = F.col("source_view_id") == view_id
+            n = {}
+            for t, rows in (("indexed_files", done.files), ("chunks", done.chunks)):
+                old = tables[t].where(here)
+                n[t] = (old.join(gone, ["source_view_id", "path"], "left_anti") if some else old).count()
+                if some:
+                    change.remove(t, gone)
+                n[t] += change.add(t, rows).count()
+            change.add("file_blobs", done.blobs)
+            contents = change.add("chunk_contents", done.contents)
+            change.add("postings", search.postings(contents))
+            deferred = contents.where("embedding is null").count()
+            s = state or git.Snapshot(path)
+            one = self.spark.range(1)
+            row = one.select(*[F.lit(v).cast(t).alias(k) for k, (v, t) in {"id": (source_id, "string"), "name": (name, "string"), "type": (kind, "string"), "path": (path, "string"), "git_url": (None, "string"), "repo_root_path": (s.root, "string"), "repo_subpath": (s.subpath, "string"), "active_view_id": (view_id, "string"), "config": (None, "string")}.items()], now.alias("last_indexed_at"), now.alias("created_at"), now.alias("updated_at"))
+            view_row = one.select(*[F.lit(v).cast(t).alias(k) for k, (v, t) in {"id": (view_id, "string"), "source_id": (source_id, "string"), "view_kind": (view[0], "string"), "ref_name": (view[1], "string"), "head_commit_oid": (s.head, "string"), "head_tree_oid": (s.tree, "string"), "subtree_oid": (s.subtree, "string"), "dirty": (s.dirty, "boolean"), "snapshot_fingerprint": (fingerprint, "string"), "file_count": (n["indexed_files"], "int"), "chunk_count": (n["chunks"], "int")}.items()], now.alias("last_seen_at"), now.alias("created_at"))
+            change.replace("sources", maintenance.upsert(tables["sources"], row, ["name"]))
+            change.replace("source_views", maintenance.upsert(tables["source_views"], view_row, ["source_id", "view_kind", "ref_name"]))
+            counts = indexing.counters(done.status, deferred)
+            change.commit()
+        finally:
+            change.drop()
         return counts | {"strategy": "full" if paths is None else "diff", "view_id": view_id}
 
     def _previous(self, view_id: str) -> changes.ViewState | None:
@@ -100,11 +110,22 @@ class Engine:
         tables = self.store.tables()
         stale = maintenance.stale_branches(tables["source_views"], _hash("source", name), live)
         if not stale.isEmpty():
-            left = maintenance.delete_views(tables, stale)
-            self.store.commit({k: left[k] for k in ("sources", "source_views", "indexed_files", "chunks")})
+            self._delete_views(tables, stale)
+
+    def _delete_views(self, tables: dict[str, DataFrame], gone: DataFrame, source_name: str | None = None) -> None:
+        """Removes views, what hangs on them, and a source if one is named, in one commit."""
+        change = self.store.change()
+        left = maintenance.delete_views(tables, gone) if source_name is None else maintenance.delete_source(tables, source_name)
+        of_view = gone.select(F.col("id").alias("source_view_id"))
+        for name in ("sources", "source_views"):
+            change.replace(name, left[name])
+        for name in ("indexed_files", "chunks"):
+            change.remove(name, of_view)
+        change.commit()
 
     def index_git(self, url: str, branch: str = "main", folder: str | None = None, **options) -> dict:
-        target = os.path.join(folder or os.path.join(self.store.folder, "clones"), git.repo_name(url))
+        base = folder or (os.path.join(tempfile.gettempdir(), "lodeseek-clones") if "://" in self.store.folder else os.path.join(self.store.folder, "clones"))
+        target = os.path.join(base, git.repo_name(url))
         return self.index_path(git.clone_or_pull(url, branch, target), options.pop("name", git.repo_name(url)), **options)
 
     def index_documents(self, name: str, files: DataFrame, ref: str | None = None, as_of: str | None = None) -> dict:
@@ -141,7 +162,10 @@ class Engine:
             chunks = made.withColumns({"id": indexing.identity("indexed_file_id", F.col("ordinal").cast("string")), "metadata": indexing.metadata(), "created_at": now})
             new = made.select(F.col("chunk_content_hash").alias("content_hash"), "content").dropDuplicates(["content_hash"]).join(t["chunk_contents"].select("content_hash"), "content_hash", "left_anti")
             new = self.embedder.embed(new, "content", "embedding").withColumns({"summary": F.lit(None).cast("string"), "summary_embedding": F.lit(None).cast("array<float>"), "created_at": now})
-            self.store.commit({"chunks": t["chunks"].unionByName(chunks.select(*t["chunks"].columns)), "chunk_contents": t["chunk_contents"].unionByName(new.select(*t["chunk_contents"].columns))})
+            change = self.store.change()
+            change.add("chunks", chunks)
+            change.add("postings", search.postings(change.add("chunk_contents", new)))
+            change.commit()
         made.unpersist()
         return n
 
@@ -160,7 +184,7 @@ class Engine:
         if source_id:
             sources = sources.where(F.col("id") == source_id)
         views = joins.branch_views(sources, t["source_views"], branch) if branch else joins.default_views(sources, t["source_views"])
-        return search.Scope([r.id for r in views.select("id").collect()], **filters)
+        return search.Scope(views.select("id"), **filters)
 
     def options(self, top_k: int | None = None) -> search.Options:
         c = self.config["search"]
@@ -174,7 +198,38 @@ class Engine:
         if top_k is not None and not 1 <= top_k <= 100:
             raise ValueError("top_k is 1 to 100")
         scope = self.scope(branch, source_id, source_name, source_type=source_type, path_prefix=path_prefix)
-        return search.search(self.store.tables(), query, self.embedder.query(query), scope, self.options(top_k))
+        t, vector = self.store.tables(), self.embedder.query(query)
+        near = self._near(t["chunk_contents"], vector) if self.config["search"]["approximate"] else None
+        return search.search(t, query, vector, scope, self.options(top_k), self.store.table("postings"), near)
+
+    def build_vector_index(self, lists: int = 64, target: float = 0.9, k: int = 50) -> dict:
+        """Fits the approximate index on a bounded sample, puts every content's vector into its lists, measures recall.
+
+        Queries are the contents whose hash begins with 00; with search.approximate, searches then look into as many
+        lists as reach the target, and into all contents that came later.
+        """
+        rows = self.store.table("chunk_contents").where("embedding is not null").select("content_hash", "embedding")
+        centroids = ivf.fitted(rows, "content_hash", "embedding", lists)
+        path = self.store.files.at("vectors", uuid.uuid4().hex)
+        ivf.write(rows, "content_hash", "embedding", centroids, path)
+        index = self.spark.read.parquet(path)
+        queries = rows.where(F.col("content_hash").startswith("00")).select(F.col("content_hash").alias("query_id"), "embedding")
+        queries = queries if not queries.isEmpty() else rows.orderBy("content_hash").limit(20).select(F.col("content_hash").alias("query_id"), "embedding")
+        probes, got = ivf.calibrated(index, rows, queries, "query_id", "embedding", "content_hash", "embedding", centroids, k, target)
+        self.store.files.delete(self.store.files.at("vectors.json"))
+        self.store.files.create(self.store.files.at("vectors.json"), json.dumps({"path": path, "probes": probes, "recall": got, "centroids": centroids.tolist()}))
+        return {"lists": len(centroids), "probes": probes, "recall": got}
+
+    def _near(self, contents: DataFrame, vector: list[float]) -> DataFrame | None:
+        """Contents in the lists nearest to a vector, and those that the index hasn't; None without an index."""
+        file = self.store.files.at("vectors.json")
+        if not self.store.files.exists(file):
+            return None
+        held = json.loads(self.store.files.read(file))
+        index = self.spark.read.parquet(held["path"])
+        nearest = ivf.nearest(vector, held["centroids"], held["probes"])
+        later = contents.where("embedding is not null").select("content_hash", "embedding").join(index.select("content_hash"), "content_hash", "left_anti")
+        return index.where(F.col("list").isin(*nearest)).select("content_hash", "embedding").unionByName(later)
 
     def read_source(self, chunk_id: str | None = None, path: str | None = None, header_path: str | None = None, start_line: int | None = None, end_line: int | None = None, context: int = 0, branch: str | None = None, source_name: str | None = None) -> dict | None:
         """A piece of a file by chunk, by heading or by coordinates, from its blob; from disk only without a branch.
@@ -186,7 +241,7 @@ class Engine:
             rows = t["chunks"].where(F.col("id") == chunk_id)
         else:
             scope = self.scope(branch, source_name=source_name)
-            if branch and not scope.view_ids:
+            if branch and scope.views.isEmpty():
                 scope, warning = self.scope(source_name=source_name), f"no branch {branch}; the active view is read"
             rows = scope.of(t["chunks"]).where(F.col("path") == path)
             if header_path:
@@ -235,46 +290,61 @@ class Engine:
         t = self.store.tables()
         if t["sources"].where(F.col("name") == name).isEmpty():
             return False
-        left = maintenance.delete_source(t, name)
-        self.store.commit({k: left[k] for k in ("sources", "source_views", "indexed_files", "chunks")})
+        self._delete_views(t, joins.views_of_source(t, name), name)
         return True
 
     def gc(self, grace_minutes: int = 60, as_of: str | None = None) -> dict[str, int]:
         """Removes contents and blobs that nothing uses; gives how many of each."""
         t = self.store.tables()
-        n = {k: t[k].count() for k in ("chunk_contents", "file_blobs")}
-        left = maintenance.collected(t, as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"), grace_minutes)
-        self.store.commit({k: left[k] for k in n})
-        return {k: n[k] - self.store.table(k).count() for k in n}
+        as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        change, n = self.store.change(), {}
+        for name, used_by, key in (("chunk_contents", "chunks", "chunk_content_hash"), ("file_blobs", "indexed_files", "content_hash")):
+            gone = change.scratch(joins.orphans(t[name], t[used_by], "content_hash", key, as_of, grace_minutes).select("content_hash"))
+            n[name] = gone.count()
+            if n[name]:
+                for held in (name, "postings") if name == "chunk_contents" else (name,):
+                    change.remove(held, gone)
+        change.commit()
+        return n
 
     def re_embed(self, source_name: str | None = None, force: bool = False) -> int:
         """Embeds contents that have no vector, or all with force; only a source's if one is named."""
         t = self.store.tables()
         k = t["chunk_contents"] if source_name is None else joins.contents_of_source(t, source_name)
         todo = (k if force else k.where("embedding is null")).select("content_hash", "content")
-        new = self.embedder.embed(todo, "content", "embedding").select("content_hash", "embedding").persist()
-        n = new.where("embedding is not null").count()
-        if n:
-            self.store.commit({"chunk_contents": maintenance.updated(t["chunk_contents"], new, "content_hash", ["embedding"])})
-        new.unpersist()
+        change = self.store.change()
+        new = change.scratch(self.embedder.embed(todo, "content", "embedding").select("content_hash", "embedding").where("embedding is not null"))
+        n = new.count()
+        self._updated(change, t["chunk_contents"], new, ["embedding"])
         return n
 
+    @staticmethod
+    def _updated(change, contents: DataFrame, new: DataFrame, columns: list[str]) -> None:
+        """Puts columns of new into the contents of their hash: those rows go and come back."""
+        if not new.isEmpty():
+            hit = contents.join(new.select("content_hash"), "content_hash", "left_semi")
+            rows = change.scratch(maintenance.updated(hit, new, "content_hash", columns))
+            change.remove("chunk_contents", new.select("content_hash"))
+            change.add("chunk_contents", rows)
+            change.commit()
+        change.drop()
+
     def summarize(self, source_name: str | None = None, limit: int | None = None, dry_run: bool = False, input_price: float = 0.0, output_price: float = 0.0) -> dict:
         """Summarises contents of the active views that have no summary; a second run finds none left."""
         if not self.config["summarization"]["enabled"]:
             raise RuntimeError("summarization isn't enabled")
         t = self.store.tables()
-        views = t["source_views"].where(F.col("id").isin(*self.scope(source_name=source_name).view_ids))
+        views = t["source_views"].join(self.scope(source_name=source_name).views, "id", "left_semi")
         rows = summarize.inputs(t, views, limit)
         if dry_run:
             r = aggregates.dry_run(rows, 500).first()
             mean = rows.agg(F.avg(F.length("content"))).first()[0] or 0.0
             tokens_in, tokens_out, cost = aggregates.dry_run_cost(r.expected, mean, input_price, output_price)
             return r.asDict() | {"input_tokens": tokens_in, "output_tokens": tokens_out, "cost": scalar.format_cost(cost)}
-        new = summarize.summarized(rows, self.summarizer, self.embedder).persist()
+        change = self.store.change()
+        new = change.scratch(summarize.summarized(rows, self.summarizer, self.embedder))
         n = new.groupBy(F.regexp_extract("summary", r"^\[(skipped|failed):", 1).alias("state")).agg(F.count("*").alias("n")).collect()
-        self.store.commit({"chunk_contents": maintenance.updated(t["chunk_contents"], new, "content_hash", ["summary", "summary_embedding"])})
-        new.unpersist()
+        self._updated(change, t["chunk_contents"], new, ["summary", "summary_embedding"])
         return {(r.state or "summarized"): r.n for r in n}
 
     def export(self, target: str, names: list[str] | None = None, sql: bool = False) -> dict:

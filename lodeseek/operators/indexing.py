@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -38,7 +39,10 @@ class HashEmbedder:
 
 
 class BatchEmbedder:
-    """Calls embed_many(texts) for batches of a bounded size; one retry a batch, else its vectors stay null."""
+    """Calls embed_many(texts) for batches of a bounded size; one retry a batch, else its vectors stay null.
+
+    Only failures of the provider (RuntimeError, OSError) defer a batch; other errors are programming errors and end the job.
+    """
 
     def __init__(self, embed_many, dimensions: int, batch: int = 32):
         self.embed_many, self.dimensions, self.batch = embed_many, dimensions, batch
@@ -55,7 +59,7 @@ class BatchEmbedder:
                     try:
                         made += list(embed_many(part))
                         break
-                    except Exception:  # noqa: BLE001  a provider's failure defers the batch
+                    except (RuntimeError, OSError):
                         if attempt == 2:
                             made += [None] * len(part)
             return pd.Series(made)
@@ -84,22 +88,24 @@ class Indexed:
     status: DataFrame
 
 
-def index_view(scanned: DataFrame, view_id: str, tables: dict[str, DataFrame], embedder: Embedder, as_of: Column, paths: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP) -> Indexed:
+def index_view(scanned: DataFrame, view_id: str, tables: dict[str, DataFrame], embedder: Embedder, as_of: Column, paths: DataFrame | None = None, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> Indexed:
     """What indexing (path, content) as a view changes.
 
     Only added and modified files are chunked, and only contents that no view has had are embedded: both are cut by
-    anti joins before the work. paths limits the comparison to named paths.
+    anti joins before the work. paths limits the comparison to named paths. settle: writes what is used more than
+    once (statuses, touched files, chunks), so it isn't made again.
     """
     scan = scanned.select("path", "content", F.sha2("content", 256).alias("content_hash"))
     old = tables["indexed_files"].where(F.col("source_view_id") == view_id).select("path", "content_hash")
     keys = scan.select("path", "content_hash")
     status = changes.compare(keys, old) if paths is None else changes.compare_paths(paths, keys, old)
-    touched = scan.join(status.where("status in ('added', 'modified')").select("path"), "path", "left_semi")
+    status = settle(status)
+    touched = settle(scan.join(status.where("status in ('added', 'modified')").select("path"), "path", "left_semi"))
     view = F.lit(view_id)
     new_files = touched.select(identity(view, "path").alias("id"), view.alias("source_view_id"), "path", "content_hash", as_of.alias("indexed_at"))
     blobs = touched.select("content_hash", "content", F.octet_length("content").cast("long").alias("byte_size"), as_of.alias("created_at")).dropDuplicates(["content_hash"])
     blobs = blobs.join(tables["file_blobs"].select("content_hash"), "content_hash", "left_anti")
-    made = chunking.chunked(touched, max_tokens=max_tokens, overlap=overlap).withColumn("chunk_content_hash", F.sha2("content", 256))
+    made = settle(chunking.chunked(touched, max_tokens=max_tokens, overlap=overlap).withColumn("chunk_content_hash", F.sha2("content", 256)))
     contents = made.select(F.col("chunk_content_hash").alias("content_hash"), "content").dropDuplicates(["content_hash"])
     contents = contents.join(tables["chunk_contents"].select("content_hash"), "content_hash", "left_anti")
     contents = embedder.embed(contents, "content", "embedding").withColumns({"summary": F.lit(None).cast("string"), "summary_embedding": F.lit(None).cast("array<float>"), "created_at": as_of})

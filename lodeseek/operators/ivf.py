@@ -56,6 +56,11 @@ def assigned(vectors: DataFrame, id_col: str, vector_col: str, centroids: np.nda
     return rows.mapInArrow(run, f"{id_col} {types[id_col]}, {vector_col} {types[vector_col]}, list int")
 
 
+def nearest(query: list[float], centroids: list[list[float]], probes: int) -> list[int]:
+    """The lists whose centroids are nearest to a query."""
+    return np.argsort(-(np.array(centroids) @ np.array(query)), kind="stable")[:probes].tolist()
+
+
 def write(vectors: DataFrame, id_col: str, vector_col: str, centroids: np.ndarray, path: str) -> None:
     """The index as Parquet, a folder a list, so a query's lists are pruned partitions; big lists span several files."""
     rows = assigned(vectors, id_col, vector_col, centroids)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text, vector
+from ..store import bucket
 from .fusion import K, WEIGHTS_2, WEIGHTS_3, best, fused
 
 NARROW, RETRIEVE, FINAL = 10_000, 50, 10
@@ -16,15 +17,15 @@ NARROW, RETRIEVE, FINAL = 10_000, 50, 10
 
 @dataclass
 class Scope:
-    """Which occurrences a search may return; None is no restriction."""
+    """Which occurrences a search may return; None is no restriction. views: a frame with the id of each view."""
 
-    view_ids: list[str] | None = None
+    views: DataFrame | None = None
     source_type: str | None = None
     path_prefix: str | None = None
 
     def of(self, chunks: DataFrame) -> DataFrame:
-        if self.view_ids is not None:
-            chunks = chunks.where(F.col("source_view_id").isin(*self.view_ids) if self.view_ids else F.lit(False))
+        if self.views is not None:
+            chunks = chunks.join(self.views.select(F.col("id").alias("source_view_id")), "source_view_id", "left_semi").select(*chunks.columns)
         if self.source_type is not None:
             chunks = chunks.where(F.col("source_type") == self.source_type)
         if self.path_prefix:
@@ -80,6 +81,27 @@ def text_search(contents: DataFrame, query: str, k: int, unicode_clean: bool = F
     return scored.where("score is not null")
 
 
+def postings(contents: DataFrame) -> DataFrame:
+    """(term, content_hash, at, bucket): the first positions of each term in each content."""
+    toks = contents.select("content_hash", F.posexplode(text.tokens(F.col("content"))).alias("p", "term"))
+    at = F.slice(F.sort_array(F.collect_list(F.col("p") + 1)), 1, text.POSITIONS)
+    return toks.groupBy("content_hash", "term").agg(at.alias("at")).withColumn("bucket", bucket(F.col("term")))
+
+
+def postings_search(posts: DataFrame, scope: DataFrame, query: str, k: int, unicode_clean: bool = False) -> DataFrame:
+    """text_search by postings, whose rows are read from the terms' buckets only; scope: the content hashes to look among."""
+    terms = text.query_terms(query, unicode_clean)
+    if not terms:
+        return scope.select(F.col("content_hash").alias("id"), F.lit(0.0).alias("score")).limit(0)
+    spark = posts.sparkSession
+    numbers = spark.range(1).select(*[bucket(F.lit(t)).alias(f"b{i}") for i, t in enumerate(terms)]).first()
+    held = posts.where(F.col("bucket").isin(*set(numbers)) & F.col("term").isin(*terms)).join(scope.select("content_hash"), "content_hash", "left_semi")
+    of = [F.max(F.when(F.col("term") == t, F.col("at"))).alias(f"p{i}") for i, t in enumerate(terms)]
+    every = held.groupBy(F.col("content_hash").alias("id")).agg(F.count("*").alias("n"), *of).where(F.col("n") == len(terms))
+    score = F.round(text.rank([F.col(f"p{i}") for i in range(len(terms))]), 6)
+    return every.select("id", score.alias("score")).orderBy(F.desc_nulls_last("score"), "id").limit(k)
+
+
 def vector_search(contents: DataFrame, query: list[float], k: int, column: str = "embedding") -> DataFrame:
     """(id, score) of the k nearest contents by cosine."""
     return vector.topk(contents, "content_hash", column, query, k).withColumnRenamed("content_hash", "id")
@@ -109,13 +131,16 @@ def summaries_exist(chunks: DataFrame, contents: DataFrame, scope: Scope) -> boo
     return not held.join(scope_hashes(chunks, scope), "content_hash", "left_semi").limit(1).isEmpty()
 
 
-def candidates(chunks: DataFrame, contents: DataFrame, query: str, query_vector: list[float], scope: Scope, options: Options, three_way: bool) -> DataFrame:
+def candidates(chunks: DataFrame, contents: DataFrame, query: str, query_vector: list[float], scope: Scope, options: Options, three_way: bool, posts: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """(id, fused, text_score, vector_score[, summary_score]) of the content hashes to hydrate, ranked after scoping.
 
-    Search is exact within the scope: contents are semi-joined with it first, at any size.
+    Search is exact within the scope: contents are semi-joined with it first, at any size. posts: the contents'
+    postings, so their texts aren't read; near: contents that an approximate index leaves for the vector channel.
     """
-    inside = contents.join(scope_hashes(chunks, scope), "content_hash", "left_semi") if scope != Scope() else contents.join(chunks.select(F.col("chunk_content_hash").alias("content_hash")).distinct(), "content_hash", "left_semi")
-    channels = {"text": text_search(inside, query, options.retrieve, options.unicode_clean), "vector": vector_search(inside, query_vector, options.retrieve)}
+    hashes = scope_hashes(chunks, scope)
+    inside = contents.join(hashes, "content_hash", "left_semi")
+    by_text = text_search(inside, query, options.retrieve, options.unicode_clean) if posts is None else postings_search(posts, hashes, query, options.retrieve, options.unicode_clean)
+    channels = {"text": by_text, "vector": vector_search(inside if near is None else near.join(hashes, "content_hash", "left_semi"), query_vector, options.retrieve)}
     if three_way:
         channels["summary"] = vector_search(inside, query_vector, options.retrieve, "summary_embedding")
     weights = options.weights or (WEIGHTS_3 if three_way else WEIGHTS_2)
@@ -149,11 +174,11 @@ def mode(n_hashes: int, three_way: bool) -> str:
     return "empty" if not n_hashes else ("narrow" if n_hashes < NARROW else "broad") + "+summary" * three_way
 
 
-def search(tables: dict[str, DataFrame], query: str, query_vector: list[float], scope: Scope | None = None, options: Options | None = None) -> DataFrame:
+def search(tables: dict[str, DataFrame], query: str, query_vector: list[float], scope: Scope | None = None, options: Options | None = None, posts: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """The results of one query, best first by place."""
     scope, options = scope or Scope(), options or Options()
     three_way = options.use_summary and summaries_exist(tables["chunks"], tables["chunk_contents"], scope)
-    found = candidates(tables["chunks"], tables["chunk_contents"], query, query_vector, scope, options, three_way)
+    found = candidates(tables["chunks"], tables["chunk_contents"], query, query_vector, scope, options, three_way, posts, near)
     rows = hydrated(found, tables["chunks"], tables["chunk_contents"], tables["sources"], tables["source_views"], scope)
     return shaped(options.reranker.rerank(query, rows, options.final), three_way)
 

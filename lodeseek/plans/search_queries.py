@@ -162,7 +162,7 @@ def _results_sql(start: str, extra: str = "") -> str:
 
 
 def _scope(t):
-    return search.Scope(view_ids=[r.id for r in main_views(t).select("id").collect()])
+    return search.Scope(main_views(t).select("id"))
 
 
 def _flat(rows):

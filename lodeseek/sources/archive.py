@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import insert_text
 from ..operators import joins, maintenance
+from ..operators.search import postings
 from ..store import SCHEMA_VERSION, TABLES, Store
 
 VERSION = 2
@@ -42,7 +43,7 @@ def manifest(tables: dict[str, DataFrame], created_at: str | None = None) -> dic
 def checked(m: dict) -> dict:
     if m.get("version") != VERSION:
         raise ValueError(f"manifest version {m.get('version')} can't be read")
-    if m.get("schemaVersion") != SCHEMA_VERSION:
+    if m.get("schemaVersion") not in (1, SCHEMA_VERSION):  # the exported tables are the same in both
         raise ValueError(f"the export has schema {m.get('schemaVersion')}, not {SCHEMA_VERSION}")
     if not isinstance(m.get("sources"), list) or not all(s.get("name") for s in m["sources"]):
         raise ValueError("the manifest lists no sources")
@@ -119,7 +120,7 @@ def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[s
     """
     unpacked = None
     if not os.path.isdir(target):
-        unpacked = tempfile.mkdtemp(dir=store.folder)
+        unpacked = tempfile.mkdtemp(dir=None if "://" in store.folder else os.path.dirname(os.path.abspath(target)))
         unpack(target, unpacked)
     folder = unpacked or target
     try:
@@ -135,11 +136,20 @@ def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[s
         new = tables_of({n: store.spark.read.schema(s).parquet(os.path.join(folder, n)) for n, s in TABLES.items()}, todo)
         if remap:
             new["sources"] = new["sources"].withColumn("path", F.replace("path", F.lit(remap[0]), F.lit(remap[1])))
+        change = store.change()
         for n in there if on_conflict == "force" else ():
+            of_view = joins.views_of_source(tables, n).select(F.col("id").alias("source_view_id"))
+            for name in ("indexed_files", "chunks"):
+                change.remove(name, of_view)
             tables = maintenance.delete_source(tables, n)
-        out = {n: tables[n].unionByName(new[n]) for n in ("sources", "source_views", "indexed_files", "chunks")}
-        out |= {n: maintenance.insert_absent(tables[n], new[n], "content_hash") for n in ("file_blobs", "chunk_contents")}
-        store.commit(out)
+        for name in ("sources", "source_views"):
+            change.replace(name, tables[name].unionByName(new[name]))
+        for name in ("indexed_files", "chunks"):
+            change.add(name, new[name])
+        for name in ("file_blobs", "chunk_contents"):
+            rows = change.add(name, new[name].dropDuplicates(["content_hash"]).join(tables[name].select("content_hash"), "content_hash", "left_anti"))
+        change.add("postings", postings(rows))  # of the chunk contents
+        change.commit()
         paths = [r.path for r in store.table("sources").where(F.col("name").isin(*todo)).select("path").collect()]
         return todo, skipped, [f"path not found: {p}" for p in paths if p and not os.path.exists(p)]
     finally:

@@ -11,7 +11,7 @@ DEFAULTS = {
     "sources": [],
     "embeddings": {"provider": "hash", "dimensions": 64},
     "chunking": {"maxTokens": 1000, "overlap": 100},
-    "search": {"bm25Weight": 0.4, "vectorWeight": 0.6, "summaryVectorWeight": 0.0, "retrieveTopK": 50, "finalTopK": 10, "rrf": {"k": 60}, "useSummaryVector": False},
+    "search": {"bm25Weight": 0.4, "vectorWeight": 0.6, "summaryVectorWeight": 0.0, "retrieveTopK": 50, "finalTopK": 10, "rrf": {"k": 60}, "useSummaryVector": False, "approximate": False},
     "summarization": {"enabled": False, "provider": "mock"},
 }
 NAMES = ("lodeseek.yaml", "lodeseek.yml")

@@ -1,15 +1,20 @@
-"""Versioned Parquet tables: each commit writes new versions and then swaps one pointer."""
+"""A store of Parquet tables on any file system that Hadoop reads: parts that are appended, deletions beside them, a log of commits.
+
+A table is a list of entries: parts with rows, and deletions with the keys of rows that go from the parts before them.
+A commit writes new parts and deletions only, then one log file that lists all entries of all tables; so indexing
+a few files writes about their bytes, whatever the size of the store. `compact` makes one part of a table's entries,
+`vacuum` removes what the last commit doesn't name.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 VECTOR = "array<float>"
 TABLES = {
     "sources": "id string, name string, type string, path string, git_url string, repo_root_path string, repo_subpath string, active_view_id string, config string, last_indexed_at timestamp, created_at timestamp, updated_at timestamp",
@@ -19,58 +24,223 @@ TABLES = {
     "chunk_contents": f"content_hash string, content string, embedding {VECTOR}, summary string, summary_embedding {VECTOR}, created_at timestamp",
     "chunks": "id string, source_view_id string, indexed_file_id string, chunk_content_hash string, path string, source_type string, start_line int, end_line int, header_path string, language string, ordinal int, metadata string, created_at timestamp",
 }
+#: Tables that are derived from others: the postings of chunk contents, in folders by bucket of the term.
+DERIVED = {"postings": "term string, content_hash string, at array<int>, bucket int"}
+SCHEMAS = TABLES | DERIVED
+BUCKETS = 64
+#: A table with more deletions than this is made one part before the next commit.
+MOST_DELETIONS = 16
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class Files:
+    """A folder through Hadoop's file systems: local paths and URIs alike."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.conf, self.folder = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder.rstrip("/")
+
+    def at(self, *parts: str) -> str:
+        return "/".join([self.folder, *parts])
+
+    def _path(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        system, p = self._path(path)
+        return system.exists(p)
+
+    def names(self, path: str) -> list[str]:
+        system, p = self._path(path)
+        return sorted(s.getPath().getName() for s in system.listStatus(p)) if system.exists(p) else []
+
+    def read(self, path: str) -> str:
+        system, p = self._path(path)
+        stream = system.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str = "") -> bool:
+        """Writes a new file; False if it is there already."""
+        system, p = self._path(path)
+        system.mkdirs(p.getParent())
+        try:
+            stream = system.create(p, False)
+        except Exception as e:  # noqa: BLE001  Java's exception for a file that exists
+            if system.exists(p):
+                return False
+            raise e
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
+
+    def rename(self, old: str, new: str) -> None:
+        system, p = self._path(old)
+        if not system.rename(p, self._path(new)[1]):
+            raise RuntimeError(f"{old} could not become {new}")
+
+    def delete(self, path: str) -> None:
+        system, p = self._path(path)
+        system.delete(p, True)
+
+
+class Change:
+    """What one commit will change. Rows are written at once, and show up with commit()."""
+
+    def __init__(self, store: "Store"):
+        self.store, (self.base, self.state) = store, store.current()
+        self.entries = {name: list(self.state.get(name, [])) for name in SCHEMAS}
+        self.held: list[str] = []
+
+    def scratch(self, df: DataFrame) -> DataFrame:
+        """df as a written table that goes with the commit, so it isn't computed again."""
+        path = self.store.files.at("scratch", uuid.uuid4().hex)
+        self.held.append(path)
+        df.write.parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        """Appends rows; gives them as written."""
+        part = uuid.uuid4().hex
+        path = self.store.files.at(name, part)
+        columns = [f.split()[0] for f in SCHEMAS[name].split(", ")]
+        if name in DERIVED:
+            df.select(*columns).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        else:
+            df.select(*columns).write.parquet(path)
+        self.entries[name].append({"rows": part})
+        return self.store.spark.read.schema(SCHEMAS[name]).parquet(path)
+
+    def remove(self, name: str, keys: DataFrame) -> None:
+        """Removes the rows that have a row of keys (columns of the table, not null)."""
+        part = uuid.uuid4().hex
+        keys.distinct().write.parquet(self.store.files.at(name, part))
+        self.entries[name].append({"gone": part, "by": keys.columns})
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        """The whole table anew; for small tables."""
+        self.entries[name] = []
+        return self.add(name, df)
+
+    def commit(self) -> None:
+        self.store._swap(self.base, self.entries)
+        self.drop()
+
+    def drop(self) -> None:
+        for path in self.held:
+            self.store.files.delete(path)
+        self.held = []
 
 
 class Store:
-    """Tables below a folder; one writer at a time.
+    """Tables below a folder (a path or a URI); one writer at a time, which a lock file for each commit makes sure of.
 
-    A reader takes the versions that the pointer names when it asks; a commit never changes what a reader has.
+    A reader takes the entries that the log names when it asks; a commit never changes what a reader has.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
-
-    @property
-    def pointer(self) -> str:
-        return os.path.join(self.folder, "current.json")
-
-    def versions(self) -> dict[str, str]:
-        if not os.path.exists(self.pointer):
-            return {}
-        with open(self.pointer, encoding="utf-8") as f:
-            state = json.load(f)
-        if state["schema"] != SCHEMA_VERSION:
+        self.spark, self.folder, self.files = spark, folder, Files(spark, folder)
+
+    def current(self) -> tuple[int, dict[str, list[dict]]]:
+        """Number of the last commit, 0 for none, and its entries; older stores are migrated."""
+        done = [n for n in self.files.names(self.files.at("log")) if n.endswith(".json")]
+        if not done:
+            return self._migrated() if self.files.exists(self.files.at("current.json")) else (0, {})
+        state = json.loads(self.files.read(self.files.at("log", done[-1])))
+        if state["schema"] > SCHEMA_VERSION:
             raise RuntimeError(f"the store has schema {state['schema']}, not {SCHEMA_VERSION}")
-        return state["tables"]
+        return int(done[-1].split(".")[0]), state["tables"]
+
+    def _migrated(self) -> tuple[int, dict[str, list[dict]]]:
+        """From schema 1 (a pointer to one folder a table, no postings)."""
+        old = json.loads(self.files.read(self.files.at("current.json")))
+        if old["schema"] != 1:
+            raise RuntimeError(f"the store has schema {old['schema']}, not {SCHEMA_VERSION}")
+        self._swap(0, {name: [{"rows": part}] for name, part in old["tables"].items()})
+        self.files.delete(self.files.at("current.json"))
+        from .operators.search import postings
+
+        change = Change(self)
+        change.add("postings", postings(self.table("chunk_contents")))
+        change.commit()
+        return self.current()
+
+    def _swap(self, base: int, entries: dict[str, list[dict]]) -> None:
+        name = f"{base + 1:012d}"
+        if not self.files.create(self.files.at("log", name + ".lock")):
+            raise RuntimeError(f"another writer has begun commit {base + 1}; if it has died, delete its lock")
+        self.files.create(self.files.at("log", name + ".new"), json.dumps({"schema": SCHEMA_VERSION, "tables": entries}))
+        self.files.rename(self.files.at("log", name + ".new"), self.files.at("log", name + ".json"))
 
     def table(self, name: str) -> DataFrame:
-        version = self.versions().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(os.path.join(self.folder, name, version))
+        out, parts = None, []
+
+        def flush() -> None:
+            nonlocal out, parts
+            if parts:
+                df = self._read(name, parts)
+                out, parts = df if out is None else out.unionByName(df), []
+
+        for entry in self.current()[1].get(name, []):
+            if "rows" in entry:
+                parts.append(entry["rows"])
+            else:
+                flush()
+                if out is not None:
+                    keys = self.spark.read.parquet(self.files.at(name, entry["gone"]))
+                    out = out.join(keys, entry["by"], "left_anti").select(*out.columns)
+        flush()
+        return self.spark.createDataFrame([], SCHEMAS[name]) if out is None else out
+
+    def _read(self, name: str, parts: list[str]) -> DataFrame:
+        reader = self.spark.read.schema(SCHEMAS[name])
+        if name not in DERIVED:
+            return reader.parquet(*[self.files.at(name, p) for p in parts])
+        out = None
+        for p in parts:  # each part has folders of its own
+            df = reader.parquet(self.files.at(name, p))
+            out = df if out is None else out.unionByName(df)
+        return out
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in TABLES}
 
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Writes new versions of the changed tables, then makes them current, all at once."""
-        state, fresh = self.versions(), {}
-        for name, df in changed.items():
-            fresh[name] = uuid.uuid4().hex
-            df.select(*[f.split()[0] for f in TABLES[name].split(", ")]).write.parquet(os.path.join(self.folder, name, fresh[name]))
-        new = self.pointer + "." + uuid.uuid4().hex
-        with open(new, "w", encoding="utf-8") as f:
-            json.dump({"schema": SCHEMA_VERSION, "tables": state | fresh}, f)
-        os.replace(new, self.pointer)
+    def change(self) -> Change:
+        for name, entries in self.current()[1].items():
+            if sum("gone" in e for e in entries) > MOST_DELETIONS:
+                self.compact(name)
+        return Change(self)
+
+    def commit(self, replaced: dict[str, DataFrame]) -> None:
+        """Replaces whole tables, all at once."""
+        change = Change(self)
+        for name, df in replaced.items():
+            change.replace(name, df)
+        change.commit()
+
+    def compact(self, name: str) -> None:
+        """Makes one part of a table's parts and deletions."""
+        self.commit({name: self.table(name)})
 
     def vacuum(self) -> int:
-        """Removes versions that aren't current; for times without readers."""
-        current, n = self.versions(), 0
-        for name in TABLES:
-            folder = os.path.join(self.folder, name)
-            for version in os.listdir(folder) if os.path.isdir(folder) else []:
-                if version != current.get(name):
-                    shutil.rmtree(os.path.join(folder, version))
+        """Removes what the last commit doesn't name; for times without readers and writers. Gives how many parts went."""
+        at, entries = self.current()
+        n = 0
+        for name in SCHEMAS:
+            held = {e.get("rows") or e.get("gone") for e in entries.get(name, [])}
+            for part in self.files.names(self.files.at(name)):
+                if part not in held:
+                    self.files.delete(self.files.at(name, part))
                     n += 1
+        for log in self.files.names(self.files.at("log")):
+            if int(log.split(".")[0]) < at:
+                self.files.delete(self.files.at("log", log))
+        self.files.delete(self.files.at("scratch"))
         return n

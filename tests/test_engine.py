@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from lodeseek import store
 from lodeseek.cli import main
 from lodeseek.engine import Engine
 from lodeseek.operators import changes, evaluation, indexing, maintenance, search
@@ -142,6 +143,89 @@ def test_store_swaps_at_once(spark, tmp_path):
     assert before.count() == 1 and s.table("file_blobs").count() == 2 and s.vacuum() == 1
 
 
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_incremental_commit_writes_what_changed(spark, tmp_path):
+    """A file of 400 changed: one commit, hardly any bytes, deletions applied, and the same after compacting."""
+    import random
+
+    rng = random.Random(1)
+    files = [(f"d/{i}.txt", " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for i in range(400)]
+    e = Engine(spark, f"file://{tmp_path}/store")
+    e.index_documents("docs", frame(spark, files))
+    before, (n, _) = {t: size_of(tmp_path / "store" / t) for t in ("file_blobs", "chunk_contents", "postings", "chunks")}, e.store.current()
+    counts = e.index_documents("docs", frame(spark, [(p, t + " zebra") if p == "d/7.txt" else (p, t) for p, t in files if p != "d/9.txt"]))
+    assert (counts["new"], counts["deleted"], counts["unchanged"]) == (1, 1, 398) and e.store.current()[0] == n + 1
+    for t in ("file_blobs", "chunk_contents"):
+        assert size_of(tmp_path / "store" / t) - before[t] < 0.05 * before[t]
+    assert size_of(tmp_path / "store" / "chunks") - before["chunks"] < 0.3 * before["chunks"]  # ids and headers
+    assert [r.path for r in e.search("zebra", 50).where("scores.text is not null").collect()] == ["d/7.txt"] and e.status()["files"] == 399
+    held = state(e)
+    for t in ("chunks", "indexed_files", "postings"):
+        e.store.compact(t)
+    assert state(e) == held and e.store.vacuum() > 0 and state(e) == held and e.store.vacuum() == 0
+
+
+def test_second_writer_fails(spark, engine):
+    one, two = engine.store.change(), engine.store.change()
+    row = spark.createDataFrame([("h", "c", 1, None)], TABLES["file_blobs"])
+    one.add("file_blobs", row), two.add("file_blobs", row)
+    one.commit()
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.commit()
+    assert engine.store.table("file_blobs").where("content_hash = 'h'").count() == 1
+
+
+def test_deletions_hold_for_earlier_parts_only(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    row = lambda *hashes: spark.createDataFrame([(h, "c", 1, None) for h in hashes], TABLES["file_blobs"])
+    for h in range(store.MOST_DELETIONS + 3):  # beyond so many, the parts become one
+        c = s.change()
+        c.remove("file_blobs", row("a").select("content_hash"))
+        c.add("file_blobs", row("a", f"b{h}"))
+        c.commit()
+    got = sorted(r.content_hash for r in s.table("file_blobs").collect())
+    assert got == sorted(["a", *(f"b{h}" for h in range(store.MOST_DELETIONS + 3))]) and sum("gone" in e for e in s.current()[1]["file_blobs"]) < store.MOST_DELETIONS
+
+
+def test_store_of_schema_1_is_migrated(spark, tmp_path, engine):
+    import json
+
+    old, tables = tmp_path / "old", {}
+    for name, df in engine.store.tables().items():
+        tables[name] = "v1"
+        df.write.parquet(str(old / name / "v1"))
+    (old / "current.json").write_text(json.dumps({"schema": 1, "tables": tables}))
+    e = Engine(spark, str(old))
+    assert state(e) == state(engine) and not (old / "current.json").exists()
+    assert [r.path for r in e.search("gamma").where("scores.text is not null").collect()] == ["a.txt"] and e.store.table("postings").count() == engine.store.table("postings").count()
+    with pytest.raises(RuntimeError):
+        (tmp_path / "new").mkdir(), (tmp_path / "new" / "current.json").write_text('{"schema": 9, "tables": {}}'), Engine(spark, str(tmp_path / "new")).status()
+
+
+def test_search_by_postings_and_lists(spark, tmp_path):
+    """Postings give what scanning the texts gives; the approximate index finds the nearest, later contents included."""
+    import random
+
+    rng = random.Random(4)
+    files = [(f"{i}.txt", " ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"w{i}"]) for _ in range(40))) for i in range(120)]
+    e = Engine(spark, str(tmp_path / "s"), {"search": {"approximate": True}})
+    e.index_documents("docs", frame(spark, files))
+    t, posts, views = e.store.tables(), e.store.table("postings"), e.scope()
+    for q in ("alpha", "alpha beta", "Beta, delta gamma", "w7", "nowhere", "..."):
+        hashes = search.scope_hashes(t["chunks"], views)
+        want = search.text_search(t["chunk_contents"].join(hashes, "content_hash", "left_semi"), q, 20).collect()
+        assert sorted(search.postings_search(posts, hashes, q, 20).collect()) == sorted(want), q
+    made = e.build_vector_index(8)
+    assert made["recall"] >= 0.9 and 1 <= made["probes"] <= 8
+    e.index_documents("more", frame(spark, [("late.txt", "omega words")]))
+    near = e._near(e.store.table("chunk_contents"), e.embedder.query("omega words"))
+    assert near.count() <= 121 and near.join(e.store.table("chunk_contents").where("content like 'omega%'"), "content_hash", "left_semi").count() == 1
+    assert [r.path for r in e.search("omega", 50).where("scores.text is not null").collect()] == ["late.txt"]
+
+
 # --- sources ---
 
 
