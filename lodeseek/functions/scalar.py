@@ -92,6 +92,11 @@ def format_cost(cost: float) -> str:
     return f"${cost * 1000:.2f}m" if cost < 0.01 else f"${cost:.3f}"
 
 
+def cost_text(cost: Column) -> Column:
+    """format_cost for a column."""
+    return F.when(cost < 0.01, F.format_string("$%.2fm", cost * 1000)).otherwise(F.format_string("$%.3f", cost))
+
+
 def js_round(x: float) -> int:
     """Rounds halves up."""
     return math.floor(x + 0.5)

@@ -50,9 +50,13 @@ def coverage(tables: dict[str, DataFrame], views: DataFrame, threshold: float =
 
 
 def manifest_hash(files: DataFrame, *keys: str) -> DataFrame:
-    """(keys.., manifest): SHA-256 of `path TAB hash` lines in binary order of path."""
+    """(keys.., manifest): SHA-256 of the hashes of 256 buckets of paths, in order; a bucket's is that of its lines
+    `path TAB hash` in binary order of path. So no task holds all paths of a view.
+    """
     lines = F.transform(F.sort_array(F.collect_list(F.struct("path", "content_hash"))), lambda x: F.concat_ws("\t", x["path"], x["content_hash"]))
-    return files.groupBy(*keys).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("manifest"))
+    parts = files.groupBy(*keys, F.substring(F.sha2("path", 256), 1, 2).alias("bucket")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("part"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda x: F.concat(x["bucket"], x["part"]))
+    return parts.groupBy(*keys).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("manifest"))
 
 
 def retrieval_metrics(ranks: DataFrame) -> DataFrame:

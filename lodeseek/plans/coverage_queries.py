@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import code_nodes, scalar, text, vector
 from ..operators import changes, chunking, fusion, indexing, joins, maintenance, search
+from ..store import Store
 from .fixtures import TABLES_SQL as T
-from .fixtures import files, read, tables
+from .fixtures import files, read, scratch, shared_store, tables
 from .read_queries import main_views
 from .registry import query
 from .search_queries import _OPEN, TERMS, VECTOR_ID, _inside, _text_sql, _vector_sql, query_vector
@@ -75,16 +76,33 @@ def a16(spark, sf):
 
 @query("w05_append_chunks", T + "SELECT id, path FROM chunks")
 def w05(spark, sf):
-    c = tables(spark, sf)["chunks"].select("id", "path", "source_type")
-    return c.where("source_type = 'text'").unionByName(c.where("source_type = 'markdown'")).select("id", "path")
+    """Two appends in one commit, and a third in another."""
+    c = shared_store(spark, sf).table("chunks")
+    store = Store(spark, scratch(spark, "append"))
+    change = store.change()
+    for kind in ("CLASS", "TYPE"):
+        change.add("chunks", c.where(F.get_json_object("metadata", "$.fragmentType") == kind))
+    change.commit()
+    change = store.change()
+    change.add("chunks", c.where(F.get_json_object("metadata", "$.fragmentType").isNull()))
+    change.commit()
+    return store.table("chunks").select("id", "path")
 
 
-@query("w09_finalise", T + "SELECT v.id, CAST(count(f.id) AS BIGINT) AS file_count, s.active_view_id = v.id AS active FROM source_views v JOIN sources s ON s.id = v.source_id LEFT JOIN indexed_files f ON f.source_view_id = v.id GROUP BY v.id, s.active_view_id")
+@query(
+    "w09_finalise",
+    "SELECT 'branch' AS view_kind, ref AS ref_name, CAST(count(*) AS INTEGER) AS file_count, true AS counted, ref = 'b' AS active FROM documents, (VALUES ('a'), ('b')) AS r(ref) WHERE source = 'src1' AND (ref = 'a' OR doc_id % 3 > 0) GROUP BY ref",
+)
 def w09(spark, sf):
-    t = tables(spark, sf)
-    n = t["indexed_files"].groupBy("source_view_id").agg(F.count("*").alias("n"))
-    v = t["source_views"].select("id", "source_id").join(n, F.col("id") == F.col("source_view_id"), "left")
-    return v.join(t["sources"].select(F.col("id").alias("source_id"), "active_view_id"), "source_id").select("id", F.coalesce("n", F.lit(0)).alias("file_count"), (F.col("active_view_id") == F.col("id")).alias("active"))
+    """Indexes two branches of a source; the view indexed last is the active one."""
+    engine = Engine(spark, scratch(spark, "finalise"))
+    d = read(spark, sf, "documents").where("source = 'src1'").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    engine.index_documents("src1", d.select("path", "content"), "a", "2024-01-01 00:00:00")
+    engine.index_documents("src1", d.where("doc_id % 3 > 0").select("path", "content"), "b", "2024-01-02 00:00:00")
+    t = engine.store.tables()
+    chunks = t["chunks"].groupBy(F.col("source_view_id").alias("id")).agg(F.count("*").alias("n"))
+    v = t["source_views"].join(chunks, "id").join(t["sources"].select(F.col("active_view_id")), F.col("active_view_id") == F.col("id"), "left")
+    return v.select("view_kind", "ref_name", "file_count", (F.col("chunk_count") == F.col("n")).alias("counted"), F.col("active_view_id").isNotNull().alias("active"))
 
 
 @query("w16_full_scan_diff", T + "SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN n.content_hash = o.content_hash THEN 'unchanged' ELSE 'modified' END AS status FROM (SELECT * FROM files WHERE ref = 'main') n FULL JOIN (SELECT * FROM files WHERE ref = 'feature') o ON n.path = o.path) GROUP BY status")
@@ -107,22 +125,49 @@ def w18(spark, sf):
     return done.files.join(done.blobs.select("content_hash", F.col("byte_size").alias("bytes")), "content_hash").select("path", "content_hash", "bytes")
 
 
-@query("w20_embedding_deferred", T + "SELECT CAST(count(*) FILTER (WHERE embedding IS NULL) AS BIGINT) AS deferred, CAST(count(embedding) AS BIGINT) AS embedded FROM chunk_contents")
+@query("w20_embedding_deferred", T + "SELECT CAST(count(*) FILTER (WHERE length(content) % 3 = 0) AS BIGINT) AS deferred, CAST(count(*) FILTER (WHERE length(content) % 3 > 0) AS BIGINT) AS embedded FROM chunk_contents")
 def w20(spark, sf):
-    return tables(spark, sf)["chunk_contents"].agg(F.count_if(F.col("embedding").isNull()).alias("deferred"), F.count("embedding").alias("embedded"))
+    """An embedder that fails for a third of the texts: their batches stay without a vector, others have theirs."""
+
+    def embed_many(texts):
+        if any(len(x) % 3 == 0 for x in texts):
+            raise RuntimeError("the provider refuses")
+        return [[1.0, float(len(x))] for x in texts]
 
+    k = tables(spark, sf)["chunk_contents"].select("content")
+    made = indexing.BatchEmbedder(embed_many, 2, 1).embed(k, "content", "vector")
+    return made.agg(F.count_if(F.col("vector").isNull()).alias("deferred"), F.count_if((F.col("vector")[1] == F.length("content"))).alias("embedded"))
 
-@query("s07_source_name", T + "SELECT v.id, v.ref_name FROM source_views v JOIN sources s ON s.id = v.source_id WHERE s.name = 'src6'")
+
+@query(
+    "s07_source_name",
+    T + "SELECT 'view' AS kind, v.id AS value FROM source_views v JOIN sources s ON s.id = v.source_id WHERE s.name = 'src6' AND v.ref_name = 'main' UNION ALL SELECT 'branch', v.id FROM source_views v JOIN sources s ON s.id = v.source_id WHERE s.name = 'src6' AND v.ref_name = 'feature' "
+    "UNION ALL SELECT 'error', 'no source nope' UNION ALL SELECT 'error', 'give a source''s id or its name, not both'",
+)
 def s07(spark, sf):
-    return joins.views_of_source(tables(spark, sf), "src6").select("id", "ref_name")
+    """The views of a name by default and by branch, and what names that can't be resolved say."""
+    engine = Engine(spark, shared_store(spark, sf).folder)
+    rows = engine.scope(source_name="src6").views.select(F.lit("view").alias("kind"), F.col("id").alias("value")).unionByName(engine.scope("feature", source_name="src6").views.select(F.lit("branch").alias("kind"), F.col("id").alias("value")))
+    for wrong in ({"source_name": "nope"}, {"source_name": "src6", "source_id": "x"}):
+        try:
+            engine.scope(**wrong)
+        except ValueError as e:
+            rows = rows.unionByName(spark.range(1).select(F.lit("error").alias("kind"), F.lit(str(e)).alias("value")))
+    return rows
+
 
+_GATED = ("src1", "src3", "src5")
 
-@query("s08_summary_gate", T + "SELECT v.id, CAST(count(k.summary_embedding) > 0 AS BOOLEAN) AS three_way FROM source_views v LEFT JOIN chunks c ON c.source_view_id = v.id LEFT JOIN chunk_contents k ON k.content_hash = c.chunk_content_hash GROUP BY v.id")
+
+@query(
+    "s08_summary_gate",
+    T + f"SELECT s.name, count(k.summary_embedding) > 0 AS three_way FROM sources s JOIN source_views v ON v.source_id = s.id AND v.ref_name = 'feature' LEFT JOIN chunks c ON c.source_view_id = v.id AND c.source_type = 'markdown' LEFT JOIN chunk_contents k ON k.content_hash = c.chunk_content_hash WHERE s.name IN {_GATED} GROUP BY s.name",
+)
 def s08(spark, sf):
     t = tables(spark, sf)
-    held = t["chunk_contents"].where("summary_embedding is not null").select(F.col("content_hash").alias("chunk_content_hash"))
-    with_summary = t["chunks"].join(held, "chunk_content_hash", "left_semi").select(F.col("source_view_id").alias("id")).distinct().withColumn("hit", F.lit(True))
-    return t["source_views"].select("id").join(with_summary, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("three_way"))
+    views = t["source_views"].where("ref_name = 'feature'").join(t["sources"].select(F.col("id").alias("source_id"), "name"), "source_id")
+    found = [(n, search.summaries_exist(t["chunks"], t["chunk_contents"], search.Scope(views.where(F.col("name") == n).select("id"), "markdown"))) for n in _GATED]
+    return spark.createDataFrame(found, "name string, three_way boolean")
 
 
 @query("s09_occurrence_in_scope", T + f"SELECT chunk_content_hash, path FROM (SELECT *, row_number() OVER (PARTITION BY chunk_content_hash ORDER BY path, ordinal, id) AS r FROM chunks WHERE {_MAIN} AND source_type = 'text') WHERE r = 1")
@@ -150,8 +195,7 @@ def f12(spark, sf):
 
 @query("f18_cost_format", "SELECT doc_id, CASE WHEN n_chars / 7e5 < 0.01 THEN '$' || printf('%.2f', n_chars / 7e5 * 1000) || 'm' ELSE '$' || printf('%.3f', n_chars / 7e5) END AS cost FROM documents")
 def f18(spark, sf):
-    c = F.col("n_chars") / 7e5
-    return read(spark, sf, "documents").select("doc_id", F.when(c < 0.01, F.format_string("$%.2fm", c * 1000)).otherwise(F.format_string("$%.3f", c)).alias("cost"))
+    return read(spark, sf, "documents").select("doc_id", scalar.cost_text(F.col("n_chars") / 7e5).alias("cost"))
 
 
 @query("l06_final_cut", "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50) LIMIT 100")
@@ -173,12 +217,13 @@ def c07(spark, sf):
 def _code(spark, sf, ext: str, body: str):
     """A file a label with the body's @ replaced by its id, chunked by declarations."""
     d = read(spark, sf, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.replace(F.lit(body), F.lit("@"), F.col("doc_id").cast("string")).alias("content"))
-    return chunking.chunked(d, chunkers=[chunking.DeclarationChunker()]).select("path", "ordinal", "fqn", "fragment_type", "start_line", "end_line")
+    return chunking.chunked(d, chunkers=[chunking.DeclarationChunker()]).select("path", "ordinal", "fqn", "fragment_type", "fragment_subtype", "receiver_type", "start_line", "end_line")
 
 
 def _code_sql(ext: str, rows: list[tuple]) -> str:
-    values = ", ".join(f"({i}, '{fqn}', '{kind}', {a}, {b})" for i, (fqn, kind, a, b) in enumerate(rows))
-    return f"SELECT doc_id || '{ext}' AS path, n AS ordinal, replace(fqn, '@', CAST(doc_id AS VARCHAR)) AS fqn, kind AS fragment_type, a AS start_line, b AS end_line FROM labels, (VALUES {values}) AS v(n, fqn, kind, a, b)"
+    of = lambda x: "NULL" if x is None else f"'{x}'"
+    values = ", ".join(f"({i}, '{fqn}', '{kind}', {a}, {b}, {of(subtype)}, {of(receiver)})" for i, (fqn, kind, a, b, subtype, receiver) in enumerate((*r, None, None)[:6] for r in rows))
+    return f"SELECT doc_id || '{ext}' AS path, n AS ordinal, replace(fqn, '@', CAST(doc_id AS VARCHAR)) AS fqn, kind AS fragment_type, subtype AS fragment_subtype, receiver AS receiver_type, a AS start_line, b AS end_line FROM labels, (VALUES {values}) AS v(n, fqn, kind, a, b, subtype, receiver)"
 
 
 @query("c08_typescript_nodes", _code_sql(".ts", [("A@", "CLASS", 1, 5), ("A@.m", "METHOD", 2, 4), ("f@", "FUNCTION", 6, 6), ("I@", "INTERFACE", 7, 7), ("T@", "TYPE", 8, 8), ("E@", "ENUM", 9, 9)]))
@@ -186,25 +231,35 @@ def c08(spark, sf):
     return _code(spark, sf, ".ts", "export class A@ {\n  m(): number {\n    return 1;\n  }\n}\nconst f@ = () => 1;\ninterface I@ { x: number }\nexport type T@ = string;\nenum E@ { X }\n")
 
 
-@query("c09_java_nodes", _code_sql(".java", [("p.q.C@", "CLASS", 3, 9), ("p.q.C@.C@", "METHOD", 5, 5), ("p.q.C@.m", "METHOD", 6, 8)]))
+@query("c09_java_nodes", _code_sql(".java", [("p.q.C@", "CLASS", 3, 9), ("p.q.C@.C@", "METHOD", 5, 5, "CONSTRUCTOR"), ("p.q.C@.m", "METHOD", 6, 8)]))
 def c09(spark, sf):
     return _code(spark, sf, ".java", "package p.q;\n\n/** About it. */\npublic class C@ {\n  C@() { }\n  int m() {\n    return 1;\n  }\n}\n")
 
 
-@query("c10_kotlin_nodes", _code_sql(".kt", [("p.D@", "CLASS", 2, 4), ("p.D@.m", "METHOD", 3, 3), ("p.plus", "FUNCTION", 5, 5), ("p._properties_6", "FUNCTION", 6, 6)]))
+@query("c10_kotlin_nodes", _code_sql(".kt", [("p.D@", "CLASS", 2, 4), ("p.D@.m", "METHOD", 3, 3), ("p.plus", "FUNCTION", 5, 5, "EXTENSION_FUNCTION", "String"), ("p._properties_6", "FUNCTION", 6, 6, "PROPERTIES")]))
 def c10(spark, sf):
     return _code(spark, sf, ".kt", "package p\nclass D@ {\n  fun m(): Int { return 1 }\n}\nfun String.plus(): String = this\nval x = 1\n")
 
 
-@query("i01_directory_scan", "SELECT doc_id || '.txt' AS path, text AS content FROM documents WHERE n_chars < 60 AND doc_id % 2 = 0")
+@query("i01_directory_scan", "SELECT doc_id || '.txt' AS path, text AS content FROM documents WHERE doc_id % 2 = 0 AND strlen(text) <= 1048576")
 def i01(spark, sf):
-    """A folder is made of some small documents, half of them with a suffix that is filtered out, and scanned."""
+    """All documents as files, written by the executors into the shared folder, half of them with a suffix that is filtered out, and scanned."""
     from ..sources.scan import scan
 
-    folder = tempfile.mkdtemp(prefix="lodeseek-scan-")
-    for r in read(spark, sf, "documents").where("n_chars < 60").select("doc_id", "text").collect():
-        with open(os.path.join(folder, f"{r.doc_id}{'.txt' if r.doc_id % 2 == 0 else '.png'}"), "w", encoding="utf-8", newline="") as f:
-            f.write(r.text)
+    folder = scratch(spark, "scan")
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    suffix = F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".png")
+    d = read(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), suffix).alias("name"), "text")
+    d.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return scan(spark, folder)[0]
 
 
@@ -217,8 +272,19 @@ def i11(spark, sf):
     return part("chunks", t["chunks"], "id").union(part("contents", t["chunk_contents"], "content_hash")).union(part("files", t["indexed_files"], "id"))
 
 
-@query("u04_read_by_heading", T + f"SELECT path, substr(content, 1, 500) AS snippet FROM chunks c JOIN chunk_contents k ON k.content_hash = c.chunk_content_hash WHERE {_MAIN} AND header_path = '# fr'")
+@query(
+    "u04_read_by_heading",
+    T + f", m AS (SELECT c.path, k.content, c.end_line FROM chunks c JOIN chunk_contents k ON k.content_hash = c.chunk_content_hash WHERE {_MAIN} AND header_path = '# fr' ORDER BY path LIMIT 1) SELECT 'heading' AS asked, path, content, 1 AS start_line, end_line FROM m "
+    "UNION ALL SELECT 'lines', path, array_to_string(list_slice(string_split(content, chr(10)), 1, least(end_line, 3)), chr(10)), 1, CAST(least(end_line, 3) AS INTEGER) FROM m UNION ALL SELECT 'branch', path, content, 1, end_line FROM m UNION ALL SELECT 'nothing', NULL, NULL, NULL, NULL",
+)
 def u04(spark, sf):
-    t = tables(spark, sf)
-    c = joins.in_views(t["chunks"], main_views(t)).where("header_path = '# fr'").select("path", F.col("chunk_content_hash").alias("content_hash"))
-    return c.join(t["chunk_contents"].select("content_hash", "content"), "content_hash").select("path", scalar.snippet(F.col("content")).alias("snippet"))
+    """Engine.read_source by heading, by lines with context, from a branch that isn't there, and of a path that isn't."""
+    store = shared_store(spark, sf)
+    engine, c = Engine(spark, store.folder), store.table("chunks")
+    path = joins.in_views(c, main_views(store.tables())).where("header_path = '# fr'").agg(F.min("path")).first()[0]
+    asked = {"heading": {"path": path, "header_path": "# fr"}, "lines": {"path": path, "start_line": 2, "context": 1}, "branch": {"path": path, "branch": "nope"}, "nothing": {"path": "no/such.txt", "branch": "feature"}}
+    rows = []
+    for name, a in asked.items():
+        r = engine.read_source(**a)
+        rows.append((name, r and r["path"], r and r["content"], r and r["start_line"], r and r["end_line"]))
+    return spark.createDataFrame(rows, "asked string, path string, content string, start_line int, end_line int")

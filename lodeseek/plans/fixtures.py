@@ -6,9 +6,16 @@ A file is one chunk. TABLES_SQL is the same in DuckDB, as common table expressio
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import TABLES, Store
+
+_stores: dict[tuple[str, str], str] = {}
 EPOCH = "2024-01-01 00:00:00"
 
 
@@ -16,6 +23,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or, in local mode, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="lodeseek-plans-"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lodeseek-{label}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def stored(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(TABLES)) -> Store:
+    """A new store with the named tables, whole; columns that the fixtures don't have are null."""
+    store, made = Store(spark, scratch(spark, "store")), tables(spark, sf_dir)
+    change = store.change()
+    for name in names:
+        columns = [x.split() for x in TABLES[name].split(", ")]
+        change.add(name, made[name].select(*[F.col(c) if c in made[name].columns else F.lit(None).cast(t).alias(c) for c, t in columns]))
+    change.commit()
+    return store
+
+
+def shared_store(spark: SparkSession, sf_dir: str) -> Store:
+    """One store of all tables for all queries that only read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        _stores[key] = stored(spark, sf_dir).folder
+    return Store(spark, _stores[key])
+
+
 def _id(*parts) -> F.Column:
     return F.sha2(F.concat_ws(":", *parts), 256)
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..operators import changes, maintenance
+from ..sources import archive
+from ..store import Store
+from ..streaming.ingest import windowed
 from .fixtures import TABLES_SQL as T
-from .fixtures import files, read, tables
+from .fixtures import files, read, scratch, shared_store, stored, tables
+from .read_queries import windows_sql
 from .registry import query
 
 _MAIN = "source_view_id IN (SELECT id FROM source_views WHERE ref_name = 'main')"
@@ -49,11 +54,16 @@ def w06(spark, sf):
     return maintenance.without(rows, gone, ["source_view_id", "path"]).select("id", "path")
 
 
-@query("w07_embedding_update", T + "SELECT content_hash, CASE WHEN embedding IS NULL THEN true ELSE false END AS filled FROM chunk_contents")
+_SUM = "round(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE))), 4)"
+
+
+@query("w07_embedding_update", T + f"SELECT content_hash, CASE WHEN embedding IS NULL AND doc_id % 2 = 0 THEN doc_id + 0.5::DOUBLE ELSE {_SUM.format('embedding')} END AS total FROM chunk_contents")
 def w07(spark, sf):
-    k = tables(spark, sf)["chunk_contents"].select("content_hash", F.col("embedding").isNotNull().alias("filled"))
-    k = k.select("content_hash", (~F.col("filled")).alias("filled"))
-    return maintenance.updated(k, k.where("filled").select("content_hash", F.lit(True).alias("filled")), "content_hash", ["filled"])
+    """Vectors for contents that have none; where no new one was made, the old one stays."""
+    k = tables(spark, sf)["chunk_contents"].select("content_hash", "embedding", "doc_id")
+    new = k.where("embedding is null").select("content_hash", F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id").cast("float"), F.lit(0.5).cast("float"))).alias("embedding"))
+    out = maintenance.updated(k, new.where("embedding is not null"), "content_hash", ["embedding"])
+    return out.select("content_hash", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
 @query("w08_summary_update", T + "SELECT content_hash, coalesce(summary, 'S ' || content_hash) AS summary, coalesce(summary_embedding, embedding) IS NOT NULL AS has_vector FROM (SELECT content_hash, summary, embedding, CASE WHEN summary IS NOT NULL THEN summary_embedding END AS summary_embedding FROM chunk_contents) WHERE summary IS NULL OR summary_embedding IS NOT NULL")
@@ -102,39 +112,54 @@ def w12(spark, sf):
 
 @query(
     "w17_diff_scan",
-    T + "SELECT p.path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN n.content_hash = o.content_hash THEN 'unchanged' ELSE 'modified' END AS status FROM (SELECT DISTINCT path FROM files WHERE doc_id % 35 < 8) p "
+    T + "SELECT p.path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN n.content_hash = o.content_hash THEN 'unchanged' ELSE 'modified' END AS status FROM (SELECT DISTINCT path FROM files) p "
     "LEFT JOIN (SELECT * FROM files WHERE ref = 'feature') n ON n.path = p.path LEFT JOIN (SELECT * FROM files WHERE ref = 'main') o ON o.path = p.path",
 )
 def w17(spark, sf):
-    f = files(spark, sf).select("path", "content_hash", "ref", "doc_id")
-    return changes.compare_paths(f.where("doc_id % 35 < 8"), f.where("ref = 'feature'"), f.where("ref = 'main'"))
+    f = files(spark, sf).select("path", "content_hash", "ref")
+    return changes.compare_paths(f, f.where("ref = 'feature'"), f.where("ref = 'main'"))
 
 
-@query("w13_reembed_queue", T + "SELECT content_hash FROM chunk_contents WHERE embedding IS NULL")
+@query("w13_reembed_queue", T + "SELECT CAST(count(*) FILTER (WHERE embedding IS NULL) AS BIGINT) AS made, CAST(0 AS BIGINT) AS open, CAST(count(*) AS BIGINT) AS contents, CAST(0 AS BIGINT) AS made_again FROM chunk_contents")
 def w13(spark, sf):
-    from ..functions.vector import hash_vector_column
+    """Engine.re_embed over contents without a vector; a second run finds none left."""
+    engine = Engine(spark, stored(spark, sf, ("chunk_contents",)).folder)
+    made, again = engine.re_embed(), engine.re_embed()
+    k = engine.store.table("chunk_contents")
+    return k.agg(F.lit(made).cast("long").alias("made"), F.count_if(F.col("embedding").isNull()).alias("open"), F.countDistinct("content_hash").alias("contents"), F.lit(again).cast("long").alias("made_again"))
 
-    k = tables(spark, sf)["chunk_contents"].where("embedding is null")
-    return k.select("content_hash", hash_vector_column(F.col("content"), 64).alias("e")).where(F.size("e") == 64).select("content_hash")
 
-
-@query("w19_repair_chunkless", T + "SELECT path, source_view_id, 0 AS ordinal, b.content_hash FROM indexed_files f JOIN file_blobs b ON b.content_hash = f.content_hash WHERE f.doc_id % 10 = 0 AND length(b.content) BETWEEN 1 AND 4000")
+@query("w19_repair_chunkless", T.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + windows_sql("SELECT f.id AS key, b.content AS text FROM indexed_files f JOIN file_blobs b ON b.content_hash = f.content_hash WHERE f.doc_id % 10 = 0") + "SELECT f.path, f.source_view_id, c.ordinal, f.content_hash, c.content FROM cut c JOIN indexed_files f ON f.id = c.key")
 def w19(spark, sf):
     from ..operators.indexing import repaired
 
     t = tables(spark, sf)
     made = repaired(t["indexed_files"], t["chunks"].where("source_type <> 'markdown'"), t["file_blobs"])
-    return made.where(F.length("content") <= 4000).where("n_chunks = 1").select("path", "source_view_id", "ordinal", "content_hash")
+    return made.select("path", "source_view_id", "ordinal", "content_hash", "content")
 
 
-@query("i15_import_remap", T + "SELECT name, replace(path, '/data', '/restored') AS path FROM sources WHERE name IN ('src1', 'src2') UNION ALL SELECT name, path FROM sources WHERE name NOT IN ('src1', 'src2')")
+@query("i15_import_remap", T + "SELECT 'sources' AS kind, name AS id, CASE WHEN name = 'src2' THEN path ELSE replace(path, '/data', '/restored') END AS value FROM sources WHERE name IN ('src1', 'src2') UNION ALL SELECT 'chunks', id, path FROM chunks WHERE starts_with(path, 'src1/') OR starts_with(path, 'src2/') UNION ALL SELECT 'skipped', 'src2', NULL")
 def i15(spark, sf):
-    s = tables(spark, sf)["sources"].select("name", "path")
-    moved = s.where("name in ('src1', 'src2')").select("name", F.replace("path", F.lit("/data"), F.lit("/restored")).alias("path"))
-    return maintenance.upsert(s, moved, ["name"], keep=())
-
-
-@query("x01_change_feed", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+    """Exports two sources and imports them with another path into a store that has one of them already, which is left as it is."""
+    store, target = shared_store(spark, sf), scratch(spark, "export")
+    archive.export(store, ["src1", "src2"], target)
+    other = Store(spark, scratch(spark, "import"))
+    change = other.change()
+    for name, rows in archive.tables_of(store.tables(), ["src2"]).items():
+        change.add(name, rows)
+    change.commit()
+    _, skipped, _ = archive.import_(other, target, remap=("/data", "/restored"))
+    t = other.tables()
+    rows = t["sources"].select(F.lit("sources").alias("kind"), F.col("name").alias("id"), F.col("path").alias("value")).unionByName(t["chunks"].select(F.lit("chunks").alias("kind"), "id", F.col("path").alias("value")))
+    return rows.unionByName(spark.createDataFrame([("skipped", x, None) for x in skipped], "kind string, id string, value string"))
+
+
+@query("x01_change_feed", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def x01(spark, sf):
-    e = read(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """The events as a stream into windowed counts, by a table that the stream writes."""
+    events = read(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    out = scratch(spark, "feed")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    windowed(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch(spark, "feed-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

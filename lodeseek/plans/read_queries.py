@@ -35,12 +35,16 @@ def i12(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", scalar.insert_text("labels", dict(d.dtypes), True).alias("statement"))
 
 
-@query("i02_file_filter", "SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]+/?', '') AS path FROM pages WHERE NOT regexp_matches(lower(regexp_replace(url, '^[a-z]+://[^/]+/?', '')), '(^|/)(build|dist|node_modules)(/|$)|\\.html$')")
+_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+_RULES = r"(^|/)(node_modules|\.git|dist|build|\.next|coverage|package-lock\.json)(/|$)|\.lock(/|$)|/es(/|$)"
+
+
+@query("i02_file_filter", f"SELECT page_id, path FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE NOT regexp_matches(path, '{_RULES}') AND NOT (regexp_matches(path, '(^|/)4[^/]*\\.html(/|$)') AND NOT regexp_matches(path, '(^|/)40[^/]*\\.html(/|$)')) AND NOT regexp_matches(lower(path), '\\.(png|jpg|jpeg|gif|ico|svg|woff|woff2|ttf|eot|zip|tar|gz|rar|exe|dll|so|dylib|mp3|mp4|avi|mov)$')")
 def i02(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.filters import Rules
+    from ..sources.filters import keeps
 
-    d = read(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]+/?", "").alias("path"))
-    return d.where(~F.lower("path").rlike(r"(^|/)(build|dist|node_modules)(/|$)") & Rules.compiled(["*.html"]).kept(F.lower("path")))
+    d = read(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
+    return d.where(keeps(F.col("path"), ["4*.html", "!40*.html"], ["**/es"]))
 
 
 # --- filters -----------------------------------------------------------------------------------------------------
@@ -332,7 +336,7 @@ def a14(spark, sf):
     return aggregates.dry_run(tables(spark, sf)["chunk_contents"].where("summary is null"), 500)
 
 
-@query("a15_manifest_hash", T + "SELECT source, ref, sha256(string_agg(path || chr(9) || content_hash, chr(10) ORDER BY path)) AS manifest FROM files GROUP BY source, ref")
+@query("a15_manifest_hash", T + ", parts AS (SELECT source, ref, substr(sha256(path), 1, 2) AS bucket, sha256(string_agg(path || chr(9) || content_hash, chr(10) ORDER BY path)) AS part FROM files GROUP BY ALL) SELECT source, ref, sha256(string_agg(bucket || part, chr(10) ORDER BY bucket)) AS manifest FROM parts GROUP BY source, ref")
 def a15(spark, sf):
     return aggregates.manifest_hash(files(spark, sf), "source", "ref")
 
@@ -366,9 +370,11 @@ def f05(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.regexp_replace("url", "[?#].*$", "").alias("plain"))
 
 
-@query("f06_extension", T + "SELECT path, '.txt' AS ext FROM files WHERE ref = 'main'")
+@query("f06_extension", f"SELECT page_id, regexp_replace(replace('./' || {_PATH}, '/en/', '\\en\\'), '^(\\./|/)+', '') AS raw, lower(regexp_extract({_PATH}, '(\\.[^./\\\\]+)$', 1)) AS ext FROM pages".replace("SELECT page_id, regexp_replace(replace('./' || ", "SELECT page_id, ext, replace(raw, '\\', '/') AS path FROM (SELECT page_id, regexp_replace(replace('./' || ") + ")")
 def f06(spark, sf):
-    return files(spark, sf).where("ref = 'main'").select(scalar.normal_path(F.concat(F.lit("./"), "path")).alias("path"), scalar.extension(F.col("path")).alias("ext"))
+    p = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    d = read(spark, sf, "pages").select("page_id", p.alias("p"))
+    return d.select("page_id", scalar.normal_path(F.concat(F.lit("./"), F.replace("p", F.lit("/en/"), F.lit("\\en\\")))).alias("path"), scalar.extension(F.col("p")).alias("ext"))
 
 
 @query("f07_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
@@ -401,10 +407,9 @@ def f14(spark, sf):
     return rows.select("id", scalar.gate(F.col("content"), scalar.kind(F.col("metadata"), F.col("source_type"))).alias("reason"))
 
 
-@query("f15_placeholders", "SELECT doc_id, '[skipped:content<200]' AS skipped, '[failed:' || lang || ']' AS failed FROM documents WHERE length(text) < 200")
+@query("f15_placeholders", "SELECT doc_id, '[skipped:content<200]' AS skipped, '[failed:' || lang || ']' AS failed FROM documents")
 def f15(spark, sf):
-    d = read(spark, sf, "documents").where(F.length("text") < 200)
-    return d.select("doc_id", scalar.skipped(F.lit("content<200")).alias("skipped"), scalar.failed(F.col("lang")).alias("failed"))
+    return read(spark, sf, "documents").select("doc_id", scalar.skipped(F.lit("content<200")).alias("skipped"), scalar.failed(F.col("lang")).alias("failed"))
 
 
 @query("f16_prompt_build", "SELECT doc_id, 'Path: ' || source || chr(10) || 'Kind: text' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'FQN: ' || lang ELSE '' END || chr(10) || '---' || chr(10) || text AS prompt FROM documents")
@@ -491,31 +496,66 @@ def c04(spark, sf):
     return chunking.markdown_sections(conversations(spark, sf)).select("path", F.col("ordinal").cast("long").alias("ordinal"), "header_path", "content")
 
 
-@query("c02_fixed_chunks")
+def windows_sql(rows: str, most: int = 4000, overlap: int = 400) -> str:
+    """CTEs: cut (key, text, first, last, from_char, ordinal), the greedy line windows of rows (key, text), texts that fit included.
+
+    ps[k + 1] is where line k begins; a window ends before the first line that would take it beyond `most`, though the
+    line that made the one before end is always in it, and begins with as many lines of the last as `overlap` holds, one at least.
+    """
+    return f"""
+lined AS (SELECT key, text, string_split(text, chr(10)) AS lines FROM ({rows}) WHERE text <> ''),
+placed AS (SELECT key, text, len(lines) AS n, list_prepend(0, list_transform(range(1, len(lines) + 1), lambda k: list_sum(list_transform(lines[1:k], lambda x: length(x))) + least(k, len(lines) - 1))) AS ps FROM lined),
+w(key, text, n, ps, first, last, ordinal) AS (
+  SELECT key, text, n, ps, 0, CASE WHEN length(text) <= {most} THEN n ELSE coalesce(list_min(list_filter(range(1, n), lambda c: ps[c + 2] - ps[1] > {most})), n) END, 0 FROM placed
+  UNION ALL
+  SELECT key, text, n, ps, f, coalesce(list_min(list_filter(range(last + 1, n), lambda c: ps[c + 2] - ps[f + 1] > {most})), n), ordinal + 1
+  FROM (SELECT *, coalesce(list_min(list_filter(range(first, last), lambda f: ps[last + 1] - ps[f + 1] <= {overlap})), last - 1) AS f FROM w WHERE last < n)
+), cut AS (SELECT key, text, first, last, ordinal, ps[first + 1] AS from_char, substr(text, CAST(ps[first + 1] + 1 AS BIGINT), CAST(ps[last + 1] - ps[first + 1] - CASE WHEN last < n THEN 1 ELSE 0 END AS BIGINT)) AS content FROM w)
+"""
+
+
+_CUT = "WITH RECURSIVE " + windows_sql("SELECT doc_id || '{0}' AS key, {1} AS text FROM documents")
+
+
+def _as_files(spark, sf, ext: str):
+    return read(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.col("text").alias("content"))
+
+
+@query("c02_fixed_chunks", _CUT.replace("{0}", ".txt").replace("{1}", "text") + "SELECT key AS path, ordinal, CAST(from_char AS INTEGER) AS start_offset, CAST(from_char + length(content) AS INTEGER) AS end_offset, content FROM cut")
 def c02(spark, sf):
-    f = read(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    return chunking.chunked(f, chunkers=[chunking.FixedChunker()]).select("path", "ordinal", "start_offset", "end_offset", "content")
+    return chunking.chunked(_as_files(spark, sf, ".txt"), chunkers=[chunking.FixedChunker()]).select("path", "ordinal", "start_offset", "end_offset", "content")
 
 
-@query("c12_ordinals", "SELECT doc_id || '.txt' AS path, 0 AS ordinal, text AS content FROM documents WHERE length(text) <= 4000")
+@query("c12_ordinals", _CUT.replace("{0}", ".txt").replace("{1}", "text") + "SELECT key AS path, ordinal, content FROM cut")
 def c12(spark, sf):
-    f = read(spark, sf, "documents").where(F.length("text") <= 4000).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    return chunking.chunked(f, chunkers=[chunking.FixedChunker()]).select("path", "ordinal", "content")
+    return chunking.chunked(_as_files(spark, sf, ".txt")).select("path", "ordinal", "content")
+
 
+_NOT_BLANK = "array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))"
 
-@query("c05_fallback_blocks", "SELECT doc_id || '.py' AS path, 0 AS ordinal, text AS content, 'python' AS language FROM documents WHERE length(text) <= 4000 AND NOT regexp_matches(text, '\\n[ \\t]*(\\n|$)') AND trim(text) <> ''")
+
+@query("c05_fallback_blocks", _CUT.replace("{0}", ".py").replace("{1}", _NOT_BLANK) + "SELECT key AS path, ordinal, content, 'python' AS language FROM cut")
 def c05(spark, sf):
-    f = read(spark, sf, "documents").where((F.length("text") <= 4000) & ~F.col("text").rlike(r"\n[ \t]*(\n|$)") & (F.trim("text") != ""))
-    f = f.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
-    return chunking.chunked(f, chunkers=[chunking.BlockChunker()]).select("path", "ordinal", "content", "language")
+    """Documents hold one block each (no two blank lines follow each other); tests/test_chunking has texts of many."""
+    return chunking.chunked(_as_files(spark, sf, ".py"), chunkers=[chunking.BlockChunker()]).select("path", "ordinal", "content", "language")
+
 
+_EXTENSIONS = (".txt", ".md", ".py", ".TS", ".kt", ".mdx", ".go", ".tar.java", "")
 
-@query("c01_dispatch", T + "SELECT path, 'fixed' AS chunker FROM files WHERE ref = 'main'")
+
+@query("c01_dispatch", f"SELECT path, CASE WHEN regexp_matches(lower(path), '\\.(ts|tsx|js|jsx|java|kt|kts)$') THEN 'declarations' WHEN regexp_matches(lower(path), '\\.(py|go|rs|rb|php|c|cpp|h|hpp|cs|swift)$') THEN 'blocks' WHEN regexp_matches(lower(path), '\\.(md|mdx|markdown)$') THEN 'markdown' ELSE 'fixed' END AS chunker FROM (SELECT source || '/' || doc_id || ([{', '.join(repr(x) for x in _EXTENSIONS)}])[CAST(doc_id % {len(_EXTENSIONS)} + 1 AS INTEGER)] AS path FROM documents)")
 def c01(spark, sf):
-    return files(spark, sf).where("ref = 'main'").select("path", chunking.chunker_of().alias("chunker"))
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % len(_EXTENSIONS) + 1).cast("int"))
+    return read(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path")).select("path", chunking.chunker_of().alias("chunker"))
+
+
+_DECLARED = (
+    (".java", 0, "java", "a.b.C@", "CLASS", None, 3, 7), (".java", 1, "java", "a.b.C@.get", "METHOD", None, 4, 6), (".ts", 0, "typescript", "C@", "CLASS", None, 1, 5), (".ts", 1, "typescript", "C@.get", "METHOD", None, 2, 4),
+    (".ts", 2, "typescript", "f", "FUNCTION", None, 6, 6), (".kt", 0, "kotlin", "a.b.C@", "CLASS", "DATA_CLASS", 3, 5), (".kt", 1, "kotlin", "a.b.C@.get", "METHOD", None, 4, 4), (".kt", 2, "kotlin", "a.b._properties_6", "FUNCTION", "PROPERTIES", 6, 6),
+)
 
 
-@query("c06_declarations")
+@query("c06_declarations", "SELECT doc_id || ext AS path, CAST(n AS INTEGER) AS ordinal, language, replace(fqn, '@', CAST(doc_id AS VARCHAR)) AS fqn, kind AS fragment_type, sub AS fragment_subtype, a AS start_line, b AS end_line FROM labels, (VALUES " + ", ".join(map(str, _DECLARED)).replace("None", "NULL") + ") AS v(ext, n, language, fqn, kind, sub, a, b)")
 def c06(spark, sf):
     """Generated classes, one a document of labels: a class with one method in each language."""
     d = read(spark, sf, "labels").select("doc_id")

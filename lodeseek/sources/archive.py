@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import insert_text
 from ..operators import joins, maintenance
 from ..operators.search import postings
-from ..store import SCHEMA_VERSION, TABLES, Store
+from ..store import SCHEMA_VERSION, TABLES, Files, Store
 
 VERSION = 2
 
@@ -91,8 +91,9 @@ def export(store: Store, names: list[str], target: str, sql: bool = False) -> di
         if sql:
             content = name in ("file_blobs", "chunk_contents")
             df.select(insert_text(name, dict(df.dtypes), content)).write.mode("overwrite").text(os.path.join(folder, "sql", name))
-    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
-        json.dump(m, f, indent=2)
+    files = Files(store.spark, folder)
+    files.delete(files.at("manifest.json"))
+    files.create(files.at("manifest.json"), json.dumps(m, indent=2))
     if archive:
         pack(folder, target)
         shutil.rmtree(folder)
@@ -119,12 +120,13 @@ def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[s
     the sources' paths. All tables change in one commit.
     """
     unpacked = None
-    if not os.path.isdir(target):
+    if "://" not in target and not os.path.isdir(target):
         unpacked = tempfile.mkdtemp(dir=None if "://" in store.folder else os.path.dirname(os.path.abspath(target)))
         unpack(target, unpacked)
     folder = unpacked or target
     try:
-        wanted = [s["name"] for s in read_manifest(folder)["sources"] if names is None or s["name"] in names]
+        listing = Files(store.spark, folder)
+        wanted = [s["name"] for s in checked(json.loads(listing.read(listing.at("manifest.json"))))["sources"] if names is None or s["name"] in names]
         tables = store.tables()
         there = {r.name for r in tables["sources"].where(F.col("name").isin(*wanted)).select("name").collect()} if wanted else set()
         if there and on_conflict == "fail":
