@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .operators import aggregates, changes, indexing, ivf, joins, maintenance, search, summarize
 from .session import ship
-from .sources import archive, config as configuration, git
+from .sources import archive, config as configuration, git, providers
 from .sources.scan import scan
 from .store import Store
 
@@ -25,14 +25,17 @@ def _hash(*parts: str) -> str:
 
 
 class Engine:
-    """All operations over one store. Times are UTC; as_of can be given for repeatable runs."""
+    """All operations over one store. Times are UTC; as_of can be given for repeatable runs.
+
+    The models are those of the configuration, unless others are given.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, config: dict | None = None, embedder=None, summarizer=None, reranker=None):
         self.spark, self.store = ship(spark), Store(spark, folder)
         self.config = configuration.checked(configuration.merged(configuration.DEFAULTS, config or {}))
-        self.embedder = embedder or indexing.HashEmbedder(self.config["embeddings"]["dimensions"])
-        self.summarizer = summarizer or summarize.MockSummarizer()
-        self.reranker = reranker or search.Passthrough()
+        self.embedder = embedder or providers.embedder_of(self.config["embeddings"])
+        self.summarizer = summarizer or providers.summarizer_of(self.config["summarization"])
+        self.reranker = reranker or providers.reranker_of(self.config["reranker"])
 
     # --- indexing ---
 

@@ -44,8 +44,11 @@ class BatchEmbedder:
     Only failures of the provider (RuntimeError, OSError) defer a batch; other errors are programming errors and end the job.
     """
 
-    def __init__(self, embed_many, dimensions: int, batch: int = 32):
-        self.embed_many, self.dimensions, self.batch = embed_many, dimensions, batch
+    def __init__(self, embed_many, dimensions: int, batch: int = 32, embed_queries=None):
+        self.embed_many, self.dimensions, self.batch, self.embed_queries = embed_many, dimensions, batch, embed_queries or embed_many
+
+    def query(self, text: str) -> list[float]:
+        return [float(x) for x in self.embed_queries([text])[0]]
 
     def embed(self, rows: DataFrame, text_col: str, out: str) -> DataFrame:
         embed_many, size = self.embed_many, self.batch

@@ -10,6 +10,7 @@ import shutil
 DEFAULTS = {
     "sources": [],
     "embeddings": {"provider": "hash", "dimensions": 64},
+    "reranker": {"provider": "none"},
     "chunking": {"maxTokens": 1000, "overlap": 100},
     "search": {"bm25Weight": 0.4, "vectorWeight": 0.6, "summaryVectorWeight": 0.0, "retrieveTopK": 50, "finalTopK": 10, "rrf": {"k": 60}, "useSummaryVector": False, "approximate": False},
     "summarization": {"enabled": False, "provider": "mock"},
@@ -61,8 +62,14 @@ def checked(config: dict) -> dict:
             raise ValueError("a source has a name and type local or git")
         if source["type"] == "local" and not source.get("path") or source["type"] == "git" and not source.get("url"):
             raise ValueError(f"source {source['name']} lacks its path or url")
-    if config["summarization"]["enabled"] and config["summarization"]["provider"] not in ("mock", "custom"):
-        raise ValueError("unknown summarization provider")
+    for part, plain in (("embeddings", "hash"), ("reranker", "none"), ("summarization", "mock")):
+        c = config[part]
+        if c["provider"] not in (plain, "remote"):
+            raise ValueError(f"unknown {part} provider {c['provider']}")
+        if c["provider"] == "remote" and not (c.get("url") and c.get("model")):
+            raise ValueError(f"the {part} provider needs a url and a model")
+    if not isinstance(config["embeddings"]["dimensions"], int) or config["embeddings"]["dimensions"] < 1:
+        raise ValueError("dimensions must be a positive integer")
     return config
 
 

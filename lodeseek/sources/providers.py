@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 
 Transport = Callable[[str, dict, dict], tuple[int, dict]]
 BATCH, TEMPERATURE, MAX_TOKENS = 64, 0.2, 300
+#: What a summarising model is told when the configuration says nothing else.
+SYSTEM = (
+    "You describe one piece of source code or documentation, so that a developer's question in plain words can find it. Answer in English with one paragraph of "
+    "60 to 120 words: what the piece does, and which part it plays around it. Name no interface, argument, result or behaviour that the text doesn't show, and don't quote code."
+)
 
 
 class ProviderError(RuntimeError):
@@ -72,14 +77,14 @@ def _asked(transport: Transport, url: str, key: str | None, body: dict, attempts
 class RemoteEmbeddings:
     """embed_many for indexing.BatchEmbedder: batches of BATCH texts, vectors in the order of the texts, shapes checked."""
 
-    def __init__(self, url: str, model: str, dimensions: int, key: str | None = None, transport: Transport = post, attempts: int = 3, base: float = 1.0):
-        self.url, self.model, self.dimensions, self.key, self.transport, self.attempts, self.base = url, model, dimensions, key, transport, attempts, base
+    def __init__(self, url: str, model: str, dimensions: int, key: str | None = None, transport: Transport = post, attempts: int = 3, base: float = 1.0, more: dict | None = None):
+        self.url, self.model, self.dimensions, self.key, self.transport, self.attempts, self.base, self.more = url, model, dimensions, key, transport, attempts, base, more or {}
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out: list[list[float]] = []
         for i in range(0, len(texts), BATCH):
             part = texts[i : i + BATCH]
-            answer = _asked(self.transport, self.url, self.key, {"model": self.model, "input": part, "dimensions": self.dimensions}, self.attempts, self.base)
+            answer = _asked(self.transport, self.url, self.key, {"model": self.model, "input": part, "dimensions": self.dimensions} | self.more, self.attempts, self.base)
             rows = sorted(answer.get("data") or [], key=lambda r: r["index"])
             if len(rows) != len(part) or any(len(r["embedding"]) != self.dimensions for r in rows):
                 raise ProviderError(200, "wrong number or size of vectors")
@@ -90,14 +95,14 @@ class RemoteEmbeddings:
 class RemoteReranker:
     """Reranks the candidates of one query (retrieveTopK rows at most) by a remote model's scores."""
 
-    def __init__(self, url: str, model: str, key: str | None = None, transport: Transport = post, attempts: int = 3, base: float = 1.0):
-        self.url, self.model, self.key, self.transport, self.attempts, self.base = url, model, key, transport, attempts, base
+    def __init__(self, url: str, model: str, key: str | None = None, transport: Transport = post, attempts: int = 3, base: float = 1.0, as_objects: bool = False):
+        self.url, self.model, self.key, self.transport, self.attempts, self.base, self.as_objects = url, model, key, transport, attempts, base, as_objects
 
     def rerank(self, query: str, candidates: DataFrame, n: int) -> DataFrame:
         rows = candidates.select("place", "content").orderBy("place").collect()
         if not rows:
             return candidates.withColumn("rerank_score", F.lit(None).cast("double"))
-        answer = _asked(self.transport, self.url, self.key, {"model": self.model, "query": query, "documents": [r.content for r in rows], "top_n": n}, self.attempts, self.base)
+        answer = _asked(self.transport, self.url, self.key, {"model": self.model, "query": query, "documents": [{"text": r.content} if self.as_objects else r.content for r in rows], "top_n": n}, self.attempts, self.base)
         scores = candidates.sparkSession.createDataFrame([(rows[r["index"]].place, float(r["relevance_score"])) for r in answer["results"]], "place int, rerank_score double")
         return candidates.join(scores, "place").orderBy(F.desc("rerank_score"), "place").limit(n)
 
@@ -118,3 +123,34 @@ class RemoteCompletions:
 
     def __call__(self, prompts: list[str]) -> list[str | None]:
         return in_order(self.one, prompts, self.at_once)
+
+
+def embedder_of(c: dict, transport: Transport = post):
+    """The embedder of the configuration's `embeddings`: `hash`, or `remote` with url, model, dimensions, apiKey.
+
+    passage and query: further fields of the request for contents and for queries (a task's name, say).
+    """
+    from ..operators.indexing import BatchEmbedder, HashEmbedder
+
+    if c["provider"] == "hash":
+        return HashEmbedder(c["dimensions"])
+    made = lambda more: RemoteEmbeddings(c["url"], c["model"], c["dimensions"], c.get("apiKey"), transport, c.get("attempts", 3), c.get("retryDelay", 1.0), more)
+    return BatchEmbedder(made(c.get("passage")), c["dimensions"], c.get("batch", 32), made(c.get("query")))
+
+
+def reranker_of(c: dict, transport: Transport = post):
+    """The reranker of the configuration's `reranker`: `none`, or `remote` with url, model, apiKey; documents: `string` or `object`."""
+    from ..operators.search import Passthrough
+
+    if c["provider"] == "none":
+        return Passthrough()
+    return RemoteReranker(c["url"], c["model"], c.get("apiKey"), transport, c.get("attempts", 3), c.get("retryDelay", 1.0), c.get("documents", "string") == "object")
+
+
+def summarizer_of(c: dict, transport: Transport = post):
+    """The summariser of the configuration's `summarization`: `mock`, or `remote` with url, model, apiKey and system."""
+    from ..operators.summarize import MockSummarizer, PromptSummarizer
+
+    if c["provider"] == "mock":
+        return MockSummarizer()
+    return PromptSummarizer(RemoteCompletions(c["url"], c["model"], c.get("system", SYSTEM), c.get("apiKey"), transport, c.get("concurrency", 4), c.get("attempts", 3), c.get("retryDelay", 1.0)))

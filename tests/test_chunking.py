@@ -92,3 +92,27 @@ def test_dispatch_and_ordinals(spark):
     df = spark.createDataFrame([("a.md", "# A\nx\n# B\ny"), ("b.txt", "t"), ("c.py", "x"), ("d.java", "class C {}"), ("e.txt", None), ("f.txt", "")], "path string, content string")
     rows = C.chunked(df).collect()
     assert {(r.path, r.ordinal, r.source_type) for r in rows} == {("a.md", 0, "markdown"), ("a.md", 1, "markdown"), ("b.txt", 0, "text"), ("c.py", 0, "code"), ("d.java", 0, "code")}
+
+
+def brute_blocks(text, most):
+    """Chunks of a text without blocks longer than `most`: runs of lines between two or more blank ones, joined while they fit."""
+    blocks, lines = [[]], text.split("\n")
+    for i, line in enumerate(lines):
+        if line.strip():
+            if blocks[-1] and i >= 2 and not lines[i - 1].strip() and not lines[i - 2].strip():
+                blocks.append([])
+            blocks[-1].append(line)
+    out = []
+    for b in ("\n".join(b) for b in blocks if b):
+        if out and sum(map(len, out[-1])) + len(out[-1]) - 1 + len(b) <= most:
+            out[-1].append(b)
+        else:
+            out.append([b])
+    return ["\n\n".join(x) for x in out]
+
+
+@given(st.text("ab \n", max_size=120))
+@settings(max_examples=300, deadline=None)
+def test_blocks_by_brute_force(text):
+    if max((len(x) for x in brute_blocks(text, 0)), default=0) <= 40:
+        assert [c["content"] for c in C.BlockChunker(10, 1).chunks("a.py", text)] == brute_blocks(text, 40)

@@ -11,7 +11,7 @@ from lodeseek import server
 from lodeseek.engine import Engine
 from lodeseek.functions import vector
 from lodeseek.operators import ivf
-from lodeseek.sources import archive, providers
+from lodeseek.sources import archive, config, providers
 
 
 def test_retries():
@@ -48,6 +48,44 @@ def test_remote_reranker_and_completions(spark):
     assert providers.RemoteCompletions("u", "m", "s", transport=lambda u, h, b: (401, {}))(["x"]) == [None]
 
 
+def fake_server():
+    """A transport, made here so that it is sent to the workers by value."""
+
+    def fake(url, headers, body):
+        """A server of embeddings, ranks and completions; refuses texts with `refuse`."""
+        assert headers == {"Authorization": "Bearer k"}
+        if url == "http://e":
+            if any("refuse" in x for x in body["input"]):
+                return 400, {}
+            way = 1.0 if body["task"] == "q" else 0.5
+            return 200, {"data": [{"index": i, "embedding": [way, float("gamma" in x), 1.0]} for i, x in enumerate(body["input"])]}
+        if url == "http://r":
+            assert all(set(d) == {"text"} for d in body["documents"])
+            return 200, {"results": [{"index": i, "relevance_score": float(len(d["text"]))} for i, d in enumerate(body["documents"])][: body["top_n"]]}
+        assert body["messages"][0]["content"] == providers.SYSTEM and body["temperature"] == 0.2 and body["max_tokens"] == 300
+        return 200, {"choices": [{"message": {"content": "about " + body["messages"][1]["content"][-12:]}}]}
+
+    return fake
+
+
+def test_models_from_the_configuration(spark, tmp_path, monkeypatch):
+    remote = lambda x, **more: {"provider": "remote", "url": f"http://{x}", "model": "m", "apiKey": "k", "retryDelay": 0.0, **more}
+    c = {"embeddings": remote("e", dimensions=3, batch=1, passage={"task": "p"}, query={"task": "q"}), "reranker": remote("r", documents="object"), "summarization": remote("c", enabled=True)}
+    full, fake = config.checked(config.merged(config.DEFAULTS, c)), fake_server()
+    made = {"embedder": providers.embedder_of(full["embeddings"], fake), "reranker": providers.reranker_of(full["reranker"], fake), "summarizer": providers.summarizer_of(full["summarization"], fake)}
+    e = Engine(spark, str(tmp_path), c, **made)
+    files = [("a.txt", "alpha"), ("g.txt", "gamma " * 50), ("x.txt", "refuse this")]
+    got = e.index_documents("docs", spark.createDataFrame(files, "path string, content string"))
+    assert got["deferred"] == 1 and e.embedder.query("gamma") == [1.0, 1.0, 1.0]
+    assert [r.path for r in e.search("gamma").orderBy("place").collect()][0] in ("a.txt", "g.txt") and e.search("gamma").agg(F.max("scores.rerank")).first()[0] == 300.0
+    assert e.summarize() == {"summarized": 1, "skipped": 2}
+    plain = Engine(spark, str(tmp_path), {"embeddings": remote("e", dimensions=3), "reranker": remote("r"), "summarization": remote("c", enabled=True)})
+    assert isinstance(plain.reranker, providers.RemoteReranker) and plain.embedder.embed_many.url == "http://e" and plain.summarizer.complete.url == "http://c"
+    for wrong in ({"embeddings": {"provider": "no"}}, {"reranker": {"provider": "remote"}}, {"summarization": {"provider": "remote", "url": "u"}}, {"embeddings": {"dimensions": 0}}):
+        with pytest.raises(ValueError):
+            Engine(spark, str(tmp_path), wrong)
+
+
 def test_server(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     e.index_documents("docs", spark.createDataFrame([("a.txt", "alpha beta")], "path string, content string"))
