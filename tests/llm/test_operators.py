@@ -400,6 +400,31 @@ def test_shards_odd(spark, odd, tmp_path):
     assert set(df.columns) | {shard, slot} == set(back.columns) and back.where("shard = 'clash'").count() == len(rows)
 
 
+def test_interleaving_by_brute_force(spark, odd, monkeypatch):
+    """The order of fractional ranks by plain sorting, with cells of three rows."""
+    monkeypatch.setattr(sharding, "ROWS_A_CELL", 3)
+    df, _ = odd
+    more = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 50).cast("string")).alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
+    d = df.select("doc_id", "text", "source").unionByName(more)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(sharding.SEED), "doc_id", "source", crc), 1)
+    rows = [tuple(r) for r in d.select("source", draw, "doc_id", crc, F.octet_length(F.coalesce("text", F.lit(""))) + 1).collect()]
+    last = lambda x: (x is None, x or "")
+    low = lambda x: (x is not None, x or 0)
+    placed, of = [], collections.Counter(r[0] for r in rows)
+    for source in of:
+        mine = sorted((r for r in rows if r[0] == source), key=lambda r: (r[1], low(r[2]), r[3], r[4]))
+        placed += [((k + 0.5) / of[source], *r) for k, r in enumerate(mine)]
+    placed.sort(key=lambda r: (r[0], last(r[1]), r[2], low(r[3]), r[4], r[5]))
+    want, slots = [], collections.Counter()
+    for k, r in enumerate(placed):
+        shard = k * 8 // len(placed)
+        want.append((r[3], r[4], r[5], shard, slots[shard]))
+        slots[shard] += 1
+    got = [(r.doc_id, r.text_crc32, r["size"], r.shard, r.slot) for r in sharding.report(d).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_shards_with_small_cells(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_A_CELL", 3)
     d = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
