@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import postings
 from ..store import TABLES, Store
 
 _stores: dict[tuple[str, str], str] = {}
@@ -41,7 +42,9 @@ def stored(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(TABL
     change = store.change()
     for name in names:
         columns = [x.split() for x in TABLES[name].split(", ")]
-        change.add(name, made[name].select(*[F.col(c) if c in made[name].columns else F.lit(None).cast(t).alias(c) for c, t in columns]))
+        rows = change.add(name, made[name].select(*[F.col(c) if c in made[name].columns else F.lit(None).cast(t).alias(c) for c, t in columns]))
+        if name == "chunk_contents":
+            change.add("postings", postings(rows))
     change.commit()
     return store
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vector
 from ..operators import fusion, joins, search
 from .fixtures import TABLES_SQL as T
-from .fixtures import read, tables
+from .fixtures import read, shared_store, tables
 from .read_queries import main_views
 from .registry import query
 
@@ -55,6 +55,18 @@ def _inside(t):
     return t["chunk_contents"].join(joins.in_views(t["chunks"], main_views(t)).select(F.col("chunk_content_hash").alias("content_hash")), "content_hash", "left_semi")
 
 
+def _indexed(spark, sf):
+    """The tables of a store over the test tables, its postings, and the content hashes of the main views."""
+    store = shared_store(spark, sf)
+    t = store.tables()
+    return t, store.table("postings"), search.scope_hashes(t["chunks"], _scope(t))
+
+
+def _by_text(spark, sf, query: str):
+    _, posts, hashes = _indexed(spark, sf)
+    return search.postings_search(posts, hashes, query, 50)
+
+
 _OPEN = T.rstrip() + ", "
 
 
@@ -66,17 +78,17 @@ def s02_match(spark, sf):
 
 @query("s02_fts_rank_single", _OPEN + _text_sql(["the"]) + " SELECT id, score FROM text_channel")
 def s02_single(spark, sf):
-    return search.text_search(_inside(tables(spark, sf)), "the", 50)
+    return _by_text(spark, sf, "the")
 
 
 @query("s02_fts_rank_and", _OPEN + _text_sql(["the", "of"]) + " SELECT id, score FROM text_channel")
 def s02_and(spark, sf):
-    return search.text_search(_inside(tables(spark, sf)), TERMS, 50)
+    return _by_text(spark, sf, TERMS)
 
 
 @query("s02_fts_rank_three", _OPEN + _text_sql(["the", "of", "and"]) + " SELECT id, score FROM text_channel")
 def s02_three(spark, sf):
-    return search.text_search(_inside(tables(spark, sf)), "The of, and", 50)
+    return _by_text(spark, sf, "The of, and")
 
 
 @query("s03_vector_topk", f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50")
@@ -120,7 +132,7 @@ def s06(spark, sf):
 
 @query("s10_channel_ranks", _OPEN + _text_sql(["the", "of"]) + " SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM text_channel")
 def s10(spark, sf):
-    return fusion.ranked(search.text_search(_inside(tables(spark, sf)), TERMS, 50), "text").drop("channel")
+    return fusion.ranked(_by_text(spark, sf, TERMS), "text").drop("channel")
 
 
 _TWO = _OPEN + _text_sql(["the", "of"]) + ", " + _vector_sql("vector_channel") + ", " + _fusion_sql({"text": 0.4, "vector": 0.6})
@@ -128,9 +140,9 @@ _THREE = _OPEN + _text_sql(["the", "of"]) + ", " + _vector_sql("vector_channel")
 
 
 def _found(spark, sf, three: bool):
-    t = tables(spark, sf)
-    inside, q = _inside(t), query_vector(spark, sf)
-    channels = {"text": search.text_search(inside, TERMS, 50), "vector": search.vector_search(inside, q, 50)}
+    t, posts, hashes = _indexed(spark, sf)
+    inside, q = t["chunk_contents"].join(hashes, "content_hash", "left_semi"), query_vector(spark, sf)
+    channels = {"text": search.postings_search(posts, hashes, TERMS, 50), "vector": search.vector_search(inside, q, 50)}
     if three:
         channels["summary"] = search.vector_search(inside, q, 50, "summary_embedding")
     return fusion.best(fusion.fused(channels, fusion.WEIGHTS_3 if three else fusion.WEIGHTS_2), 50)
@@ -171,14 +183,14 @@ def _flat(rows):
 
 @query("hybrid_search", _results_sql(_TWO))
 def hybrid_search(spark, sf):
-    t = tables(spark, sf)
-    return _flat(search.search(t, TERMS, query_vector(spark, sf), _scope(t))).drop("summary_score")
+    t, posts, _ = _indexed(spark, sf)
+    return _flat(search.search(t, TERMS, query_vector(spark, sf), _scope(t), posts=posts)).drop("summary_score")
 
 
 @query("s15_hybrid_three_way", _results_sql(_THREE, ", f.summary_score"))
 def hybrid_three(spark, sf):
-    t = tables(spark, sf)
-    return _flat(search.search(t, TERMS, query_vector(spark, sf), _scope(t), search.Options(use_summary=True)))
+    t, posts, _ = _indexed(spark, sf)
+    return _flat(search.search(t, TERMS, query_vector(spark, sf), _scope(t), search.Options(use_summary=True), posts))
 
 
 @query(
@@ -193,7 +205,7 @@ def s14(spark, sf):
 
 @query("s16_response_meta", _TWO + " SELECT CAST(count(*) AS BIGINT) AS total_candidates, 'narrow' AS retrieval_mode FROM fusion")
 def s16(spark, sf):
-    t = tables(spark, sf)
+    t = shared_store(spark, sf).tables()
     n = search.scope_hashes(t["chunks"], _scope(t)).agg(F.count("*").alias("n")).first().n
     return _found(spark, sf, False).agg(F.count("*").alias("total_candidates")).withColumn("retrieval_mode", F.lit(search.mode(n, False)))
 
