@@ -210,7 +210,23 @@ def s16(spark, sf):
     return _found(spark, sf, False).agg(F.count("*").alias("total_candidates")).withColumn("retrieval_mode", F.lit(search.mode(n, False)))
 
 
-@query("s17_batch_search")
+_HASHED = "list_transform(range(64), lambda i: CAST('0x' || substr(sha256('query:' || text), CAST(i % 32 * 2 + 1 AS BIGINT), 2) AS INTEGER) / 127.5::DOUBLE - 1)"
+_BATCH = (
+    _OPEN
+    + f"q AS (SELECT item_id AS query_id, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda t: lower(regexp_replace(t, '[^a-zA-Z0-9а-яА-ЯёЁ_]', '', 'g'))), lambda t: t <> '')) AS terms, {_HASHED} AS raw FROM benchmark), "
+    + "v AS (SELECT query_id, CAST(list_transform(raw, lambda x: x / sqrt(list_sum(list_transform(raw, lambda y: y * y)))) AS FLOAT[]) AS vector FROM q), qt AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM q), "
+    + f"post AS (SELECT id, term, pos, row_number() OVER (PARTITION BY id, term ORDER BY pos) AS r FROM (SELECT id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM (SELECT content_hash AS id, {_TOKENS} AS toks FROM chunk_contents)) WHERE term IN (SELECT term FROM qt)), "
+    + "kept AS (SELECT * FROM post WHERE r <= 256), hit AS (SELECT query_id, id, n FROM qt JOIN kept USING (term) WHERE r = 1 GROUP BY query_id, id, n HAVING count(*) = n), hp AS (SELECT h.query_id, h.id, h.n, k.term, k.pos, k.r FROM hit h JOIN qt USING (query_id) JOIN kept k ON k.id = h.id AND k.term = qt.term), "
+    + "scored AS (SELECT a.query_id, a.id, round(1 - exp(sum(CASE WHEN abs(a.pos - b.pos) > 100 THEN 0 ELSE ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a.pos - b.pos) / 1.5::DOUBLE - 2)))) END)), 6) AS score FROM hp a JOIN hp b ON a.query_id = b.query_id AND a.id = b.id AND a.term < b.term GROUP BY a.query_id, a.id "
+    + "UNION ALL SELECT query_id, id, round(0.1::DOUBLE * sum(1.0::DOUBLE / (r * r)) / 1.64493406685::DOUBLE, 6) FROM hp WHERE n = 1 GROUP BY query_id, id), "
+    + "near AS (SELECT v.query_id, k.content_hash AS id, round(list_cosine_similarity(CAST(k.embedding AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 6) AS score FROM chunk_contents k, v WHERE k.embedding IS NOT NULL), "
+    + "ranks AS (SELECT query_id, id, 'text' AS channel, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scored UNION ALL SELECT query_id, id, 'vector', score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM near), "
+    + "sums AS (SELECT query_id, id, round(sum(CASE channel WHEN 'text' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (60 + r)), 9) AS fused, max(CASE WHEN channel = 'text' THEN score END) AS text_score, max(CASE WHEN channel = 'vector' THEN score END) AS vector_score FROM ranks WHERE r <= 10 GROUP BY query_id, id) "
+    + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM sums) WHERE rank <= 10"
+)
+
+
+@query("s17_batch_search", _BATCH)
 def s17(spark, sf):
     """All benchmark texts as queries, with hashed vectors, in one job."""
     t = tables(spark, sf)
