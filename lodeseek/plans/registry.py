@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import coverage_queries, maintenance_queries, read_queries, search_queries  # noqa: E402,F401  they register themselves
+from . import coverage_queries, maintenance_queries, read_queries, search_queries, serving_queries  # noqa: E402,F401  they register themselves
