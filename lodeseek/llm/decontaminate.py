@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import col, ready, written
-from .kernels import Words, class_table, slices
+from .kernels import Words, begin, class_table, slices
 
 WINDOW = 10
 #: Every so many symbols a suffix position is kept.
@@ -207,6 +207,7 @@ def _pass(phrases: Phrases):
     """Adds to each row (row, text, n_words, spans, items) this block's word spans and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("decontaminate")
         for batch in batches:
             texts, old_spans, old_items = batch.column(1), batch.column(3), batch.column(4)
             n_words, spans, items = [], [], []

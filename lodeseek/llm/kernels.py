@@ -6,7 +6,9 @@ slice, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,28 @@ import pyarrow as pa
 #: Freed Arrow buffers go back to the system, as JVM and Python share the executor's memory.
 pa.set_memory_pool(pa.system_memory_pool())
 
+#: What operators keep in a worker between their tasks, by operator: whether there is something, and how to drop it.
+_kept: dict[str, tuple[Callable[[], bool], Callable[[], None]]] = {}
+
+
+def keeps(owner: str, some: Callable[[], bool], drop: Callable[[], None]) -> None:
+    """Tells that an operator keeps things in its worker between tasks."""
+    _kept[owner] = some, drop
+
+
+def begin(owner: str) -> None:
+    """At a task's start: drops what other operators have kept in this worker, and gives the memory back."""
+    gone = [drop for name, (some, drop) in _kept.items() if name != owner and some()]
+    for drop in gone:
+        drop()
+    if gone:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:
+            pass  # another C library
+
+
 SLICE_BYTES = 1 << 19
 U = np.uint64
 

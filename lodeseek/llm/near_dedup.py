@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import col, hot_keys, looked_up, ready, small, spare, written
 from .components import connected_components
-from .kernels import U, Words, class_table, mix, slices, stream
+from .kernels import U, Words, begin, class_table, mix, slices, stream
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS, BITS = 5, 160, 26, 6, 2
 MARGIN = 0.18
@@ -104,6 +104,7 @@ def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("near_dedup")
     for batch in batches:
         n, digest, bands, sketch = [], [], [], []
         for s in shingle_sets(batch.column(2)):
@@ -122,6 +123,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("near_dedup")
     for batch in batches:
         sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
@@ -131,6 +133,7 @@ def _confirm(percent: int):
     """Of sorted rows (a, place, b, t), where b is null in the row with a's text, the pairs that are similar enough."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near_dedup")
         leader, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             ok = []

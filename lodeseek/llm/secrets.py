@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import col, ready, spare
-from . import kernels  # noqa: F401  sets the memory pool
+from . import kernels
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -288,6 +288,7 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kin
 
 def _scan(formats: Formats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.begin("secrets")
         scored: dict = {}
         names = ("start", "kind", "end", "format", "score")
         span = pa.list_(pa.struct(list(zip(names, (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())))))

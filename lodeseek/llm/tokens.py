@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, col, fresh_path, ready, written
-from . import kernels  # noqa: F401  sets the memory pool
+from . import kernels
 
 MAX_BITS, STEP, BLOCK_TOKENS, MAGIC = 16, 256, 1 << 18, 0x4C484246
 END = 0
@@ -135,10 +135,13 @@ class Tokenizer:
 
 @lru_cache(1)
 def tokenizer(path: str) -> Tokenizer:
-    """The worker's tokenizer, kept from task to task."""
+    """The worker's tokenizer, kept from task to task until another operator's task comes."""
     return Tokenizer(path)
 
 
+kernels.keeps("tokens", lambda: tokenizer.cache_info().currsize > 0, tokenizer.cache_clear)
+
+
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids, counts): a row with null counts for each text, ids with the closing END, 16-bit ones where they fit.
 
@@ -148,6 +151,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.begin("tokens")
         t, names, n, kind = tokenizer(path), ["id", "ids", "counts"], np.zeros(0, np.int64), pa.null()
         for batch in batches:
             ids, kind = [np.frombuffer(t.ids(x.as_py() or "") + end, "<u4") for x in batch.column(1)], batch.column(0).type

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, fresh_path, hot_keys, looked_up, ready, small, written
-from . import kernels  # noqa: F401  sets the memory pool
+from . import kernels
 
 MIN_REVISIT, FILE_BYTES, CHUNK = 100, 32 << 20, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,6 +145,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.select("id", "url", "payload", "digest", F.when((F.col("id") > F.col("first")) | (F.col("id").isNull() & F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.begin("warc")
         task, out, done, size, n = TaskContext.get(), None, [], 0, 0
         system, base = fs.FileSystem.from_uri(f"{folder}/part-{task.partitionId():06d}")
         for batch in batches:

@@ -560,6 +560,14 @@ def test_word_kernel():
     assert first == [3, 0, 0, 2, 2, 1] and hashes[0] == hashes[2] == hashes[6] and hashes[1] == hashes[7] and len(set(hashes)) == 5
 
 
+def test_workers_drop_what_others_kept():
+    t = tokens.tokenizer(tokens.tokenizer_file())
+    kernels.begin("tokens")
+    assert tokens.tokenizer(tokens.tokenizer_file()) is t
+    kernels.begin("near_dedup")
+    assert tokens.tokenizer.cache_info().currsize == 0 and tokens.tokenizer(tokens.tokenizer_file()) is not t
+
+
 # --- 6 mixing ---
 
 
