@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontaminate, licences, mixing, near_dedup, negatives, quality, secrets, sharding, tokens, urls, warc
+from . import alignment, decontaminate, licences, mixing, near_dedup, negatives, quality, repeats, secrets, sharding, tokens, urls, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_distribution_divergence, op2_secret_grammars, op3_huffman_tokens, op4_stratified_shards, op5_minhash_near_dedup,
-        op6_source_mixing, op7_fm_decontamination, op8_url_language_models, op9_warc, op10_license_digests, op12_token_alignment, op13_hard_negatives,
+        op6_source_mixing, op7_fm_decontamination, op8_url_language_models, op9_warc, op10_license_digests, op11_repeated_passages, op12_token_alignment, op13_hard_negatives,
     )
 }
 SQL: dict[str, str] = {"op6_source_mixing": mixing.SQL, "op9_warc": warc.SQL, "op10_license_digests": licences.sql()}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.llm import alignment, negatives
+from lodeseek.llm import alignment, negatives, repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,6 +20,95 @@ def clashing(df, *names):
     return df
 
 
+# --- 11 repeats ---
+
+
+def brute_repeats(texts, length):
+    """For each text (n_bytes, n_removed, n_spans, sha256 of what is left), every string looked at."""
+    data = [(t or "").encode() for t in texts]
+    seen = collections.Counter(x[i : i + length] for x in data for i in range(len(x) - length + 1))
+    out = []
+    for x in data:
+        gone = np.zeros(len(x) + 1, np.int8)
+        for i in range(len(x) - length + 1):
+            if seen[x[i : i + length]] > 1:
+                gone[i : i + length] = 1
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        out.append((len(x), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def summed(df, **options):
+    return sorted((r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in repeats.repeats(df, **options).collect())
+
+
+def test_repeats(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = d.select("doc_id", "text").collect()
+    want = {r.doc_id: w for r, w in zip(rows, brute_repeats([r.text for r in rows], 400))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(d).collect()}
+    assert got == want and any(0 < w[1] < w[0] for w in want.values())
+
+
+def repeating(seed, n):
+    """Texts of a small alphabet with passages, near copies, periods and texts around the length."""
+    rng = random.Random(seed)
+    word = lambda k, of="abcdé ": "".join(rng.choice(of) for _ in range(k))
+    shared = [word(rng.randrange(10, 120)) for _ in range(8)]
+    out = ["a" * 150, "ab" * 70, "abc" * 50 + "x" + "abc" * 50, "a" * 29, "a" * 30, "a" * 31, None, "", word(30), word(29)]
+    for _ in range(n):
+        parts = [word(rng.randrange(0, 60)) if rng.random() < 0.5 else rng.choice(shared) for _ in range(rng.randrange(1, 8))]
+        out.append("".join(parts))
+        if rng.random() < 0.3:
+            t = list(out[-1])
+            if t:
+                t[rng.randrange(len(t))] = "#"
+            out.append("".join(t))
+    return out + out[-5:]
+
+
+@pytest.mark.parametrize("most,block,hot,stretch", [(4096, 4096, None, None), (2, 3, 5, None), (4096, 7, None, 64)])
+def test_repeats_odd(spark, most, block, hot, stretch, monkeypatch):
+    """Short strings and all sizes: in one block; with crowded grams, hot keys and no broadcast; in short stretches."""
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    if hot:
+        monkeypatch.setattr("lodeseek.llm.common.HOT_ROWS", hot)
+        monkeypatch.setattr(repeats, "small", lambda df: df)
+    if stretch:
+        monkeypatch.setattr(repeats, "SLICE_BYTES", stretch)
+        monkeypatch.setattr(repeats, "slices", lambda texts: __import__("lodeseek.llm.kernels", fromlist=["slices"]).slices(texts, stretch))
+    texts = repeating(4, 150)
+    d = spark.createDataFrame([(None if i % 50 == 3 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    d = clashing(d, "spans", "start", "doc", "tag", "kept_sha256")
+    assert summed(d, length=30, gram=9) == sorted(brute_repeats(texts, 30))
+    if most == 4096:
+        assert summed(d, length=7) == sorted(brute_repeats(texts, 7))
+        assert repeats.report(d.limit(0)).count() == 0 and summed(d.where("text is null")) == [(0, 0, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_column_transform():
+    """Orders and common prefixes of every column, against sorted suffixes."""
+    rng = random.Random(1)
+    rows = [[rng.choice((97, 98)) if 2 <= k < 30 - i % 5 else 256 for k in range(32)] for i in range(60)]
+    group = np.sort(np.array([rng.randrange(4) for _ in rows]))
+    matrix = np.array(rows, np.uint16)
+    suffix = lambda i, t: [(x, 0) if x < 256 else (256, i) for x in rows[i][t:]]
+    for t, order, common in repeats.columns(matrix, group):
+        cut = lambda i: rows[i][t:]
+        assert [(group[i], cut(i)) for i in order] == sorted((group[i], cut(i)) for i in range(60))
+        for k in range(1, 60):
+            a, b = suffix(order[k - 1], t), suffix(order[k], t)
+            n = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+            assert common[k] == (n if group[order[k]] == group[order[k - 1]] else 0)
+
+
+def test_least():
+    x = np.random.default_rng(3).integers(0, 50, 1000).astype(np.uint64)
+    for w in (1, 2, 7, 999, 1000):
+        assert (repeats.least(x, w) == [x[i : i + w].min() for i in range(1001 - w)]).all()
+
+
 # --- 12 alignment ---
 
 
