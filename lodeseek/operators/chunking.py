@@ -208,6 +208,12 @@ def chunker_of(path_col: str = "path") -> F.Column:
     return F.when(ext.isin(*LANGUAGES), "declarations").when(ext.isin(*BLOCK_LANGUAGES), "blocks").when(ext.isin(*MARKDOWN), "markdown").otherwise("fixed")
 
 
+def language_of(path_col: str = "path") -> F.Column:
+    """The language whose declarations are read in files of a path, as a column; null for others."""
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return known[F.lower(F.regexp_extract(path_col, r"(\.[^./]+)$", 1))]
+
+
 def markdown_sections(files: DataFrame, key: str = "path", text_col: str = "content") -> DataFrame:
     """(key, ordinal, header_path, header_level, start_line, end_line, content) by built-in functions alone.
 

@@ -10,6 +10,7 @@ from ..engine import Engine
 from ..functions import code_nodes, scalar, text, vector
 from ..operators import changes, chunking, fusion, indexing, joins, maintenance, search
 from ..store import Store
+from . import code_shapes
 from .fixtures import TABLES_SQL as T
 from .fixtures import files, read, scratch, shared_store, tables
 from .read_queries import main_views
@@ -205,40 +206,63 @@ def l06(spark, sf):
     return d.select("doc_id").limit(100)
 
 
-@query("c07_language_map", "SELECT ext, CASE ext WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'tsx' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.java' THEN 'java' WHEN '.kt' THEN 'kotlin' WHEN '.kts' THEN 'kotlin' END AS language FROM (VALUES ('.ts'), ('.tsx'), ('.js'), ('.jsx'), ('.java'), ('.kt'), ('.kts'), ('.go')) AS x(ext)")
+_ENDINGS = (*code_nodes.LANGUAGES, ".go", ".TSX", "")
+
+
+@query("c07_language_map", f"SELECT doc_id, path, CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) {' '.join(f"WHEN '{e}' THEN '{x}'" for e, x in code_nodes.LANGUAGES.items())} END AS language FROM (SELECT doc_id, source || '/v.' || lang || '/' || doc_id || ([{', '.join(map(repr, _ENDINGS))}])[CAST(doc_id % {len(_ENDINGS)} + 1 AS INTEGER)] AS path FROM documents)")
 def c07(spark, sf):
-    ext = spark.range(1).select(F.explode(F.array(*map(F.lit, (".ts", ".tsx", ".js", ".jsx", ".java", ".kt", ".kts", ".go")))).alias("ext"))
-    name = F.lit(None).cast("string")
-    for e, language in code_nodes.LANGUAGES.items():
-        name = F.when(F.col("ext") == e, language).otherwise(name)
-    return ext.select("ext", name.alias("language"))
+    """The grammar of each document's path, whose ending follows from its id."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    paths = read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/v."), "lang", F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path"))
+    return paths.select("doc_id", "path", chunking.language_of("path").alias("language"))
+
+
+def code_files(spark, sf, shapes: list[tuple[str, str, str]]):
+    """A file a document, (path, content): its text as a comment, then one of the shapes (ending, code, declarations) by its id."""
+    at = (F.col("doc_id") % len(shapes) + 1).cast("int")
+    of = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in shapes]), at)
+    number = F.col("doc_id").cast("string")
+    code = F.regexp_replace(of(1), F.lit(r"(?<=\w)@"), number)
+    comment = F.concat(F.lit("/*\n"), F.translate(F.coalesce("text", F.lit("")), "*", " "), F.lit("\n*/\n"))
+    return read(spark, sf, "documents").select(F.concat(number, of(0)).alias("path"), F.concat(comment, code).alias("content"))
+
+
+def code_sql(shapes: list[tuple[str, str, str]]) -> str:
+    of = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = [f"({i}, '{ending}', '{code_nodes.LANGUAGES[ending]}', {n}, {of(name)}, '{kind}', {a}, {b}, {of(subtype)}, {of(receiver)})" for i, (ending, _, held) in enumerate(shapes) for n, (kind, name, a, b, subtype, receiver) in enumerate(code_shapes.declared(held))]
+    number, lines = "CAST(doc_id AS VARCHAR)", "length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 3"
+    # Runs of properties are named after their first line.
+    names = f"replace(CASE WHEN subtype = 'PROPERTIES' THEN regexp_replace(fqn, '[0-9]+$', CAST(a + {lines} AS VARCHAR)) ELSE fqn END, '@', {number}) AS fqn, kind AS fragment_type, subtype AS fragment_subtype, replace(receiver, '@', {number}) AS receiver_type"
+    return f"SELECT {number} || ext AS path, CAST(n AS INTEGER) AS ordinal, language, {names}, CAST(a + {lines} AS INTEGER) AS start_line, CAST(b + {lines} AS INTEGER) AS end_line FROM documents JOIN (VALUES {', '.join(rows)}) AS v(shape, ext, language, n, fqn, kind, a, b, subtype, receiver) ON doc_id % {len(shapes)} = shape"
+
+
+_SHAPES = {".ts": code_shapes.TYPESCRIPT, ".java": code_shapes.JAVA, ".kt": code_shapes.KOTLIN}
+_SHAPES = {ending: [(".tsx" if "<div" in code else ending, code, held) for code, held in shapes] for ending, shapes in _SHAPES.items()}
 
 
-def _code(spark, sf, ext: str, body: str):
-    """A file a label with the body's @ replaced by its id, chunked by declarations."""
-    d = read(spark, sf, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.replace(F.lit(body), F.lit("@"), F.col("doc_id").cast("string")).alias("content"))
-    return chunking.chunked(d, chunkers=[chunking.DeclarationChunker()]).select("path", "ordinal", "fqn", "fragment_type", "fragment_subtype", "receiver_type", "start_line", "end_line")
+def _declared(spark, sf, shapes):
+    return chunking.chunked(code_files(spark, sf, shapes)).select("path", "ordinal", "language", "fqn", "fragment_type", "fragment_subtype", "receiver_type", "start_line", "end_line")
 
 
-def _code_sql(ext: str, rows: list[tuple]) -> str:
-    of = lambda x: "NULL" if x is None else f"'{x}'"
-    values = ", ".join(f"({i}, '{fqn}', '{kind}', {a}, {b}, {of(subtype)}, {of(receiver)})" for i, (fqn, kind, a, b, subtype, receiver) in enumerate((*r, None, None)[:6] for r in rows))
-    return f"SELECT doc_id || '{ext}' AS path, n AS ordinal, replace(fqn, '@', CAST(doc_id AS VARCHAR)) AS fqn, kind AS fragment_type, subtype AS fragment_subtype, receiver AS receiver_type, a AS start_line, b AS end_line FROM labels, (VALUES {values}) AS v(n, fqn, kind, a, b, subtype, receiver)"
+@query("c06_declarations", code_sql([s for shapes in _SHAPES.values() for s in shapes]))
+def c06(spark, sf):
+    """Files of three languages side by side."""
+    return _declared(spark, sf, [s for shapes in _SHAPES.values() for s in shapes])
 
 
-@query("c08_typescript_nodes", _code_sql(".ts", [("A@", "CLASS", 1, 5), ("A@.m", "METHOD", 2, 4), ("f@", "FUNCTION", 6, 6), ("I@", "INTERFACE", 7, 7), ("T@", "TYPE", 8, 8), ("E@", "ENUM", 9, 9)]))
+@query("c08_typescript_nodes", code_sql(_SHAPES[".ts"]))
 def c08(spark, sf):
-    return _code(spark, sf, ".ts", "export class A@ {\n  m(): number {\n    return 1;\n  }\n}\nconst f@ = () => 1;\ninterface I@ { x: number }\nexport type T@ = string;\nenum E@ { X }\n")
+    return _declared(spark, sf, _SHAPES[".ts"])
 
 
-@query("c09_java_nodes", _code_sql(".java", [("p.q.C@", "CLASS", 3, 9), ("p.q.C@.C@", "METHOD", 5, 5, "CONSTRUCTOR"), ("p.q.C@.m", "METHOD", 6, 8)]))
+@query("c09_java_nodes", code_sql(_SHAPES[".java"]))
 def c09(spark, sf):
-    return _code(spark, sf, ".java", "package p.q;\n\n/** About it. */\npublic class C@ {\n  C@() { }\n  int m() {\n    return 1;\n  }\n}\n")
+    return _declared(spark, sf, _SHAPES[".java"])
 
 
-@query("c10_kotlin_nodes", _code_sql(".kt", [("p.D@", "CLASS", 2, 4), ("p.D@.m", "METHOD", 3, 3), ("p.plus", "FUNCTION", 5, 5, "EXTENSION_FUNCTION", "String"), ("p._properties_6", "FUNCTION", 6, 6, "PROPERTIES")]))
+@query("c10_kotlin_nodes", code_sql(_SHAPES[".kt"]))
 def c10(spark, sf):
-    return _code(spark, sf, ".kt", "package p\nclass D@ {\n  fun m(): Int { return 1 }\n}\nfun String.plus(): String = this\nval x = 1\n")
+    return _declared(spark, sf, _SHAPES[".kt"])
 
 
 @query("i01_directory_scan", "SELECT doc_id || '.txt' AS path, text AS content FROM documents WHERE doc_id % 2 = 0 AND strlen(text) <= 1048576")

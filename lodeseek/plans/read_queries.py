@@ -549,26 +549,6 @@ def c01(spark, sf):
     return read(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path")).select("path", chunking.chunker_of().alias("chunker"))
 
 
-_DECLARED = (
-    (".java", 0, "java", "a.b.C@", "CLASS", None, 3, 7), (".java", 1, "java", "a.b.C@.get", "METHOD", None, 4, 6), (".ts", 0, "typescript", "C@", "CLASS", None, 1, 5), (".ts", 1, "typescript", "C@.get", "METHOD", None, 2, 4),
-    (".ts", 2, "typescript", "f", "FUNCTION", None, 6, 6), (".kt", 0, "kotlin", "a.b.C@", "CLASS", "DATA_CLASS", 3, 5), (".kt", 1, "kotlin", "a.b.C@.get", "METHOD", None, 4, 4), (".kt", 2, "kotlin", "a.b._properties_6", "FUNCTION", "PROPERTIES", 6, 6),
-)
-
-
-@query("c06_declarations", "SELECT doc_id || ext AS path, CAST(n AS INTEGER) AS ordinal, language, replace(fqn, '@', CAST(doc_id AS VARCHAR)) AS fqn, kind AS fragment_type, sub AS fragment_subtype, a AS start_line, b AS end_line FROM labels, (VALUES " + ", ".join(map(str, _DECLARED)).replace("None", "NULL") + ") AS v(ext, n, language, fqn, kind, sub, a, b)")
-def c06(spark, sf):
-    """Generated classes, one a document of labels: a class with one method in each language."""
-    d = read(spark, sf, "labels").select("doc_id")
-    n = F.col("doc_id").cast("string")
-    code = F.array(
-        F.struct(F.lit(".java").alias("ext"), F.concat(F.lit("package a.b;\n\npublic class C"), n, F.lit(" {\n  public int get() {\n    return 1;\n  }\n}\n")).alias("content")),
-        F.struct(F.lit(".ts").alias("ext"), F.concat(F.lit("export class C"), n, F.lit(" {\n  get(): number {\n    return 1;\n  }\n}\nexport const f = () => 1;\n")).alias("content")),
-        F.struct(F.lit(".kt").alias("ext"), F.concat(F.lit("package a.b\n\ndata class C"), n, F.lit("(val x: Int) {\n  fun get(): Int = x\n}\nval y = 1\n")).alias("content")),
-    )
-    f = d.select("doc_id", F.explode(code).alias("x")).select(F.concat(F.col("doc_id").cast("string"), "x.ext").alias("path"), "x.content")
-    return chunking.chunked(f).select("path", "ordinal", "language", "fqn", "fragment_type", "fragment_subtype", "start_line", "end_line")
-
-
 @query("s01_query_terms", "SELECT item_id, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda t: lower(regexp_replace(t, '[^a-zA-Z0-9а-яА-ЯёЁ_]', '', 'g'))), lambda t: t <> ''))) AS terms FROM benchmark")
 def s01(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", F.array_sort(text.query_terms_column(F.col("text"))).alias("terms"))

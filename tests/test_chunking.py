@@ -1,10 +1,15 @@
 """Windows, Markdown, blocks, declarations."""
 
+import random
+import re
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodeseek.functions.code_nodes import java, kotlin, typescript
+from lodeseek.functions.code_nodes import EXTRACTORS, java, kotlin, typescript
 from lodeseek.operators import chunking as C
+from lodeseek.plans import code_shapes
 
 LINES = st.lists(st.text("ab ", max_size=12), min_size=1, max_size=40)
 
@@ -88,6 +93,39 @@ def test_kotlin():
     assert ("ENUM", "p.E", None, None) in got and kotlin(code)[-1].fqn == "p._properties_3" and kotlin(code)[-1].subtype == "PROPERTIES"
 
 
+@pytest.mark.parametrize("language,shapes", [("typescript", code_shapes.TYPESCRIPT), ("java", code_shapes.JAVA), ("kotlin", code_shapes.KOTLIN)])
+def test_shapes_of_code(language, shapes):
+    """Templates, regular expressions, text blocks, generics, nested comments, overloads, anonymous classes, accessors, broken code."""
+    assert len(shapes) >= 20
+    for code, held in shapes:
+        code = re.sub(r"(?<=\w)@", "7", code)
+        want = [(kind, name.replace("@", "7"), a, b, sub, receiver and receiver.replace("@", "7")) for kind, name, a, b, sub, receiver in code_shapes.declared(held)]
+        assert [(n.fragment_type, n.fqn, n.start_line, n.end_line, n.subtype, n.receiver) for n in EXTRACTORS[language](code)] == want, code
+        # Windows line ends and what stands before don't matter.
+        assert [(n.fqn, n.start_line - 2, n.end_line - 2) for n in EXTRACTORS[language]("\r\n;\r\n" + code.replace("\n", "\r\n"))] == [(w[1], w[2], w[3]) for w in want] or "package" in code
+
+
+def test_any_text_ends():
+    """Random pieces of code, cut and mixed: readers end, and lines lie in the text and in order."""
+    rng = random.Random(7)
+    bits = ["class ", "fun ", "{", "}", "(", ")", "<", ">", "`", '"', "'", '"""', "${", "/", "//", "/*", "*/", "\n", ";", "=", "=>", "->", "@", "@A(", "x", " y ", "new ", "val ", "get()", "const ", "interface ", "enum ", "package p", "companion object", ",", ":", ".", "?.", "[", "]", "\\", "import z", "namespace N", "record R", "type T ="]
+    for k in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(60)))
+        if k % 3 == 0:
+            code = rng.choice(rng.choice([code_shapes.TYPESCRIPT, code_shapes.JAVA, code_shapes.KOTLIN]))[0]
+            at = rng.randrange(len(code))
+            text = code[: at] + text + code[at + rng.randrange(8) :]
+        for language in ("typescript", "java", "kotlin"):
+            for n in EXTRACTORS[language](text):
+                assert 1 <= n.start_line <= n.end_line <= text.count("\n") + 1 and n.fqn
+
+
+def test_deep_and_long_code():
+    for text in ("(" * 20_000, "{" * 20_000 + ")" * 20_000, "([{" * 9_000 + "}])" * 9_000, "`${" * 500, "class A {" * 300, "'" * 20_000, "/*" * 9_000, "x<" * 9_000):
+        for language in ("typescript", "java", "kotlin"):
+            EXTRACTORS[language](text)
+
+
 def test_dispatch_and_ordinals(spark):
     df = spark.createDataFrame([("a.md", "# A\nx\n# B\ny"), ("b.txt", "t"), ("c.py", "x"), ("d.java", "class C {}"), ("e.txt", None), ("f.txt", "")], "path string, content string")
     rows = C.chunked(df).collect()
