@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Freed Arrow buffers go back to the system, as JVM and Python share the executor's memory.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -39,6 +41,8 @@ def begin(owner: str) -> None:
 
 
 SLICE_BYTES = 1 << 19
+#: Bits of a minimum that sketches keep.
+BITS = 2
 U = np.uint64
 
 
@@ -143,3 +147,13 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterat
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
+
+
+def estimate(a: Column, b: Column, permutations: int = 160) -> Column:
+    """Similarity from two sketches: the share of equal 2-bit values, less the share that agrees by chance."""
+    differ = F.lit(0)
+    for k in range((permutations * BITS + 63) // 64):
+        x = a[k].bitwiseXOR(b[k])
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    chance = 2.0**-BITS
+    return ((F.lit(1.0) - differ / F.lit(float(permutations))) - chance) / (1 - chance)

@@ -4,16 +4,21 @@ Every text gives the set of its distinct 5-word shingles, 160 minima (permutatio
 each, and a packed sketch of the lowest 2 bits of each minimum. Pairs come from equal band keys, are screened by
 the collision-corrected estimate from counting equal bit pairs, and are confirmed on the full shingle sets.
 
-Pairs are never all listed. Texts with equal sets form one class first; in each band group every class meets the
-group's smallest member. Groups whose other members then still lie in different components (texts of one template,
-say) are split by rare shingles: by the number of these members that hold a shingle, fewest first, two sets as similar as
-that must share one of their first 15 %, and the smaller one (or either of two equal ones) one of its first 8 %; the
-places also bound what they can share at most. Pairs that share a band key and such a shingle, with sizes that allow
-the similarity, go the same way as the others. No candidate link is left out by this, and texts that share a template,
-but differ elsewhere by more than the threshold allows, don't meet.
+Texts with equal sets form one class first; in each band group every class meets the group's smallest member. Groups whose
+other members then still lie in different components (texts of one template, say) are split by rare shingles: by the
+number of these members that hold a shingle, fewest first, two sets as similar as that must share one of their first
+15 %, and the smaller one (or either of two equal ones) one of its first 8 %; the places also bound what they can share at
+most. Pairs that share a band key and such a shingle, with sizes that allow the similarity, go the same way as the others.
+No candidate link is left out by this, and texts that share a template, but differ elsewhere by more than the threshold
+allows, don't meet.
+
+A shingle that more than CROWD of these members hold lists no pairs: what it would list grows with their square. Texts with
+such a shingle among their first 15 % are crowded, and two crowded texts meet by MinHash once more, over their rarest
+shingles only (`crowded`), where texts of one template have little in common, and linked ones must have much.
 
 At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**6)**26, about 5e-6; the screen lets
-through estimates down to 0.18 below the threshold (3 standard deviations).
+through estimates down to 0.18 below the threshold (3 standard deviations). A pair of crowded texts is missed with
+probability 1e-5 at most beside that.
 
 Whatever share of the rows a band key, a leader, a class or a component holds, its rows are dealt over many tasks: hot
 keys are looked up by a broadcast of those few, and a leader's text goes to as many places as there are shuffle
@@ -37,12 +42,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import crowded
 from .common import col, hot_keys, looked_up, ready, small, spare, written
 from .components import connected_components
-from .kernels import U, Words, begin, class_table, mix, slices, stream
+from .kernels import BITS, U, Words, begin, class_table, estimate, mix, slices, stream
 
-SHINGLE, PERMUTATIONS, BANDS, ROWS, BITS = 5, 160, 26, 6, 2
+SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 160, 26, 6
 MARGIN = 0.18
+#: Holders that a shingle may have at most to list their pairs; beyond, the texts meet as crowded ones do.
+CROWD = 24
 WORD = class_table([(0x20, 0x20), (0x09, 0x0D)])
 _weights = stream(SHINGLE + 1, 2)
 _a = (stream(1024, 3) >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -93,16 +101,6 @@ def packed(m: np.ndarray) -> np.ndarray:
     return (out.reshape(-1, per) << (np.arange(per, dtype=np.uint64) * U(BITS))[None, :]).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
-    """Similarity from two sketches: the share of equal 2-bit values, less the share that agrees by chance."""
-    differ = F.lit(0)
-    for k in range((permutations * BITS + 63) // 64):
-        x = a[k].bitwiseXOR(b[k])
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    chance = 2.0**-BITS
-    return ((F.lit(1.0) - differ / F.lit(float(permutations))) - chance) / (1 - chance)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin("near_dedup")
     for batch in batches:
@@ -177,8 +175,11 @@ def _links(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("a", "place").sortWithinPartitions("a", "place", F.col("b").asc_nulls_first()).mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle rare enough; sets: (id, comp, shingles), an id once."""
+def _rare_pairs(sets: DataFrame, percent: int, stars: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar; sets: (id, comp, shingles), an id once.
+
+    Pairs that share a shingle rare enough, and crowded pairs; of those, the ones in one component of stars (a, b), or any.
+    """
     posts = sets.select("id", "comp", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("w"))
     times = written(posts.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "times")
     held = looked_up(posts, times.withColumnRenamed("n", "times"), "w", hot_keys("w", counted=times))
@@ -186,12 +187,14 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     of_id = Window.partitionBy("id")
     place = F.col("n") - F.count("*").over(of_id) + F.row_number().over(of_id.orderBy("times", "w")) - 1
     first = lambda part, whole: F.col("n") - F.expr(f"({part} * n + {whole - 1}) div {whole}") + 1
-    near = held.select("id", "comp", "n", "w", place.alias("place")).where(F.col("place") < first(percent, 100))
+    near = held.select("id", "comp", "n", "w", "times", place.alias("place")).where(F.col("place") < first(percent, 100))
     near = written(near.withColumn("inner", F.col("place") < first(2 * percent, 100 + percent)), "rare")
+    many = written(near.where(F.col("times") > CROWD).select("id").distinct(), "crowded")
+    near = near.where(F.col("times") <= CROWD)
     # Of each shingle's holders, those of its commonest component meet only the others.
     split = near.groupBy("w", "comp").agg(F.count("*").alias("m")).groupBy("w").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("m").alias("n"))
     split = written(split.where("comps > 1"), "split")
-    near = written(looked_up(near, split.select("w", "major"), "w", hot_keys("w", counted=split)), "rare-split")
+    near = written(near.join(split.select("w", "major"), "w"), "rare-split")  # CROWD rows a shingle at most
     step = log(100 / percent) * 1.0001 if percent < 100 else 1.0
     grade = F.floor(F.log("n") / F.lit(step)).cast("int")
     x = near.where("inner").select("w", "place", grade.alias("grade"), F.col("id").alias("i"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"), (F.col("comp") != F.col("major")).alias("minor_x"))
@@ -200,7 +203,16 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     most = F.least(F.col("n_x") - F.col("place"), F.col("n_y") - F.col("place_y"))  # what they can share from their first common shingle on
     on = (F.col("c_x") != F.col("c_y")) & sizes & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
     found = x.where("minor_x").join(y, ["w", "grade"]).where(on).unionByName(x.where("not minor_x").join(y.where("minor_y"), ["w", "grade"]).where(on))
-    return found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    found = found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    if not many.isEmpty():
+        of = held.select("id", "comp", "n", "w", "times").join(small(many), "id", "left_semi")
+        cluster = F.col("id") * 0
+        if stars is not None:
+            together = connected_components(stars, "clusters")
+            of = of.join(together.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id", "left")
+            cluster = F.coalesce("cluster", "id")
+        found = found.unionByName(crowded.pairs(of.withColumn("cluster", cluster), percent))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -230,8 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members.where("id <> leader"), "members")
 
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    stars = written(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    stars = looked_up(stars, side("a"), "a", hot_keys("a", stars)).join(side("b"), "b").where(_near("n_a", "n_b", percent)).select("a", "b")
+    met = written(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = looked_up(met, side("a"), "a", hot_keys("a", met)).join(side("b"), "b").where(_near("n_a", "n_b", percent)).select("a", "b")
     stars = written(stars, "near-stars")
     links = written(_links(texts, stars, percent), "links")
     found = connected_components(links)
@@ -244,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = written(looked_up(known, mixed.select("key"), "key", hot_keys("key", counted=mixed)).select("id", "comp").distinct(), "mixed-ids")
     if not ids.isEmpty():
         sets = texts.join(small(ids.select("id")), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>")
-        rest = written(_rare_pairs(written(sets.join(ids, "id"), "sets"), percent).join(stars, ["a", "b"], "left_anti"), "rest")
+        rest = written(_rare_pairs(written(sets.join(ids, "id"), "sets"), percent, met).join(stars, ["a", "b"], "left_anti"), "rest")
         rest = looked_up(rest, side("a"), "a", hot_keys("a", rest))
         rest = written(rest.join(side("b"), "b").where(_common_band() & _near("n_a", "n_b", percent)).select("a", "b"), "near-rest")
         if not rest.isEmpty():

@@ -509,6 +509,59 @@ def test_template_pairs_do_not_meet(spark):
         assert n // 40 <= pairs <= n // 4
 
 
+def alternative_rows(n, seed=5, places=20, fixed=40, alternatives=6, words=4):
+    """Texts of fixed words with one of a few phrases at each of some places."""
+    rng = random.Random(seed)
+    phrase = [[[f"p{p}a{a}w{k}" for k in range(words)] for a in range(alternatives)] for p in range(places)]
+    return [(i, " ".join(w for p in range(places) for w in [*(f"f{p}x{k}" for k in range(fixed)), *rng.choice(phrase[p])])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n,places,fixed,alternatives,words,hot", [(400, 20, 40, 6, 4, None), (250, 12, 30, 3, 2, 5), (300, 30, 12, 2, 1, None)])
+def test_texts_of_few_alternatives(spark, n, places, fixed, alternatives, words, hot, monkeypatch):
+    """Every shingle is held by a good part of all texts; few pairs, or many, are linked."""
+    from lodeseek.llm import common
+
+    if hot:
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = alternative_rows(n, 5, places, fixed, alternatives, words)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute.components(dict(rows)).items()}
+
+
+def test_alternatives_do_not_list_pairs(spark):
+    """What is listed between such texts is near what is linked, at four times the texts too."""
+    import pyarrow as pa
+
+    for n in (500, 2000):
+        rows = alternative_rows(n)
+        sets = [(i, i, x.view(np.int64).tolist()) for (i, _), x in zip(rows, near_dedup.shingle_sets(pa.array([t for _, t in rows])))]
+        assert near_dedup._rare_pairs(spark.createDataFrame(sets, "id long, comp long, shingles array<long>"), 85).count() <= n // 2
+
+
+def test_bands_of_crowded_texts():
+    """Enough bands that a link is found; the similarity that links reach holds for sets at the edge."""
+    from lodeseek.llm import crowded
+
+    for s, k in ((0.2, 1), (0.35, 3), (0.6, 8)):
+        assert (1 - s**k) ** crowded.bands(s, k) <= crowded.MISS
+    rng = random.Random(2)
+    for _ in range(300):
+        n_a = rng.randrange(6, 900)
+        n_b = rng.randrange(n_a, int(n_a / 0.85) + 1)
+        least = -(-85 * (n_a + n_b) // 185)  # what linked sets share
+        if least > n_a:
+            continue
+        alone_a, alone_b = n_a - least, n_b - least
+        g, d = crowded.grade(n_a, 0.85), crowded.grade(n_b, 0.85) - crowded.grade(n_a, 0.85)
+        assert 0 <= d <= crowded.STEPS
+        for part in crowded.PARTS:
+            m_a, m_b, s = crowded.lengths(g, d, part, 0.85)
+            m_a, m_b = min(n_a, -int(-m_a // 1)), min(n_b, -int(-m_b // 1))
+            # At worst all that is not shared comes first.
+            both = min(max(0, m_a - alone_a), max(0, m_b - alone_b))
+            assert both / (m_a + m_b - both) >= s - 1e-9 or m_a == n_a or m_b == n_b
+
+
 def test_repeated_ids_with_different_texts(spark):
     """One text speaks for the id; all rows of the id have its component and their own set sizes."""
     rng = random.Random(2)
