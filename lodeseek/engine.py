@@ -313,8 +313,10 @@ class Engine:
     def re_embed(self, source_name: str | None = None, force: bool = False) -> int:
         """Embeds contents that have no vector, or all with force; only a source's if one is named."""
         t = self.store.tables()
-        k = t["chunk_contents"] if source_name is None else joins.contents_of_source(t, source_name)
-        todo = (k if force else k.where("embedding is null")).select("content_hash", "content")
+        k = t["chunk_contents"] if force else t["chunk_contents"].where("embedding is null")
+        if source_name is not None:
+            k = k.join(joins.reembed_selection(t, joins.views_of_source(t, source_name), force=force), "content_hash", "left_semi")
+        todo = k.select("content_hash", "content")
         change = self.store.change()
         new = change.scratch(self.embedder.embed(todo, "content", "embedding").select("content_hash", "embedding").where("embedding is not null"))
         n = new.count()
@@ -340,10 +342,8 @@ class Engine:
         views = t["source_views"].join(self.scope(source_name=source_name).views, "id", "left_semi")
         rows = summarize.inputs(t, views, limit)
         if dry_run:
-            r = aggregates.dry_run(rows, 500).first()
-            mean = rows.agg(F.avg(F.length("content"))).first()[0] or 0.0
-            tokens_in, tokens_out, cost = aggregates.dry_run_cost(r.expected, mean, input_price, output_price)
-            return r.asDict() | {"input_tokens": tokens_in, "output_tokens": tokens_out, "cost": scalar.format_cost(cost)}
+            r = aggregates.dry_run(rows, 500, input_price, output_price).first()
+            return r.asDict() | {"cost": scalar.format_cost(r.cost)}
         change = self.store.change()
         new = change.scratch(summarize.summarized(rows, self.summarizer, self.embedder))
         n = new.groupBy(F.regexp_extract("summary", r"^\[(skipped|failed):", 1).alias("state")).agg(F.count("*").alias("n")).collect()

@@ -16,6 +16,12 @@ def counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def file_counts(indexed_files: DataFrame, views: DataFrame, key: str = "ref_name") -> DataFrame:
+    """(key, files) of the views (id, key)."""
+    of = views.select(F.col("id").alias("source_view_id"), key)
+    return indexed_files.select("id", "source_view_id").join(of, "source_view_id").groupBy(key).agg(F.countDistinct("id").alias("files"))
+
+
 def list_sources(sources: DataFrame, kind: str | None = None, prefix: str | None = None, n: int | None = None) -> DataFrame:
     """Sources by name, optionally of a type, below a path, and at most n."""
     if kind:
@@ -76,16 +82,17 @@ def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
     return e.join(r, on, "left").groupBy("query_id", "category").agg(F.min("rank").alias("rank"))
 
 
-def dry_run(open_contents: DataFrame, sample: int) -> DataFrame:
-    """One row: sample size, skipped in it, their share, all contents, and how many are expected to be summarised."""
+def dry_run(open_contents: DataFrame, sample: int, input_price: float = 0.0, output_price: float = 0.0, output_tokens: int = 300) -> DataFrame:
+    """One row: sample size, skipped in it, their share, all contents, how many are expected to be summarised, and what that takes.
+
+    Tokens are a quarter of the characters; prices are those of a million tokens.
+    """
     head = open_contents.select("content_hash", "content").orderBy("content_hash").limit(sample)
     s = head.agg(F.count("*").cast("double").alias("sample"), F.count_if(scalar.gate(F.col("content"), F.lit("text")).isNotNull()).cast("double").alias("skipped")).withColumn("_one", F.lit(1))
-    t = open_contents.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
+    t = open_contents.agg(F.count("*").alias("total"), F.coalesce(F.avg(F.length("content")), F.lit(0.0)).alias("mean")).withColumn("_one", F.lit(1))
     rate = F.coalesce(F.try_divide("skipped", "sample"), F.lit(0.0))
-    return s.join(t, "_one").select("sample", "skipped", F.round(rate, 6).alias("skip_rate"), "total", F.floor(F.col("total") * (1 - rate) + 0.5).cast("long").alias("expected"))
-
+    row = s.join(t, "_one").select("sample", "skipped", F.round(rate, 6).alias("skip_rate"), "total", F.floor(F.col("total") * (1 - rate) + 0.5).cast("long").alias("expected"), "mean")
+    row = row.select("*", F.floor(F.col("expected") * F.col("mean") / CHARS_PER_TOKEN + 0.5).cast("long").alias("input_tokens"), (F.col("expected") * output_tokens).cast("long").alias("output_tokens"))
+    cost = F.col("input_tokens") / 1e6 * input_price + F.col("output_tokens") / 1e6 * output_price
+    return row.drop("mean").withColumn("cost", F.round(cost, 9))
 
-def dry_run_cost(expected: int, mean_chars: float, input_price: float, output_price: float, output_tokens: int = 300) -> tuple[int, int, float]:
-    """Input tokens, output tokens and cost (prices a million tokens) of so many summaries."""
-    tokens_in, tokens_out = scalar.js_round(expected * mean_chars / CHARS_PER_TOKEN), expected * output_tokens
-    return tokens_in, tokens_out, tokens_in / 1e6 * input_price + tokens_out / 1e6 * output_price

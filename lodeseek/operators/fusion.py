@@ -9,7 +9,9 @@ K, WEIGHTS_2, WEIGHTS_3 = 60, {"text": 0.4, "vector": 0.6}, {"text": 0.3, "vecto
 
 
 def ranked(channel: DataFrame, name: str, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by.., id, channel, score, rank): rank from 1 by score, ties by id. The channel is a top-k list already."""
+    """(by.., id, channel, score, rank): rank from 1 by score, ties by id. The channel is a top-k list, or has its ranks already."""
+    if "rank" in channel.columns:
+        return channel.select(*by, id_col, F.lit(name).alias("channel"), F.col("score").cast("double").alias("score"), "rank")
     over = Window.partitionBy(*by, F.lit(name)).orderBy(F.desc("score"), id_col)
     return channel.select(*by, id_col, F.lit(name).alias("channel"), F.col("score").cast("double").alias("score"), F.row_number().over(over).alias("rank"))
 
@@ -17,7 +19,8 @@ def ranked(channel: DataFrame, name: str, id_col: str = "id", by: tuple[str, ...
 def fused(channels: dict[str, DataFrame], weights: dict[str, float], k: int = K, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., id, fused, NAME_score for each channel): sum of weight / (k + rank); channels of weight 0 are left out.
 
-    One union and one aggregation whatever the number of channels, so full-outer joins aren't needed.
+    One union and one aggregation whatever the number of channels, so full-outer joins aren't needed. Channels are lists
+    of bounded length for each query; a longer one comes with its ranks (ranks.numbered), as ranking here takes one task.
     """
     parts = [ranked(df, name, id_col, by) for name, df in channels.items() if weights.get(name, 0) > 0]
     if not parts:

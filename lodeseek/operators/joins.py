@@ -84,6 +84,21 @@ def contents_of_source(tables: dict[str, DataFrame], name: str) -> DataFrame:
     return tables["chunk_contents"].join(c.select(F.col("chunk_content_hash").alias("content_hash")), "content_hash", "left_semi")
 
 
+def reembed_selection(tables: dict[str, DataFrame], views: DataFrame | None = None, source_type: str | None = None, path_prefix: str | None = None, force: bool = False) -> DataFrame:
+    """(content_hash, path) of contents to embed again, each with its first path among the chunks that the filters leave.
+
+    Contents without a vector, or with force all.
+    """
+    k = tables["chunk_contents"] if force else tables["chunk_contents"].where("embedding is null")
+    c = tables["chunks"] if views is None else in_views(tables["chunks"], views)
+    if source_type is not None:
+        c = c.where(F.col("source_type") == source_type)
+    if path_prefix:
+        c = c.where(F.col("path").startswith(path_prefix))
+    first = c.groupBy(F.col("chunk_content_hash").alias("content_hash")).agg(F.min("path").alias("path"))
+    return k.select("content_hash").join(first, "content_hash")
+
+
 def first_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -131,6 +131,14 @@ def summaries_exist(chunks: DataFrame, contents: DataFrame, scope: Scope) -> boo
     return not held.join(scope_hashes(chunks, scope), "content_hash", "left_semi").limit(1).isEmpty()
 
 
+def summaries_by(chunks: DataFrame, contents: DataFrame, views: DataFrame, key: str) -> DataFrame:
+    """(key, three_way) for many scopes in one job: whether some content of the views (id, key) has a summary embedding."""
+    of = views.select(F.col("id").alias("source_view_id"), key)
+    held = contents.select(F.col("content_hash").alias("chunk_content_hash"), F.col("summary_embedding").isNotNull().alias("has")).where("has")
+    found = chunks.select("source_view_id", "chunk_content_hash").join(held, "chunk_content_hash", "left_semi").select("source_view_id").distinct()
+    return of.join(found.withColumn("has", F.lit(True)), "source_view_id", "left").groupBy(key).agg(F.max(F.coalesce("has", F.lit(False))).alias("three_way"))
+
+
 def candidates(chunks: DataFrame, contents: DataFrame, query: str, query_vector: list[float], scope: Scope, options: Options, three_way: bool, posts: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """(id, fused, text_score, vector_score[, summary_score]) of the content hashes to hydrate, ranked after scoping.
 
@@ -169,6 +177,12 @@ def shaped(rows: DataFrame, three_way: bool) -> DataFrame:
     )
 
 
+def mode_of(n_hashes: F.Column, three_way: F.Column) -> F.Column:
+    """mode, as a column."""
+    size = F.when(n_hashes == 0, "empty").when(n_hashes < NARROW, "narrow").otherwise("broad")
+    return F.concat(size, F.when(three_way & (n_hashes > 0), "+summary").otherwise(""))
+
+
 def mode(n_hashes: int, three_way: bool) -> str:
     """How the scope counts: empty, narrow or broad, and whether summaries take part."""
     return "empty" if not n_hashes else ("narrow" if n_hashes < NARROW else "broad") + "+summary" * three_way

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import code_nodes, scalar, text, vector
-from ..operators import changes, chunking, fusion, indexing, joins, maintenance, search
+from ..operators import changes, chunking, fusion, indexing, joins, maintenance, ranks, search
 from ..store import Store
 from . import code_shapes
 from .fixtures import TABLES_SQL as T
@@ -59,8 +59,10 @@ def j17_b(spark, sf):
     "WITH r AS (SELECT doc_id AS id, quality AS channel, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS rank FROM labels UNION ALL SELECT doc_id, 2, row_number() OVER (ORDER BY doc_id DESC) FROM labels) SELECT id, round(sum(CASE channel WHEN 2 THEN 0.6 ELSE 0.4 END / (60 + rank)), 9) AS fused FROM r GROUP BY id",
 )
 def a12(spark, sf):
+    """Three rankings of whole tables, ranked by ranges, so none goes through one task."""
     d = read(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
     channels = {f"q{q}": d.where(F.col("quality") == q).select("id", (-F.col("id")).alias("score")) for q in (0, 1)} | {"all": d.select("id", F.col("id").alias("score"))}
+    channels = {name: ranks.numbered(c, [F.desc("score"), F.col("id")], "rank", scratch(spark, f"rank-{name}")) for name, c in channels.items()}
     return fusion.fused(channels, {"q0": 0.4, "q1": 0.4, "all": 0.6}).select("id", "fused")
 
 
@@ -92,14 +94,14 @@ def w05(spark, sf):
 
 @query(
     "w09_finalise",
-    "SELECT 'branch' AS view_kind, ref AS ref_name, CAST(count(*) AS INTEGER) AS file_count, true AS counted, ref = 'b' AS active FROM documents, (VALUES ('a'), ('b')) AS r(ref) WHERE source = 'src1' AND (ref = 'a' OR doc_id % 3 > 0) GROUP BY ref",
+    "SELECT 'branch' AS view_kind, ref AS ref_name, CAST(count(*) AS INTEGER) AS file_count, true AS counted, ref = 'b' AS active FROM documents, (VALUES ('a'), ('b')) AS r(ref) WHERE ref = 'a' OR doc_id % 3 > 0 GROUP BY ref",
 )
 def w09(spark, sf):
-    """Indexes two branches of a source; the view indexed last is the active one."""
+    """Indexes all documents as one branch of a source, and two thirds as another; the view indexed last is the active one."""
     engine = Engine(spark, scratch(spark, "finalise"))
-    d = read(spark, sf, "documents").where("source = 'src1'").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    engine.index_documents("src1", d.select("path", "content"), "a", "2024-01-01 00:00:00")
-    engine.index_documents("src1", d.where("doc_id % 3 > 0").select("path", "content"), "b", "2024-01-02 00:00:00")
+    d = read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    engine.index_documents("all", d.select("path", "content"), "a", "2024-01-01 00:00:00")
+    engine.index_documents("all", d.where("doc_id % 3 > 0").select("path", "content"), "b", "2024-01-02 00:00:00")
     t = engine.store.tables()
     chunks = t["chunks"].groupBy(F.col("source_view_id").alias("id")).agg(F.count("*").alias("n"))
     v = t["source_views"].join(chunks, "id").join(t["sources"].select(F.col("active_view_id")), F.col("active_view_id") == F.col("id"), "left")
@@ -114,16 +116,17 @@ def w16(spark, sf):
 
 @query(
     "w18_index_view",
-    T + "SELECT n.path, n.content_hash, CAST(octet_length(CAST(n.content AS BLOB)) AS BIGINT) AS bytes FROM (SELECT * FROM files WHERE ref = 'feature') n LEFT JOIN (SELECT * FROM files WHERE ref = 'main') o ON o.path = n.path WHERE o.path IS NULL OR o.content_hash <> n.content_hash".replace("octet_length(CAST(n.content AS BLOB))", "strlen(n.content)"),
+    T + "SELECT n.path, n.content_hash, CAST(CASE WHEN NOT EXISTS (SELECT 1 FROM files m WHERE m.ref = 'main' AND m.content_hash = n.content_hash) THEN strlen(n.content) END AS BIGINT) AS new_bytes FROM (SELECT * FROM files WHERE ref = 'feature') n LEFT JOIN (SELECT * FROM files WHERE ref = 'main') o ON o.path = n.path WHERE o.path IS NULL OR o.content_hash <> n.content_hash",
 )
 def w18(spark, sf):
-    """What indexing the feature files over the main view writes: files, with their blobs' sizes."""
+    """What indexing the feature files over the main view writes: files, with the bytes of blobs that the store hasn't yet."""
     t = tables(spark, sf)
     main = files(spark, sf).where("ref = 'main'")
     state = t | {"indexed_files": main.select(F.lit("v").alias("source_view_id"), "path", "content_hash")}
-    state["file_blobs"], state["chunk_contents"] = t["file_blobs"].limit(0), t["chunk_contents"].limit(0)
+    for name in ("file_blobs", "chunk_contents"):
+        state[name] = t[name].join(main.select("content_hash"), "content_hash", "left_semi")
     done = indexing.index_view(files(spark, sf).where("ref = 'feature'").select("path", "content"), "v", state, indexing.HashEmbedder(8), F.to_timestamp(F.lit("2024-01-01")))
-    return done.files.join(done.blobs.select("content_hash", F.col("byte_size").alias("bytes")), "content_hash").select("path", "content_hash", "bytes")
+    return done.files.join(done.blobs.select("content_hash", F.col("byte_size").alias("new_bytes")), "content_hash", "left").select("path", "content_hash", "new_bytes")
 
 
 @query("w20_embedding_deferred", T + "SELECT CAST(count(*) FILTER (WHERE length(content) % 3 = 0) AS BIGINT) AS deferred, CAST(count(*) FILTER (WHERE length(content) % 3 > 0) AS BIGINT) AS embedded FROM chunk_contents")
@@ -157,18 +160,15 @@ def s07(spark, sf):
     return rows
 
 
-_GATED = ("src1", "src3", "src5")
-
-
 @query(
     "s08_summary_gate",
-    T + f"SELECT s.name, count(k.summary_embedding) > 0 AS three_way FROM sources s JOIN source_views v ON v.source_id = s.id AND v.ref_name = 'feature' LEFT JOIN chunks c ON c.source_view_id = v.id AND c.source_type = 'markdown' LEFT JOIN chunk_contents k ON k.content_hash = c.chunk_content_hash WHERE s.name IN {_GATED} GROUP BY s.name",
+    T + "SELECT s.name, count(k.summary_embedding) > 0 AS three_way FROM sources s JOIN source_views v ON v.source_id = s.id AND v.ref_name = 'feature' LEFT JOIN chunks c ON c.source_view_id = v.id LEFT JOIN chunk_contents k ON k.content_hash = c.chunk_content_hash GROUP BY s.name",
 )
 def s08(spark, sf):
+    """Whether summaries take part, for each source's branch as a scope, in one job."""
     t = tables(spark, sf)
     views = t["source_views"].where("ref_name = 'feature'").join(t["sources"].select(F.col("id").alias("source_id"), "name"), "source_id")
-    found = [(n, search.summaries_exist(t["chunks"], t["chunk_contents"], search.Scope(views.where(F.col("name") == n).select("id"), "markdown"))) for n in _GATED]
-    return spark.createDataFrame(found, "name string, three_way boolean")
+    return search.summaries_by(t["chunks"], t["chunk_contents"], views, "name")
 
 
 @query("s09_occurrence_in_scope", T + f"SELECT chunk_content_hash, path FROM (SELECT *, row_number() OVER (PARTITION BY chunk_content_hash ORDER BY path, ordinal, id) AS r FROM chunks WHERE {_MAIN} AND source_type = 'text') WHERE r = 1")

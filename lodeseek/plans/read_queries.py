@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
-from ..operators import aggregates, chunking, joins
+from ..operators import aggregates, chunking, joins, ranks
 from .fixtures import TABLES_SQL as T
-from .fixtures import files, read, tables
+from .fixtures import files, read, scratch, tables
 from .registry import query
 
 
@@ -172,8 +172,10 @@ def j06(spark, sf):
 @query("j07_summary_exists", T + f"SELECT count(*) > 0 AS found FROM chunk_contents k WHERE summary_embedding IS NOT NULL AND EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_content_hash = k.content_hash AND {_main()})")
 def j07(spark, sf):
     t = tables(spark, sf)
-    held = t["chunk_contents"].where("summary_embedding is not null").select(F.col("content_hash").alias("chunk_content_hash"))
-    return held.join(joins.in_views(t["chunks"], main_views(t)), "chunk_content_hash", "left_semi").limit(1).agg((F.count("*") > 0).alias("found"))
+    from ..operators.search import Scope, summaries_exist
+
+    found = summaries_exist(t["chunks"], t["chunk_contents"], Scope(main_views(t).select("id")))
+    return spark.range(1).select(F.lit(found).alias("found"))
 
 
 @query("j08_default_views", T + "SELECT s.name, v.id, v.ref_name FROM source_views v JOIN sources s ON s.active_view_id = v.id ORDER BY s.name")
@@ -202,10 +204,7 @@ def j10(spark, sf):
 
 @query("j11_reembed_selection", T + "SELECT k.content_hash, min(c.path) AS path FROM chunks c JOIN chunk_contents k ON k.content_hash = c.chunk_content_hash WHERE k.embedding IS NULL AND c.source_type = 'markdown' GROUP BY k.content_hash")
 def j11(spark, sf):
-    t = tables(spark, sf)
-    k = t["chunk_contents"].where("embedding is null").select("content_hash")
-    c = t["chunks"].where("source_type = 'markdown'").select(F.col("chunk_content_hash").alias("content_hash"), "path")
-    return k.join(c, "content_hash").groupBy("content_hash").agg(F.min("path").alias("path"))
+    return joins.reembed_selection(tables(spark, sf), source_type="markdown")
 
 
 @query("j13_branch_views", T + "SELECT s.name, v.id AS view_id FROM sources s JOIN source_views v ON v.source_id = s.id AND v.view_kind = 'branch' AND v.ref_name = 'feature'")
@@ -272,7 +271,7 @@ def a05(spark, sf):
 
 @query("a06_first_by_id", T + "SELECT chunk_content_hash, id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_content_hash ORDER BY id) AS r FROM chunks) WHERE r = 1 ORDER BY chunk_content_hash LIMIT 100")
 def a06(spark, sf):
-    c = tables(spark, sf)["chunks"].groupBy("chunk_content_hash").agg(F.min("id").alias("id"))
+    c = joins.first_by(tables(spark, sf)["chunks"].select("chunk_content_hash", "id"), "chunk_content_hash", "id")
     return c.orderBy("chunk_content_hash").limit(100)
 
 
@@ -299,7 +298,7 @@ def a08(spark, sf):
 @query("a09_file_count", T + "SELECT v.ref_name, CAST(count(DISTINCT f.id) AS BIGINT) AS files FROM indexed_files f JOIN source_views v ON v.id = f.source_view_id GROUP BY v.ref_name")
 def a09(spark, sf):
     t = tables(spark, sf)
-    return t["indexed_files"].select("id", F.col("source_view_id")).join(t["source_views"].select(F.col("id").alias("source_view_id"), "ref_name"), "source_view_id").groupBy("ref_name").agg(F.countDistinct("id").alias("files"))
+    return aggregates.file_counts(t["indexed_files"], t["source_views"])
 
 
 @query("a10_chunk_sum", T + "SELECT CAST(sum(n) AS BIGINT) AS chunks FROM (SELECT source_view_id, count(*) AS n FROM chunks GROUP BY source_view_id)")
@@ -313,27 +312,14 @@ def a11(spark, sf):
     return d.groupBy("content_hash").agg(F.min(scalar.byte_size(F.col("text"))).alias("byte_size"), F.count("*").alias("copies"))
 
 
-_RECALL = (
-    "WITH r AS (SELECT l.doc_id AS query_id, d.lang AS category, CASE WHEN l.doc_id % 4 = 0 THEN NULL ELSE 1 + l.doc_id % 13 END AS rank FROM labels l JOIN documents d ON d.doc_id = l.doc_id) "
-    "SELECT coalesce(category, 'all') AS category, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM r GROUP BY ROLLUP (category)"
-)
-
-
-@query("a13_recall_mrr", _RECALL)
-def a13(spark, sf):
-    ranks = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id")
-    ranks = ranks.select(F.col("doc_id").alias("query_id"), "category", F.when(F.col("doc_id") % 4 != 0, 1 + F.col("doc_id") % 13).alias("rank"))
-    return aggregates.retrieval_metrics(ranks)
-
-
 @query(
     "a14_dry_run_cost",
-    T + "SELECT sample, skipped, round(skipped / sample, 6) AS skip_rate, total, CAST(floor(total * (1 - skipped / sample) + 0.5) AS BIGINT) AS expected FROM ("
-    "SELECT (SELECT CAST(count(*) AS DOUBLE) FROM s) AS sample, (SELECT CAST(count(*) AS DOUBLE) FROM s WHERE length(content) < 200) AS skipped, (SELECT CAST(count(*) AS BIGINT) FROM chunk_contents WHERE summary IS NULL) AS total "
-    "FROM (SELECT 1)) , (SELECT 1 AS one)".replace("FROM s", "FROM (SELECT content FROM chunk_contents WHERE summary IS NULL ORDER BY content_hash LIMIT 500) s"),
+    T + "SELECT * EXCLUDE (mean), CAST(floor(expected * mean / 4 + 0.5) AS BIGINT) AS input_tokens, CAST(expected * 300 AS BIGINT) AS output_tokens, round(floor(expected * mean / 4 + 0.5) / 1e6 * 0.4 + expected * 300 / 1e6 * 1.6, 9) AS cost FROM (SELECT sample, skipped, round(skipped / sample, 6) AS skip_rate, total, mean, CAST(floor(total * (1 - skipped / sample) + 0.5) AS BIGINT) AS expected FROM ("
+    "SELECT (SELECT CAST(count(*) AS DOUBLE) FROM s) AS sample, (SELECT CAST(count(*) AS DOUBLE) FROM s WHERE length(content) < 200) AS skipped, (SELECT CAST(count(*) AS BIGINT) FROM chunk_contents WHERE summary IS NULL) AS total, (SELECT avg(length(content)) FROM chunk_contents WHERE summary IS NULL) AS mean "
+    "FROM (SELECT 1)))".replace("FROM s", "FROM (SELECT content FROM chunk_contents WHERE summary IS NULL ORDER BY content_hash LIMIT 500) s"),
 )
 def a14(spark, sf):
-    return aggregates.dry_run(tables(spark, sf)["chunk_contents"].where("summary is null"), 500)
+    return aggregates.dry_run(tables(spark, sf)["chunk_contents"].where("summary is null"), 500, 0.4, 1.6)
 
 
 @query("a15_manifest_hash", T + ", parts AS (SELECT source, ref, substr(sha256(path), 1, 2) AS bucket, sha256(string_agg(path || chr(9) || content_hash, chr(10) ORDER BY path)) AS part FROM files GROUP BY ALL) SELECT source, ref, sha256(string_agg(bucket || part, chr(10) ORDER BY bucket)) AS manifest FROM parts GROUP BY source, ref")
@@ -470,7 +456,7 @@ def l04(spark, sf):
 
 @query("l05_input_order", "SELECT doc_id, pos FROM (SELECT item_id AS doc_id, row_number() OVER (ORDER BY item_id DESC) AS pos FROM benchmark) w WHERE doc_id IN (SELECT doc_id FROM documents)")
 def l05(spark, sf):
-    wanted = read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("doc_id"))))
+    wanted = ranks.numbered(read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), [F.desc("doc_id")], "pos", scratch(spark, "order"))
     return wanted.join(read(spark, sf, "documents").select("doc_id"), "doc_id").orderBy("pos")
 
 

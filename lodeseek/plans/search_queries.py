@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
-from ..operators import fusion, joins, search
+from ..operators import evaluation, fusion, joins, search
 from .fixtures import TABLES_SQL as T
-from .fixtures import read, shared_store, tables
+from .fixtures import files, read, shared_store, tables
 from .read_queries import main_views
 from .registry import query
 
@@ -120,7 +120,7 @@ def s05(spark, sf):
     t = tables(spark, sf)
     v = t["source_views"].join(t["sources"].select(F.col("id").alias("source_id"), "name"), "source_id").select(F.col("id").alias("source_view_id"), "name")
     n = t["chunks"].join(v, "source_view_id").groupBy("name").agg(F.countDistinct("chunk_content_hash").alias("hashes"))
-    return n.withColumn("mode", F.when(F.col("hashes") < search.NARROW, "narrow").otherwise("broad"))
+    return n.withColumn("mode", search.mode_of(F.col("hashes"), F.lit(False)))
 
 
 @query("s06_scope_branch", T + "SELECT c.path, v.source_id FROM chunks c JOIN source_views v ON v.id = c.source_view_id WHERE v.view_kind = 'branch' AND v.ref_name = 'feature' AND v.source_id = sha256('source:src4')")
@@ -203,7 +203,7 @@ def s14(spark, sf):
     return search.ScoreReranker(lambda q, c: F.length(c)).rerank(TERMS, placed, 10).select("id", "fused", "rerank_score")
 
 
-@query("s16_response_meta", _TWO + " SELECT CAST(count(*) AS BIGINT) AS total_candidates, 'narrow' AS retrieval_mode FROM fusion")
+@query("s16_response_meta", _TWO + f" SELECT CAST((SELECT count(*) FROM fusion) AS BIGINT) AS total_candidates, CASE WHEN n = 0 THEN 'empty' WHEN n < {search.NARROW} THEN 'narrow' ELSE 'broad' END AS retrieval_mode FROM (SELECT count(DISTINCT chunk_content_hash) AS n FROM chunks WHERE source_view_id IN (SELECT id FROM source_views WHERE ref_name = 'main'))")
 def s16(spark, sf):
     t = shared_store(spark, sf).tables()
     n = search.scope_hashes(t["chunks"], _scope(t)).agg(F.count("*").alias("n")).first().n
@@ -236,6 +236,29 @@ def s17(spark, sf):
     return search.search_batch(contents, q, 10)
 
 
+_KNOWN = _BATCH.replace(f"{_HASHED} AS raw FROM benchmark", "item_id FROM benchmark").replace(_BATCH[_BATCH.index("v AS (SELECT query_id"):_BATCH.index(" qt AS (SELECT query_id")], "v AS (SELECT query_id, e.embedding AS vector FROM q JOIN embeddings e ON e.vec_id = q.item_id),")
+
+
+@query(
+    "a13_recall_mrr",
+    _KNOWN[: _KNOWN.rindex("SELECT * FROM (SELECT *, row_number()")].rstrip().rstrip(",")
+    + ", found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM sums) WHERE rank <= 10), "
+    + "occ AS (SELECT chunk_content_hash, path, row_number() OVER (PARTITION BY chunk_content_hash ORDER BY path, ordinal, id) AS o FROM chunks), "
+    + "want AS (SELECT q.query_id, f.lang AS category, f.path FROM q JOIN files f ON f.doc_id = q.item_id AND f.ref = 'main'), "
+    + "r AS (SELECT w.query_id, w.category, min(f.rank) AS rank FROM want w LEFT JOIN (SELECT f.query_id, f.rank, o.path FROM found f JOIN occ o ON o.chunk_content_hash = f.id AND o.o = 1) f ON f.query_id = w.query_id AND f.path = w.path GROUP BY w.query_id, w.category) "
+    + "SELECT coalesce(category, 'all') AS category, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM r GROUP BY ROLLUP (category)",
+)
+def a13(spark, sf):
+    """Batch search for all benchmark texts, each with the vector of its number; expected is the document of that number."""
+    t, b = tables(spark, sf), read(spark, sf, "benchmark")
+    q = b.join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id", "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding")
+    found = search.search_batch(t["chunk_contents"].select("content_hash", "content", "embedding"), q, 10)
+    at = search.occurrences(t["chunks"], search.Scope()).select(F.col("chunk_content_hash").alias("id"), "path", "start_line", "end_line")
+    main = files(spark, sf).where("ref = 'main'")
+    want = b.select("item_id").join(main, F.col("item_id") == F.col("doc_id")).select(F.col("item_id").alias("query_id"), F.col("lang").alias("category"), "path", F.lit(1).alias("lo"), F.lit(None).cast("int").alias("hi"))
+    return evaluation.evaluated(found.join(at, "id").select("query_id", "path", "start_line", "end_line", "rank"), want)
+
+
 @query(
     "s02_okapi_bm25",
     "WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS toks FROM documents), n AS (SELECT doc_id, len(toks) AS length, len(list_filter(toks, lambda t: t = 'with')) AS tf FROM d), "

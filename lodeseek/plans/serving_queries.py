@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import server
 from ..engine import Engine
 from ..operators import chunking, search
 from ..sources import archive
-from ..store import Files
+from ..store import TABLES, Files
 from .fixtures import TABLES_SQL as T
 from .fixtures import scratch, shared_store, stored
 from .read_queries import _CUT, _as_files
@@ -77,17 +78,25 @@ def i14(spark, sf):
     raise RuntimeError("a manifest of version 1 was read")
 
 
-@query("i16_statements", T + "SELECT 'indexed_files' AS name, CAST(count(*) AS BIGINT) AS statements, 0 AS torn FROM indexed_files WHERE starts_with(path, 'src1/') UNION ALL SELECT 'file_blobs', CAST(count(DISTINCT content_hash) AS BIGINT), 0 FROM indexed_files WHERE starts_with(path, 'src1/')")
+@query("i16_statements", T + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(count(*) AS BIGINT) AS statements, CAST(0 AS BIGINT) AS torn FROM {n}" for n in TABLES))
 def i16(spark, sf):
-    """The SQL text of an export, split into statements: as many as rows, each whole."""
-    target = scratch(spark, "sql")
-    archive.export(shared_store(spark, sf), ["src1"], target, sql=True)
-    rows = []
-    for name in ("indexed_files", "file_blobs"):
-        files = Files(spark, f"{target}/sql/{name}")
-        found = [s for part in files.names(files.folder) if part.startswith("part-") for s in archive.statements(files.read(files.at(part)))]
-        rows.append((name, len(found), sum(not (s.startswith(f"INSERT INTO {name} ") and s.endswith(";")) for s in found)))
-    return spark.createDataFrame(rows, "name string, statements long, torn int")
+    """The SQL text of an export of all sources, split into statements: as many as rows, each whole."""
+    target, store = scratch(spark, "sql"), shared_store(spark, sf)
+    archive.export(store, [r.name for r in store.table("sources").select("name").collect()], target, sql=True)
+
+    def split(batches):
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = archive.statements(body)
+                torn = sum(not (s.startswith(f"INSERT INTO {name} ") and s.endswith(";")) for s in found)
+                yield pa.RecordBatch.from_pydict({"name": [name], "statements": [len(found)], "torn": [torn]})
+
+    parts = None
+    for name in TABLES:
+        files = spark.read.text(f"{target}/sql/{name}", wholetext=True).select(F.lit(name).alias("name"), "value")
+        parts = files if parts is None else parts.unionByName(files)
+    counts = parts.mapInArrow(split, "name string, statements long, torn long")
+    return counts.groupBy("name").agg(F.sum("statements").alias("statements"), F.sum("torn").alias("torn"))
 
 
 @query("u03_search_tool", _TWO + f" SELECT CAST(row_number() OVER (ORDER BY f.fused DESC, f.id) AS INTEGER) AS place, o.path FROM (SELECT * FROM fusion ORDER BY fused DESC, id LIMIT 5) f JOIN {_OCCURRENCE} o ON o.chunk_content_hash = f.id AND o.o = 1")
