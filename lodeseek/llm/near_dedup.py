@@ -12,8 +12,8 @@ most. Pairs that share a band key and such a shingle, with sizes that allow the
 No candidate link is left out by this, and texts that share a template, but differ elsewhere by more than the threshold
 allows, don't meet.
 
-A shingle that more than CROWD of these members hold lists no pairs: what it would list grows with their square. Texts with
-such a shingle among their first 15 % are crowded, and two crowded texts meet by MinHash once more, over their rarest
+A shingle that more than CROWD members outside its commonest component hold lists no pairs: what it would list grows with
+their square. Texts with such a shingle among their first 15 % are crowded, and two crowded texts meet by MinHash once more, over their rarest
 shingles only (`crowded`), where texts of one template have little in common, and linked ones must have much.
 
 At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**6)**26, about 5e-6; the screen lets
@@ -49,7 +49,7 @@ from .kernels import BITS, U, Words, begin, class_table, estimate, mix, slices,
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 160, 26, 6
 MARGIN = 0.18
-#: Holders that a shingle may have at most to list their pairs; beyond, the texts meet as crowded ones do.
+#: Holders outside its commonest component that a shingle may have at most to list pairs; beyond, texts meet as crowded ones do.
 CROWD = 24
 WORD = class_table([(0x20, 0x20), (0x09, 0x0D)])
 _weights = stream(SHINGLE + 1, 2)
@@ -187,14 +187,14 @@ def _rare_pairs(sets: DataFrame, percent: int, stars: DataFrame | None = None) -
     of_id = Window.partitionBy("id")
     place = F.col("n") - F.count("*").over(of_id) + F.row_number().over(of_id.orderBy("times", "w")) - 1
     first = lambda part, whole: F.col("n") - F.expr(f"({part} * n + {whole - 1}) div {whole}") + 1
-    near = held.select("id", "comp", "n", "w", "times", place.alias("place")).where(F.col("place") < first(percent, 100))
+    near = held.select("id", "comp", "n", "w", place.alias("place")).where(F.col("place") < first(percent, 100))
     near = written(near.withColumn("inner", F.col("place") < first(2 * percent, 100 + percent)), "rare")
-    many = written(near.where(F.col("times") > CROWD).select("id").distinct(), "crowded")
-    near = near.where(F.col("times") <= CROWD)
     # Of each shingle's holders, those of its commonest component meet only the others.
-    split = near.groupBy("w", "comp").agg(F.count("*").alias("m")).groupBy("w").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("m").alias("n"))
-    split = written(split.where("comps > 1"), "split")
-    near = written(near.join(split.select("w", "major"), "w"), "rare-split")  # CROWD rows a shingle at most
+    split = near.groupBy("w", "comp").agg(F.count("*").alias("m")).groupBy("w").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), (F.sum("m") - F.max("m")).alias("others"), F.sum("m").alias("n"))
+    split = written(split.where("others > 0"), "split")
+    near = written(looked_up(near, split.select("w", "major", "others"), "w", hot_keys("w", counted=split.select("w", "n"))), "rare-split")
+    many = written(near.where(F.col("others") > CROWD).select("id").distinct(), "crowded")
+    near = near.where(F.col("others") <= CROWD)
     step = log(100 / percent) * 1.0001 if percent < 100 else 1.0
     grade = F.floor(F.log("n") / F.lit(step)).cast("int")
     x = near.where("inner").select("w", "place", grade.alias("grade"), F.col("id").alias("i"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"), (F.col("comp") != F.col("major")).alias("minor_x"))
