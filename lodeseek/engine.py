@@ -20,6 +20,10 @@ from .sources.scan import scan
 from .store import Store
 
 
+#: Views of a scope that a scan of chunks is told by name; more are joined.
+KNOWN_VIEWS = 100
+
+
 def _hash(*parts: str) -> str:
     return hashlib.sha256(":".join(parts).encode()).hexdigest()
 
@@ -187,7 +191,8 @@ class Engine:
         if source_id:
             sources = sources.where(F.col("id") == source_id)
         views = joins.branch_views(sources, t["source_views"], branch) if branch else joins.default_views(sources, t["source_views"])
-        return search.Scope(views.select("id"), **filters)
+        ids = [r.id for r in views.select("id").limit(KNOWN_VIEWS + 1).collect()]
+        return search.Scope(views.select("id"), known=tuple(ids) if len(ids) <= KNOWN_VIEWS else None, **filters)
 
     def options(self, top_k: int | None = None) -> search.Options:
         c = self.config["search"]
@@ -202,37 +207,37 @@ class Engine:
             raise ValueError("top_k is 1 to 100")
         scope = self.scope(branch, source_id, source_name, source_type=source_type, path_prefix=path_prefix)
         t, vector = self.store.tables(), self.embedder.query(query)
-        near = self._near(t["chunk_contents"], vector) if self.config["search"]["approximate"] else None
+        near = (lambda hashes, k: self._near(hashes, vector, k)) if self.config["search"]["approximate"] and self.store.model() else None
         return search.search(t, query, vector, scope, self.options(top_k), self.store.table("postings"), near)
 
     def build_vector_index(self, lists: int = 64, target: float = 0.9, k: int = 50) -> dict:
-        """Fits the approximate index on a bounded sample, puts every content's vector into its lists, measures recall.
+        """Fits the approximate index on a bounded sample, codes every content's vector, measures recall, all in one commit.
 
-        Queries are the contents whose hash begins with 00; with search.approximate, searches then look into as many
-        lists as reach the target, and into all contents that came later.
+        Queries are the contents of the smallest hashes; with search.approximate, searches then look into as many lists as
+        reach the target. Later commits code what they add and remove what goes, so the lists hold the store's vectors.
         """
         rows = self.store.table("chunk_contents").where("embedding is not null").select("content_hash", "embedding")
-        centroids = ivf.fitted(rows, "content_hash", "embedding", lists)
-        path = self.store.files.at("vectors", uuid.uuid4().hex)
-        ivf.write(rows, "content_hash", "embedding", centroids, path)
-        index = self.spark.read.parquet(path)
-        queries = rows.where(F.col("content_hash").startswith("00")).select(F.col("content_hash").alias("query_id"), "embedding")
-        queries = queries if not queries.isEmpty() else rows.orderBy("content_hash").limit(20).select(F.col("content_hash").alias("query_id"), "embedding")
-        probes, got = ivf.calibrated(index, rows, queries, "query_id", "embedding", "content_hash", "embedding", centroids, k, target)
-        self.store.files.delete(self.store.files.at("vectors.json"))
-        self.store.files.create(self.store.files.at("vectors.json"), json.dumps({"path": path, "probes": probes, "recall": got, "centroids": centroids.tolist()}))
-        return {"lists": len(centroids), "probes": probes, "recall": got}
-
-    def _near(self, contents: DataFrame, vector: list[float]) -> DataFrame | None:
-        """Contents in the lists nearest to a vector, and those that the index hasn't; None without an index."""
-        file = self.store.files.at("vectors.json")
-        if not self.store.files.exists(file):
+        model, change = ivf.fitted(rows, "content_hash", "embedding", lists), self.store.change()
+        change.index(None)
+        index = change.add("vectors", ivf.coded(rows, "content_hash", "embedding", model))
+        queries = rows.orderBy("content_hash").limit(100).select(F.col("content_hash").alias("query_id"), "embedding")
+        model = ivf.calibrated(index, rows, queries, "query_id", "embedding", "content_hash", "embedding", model, k, target)
+        change.model = self.store.files.at("models", uuid.uuid4().hex + ".json")
+        self.store.files.create(change.model, json.dumps(model.held()))
+        change.commit()
+        return {"lists": len(model.centroids), "probes": model.probes, "recall": model.recall}
+
+    def _near(self, hashes: DataFrame, vector: list[float], k: int) -> DataFrame | None:
+        """(id, score) of about the k contents nearest to a vector among hashes, by the index; None without one."""
+        path = self.store.model()
+        if path is None:
+            return None
+        model = ivf.Model.of(json.loads(self.store.files.read(path)))
+        if len(vector) != model.dimensions:
             return None
-        held = json.loads(self.store.files.read(file))
-        index = self.spark.read.parquet(held["path"])
-        nearest = ivf.nearest(vector, held["centroids"], held["probes"])
-        later = contents.where("embedding is not null").select("content_hash", "embedding").join(index.select("content_hash"), "content_hash", "left_anti")
-        return index.where(F.col("list").isin(*nearest)).select("content_hash", "embedding").unionByName(later)
+        inside = self.store.table("vectors").join(hashes.select("content_hash"), "content_hash", "left_semi")
+        found = ivf.search(inside.select("list", "content_hash", "code", "embedding"), [(0, vector)], "content_hash", "embedding", model, k)
+        return found.select(F.col("content_hash").alias("id"), "score")
 
     def read_source(self, chunk_id: str | None = None, path: str | None = None, header_path: str | None = None, start_line: int | None = None, end_line: int | None = None, context: int = 0, branch: str | None = None, source_name: str | None = None) -> dict | None:
         """A piece of a file by chunk, by heading or by coordinates, from its blob; from disk only without a branch.

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text, vector
-from ..store import bucket
 from .fusion import K, WEIGHTS_2, WEIGHTS_3, best, fused
 
 NARROW, RETRIEVE, FINAL = 10_000, 50, 10
@@ -17,14 +19,20 @@ NARROW, RETRIEVE, FINAL = 10_000, 50, 10
 
 @dataclass
 class Scope:
-    """Which occurrences a search may return; None is no restriction. views: a frame with the id of each view."""
+    """Which occurrences a search may return; None is no restriction. views: a frame with the id of each view.
+
+    known: the views' ids where they are few, so the scan of chunks leaves out other views' row groups.
+    """
 
     views: DataFrame | None = None
     source_type: str | None = None
     path_prefix: str | None = None
+    known: tuple[str, ...] | None = None
 
     def of(self, chunks: DataFrame) -> DataFrame:
-        if self.views is not None:
+        if self.known is not None:
+            chunks = chunks.where(F.col("source_view_id").isin(*self.known))
+        elif self.views is not None:
             chunks = chunks.join(self.views.select(F.col("id").alias("source_view_id")), "source_view_id", "left_semi").select(*chunks.columns)
         if self.source_type is not None:
             chunks = chunks.where(F.col("source_type") == self.source_type)
@@ -82,20 +90,38 @@ def text_search(contents: DataFrame, query: str, k: int, unicode_clean: bool = F
 
 
 def postings(contents: DataFrame) -> DataFrame:
-    """(term, content_hash, at, bucket): the first positions of each term in each content."""
-    toks = contents.select("content_hash", F.posexplode(text.tokens(F.col("content"))).alias("p", "term"))
-    at = F.slice(F.sort_array(F.collect_list(F.col("p") + 1)), 1, text.POSITIONS)
-    return toks.groupBy("content_hash", "term").agg(at.alias("at")).withColumn("bucket", bucket(F.col("term")))
+    """(term, content_hash, at): the first positions of each term in each content, made in the row: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column(1)
+            coded = toks.flatten().dictionary_encode()
+            code, n = coded.indices.to_numpy(), toks.value_lengths().to_numpy()
+            text_of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((code, text_of))  # stable: positions ascend
+            at = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) + 1)[order]
+            first = np.ones(len(order), bool)
+            first[1:] = (code[order][1:] != code[order][:-1]) | (text_of[order][1:] != text_of[order][:-1])
+            heads = np.flatnonzero(first)
+            size = np.diff(np.append(heads, len(order)))
+            keep = np.arange(len(order)) - np.repeat(heads, size) < text.POSITIONS
+            ends = np.concatenate([[0], np.cumsum(np.minimum(size, text.POSITIONS))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[keep].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order][heads])), batch.column(0).take(pa.array(text_of[order][heads])), lists], ["term", "content_hash", "at"])
+
+    toks = contents.select("content_hash", text.tokens(F.col("content")).alias("toks")).where(F.size("toks") > 0)
+    return toks.mapInArrow(run, "term string, content_hash string, at array<int>")
 
 
 def postings_search(posts: DataFrame, scope: DataFrame, query: str, k: int, unicode_clean: bool = False) -> DataFrame:
-    """text_search by postings, whose rows are read from the terms' buckets only; scope: the content hashes to look among."""
+    """text_search by postings; scope: the content hashes to look among.
+
+    Postings are sorted by term, so the terms' own row groups and pages are read.
+    """
     terms = text.query_terms(query, unicode_clean)
     if not terms:
         return scope.select(F.col("content_hash").alias("id"), F.lit(0.0).alias("score")).limit(0)
-    spark = posts.sparkSession
-    numbers = spark.range(1).select(*[bucket(F.lit(t)).alias(f"b{i}") for i, t in enumerate(terms)]).first()
-    held = posts.where(F.col("bucket").isin(*set(numbers)) & F.col("term").isin(*terms)).join(scope.select("content_hash"), "content_hash", "left_semi")
+    held = posts.where(F.col("term").isin(*terms)).join(scope.select("content_hash"), "content_hash", "left_semi")
     of = [F.max(F.when(F.col("term") == t, F.col("at"))).alias(f"p{i}") for i, t in enumerate(terms)]
     every = held.groupBy(F.col("content_hash").alias("id")).agg(F.count("*").alias("n"), *of).where(F.col("n") == len(terms))
     score = F.round(text.rank([F.col(f"p{i}") for i in range(len(terms))]), 6)
@@ -139,16 +165,17 @@ def summaries_by(chunks: DataFrame, contents: DataFrame, views: DataFrame, key:
     return of.join(found.withColumn("has", F.lit(True)), "source_view_id", "left").groupBy(key).agg(F.max(F.coalesce("has", F.lit(False))).alias("three_way"))
 
 
-def candidates(chunks: DataFrame, contents: DataFrame, query: str, query_vector: list[float], scope: Scope, options: Options, three_way: bool, posts: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+def candidates(chunks: DataFrame, contents: DataFrame, query: str, query_vector: list[float], scope: Scope, options: Options, three_way: bool, posts: DataFrame | None = None, near=None) -> DataFrame:
     """(id, fused, text_score, vector_score[, summary_score]) of the content hashes to hydrate, ranked after scoping.
 
     Search is exact within the scope: contents are semi-joined with it first, at any size. posts: the contents'
-    postings, so their texts aren't read; near: contents that an approximate index leaves for the vector channel.
+    postings, so their texts aren't read; near(hashes, k): the vector channel from an approximate index, None if it has none.
     """
     hashes = scope_hashes(chunks, scope)
     inside = contents.join(hashes, "content_hash", "left_semi")
     by_text = text_search(inside, query, options.retrieve, options.unicode_clean) if posts is None else postings_search(posts, hashes, query, options.retrieve, options.unicode_clean)
-    channels = {"text": by_text, "vector": vector_search(inside if near is None else near.join(hashes, "content_hash", "left_semi"), query_vector, options.retrieve)}
+    by_vector = near(hashes, options.retrieve) if near else None
+    channels = {"text": by_text, "vector": vector_search(inside, query_vector, options.retrieve) if by_vector is None else by_vector}
     if three_way:
         channels["summary"] = vector_search(inside, query_vector, options.retrieve, "summary_embedding")
     weights = options.weights or (WEIGHTS_3 if three_way else WEIGHTS_2)
@@ -188,7 +215,7 @@ def mode(n_hashes: int, three_way: bool) -> str:
     return "empty" if not n_hashes else ("narrow" if n_hashes < NARROW else "broad") + "+summary" * three_way
 
 
-def search(tables: dict[str, DataFrame], query: str, query_vector: list[float], scope: Scope | None = None, options: Options | None = None, posts: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+def search(tables: dict[str, DataFrame], query: str, query_vector: list[float], scope: Scope | None = None, options: Options | None = None, posts: DataFrame | None = None, near=None) -> DataFrame:
     """The results of one query, best first by place."""
     scope, options = scope or Scope(), options or Options()
     three_way = options.use_summary and summaries_exist(tables["chunks"], tables["chunk_contents"], scope)

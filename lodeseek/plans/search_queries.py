@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
-from ..operators import evaluation, fusion, joins, search
+from ..operators import evaluation, fusion, ivf, joins, search
 from .fixtures import TABLES_SQL as T
-from .fixtures import files, read, shared_store, tables
+from .fixtures import files, read, scratch, shared_store, tables
 from .read_queries import main_views
 from .registry import query
 
@@ -110,6 +110,17 @@ def s03_batch(spark, sf):
     return vector.topk_batch(e, "vec_id", "embedding", e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "embedding", 10)
 
 
+@query("s03_vector_index", "SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(least(100, count(*)) AS BIGINT) AS queries, true AS reached FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0")
+def s03_index(spark, sf):
+    """The approximate index over all vectors: how many are coded, and whether the top 10 of a hundred of them are found as by exact search (0.9)."""
+    e, path = read(spark, sf, "embeddings").select("vec_id", "embedding"), scratch(spark, "codes")
+    model = ivf.fitted(e, "vec_id", "embedding", 64)
+    ivf.coded(e, "vec_id", "embedding", model).write.parquet(path)
+    index, asked = spark.read.parquet(path), e.where("embedding is not null").orderBy("vec_id").limit(100).select(F.col("vec_id").alias("query_id"), "embedding")
+    got = ivf.calibrated(index, e, asked, "query_id", "embedding", "vec_id", "embedding", model, 10)
+    return index.agg(F.count("*").alias("vectors")).select("vectors", F.lit(asked.count()).cast("long").alias("queries"), F.lit(got.recall >= 0.9).alias("reached"))
+
+
 @query("s04_summary_vector_topk", _OPEN + _vector_sql("summary_channel", "summary_embedding") + " SELECT id, score FROM summary_channel")
 def s04(spark, sf):
     return search.vector_search(_inside(tables(spark, sf)), query_vector(spark, sf), 50, "summary_embedding")

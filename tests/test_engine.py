@@ -221,11 +221,103 @@ def test_search_by_postings_and_lists(spark, tmp_path):
     made = e.build_vector_index(8)
     assert made["recall"] >= 0.9 and 1 <= made["probes"] <= 8
     e.index_documents("more", frame(spark, [("late.txt", "omega words")]))
-    near = e._near(e.store.table("chunk_contents"), e.embedder.query("omega words"))
-    assert near.count() <= 121 and near.join(e.store.table("chunk_contents").where("content like 'omega%'"), "content_hash", "left_semi").count() == 1
+    contents = e.store.table("chunk_contents")
+    assert e.store.table("vectors").count() == contents.count()
+    late = contents.where("content like 'omega%'").select("content_hash", "embedding").first()
+    assert e._near(contents, list(late.embedding), 1).collect() == [(late.content_hash, 1.0)]
     assert [r.path for r in e.search("omega", 50).where("scores.text is not null").collect()] == ["late.txt"]
 
 
+def test_coded_vectors_follow_the_store(spark, tmp_path):
+    """After any change of vectors the index holds the store's; vectors of another length end it; removed contents leave it."""
+    files = [(f"{i}.txt", f"text {i} of many") for i in range(60)]
+    e = Engine(spark, str(tmp_path / "s"), {"search": {"approximate": True}})
+    e.index_documents("docs", frame(spark, files))
+    e.build_vector_index(4)
+    held = lambda t: {r.content_hash: list(r.embedding) for r in e.store.table(t).select("content_hash", "embedding").collect()}
+    assert held("vectors") == held("chunk_contents")
+
+    class Shifted(indexing.HashEmbedder):
+        def embed(self, rows, text_col, out):
+            return super().embed(rows.withColumn("_t", F.concat(F.lit("other "), text_col)), "_t", out).drop("_t")
+
+    before = held("vectors")
+    e.embedder = Shifted(64)
+    e.re_embed(force=True)
+    after = held("vectors")
+    assert after == held("chunk_contents") and len(after) == 60 and not any(after[h] == v for h, v in before.items())
+    e.index_documents("docs", frame(spark, files[:40] + [("new.txt", "another text")]))
+    e.gc(0, as_of="2100-01-01 00:00:00")
+    assert held("vectors") == held("chunk_contents") and len(held("vectors")) == 41
+    found = e._near(e.store.table("chunk_contents"), e.embedder.query("x"), 5).collect()
+    assert 0 < len(found) <= 5 and {r.id for r in found} <= set(held("chunk_contents"))
+    e.store.compact("chunk_contents")
+    assert held("vectors") == held("chunk_contents")
+    e.embedder = indexing.HashEmbedder(16)
+    e.re_embed(force=True)
+    assert e.store.model() is None and e.store.table("vectors").count() == 0 and e.search("another", 5).count() == 5
+
+
+def test_parts_grow_slowly(spark, tmp_path, monkeypatch):
+    """Forty small commits with deletions: few parts, few rows written again, the same rows."""
+    monkeypatch.setattr(store, "FAN", 3)
+    monkeypatch.setattr(store, "LOWEST", 4)
+    s, want, most = Store(spark, str(tmp_path)), {}, 0
+    add = store.Change.add
+    monkeypatch.setattr(store.Change, "add", lambda self, name, df: (lambda out: (counted.append(out.count()), out)[1])(add(self, name, df)))
+    counted = []
+    for k in range(40):
+        c = s.change()
+        rows = [(f"h{3 * k + i}", f"v{k}", 1, None) for i in range(3)]
+        if k % 5 == 4:  # rows of earlier commits come again
+            rows[0] = (f"h{k}", f"again {k}", 1, None)
+            c.remove("file_blobs", spark.createDataFrame([(r[0],) for r in rows], "content_hash string"))
+        c.add("file_blobs", spark.createDataFrame(rows, TABLES["file_blobs"]))
+        c.commit()
+        want |= {r[0]: r[1] for r in rows}
+        most = max(most, len(s.current()[1]["file_blobs"]))
+    assert {r.content_hash: r.content for r in s.table("file_blobs").collect()} == want and s.table("file_blobs").count() == len(want)
+    assert most <= 3 * 5 + 8 and sum(counted) <= 120 * 7
+    held = s.table("file_blobs").count()
+    assert s.vacuum() > 0 and s.table("file_blobs").count() == held
+
+
+def test_full_tiers():
+    part = lambda n: {"rows": "x", "n": n}
+    low, mid, high = 1, store.LOWEST * store.FAN, store.LOWEST * store.FAN**3
+    full = store.Store._full_tier
+    assert full([part(low)] * (store.FAN - 1)) is None and full([part(high)] + [part(low)] * store.FAN) == 1
+    assert full([part(high), part(mid)] + [part(low)] * (store.FAN - 1)) is None and full([part(mid)] * store.FAN) == 0
+    assert full([part(high), *[part(mid)] * (store.FAN - 1), part(low), part(mid)]) == 1
+    assert full([part(high), {"gone": "y", "by": ["k"]}, *[part(low)] * store.FAN]) == 2 and full([]) is None
+
+
+def scanned(df):
+    """Rows that the scans of files give, by the plan's own counts."""
+    df.collect()
+    n, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "FileSourceScan" in p.getClass().getSimpleName():
+            n += p.metrics().apply("numOutputRows").value()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        for name in ("AdaptiveSparkPlanExec", "QueryStageExec"):
+            if name in p.getClass().getSimpleName():
+                todo.append(p.executedPlan() if name.startswith("Adaptive") else p.plan())
+    return n
+
+
+def test_sorted_parts_leave_out_what_isnt_asked(spark, tmp_path, monkeypatch):
+    """A term and a path prefix of a view read a small share of the rows, as row groups are left out by their statistics."""
+    monkeypatch.setattr(store, "GROUP_BYTES", 16 << 10)
+    e = Engine(spark, str(tmp_path / "s"))
+    e.index_documents("docs", frame(spark, [(f"d{i % 50}/{i}.txt", " ".join(f"w{(i * 37 + k) % 4000}" for k in range(60))) for i in range(3000)]))
+    posts = e.store.table("postings")
+    assert scanned(posts.where("term = 'w777'")) <= posts.count() / 4
+    chunks = e.store.table("chunks")
+    assert scanned(e.scope(path_prefix="d7/").of(chunks).select("path")) <= chunks.count() / 2
+
+
 # --- sources ---
 
 
