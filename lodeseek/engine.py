@@ -46,8 +46,11 @@ class Engine:
     def _now(self, as_of: str | None):
         return F.to_timestamp(F.lit(as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")))
 
-    def _put(self, name: str, kind: str, path: str, view: tuple[str, str | None], files: DataFrame, as_of: str | None, state: git.Snapshot | None = None, paths: DataFrame | None = None, fingerprint: str | None = None) -> dict:
-        """Indexes files as a view and makes it the source's active one, in one commit that writes what changes."""
+    def _put(self, name: str, kind: str, path: str, view: tuple[str, str | None], files: DataFrame, as_of: str | None, state: git.Snapshot | None = None, paths: DataFrame | None = None, fingerprint: str | None = None, versions: DataFrame | None = None) -> dict:
+        """Indexes files as a view and makes it the source's active one, in one commit that writes what changes.
+
+        versions: (path, version, gone) to keep with it.
+        """
         tables, now, change = self.store.tables(), self._now(as_of), self.store.change()
         source_id = _hash("source", name)
         view_id = _hash("view", name, *[x or "" for x in view])
@@ -75,6 +78,10 @@ class Engine:
             change.replace("sources", maintenance.upsert(tables["sources"], row, ["name"]))
             change.replace("source_views", maintenance.upsert(tables["source_views"], view_row, ["source_id", "view_kind", "ref_name"]))
             counts = indexing.counters(done.status, deferred)
+            if versions is not None:
+                of_source = change.scratch(versions.select(F.lit(name).alias("source"), "path", "version", "gone"))
+                change.remove("versions", of_source.select("source", "path"))
+                change.add("versions", of_source)
             change.commit()
         finally:
             change.drop()
@@ -139,9 +146,19 @@ class Engine:
         """Indexes a DataFrame (path, content) as a source; with ref as a branch view, else as its workspace."""
         return self._put(name, "local", name, ("branch", ref) if ref else ("workspace", None), files, as_of)
 
-    def index_changes(self, name: str, files: DataFrame, paths: DataFrame, as_of: str | None = None) -> dict:
-        """Puts some files of a workspace; named paths that aren't among files go."""
-        return self._put(name, "local", name, ("workspace", None), files, as_of, paths=paths)
+    def index_changes(self, name: str, files: DataFrame, paths: DataFrame, as_of: str | None = None, versions: DataFrame | None = None) -> dict:
+        """Puts some files of a workspace; named paths that aren't among files go. versions: see _put."""
+        return self._put(name, "local", name, ("workspace", None), files, as_of, paths=paths, versions=versions)
+
+    def forget_versions(self, below: int) -> int:
+        """Forgets deletions of versions below a number; gives how many. Older versions of those paths count as new from then on."""
+        change = self.store.change()
+        gone = change.scratch(self.store.table("versions").where(F.col("gone") & (F.col("version") < below)).select("source", "path"))
+        if n := gone.count():
+            change.remove("versions", gone)
+            change.commit()
+        change.drop()
+        return n
 
     def index_all(self) -> tuple[dict[str, dict], dict[str, str]]:
         """Every configured source; gives results and errors, and raises only if all fail."""
@@ -210,6 +227,26 @@ class Engine:
         near = (lambda hashes, k: self._near(hashes, vector, k)) if self.config["search"]["approximate"] and self.store.model() else None
         return search.search(t, query, vector, scope, self.options(top_k), self.store.table("postings"), near)
 
+    def search_many(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
+        """(query_id, rank, id, path, source_name, start_line, end_line, fused, text_score, vector_score) of many queries in one job.
+
+        queries: query_id, query, embedding, and any of branch, source_name, source_type, path_prefix, null where they
+        don't restrict. Results and ranks are those of one search a query, without a reranker.
+        """
+        names = ["branch", "source_name", "source_type", "path_prefix"]
+        q = queries.select("query_id", "query", "embedding", *[F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c) for c in names])
+        kinds = [tuple(r) for r in q.select(*names).distinct().collect()]  # scopes, not queries
+        numbers = self.spark.createDataFrame([(i, *r) for i, r in enumerate(kinds)], search.SCOPE)
+        same = [q[c].eqNullSafe(numbers[c]) for c in names]
+        t, change = self.store.tables(), self.store.change()
+        asked = q.join(F.broadcast(numbers), same[0] & same[1] & same[2] & same[3]).select("query_id", "query", "embedding", "scope")
+        inside = change.scratch(search.scoped(numbers, t["sources"], t["source_views"], t["chunks"]))  # goes with vacuum, as the result is read later
+        k = min(self.config["search"]["retrieveTopK"], top_k or self.config["search"]["finalTopK"])
+        found = search.search_batch(t["chunk_contents"], asked, self.config["search"]["retrieveTopK"], self.options().weights, self.store.table("postings"), inside)
+        found = found.where(F.col("rank") <= k).join(asked.select("query_id", "scope"), "query_id")
+        at = inside.select("scope", F.col("content_hash").alias("id"), "at.path", "at.source_name", "at.start_line", "at.end_line")
+        return found.join(at, ["scope", "id"]).select("query_id", "rank", "id", "path", "source_name", "start_line", "end_line", "fused", "text_score", "vector_score")
+
     def build_vector_index(self, lists: int = 64, target: float = 0.9, k: int = 50) -> dict:
         """Fits the approximate index on a bounded sample, codes every content's vector, measures recall, all in one commit.
 

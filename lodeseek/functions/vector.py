@@ -58,24 +58,27 @@ def topk(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], k
     return scored.orderBy(F.desc_nulls_last("score"), id_col).limit(k).where("score is not null")  # a filter below would score twice
 
 
-def topk_batch(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_col: str, k: int, block: int = 4096) -> DataFrame:
+def topk_batch(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_col: str, k: int, block: int = 4096, scopes: str | None = None) -> DataFrame:
     """(query_id, id_col, score) of the k nearest for each query: one matrix product a batch of vectors.
 
+    scopes: a column of vectors with the numbers of the scopes that a row is in, and one of the same name of queries with
+    the number of their scope; a query finds rows of its scope only.
+
     Queries are taken to every executor in blocks of a bounded number of rows; each task keeps its k best a query,
     so what is shuffled is k rows a query and task.
     """
     spark, out, held = vectors.sparkSession, None, []
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double"
-    id_type, query_type = (pa.int64() if t in ("bigint", "int") else pa.string() for t in (vectors.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()))
+    id_type, query_type = ({"bigint": pa.int64(), "int": pa.int32()}.get(df.schema[c].dataType.simpleString(), pa.string()) for df, c in ((vectors, id_col), (queries, query_id)))
 
     def search(rows: list) -> DataFrame:
         names = [r[0] for r in rows]
         q = np.array([r[1] for r in rows], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((names, q))
+        shared = spark.sparkContext.broadcast((names, q, np.array([r[2] for r in rows]) if scopes else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
+            names, q, of = shared.value
             best_s, best_i = np.full((len(names), 0), -2.0), np.empty((len(names), 0), object)
             for batch in batches:
                 if not batch.num_rows:
@@ -84,6 +87,13 @@ def topk_batch(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFr
                 norm = np.linalg.norm(flat, axis=1)
                 s = np.round(q @ (flat / np.maximum(norm, 1e-300)[:, None]).T, 6)
                 s[:, norm == 0] = -2
+                if of is not None:
+                    lists = batch.column(2)
+                    inside = np.zeros((int(of.max()) + 1, batch.num_rows), bool)
+                    number, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                    asked = number < len(inside)
+                    inside[number[asked], row[asked]] = True
+                    s[~inside[of]] = -2
                 ids = np.array(batch.column(0).to_pylist(), object)
                 s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(ids, (len(names), len(ids)))], axis=1)
                 keep = [np.lexsort((i[r].astype("int64" if isinstance(i[r][0], int) else str), -s[r]))[:k] for r in range(len(names))]
@@ -93,12 +103,12 @@ def topk_batch(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFr
                 if n := int(ok.sum()):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n, query_type), pa.array(best_i[r][ok].tolist(), id_type), pa.array(best_s[r][ok])], [query_id, id_col, "score"])
 
-        rows_of = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+        rows_of = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, *([scopes] if scopes else []))
         near = rows_of.mapInArrow(run, schema)
         place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
         return near.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
-    for r in queries.where(F.col(query_col).isNotNull()).select(query_id, query_col).toLocalIterator():
+    for r in queries.where(F.col(query_col).isNotNull()).select(query_id, query_col, *([scopes] if scopes else [])).toLocalIterator():
         held.append(r)
         if len(held) == block:
             part, held = search(held), []

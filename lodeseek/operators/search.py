@@ -224,17 +224,40 @@ def search(tables: dict[str, DataFrame], query: str, query_vector: list[float],
     return shaped(options.reranker.rerank(query, rows, options.final), three_way)
 
 
-def search_batch(contents: DataFrame, queries: DataFrame, k: int = RETRIEVE, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, id, fused, text_score, vector_score, rank) for queries (query_id, query, embedding), all in one job.
+SCOPE = "scope int, branch string, source_name string, source_type string, path_prefix string"
 
-    Text: each query's terms meet the postings by an equal join on the term; a posting that no query asks for is
-    dropped in the row. Vectors: topk_batch.
+
+def scoped(definitions: DataFrame, sources: DataFrame, views: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(scope, content_hash, at): the contents of scopes (SCOPE; null is no restriction), each with its first occurrence.
+
+    A scope without a branch has its sources' active views, one with a branch the views of that name. All scopes are
+    found by one join of the views and one of the chunks.
+    """
+    d = definitions.select("scope", "branch", F.col("source_name").alias("_name"), F.col("source_type").alias("_type"), "path_prefix")
+    v = views.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "active_view_id"), "source_id")
+    on = (F.col("_name").isNull() | (F.col("_name") == F.col("source_name"))) & F.when(F.col("branch").isNull(), F.col("id") == F.col("active_view_id")).otherwise((F.col("view_kind") == "branch") & (F.col("ref_name") == F.col("branch")))
+    mine = v.join(F.broadcast(d), on).select("scope", "_type", "path_prefix", "source_name", F.col("id").alias("source_view_id"))
+    c = chunks.select("source_view_id", "chunk_content_hash", "path", "ordinal", "id", "source_type", "start_line", "end_line")
+    rows = c.join(mine, "source_view_id").where((F.col("_type").isNull() | (F.col("_type") == F.col("source_type"))) & (F.col("path_prefix").isNull() | F.col("path").startswith(F.col("path_prefix"))))
+    at = F.min(F.struct("path", "ordinal", "id", "source_name", "start_line", "end_line")).alias("at")
+    return rows.groupBy("scope", F.col("chunk_content_hash").alias("content_hash")).agg(at)
+
+
+def search_batch(contents: DataFrame, queries: DataFrame, k: int = RETRIEVE, weights: dict[str, float] | None = None, posts: DataFrame | None = None, inside: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, fused, text_score, vector_score, rank) for queries (query_id, query, embedding[, scope]), all in one job.
+
+    Text: each query's terms meet the postings by an equal join on the term: the stored ones (posts), or those of the
+    contents, made in the row. Vectors: topk_batch. inside: (scope, content_hash) that a query's scope (a number from 0)
+    lets it find; both channels are ranked after it.
     """
-    asked = queries.select("query_id", text.query_terms_column(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    terms = asked.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    toks = contents.select(F.col("content_hash").alias("id"), F.posexplode(text.tokens(F.col("content"))).alias("p", "term"))
-    posts = toks.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.slice(F.sort_array(F.collect_list(F.col("p") + 1)), 1, text.POSITIONS).alias("at"))
-    hits = posts.join(terms, "term").groupBy("query_id", "id", "n").agg(F.sort_array(F.collect_list(F.struct("term", "at"))).alias("held")).where(F.size("held") == F.col("n"))
+    of_scope = ["scope"] if inside is not None else []
+    asked = queries.select("query_id", *of_scope, text.query_terms_column(F.col("query")).alias("terms")).where(F.size("terms") > 0)
+    terms = asked.select("query_id", *of_scope, F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    posts = (postings(contents.select("content_hash", "content")) if posts is None else posts).select("term", F.col("content_hash").alias("id"), "at")
+    met = posts.join(terms, "term")
+    if inside is not None:
+        met = met.join(inside.select("scope", F.col("content_hash").alias("id")), ["scope", "id"], "left_semi")
+    hits = met.groupBy("query_id", "id", "n").agg(F.sort_array(F.collect_list(F.struct("term", "at"))).alias("held")).where(F.size("held") == F.col("n"))
     one = F.aggregate(F.sequence(F.lit(1), F.size(F.col("held")[0]["at"])), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j)) * text.WEIGHT / text.ONE_TERM
     none = F.struct(F.lit(0.0).alias("miss"), F.expr("cast(array() as array<int>)").alias("seen"))
     step = lambda s, h: F.struct((s["miss"] + text.pair_misses(h["at"], s["seen"], text.log_misses())).alias("miss"), F.concat(s["seen"], h["at"]).alias("seen"))
@@ -242,7 +265,10 @@ def search_batch(contents: DataFrame, queries: DataFrame, k: int = RETRIEVE, wei
     scored = hits.select("query_id", "id", F.round(F.when(F.col("n") == 1, one).otherwise(across), 6).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     by_text = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
-    by_vector = vector.topk_batch(contents.select(F.col("content_hash").alias("id"), "embedding"), "id", "embedding", queries, "query_id", "embedding", k)
+    vectors = contents.select(F.col("content_hash").alias("id"), "embedding").where("embedding is not null")
+    if inside is not None:
+        vectors = vectors.join(inside.groupBy(F.col("content_hash").alias("id")).agg(F.collect_set("scope").alias("scope")), "id")
+    by_vector = vector.topk_batch(vectors, "id", "embedding", queries, "query_id", "embedding", k, scopes="scope" if inside is not None else None)
     both = fused({"text": by_text, "vector": by_vector}, weights or WEIGHTS_2, by=("query_id",))
     place = Window.partitionBy("query_id").orderBy(F.desc("fused"), "id")
     return both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

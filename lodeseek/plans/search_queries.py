@@ -239,12 +239,12 @@ _BATCH = (
 
 @query("s17_batch_search", _BATCH)
 def s17(spark, sf):
-    """All benchmark texts as queries, with hashed vectors, in one job."""
-    t = tables(spark, sf)
-    contents = t["chunk_contents"].select("content_hash", "content", "embedding")
+    """All benchmark texts as queries, with hashed vectors, in one job over stored postings."""
+    store = shared_store(spark, sf)
+    contents = store.table("chunk_contents").select("content_hash", "content", "embedding")
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     q = q.withColumn("embedding", vector.hash_vector_column(F.concat(F.lit("query:"), "query"), 64))
-    return search.search_batch(contents, q, 10)
+    return search.search_batch(contents, q, 10, posts=store.table("postings"))
 
 
 _KNOWN = _BATCH.replace(f"{_HASHED} AS raw FROM benchmark", "item_id FROM benchmark").replace(_BATCH[_BATCH.index("v AS (SELECT query_id"):_BATCH.index(" qt AS (SELECT query_id")], "v AS (SELECT query_id, e.embedding AS vector FROM q JOIN embeddings e ON e.vec_id = q.item_id),")

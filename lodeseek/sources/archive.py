@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import tarfile
 import tempfile
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import insert_text
@@ -50,17 +50,37 @@ def checked(m: dict) -> dict:
     return m
 
 
-def pack(folder: str, target: str) -> str:
-    """A folder as a tar archive, compressed if the name ends in gz."""
-    with tarfile.open(target, "w:gz" if target.endswith("gz") else "w") as t:
-        for name in sorted(os.listdir(folder)):
-            t.add(os.path.join(folder, name), name)
+def _is_archive(target: str) -> bool:
+    return target.endswith((".tar", ".tar.gz", ".tgz"))
+
+
+def pack(files: Files, folder: str, target: str) -> str:
+    """A folder of any file system as a tar archive on any file system, compressed if the name ends in gz.
+
+    Files pass the driver's disk one by one; the archive itself is there once, as a tar file is one file.
+    """
+    with tempfile.TemporaryDirectory(prefix="lodeseek-pack-") as here:
+        made, one = os.path.join(here, "archive"), os.path.join(here, "one")
+        with tarfile.open(made, "w:gz" if target.endswith("gz") else "w") as t:
+            for name in files.walk(folder):
+                files.fetch(f"{folder.rstrip('/')}/{name}", one)
+                t.add(one, name)
+                os.remove(one)
+        files.send(made, target)
     return target
 
 
-def unpack(archive: str, folder: str) -> str:
-    with tarfile.open(archive) as t:
-        t.extractall(folder, filter="data")
+def unpack(files: Files, archive: str, folder: str) -> str:
+    """An archive on any file system into a folder on any file system, file by file."""
+    with tempfile.TemporaryDirectory(prefix="lodeseek-unpack-") as here:
+        held = os.path.join(here, "archive")
+        files.fetch(archive, held)
+        with tarfile.open(held) as t:
+            for member in t:
+                if member.isfile():
+                    t.extract(member, here, filter="data")
+                    files.send(os.path.join(here, member.name), f"{folder.rstrip('/')}/{member.name}")
+                    os.remove(os.path.join(here, member.name))
     return folder
 
 
@@ -84,33 +104,31 @@ def export(store: Store, names: list[str], target: str, sql: bool = False) -> di
     """
     rows = tables_of(store.tables(), names)
     m = manifest(rows)
-    archive = target.endswith((".tar", ".tar.gz", ".tgz"))
-    folder = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(target))) if archive else target
+    # Executors write to the target itself or, for an archive, to the store's own file system, which they share.
+    folder = store.files.at("scratch", uuid.uuid4().hex) if _is_archive(target) else target
+    files = Files(store.spark, folder)
     for name, df in rows.items():
-        df.write.mode("overwrite").parquet(os.path.join(folder, name))
+        df.write.mode("overwrite").parquet(files.at(name))
         if sql:
             content = name in ("file_blobs", "chunk_contents")
-            df.select(insert_text(name, dict(df.dtypes), content)).write.mode("overwrite").text(os.path.join(folder, "sql", name))
-    files = Files(store.spark, folder)
+            df.select(insert_text(name, dict(df.dtypes), content)).write.mode("overwrite").text(files.at("sql", name))
     files.delete(files.at("manifest.json"))
     files.create(files.at("manifest.json"), json.dumps(m, indent=2))
-    if archive:
-        pack(folder, target)
-        shutil.rmtree(folder)
+    if _is_archive(target):
+        pack(files, folder, target)
+        files.delete(folder)
     return m
 
 
-def read_manifest(folder: str) -> dict:
-    with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
-        return checked(json.load(f))
-
-
-def listed(target: str) -> list[str]:
-    """Names of the sources in an export."""
-    if os.path.isdir(target):
-        return [s["name"] for s in read_manifest(target)["sources"]]
-    with tarfile.open(target) as t:
-        return [s["name"] for s in checked(json.load(t.extractfile("manifest.json")))["sources"]]
+def listed(target: str, spark: SparkSession | None = None) -> list[str]:
+    """Names of the sources in an export, a folder or an archive, on any file system that the session reads."""
+    files = Files(spark or SparkSession.getActiveSession(), target)
+    if not _is_archive(target):
+        return [s["name"] for s in checked(json.loads(files.read(files.at("manifest.json"))))["sources"]]
+    with tempfile.TemporaryDirectory(prefix="lodeseek-list-") as here:
+        files.fetch(target, os.path.join(here, "archive"))
+        with tarfile.open(os.path.join(here, "archive")) as t:
+            return [s["name"] for s in checked(json.load(t.extractfile("manifest.json")))["sources"]]
 
 
 def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[str, str] | None = None, names: list[str] | None = None) -> tuple[list[str], list[str], list[str]]:
@@ -119,11 +137,8 @@ def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[s
     on_conflict: `skip` leaves sources that are there, `force` replaces them, `fail` raises. remap replaces a part of
     the sources' paths. All tables change in one commit.
     """
-    unpacked = None
-    if "://" not in target and not os.path.isdir(target):
-        unpacked = tempfile.mkdtemp(dir=None if "://" in store.folder else os.path.dirname(os.path.abspath(target)))
-        unpack(target, unpacked)
-    folder = unpacked or target
+    unpacked = store.files.at("scratch", uuid.uuid4().hex) if _is_archive(target) else None
+    folder = unpack(store.files, target, unpacked) if unpacked else target
     try:
         listing = Files(store.spark, folder)
         wanted = [s["name"] for s in checked(json.loads(listing.read(listing.at("manifest.json"))))["sources"] if names is None or s["name"] in names]
@@ -135,7 +150,7 @@ def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[s
         todo = [n for n in wanted if n not in skipped]
         if not todo:
             return [], skipped, []
-        new = tables_of({n: store.spark.read.schema(s).parquet(os.path.join(folder, n)) for n, s in TABLES.items()}, todo)
+        new = tables_of({n: store.spark.read.schema(s).parquet(f"{folder.rstrip('/')}/{n}") for n, s in TABLES.items()}, todo)
         if remap:
             new["sources"] = new["sources"].withColumn("path", F.replace("path", F.lit(remap[0]), F.lit(remap[1])))
         change = store.change()
@@ -156,4 +171,4 @@ def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[s
         return todo, skipped, [f"path not found: {p}" for p in paths if p and not os.path.exists(p)]
     finally:
         if unpacked:
-            shutil.rmtree(unpacked)
+            store.files.delete(unpacked)

@@ -104,6 +104,25 @@ class Files:
         if not system.rename(p, self._path(new)[1]):
             raise RuntimeError(f"{old} could not become {new}")
 
+    def walk(self, path: str) -> list[str]:
+        """The files below a folder, as paths relative to it."""
+        system, p = self._path(path)
+        found, top = system.listFiles(p, True), system.makeQualified(p).toString().rstrip("/") + "/"
+        out = []
+        while found.hasNext():
+            out.append(found.next().getPath().toString().removeprefix(top))
+        return sorted(out)
+
+    def fetch(self, path: str, local: str) -> None:
+        """A file to the driver's disk."""
+        system, p = self._path(path)
+        system.copyToLocalFile(False, p, self.jvm.org.apache.hadoop.fs.Path("file://" + local), True)
+
+    def send(self, local: str, path: str) -> None:
+        """A file of the driver's disk to a path, in place of what is there."""
+        system, p = self._path(path)
+        system.copyFromLocalFile(False, True, self.jvm.org.apache.hadoop.fs.Path("file://" + local), p)
+
     def delete(self, path: str) -> None:
         system, p = self._path(path)
         system.delete(p, True)

@@ -13,18 +13,29 @@ def latest(changes: DataFrame) -> DataFrame:
     return changes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def ingest(changes: DataFrame, engine, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def newer(changes: DataFrame, versions: DataFrame) -> DataFrame:
+    """Changes of a version that is above what is known of their source and path."""
+    known = versions.select("source", "path", F.col("version").alias("_known"))
+    return changes.join(known, ["source", "path"], "left").where(F.col("_known").isNull() | (F.col("version") > F.col("_known"))).drop("_known")
+
+
+def ingest(changes: DataFrame, engine, checkpoint: str, trigger: dict | None = None, horizon: int | None = None) -> StreamingQuery:
     """Indexes a stream (source, path, content, version); null content deletes. Each micro-batch is one commit a source.
 
-    A batch that is delivered again gives the same rows: ids are hashes of natural keys, contents of their text.
+    The last version of each source and path is kept in the store, deletions too, and committed with what it brought: so
+    deliveries in any order, in any batches and again give the store of the newest versions. With a horizon, deletions
+    that lie further below the newest version of a batch are forgotten.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        last = latest(batch).persist()
+        last = newer(latest(batch), engine.store.table("versions")).persist()
         try:
-            for r in last.select("source").distinct().collect():  # sources of a micro-batch
+            for r in last.groupBy("source").agg(F.max("version").alias("top")).collect():  # sources of a micro-batch
                 mine = last.where(F.col("source") == r.source)
-                engine.index_changes(r.source, mine.where("content is not null").select("path", "content"), mine.select("path"))
+                versions = mine.select("path", "version", F.col("content").isNull().alias("gone"))
+                engine.index_changes(r.source, mine.where("content is not null").select("path", "content"), mine.select("path"), versions=versions)
+                if horizon is not None:
+                    engine.forget_versions(r.top - horizon)
         finally:
             last.unpersist()
 

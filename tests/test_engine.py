@@ -463,9 +463,53 @@ def test_batch_search_is_search(spark, engine):
         assert {r.id: (round(r.fused, 6), r.text_score) for r in got if r.query_id == name} == {r.id: (round(r.fused, 6), r.text_score) for r in one}
 
 
+def test_many_searches_are_single_ones(spark, tmp_path):
+    """Queries with branches, sources, types and prefixes of their own give what one search each gives."""
+    import random
+
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", *(f"w{i}" for i in range(30))]
+    files = lambda seed: [(f"{rng.choice('abc')}/{i}.{rng.choice(['txt', 'md'])}", " ".join(rng.choice(words) for _ in range(30))) for i in range(50)]
+    e = Engine(spark, str(tmp_path / "s"))
+    for name, ref in (("one", "old"), ("one", "main"), ("two", "main"), ("two", None)):
+        e.index_documents(name, frame(spark, files(name)), ref)
+    scopes = [{}, {"branch": "main"}, {"branch": "old", "source_name": "one"}, {"source_type": "markdown"}, {"path_prefix": "b/"}, {"branch": "main", "source_name": "two", "path_prefix": "a/", "source_type": "text"}, {"branch": "nowhere"}]
+    asked = [(i, rng.choice(["alpha beta", "gamma", "w3 w4", "delta alpha", "..."]), s) for i, s in enumerate(scopes * 2)]
+    q = spark.createDataFrame([(i, text, e.embedder.query(text), *[s.get(c) for c in ("branch", "source_name", "source_type", "path_prefix")]) for i, text, s in asked], "query_id int, query string, embedding array<float>, branch string, source_name string, source_type string, path_prefix string")
+    got = {}
+    for r in e.search_many(q, 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.path, r.source_name, round(r.fused, 6), r.text_score))
+    for i, text, s in asked:
+        want = [(r.place, r.path, r.source_name, round(r.scores.fused, 6), r.scores.text) for r in e.search(text, 10, **s).collect()]
+        assert sorted(got.get(i, [])) == sorted(want), (text, s)
+
+
 # --- streaming ---
 
 
+def test_stream_in_any_order(spark, tmp_path):
+    """Versions that come late, twice, and after deletions: every order gives the newest of each path."""
+    import random
+
+    schema = "source string, path string, content string, version long"
+    feed = [("s", f"{p}.txt", None if (p + v) % 4 == 0 else f"text {p} {v}", v) for p in range(6) for v in range(1, 5)] + [("t", "0.txt", "other", 1)]
+    want = {("s", f"{p}.txt", f"text {p} 4") for p in range(6) if (p + 4) % 4} | {("t", "0.txt", "other")}
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rows = feed + rng.sample(feed, 8)
+        rng.shuffle(rows)
+        folder, e = tmp_path / f"feed{seed}", Engine(spark, str(tmp_path / f"store{seed}"))
+        for k in range(4):
+            spark.createDataFrame(rows[k::4], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        ingest.ingest(stream, e, str(tmp_path / f"check{seed}")).awaitTermination(300)
+        t = e.store.tables()
+        f = t["indexed_files"].join(t["file_blobs"], "content_hash").join(t["source_views"].selectExpr("id as source_view_id", "source_id"), "source_view_id").join(t["sources"].selectExpr("id as source_id", "name"), "source_id")
+        assert {(r.name, r.path, r.content) for r in f.select("name", "path", "content").collect()} == want
+        assert e.store.table("versions").where("gone").count() == sum((p + 4) % 4 == 0 for p in range(6))
+        assert e.forget_versions(4) == 0 and e.forget_versions(5) == 2 and e.store.table("versions").count() == 5
+
+
 def test_stream_into_store(spark, tmp_path, engine):
     feed, check = str(tmp_path / "feed"), str(tmp_path / "check")
     schema = "source string, path string, content string, version long"
