@@ -8,7 +8,7 @@ characters of a class that a state hasn't seen smoothed and unseen classes at UN
 
 Candidates are all runs of 16 or more characters of `[A-Za-z0-9+/_.=-]` (less closing full stops), and all stretches of
 16 or more characters of one to three neighbouring parts of a run between `=`, `/` and `.`; so a credential behind a
-name, a path or in a longer run is scored on its own. All candidates are scored, those within base spans too. A score
+name, a path or in a longer run is scored on its own (one of four or more parts only as the whole run). All candidates are scored, those within base spans too. A score
 is the log-likelihood a character less that of the best background (prose, capitals, numbers, names with signs). Each
 format has a threshold: below it lie 2 % of held-out labelled strings, and no ordinary word made by rule reaches it (if
 both can't be, the ordinary words count). A candidate is a secret of kind `format` if it reaches the threshold of a
@@ -45,6 +45,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 SHORTEST, PARTS, EDGES = 16, 3, re.compile("[=/.]")
+#: Verdicts that a worker keeps, and the longest candidates among them: some 25 MB at most.
+KEPT, KEPT_CHARS = 100_000, 200
 #: Hoeffding's alpha of the compatibility test, probability of an unseen step, labelled strings a format, held out and ordinary ones.
 ALPHA, UNSEEN, SAMPLES, HELD, ORDINARY = 0.05, 1e-5, 240, 200, 3_000
 
@@ -269,12 +271,14 @@ def scan(text: str, formats: Formats, scored: dict) -> tuple[list[tuple], list[t
         hits = []
         for a, b in spans:
             s = text[a:b]
-            if s not in scored:
-                if len(scored) > 100_000:
-                    scored.clear()
-                scored[s] = formats.verdict(s)
-            if scored[s]:
-                hits.append((-scored[s][1] * (b - a), a, b, *scored[s]))
+            if (found := scored.get(s, scored)) is scored:
+                found = formats.verdict(s)
+                if len(s) <= KEPT_CHARS:  # longer ones are scored each time, so the verdicts kept have bounded bytes
+                    if len(scored) >= KEPT:
+                        scored.clear()
+                    scored[s] = found
+            if found:
+                hits.append((-found[1] * (b - a), a, b, *found))
         kept: list[tuple] = []
         for _, a, b, name, x in sorted(hits):
             if all(b <= c or d <= a for c, _, d, _, _ in kept):

@@ -305,6 +305,18 @@ def test_redaction(spark):
     assert by([x.asDict() for x in secrets.redacted(d).collect()])[1]["text"] == "use [SECRET]. then [SECRET] ok"
 
 
+def test_a_very_long_candidate():
+    """A run of half a million characters is scored whole and in parts, and not kept; the base spans are found in it."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choice(letters) for _ in range(500_000))
+    held: dict = {}
+    base, every = secrets.scan("a " + run + " b " + "0af" * 9, secrets.default_formats(), held)
+    want = brute.base_secrets("a " + run + " b " + "0af" * 9)
+    assert [sum(k == i for _, k, *_ in base) for i in range(3)] == [want["n_assign"], want["n_access"], want["n_hex"]] and set(base) <= set(every)
+    assert max(map(len, held), default=0) <= secrets.KEPT_CHARS
+
+
 # --- 3 tokens ---
 
 
