@@ -100,6 +100,21 @@ def hot_keys(key: str, rows: DataFrame | None = None, counted: DataFrame | None
     return None if hot.isEmpty() else F.broadcast(hot)
 
 
+def spread(n: Column, rows: int = 512) -> Column:
+    """Over how many tasks a key's n rows are dealt."""
+    return F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
+
+
+def met(few: DataFrame, many: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
+    """few and many joined on keys, with the rows of a key of many dealt over as many tasks as column name of both says.
+
+    by: what many's rows are dealt by; each row of few goes to all of its key's tasks.
+    """
+    a = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col(name) - 1))).drop(name)
+    b = many.withColumn("_part", F.pmod(F.xxhash64(by), F.col(name)).cast("int")).drop(name)
+    return a.join(b, [*keys, "_part"]).drop("_part")
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows joined with table, which has a row a key at most, whatever share of the rows a key holds.
 

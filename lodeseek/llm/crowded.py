@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, looked_up, small, written
+from .common import hot_keys, looked_up, met, small, spread, written
 from .kernels import U, begin, estimate, mix, stream
 
 MISS, STEPS, SKETCH, MARGIN = 1e-5, 8, 512, 0.13
@@ -168,13 +168,15 @@ def _keys(t: float):
     return run
 
 
-def pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be similar; posts: (id, comp, n, w, times, cluster), a row a shingle.
+def pairs(posts: DataFrame, clusters: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar; posts: (id, comp, n, w, times), a row a shingle.
 
-    n: the size of the set; times: how many sets hold the shingle; shingles of one holder have no row.
+    n: the size of the set; times: how many sets hold the shingle; shingles of one holder have no row. clusters: (id,
+    cluster) of those that may meet; None if all may.
     """
     t = min(percent, 99) / 100
-    texts = posts.groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("cluster").alias("cluster"), F.sort_array(F.collect_list(F.struct("times", "w"))).alias("held"))
+    texts = posts.groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "w"))).alias("held"))
+    texts = texts.withColumn("cluster", F.lit(0).cast("long")) if clusters is None else texts.join(clusters, "id")  # who is alone meets none
     texts = written(texts.select("id", "comp", "n", "cluster", (F.col("n") - F.size("held")).alias("alone"), F.col("held.times").alias("times"), F.col("held.w").alias("shingles")), "crowded-texts")
     sizes = written(texts.groupBy("cluster").agg(F.count("*").alias("members"), F.avg("n").alias("mean")).where("members > 1"), "cluster-sizes")
     hot = hot_keys("cluster", counted=sizes.select("cluster", F.col("members").alias("n")))
@@ -190,13 +192,13 @@ def pairs(posts: DataFrame, percent: int) -> DataFrame:
     # Of each key's holders, those of its commonest component meet only the others.
     split = keys.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("m").alias("n"))
     split = written(split.where("comps > 1").select("key", "major", "n"), "crowded-split")
-    keys = looked_up(keys, split.select("key", "major"), "key", hot_keys("key", counted=split)).withColumn("minor", F.col("comp") != F.col("major"))
+    keys = looked_up(keys, split.select("key", "major", spread(F.col("n")).alias("tasks")), "key", hot_keys("key", counted=split.select("key", "n"))).withColumn("minor", F.col("comp") != F.col("major"))
     keys = written(keys, "meeting")
-    x = keys.where("not larger").select("key", F.col("id").alias("i"), F.col("n").alias("n_i"), F.col("comp").alias("c_i"), F.col("minor").alias("minor_i"))
-    y = keys.where("larger").select("key", F.col("id").alias("j"), F.col("n").alias("n_j"), F.col("comp").alias("c_j"), F.col("minor").alias("minor_j"))
+    x = keys.where("not larger").select("key", "tasks", F.col("id").alias("i"), F.col("n").alias("n_i"), F.col("comp").alias("c_i"), F.col("minor").alias("minor_i"))
+    y = keys.where("larger").select("key", "tasks", F.col("id").alias("j"), F.col("n").alias("n_j"), F.col("comp").alias("c_j"), F.col("minor").alias("minor_j"))
     on = (F.col("c_i") != F.col("c_j")) & ((F.col("n_i") < F.col("n_j")) | ((F.col("n_i") == F.col("n_j")) & (F.col("i") < F.col("j")))) & (100 * F.col("n_i") >= percent * F.col("n_j"))
-    met = x.where("minor_i").join(y, "key").where(on).unionByName(x.where("not minor_i").join(y.where("minor_j"), "key").where(on))
-    met = met.select("i", "j", "n_i", "n_j").distinct()
+    found = met(x.where("minor_i"), y, ["key"], "j", "tasks").where(on).unionByName(met(y.where("minor_j"), x.where("not minor_i"), ["key"], "i", "tasks").where(on))
+    found = found.select("i", "j", "n_i", "n_j").distinct()
     prefix = 1 - 2 * shared_part(t) + F.col("part")
     sketches = texts.select("id", "n", "alone", "part", "shingles").mapInArrow(_sketched(t), "id long, sketch array<long>")
     wide = lambda of: of - F.col("part") + F.greatest(F.col("part"), F.lit(SCREEN))
@@ -207,7 +209,7 @@ def pairs(posts: DataFrame, percent: int) -> DataFrame:
     both = F.col("n_i") + F.col("n_j")
     shared = lambda of: of * F.col("n_j") - F.col("n_j") + shared_part(t) * both
     least = shared(prefix)
-    met = met.join(held.select(F.col("id").alias("i"), "part", F.col("sketch").alias("sketch_i"), F.col("first").alias("first_i")), "i").join(held.select(F.col("id").alias("j"), F.col("sketch").alias("sketch_j"), F.col("first").alias("first_j")), "j")
-    met = met.where(estimate(F.col("sketch_i"), F.col("sketch_j"), SKETCH) >= least / (prefix * both + 2 - least) - MARGIN)
-    met = met.where(F.size(F.array_intersect("first_i", "first_j")) >= shared(wide(prefix)) - 1e-6)
-    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    found = found.join(held.select(F.col("id").alias("i"), "part", F.col("sketch").alias("sketch_i"), F.col("first").alias("first_i")), "i").join(held.select(F.col("id").alias("j"), F.col("sketch").alias("sketch_j"), F.col("first").alias("first_j")), "j")
+    found = found.where(estimate(F.col("sketch_i"), F.col("sketch_j"), SKETCH) >= least / (prefix * both + 2 - least) - MARGIN)
+    found = found.where(F.size(F.array_intersect("first_i", "first_j")) >= shared(wide(prefix)) - 1e-6)
+    return found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crowded
-from .common import col, hot_keys, looked_up, ready, small, spare, written
+from .common import col, hot_keys, looked_up, met, ready, small, spare, spread, written
 from .components import connected_components
 from .kernels import BITS, U, Words, begin, class_table, estimate, mix, slices, stream
 
@@ -192,26 +192,22 @@ def _rare_pairs(sets: DataFrame, percent: int, stars: DataFrame | None = None) -
     # Of each shingle's holders, those of its commonest component meet only the others.
     split = near.groupBy("w", "comp").agg(F.count("*").alias("m")).groupBy("w").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), (F.sum("m") - F.max("m")).alias("others"), F.sum("m").alias("n"))
     split = written(split.where("others > 0"), "split")
-    near = written(looked_up(near, split.select("w", "major", "others"), "w", hot_keys("w", counted=split.select("w", "n"))), "rare-split")
+    near = written(looked_up(near, split.select("w", "major", "others", spread(F.col("n")).alias("tasks")), "w", hot_keys("w", counted=split.select("w", "n"))), "rare-split")
     many = written(near.where(F.col("others") > CROWD).select("id").distinct(), "crowded")
     near = near.where(F.col("others") <= CROWD)
     step = log(100 / percent) * 1.0001 if percent < 100 else 1.0
     grade = F.floor(F.log("n") / F.lit(step)).cast("int")
-    x = near.where("inner").select("w", "place", grade.alias("grade"), F.col("id").alias("i"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"), (F.col("comp") != F.col("major")).alias("minor_x"))
-    y = near.select("w", F.explode(F.array(grade, grade - 1)).alias("grade"), F.col("place").alias("place_y"), F.col("id").alias("j"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"), (F.col("comp") != F.col("major")).alias("minor_y"))
+    x = near.where("inner").select("w", "tasks", "place", grade.alias("grade"), F.col("id").alias("i"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"), (F.col("comp") != F.col("major")).alias("minor_x"))
+    y = near.select("w", "tasks", F.explode(F.array(grade, grade - 1)).alias("grade"), F.col("place").alias("place_y"), F.col("id").alias("j"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"), (F.col("comp") != F.col("major")).alias("minor_y"))
     sizes = ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("i") < F.col("j")))) & (100 * F.col("n_x") >= percent * F.col("n_y"))
     most = F.least(F.col("n_x") - F.col("place"), F.col("n_y") - F.col("place_y"))  # what they can share from their first common shingle on
     on = (F.col("c_x") != F.col("c_y")) & sizes & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
-    found = x.where("minor_x").join(y, ["w", "grade"]).where(on).unionByName(x.where("not minor_x").join(y.where("minor_y"), ["w", "grade"]).where(on))
+    found = met(x.where("minor_x"), y, ["w", "grade"], "j", "tasks").where(on).unionByName(met(y.where("minor_y"), x.where("not minor_x"), ["w", "grade"], "i", "tasks").where(on))
     found = found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     if not many.isEmpty():
         of = held.select("id", "comp", "n", "w", "times").join(small(many), "id", "left_semi")
-        cluster = F.col("id") * 0
-        if stars is not None:
-            together = connected_components(stars, "clusters")
-            of = of.join(together.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id", "left")
-            cluster = F.coalesce("cluster", "id")
-        found = found.unionByName(crowded.pairs(of.withColumn("cluster", cluster), percent))
+        together = None if stars is None else connected_components(stars, "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+        found = found.unionByName(crowded.pairs(of, together, percent))
     return found.distinct()
 
 
@@ -242,8 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members.where("id <> leader"), "members")
 
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    met = written(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    stars = looked_up(met, side("a"), "a", hot_keys("a", met)).join(side("b"), "b").where(_near("n_a", "n_b", percent)).select("a", "b")
+    together = written(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = looked_up(together, side("a"), "a", hot_keys("a", together)).join(side("b"), "b").where(_near("n_a", "n_b", percent)).select("a", "b")
     stars = written(stars, "near-stars")
     links = written(_links(texts, stars, percent), "links")
     found = connected_components(links)
@@ -256,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = written(looked_up(known, mixed.select("key"), "key", hot_keys("key", counted=mixed)).select("id", "comp").distinct(), "mixed-ids")
     if not ids.isEmpty():
         sets = texts.join(small(ids.select("id")), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>")
-        rest = written(_rare_pairs(written(sets.join(ids, "id"), "sets"), percent, met).join(stars, ["a", "b"], "left_anti"), "rest")
+        rest = written(_rare_pairs(written(sets.join(ids, "id"), "sets"), percent, together).join(stars, ["a", "b"], "left_anti"), "rest")
         rest = looked_up(rest, side("a"), "a", hot_keys("a", rest))
         rest = written(rest.join(side("b"), "b").where(_common_band() & _near("n_a", "n_b", percent)).select("a", "b"), "near-rest")
         if not rest.isEmpty():
