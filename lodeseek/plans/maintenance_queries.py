@@ -8,6 +8,7 @@ from ..engine import Engine
 from ..operators import changes, maintenance
 from ..sources import archive
 from ..store import Store
+from ..streaming import ingest
 from ..streaming.ingest import windowed
 from .fixtures import TABLES_SQL as T
 from .fixtures import files, read, scratch, shared_store, stored, tables
@@ -163,3 +164,17 @@ def x01(spark, sf):
     keep = lambda batch, _: batch.write.mode("overwrite").parquet(out)
     windowed(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch(spark, "feed-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("w17_stream_order", "SELECT CAST(doc_id AS VARCHAR) || '.txt' AS path, sha256(text) AS content_hash FROM documents WHERE doc_id % 9 <> 0 AND text IS NOT NULL")
+def w17_stream(spark, sf):
+    """All documents as a stream of changes whose older versions come last: the store holds the newest, and no deleted path."""
+    feed, engine = scratch(spark, "feed"), Engine(spark, scratch(spark, "streamed"))
+    d = read(spark, sf, "documents").select(F.lit("all").alias("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "doc_id", "text")
+    newest = d.select("source", "path", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("content"), F.lit(3).cast("long").alias("version"))
+    older = d.select("source", "path", F.concat(F.lit("older "), F.coalesce("text", F.lit(""))).alias("content"), (F.col("doc_id") % 3).cast("long").alias("version"))
+    checkpoint = scratch(spark, "stream-checkpoint")
+    for part in (newest, older):
+        part.write.mode("append").parquet(feed)
+        ingest.ingest(spark.readStream.schema(part.schema).parquet(feed), engine, checkpoint).awaitTermination()
+    return engine.store.table("indexed_files").select("path", "content_hash")
