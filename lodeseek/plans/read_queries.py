@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, text
 from ..operators import aggregates, chunking, joins, ranks
+from ..sources import filters
 from .fixtures import TABLES_SQL as T
 from .fixtures import files, read, scratch, tables
 from .registry import query
@@ -36,15 +37,15 @@ def i12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
-_RULES = r"(^|/)(node_modules|\.git|dist|build|\.next|coverage|package-lock\.json)(/|$)|\.lock(/|$)|/es(/|$)"
+_NAMED = "|".join(n.replace(".", r"\.") for n in filters.BUILTIN if "*" not in n)
+_RULES = rf"(^|/)({_NAMED})(/|$)|\.lock(/|$)|/es(/|$)"
+_ENDS = lambda endings: r"\.(" + "|".join(e[1:] for e in endings) + ")$"
 
 
-@query("i02_file_filter", f"SELECT page_id, path FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE NOT regexp_matches(path, '{_RULES}') AND NOT (regexp_matches(path, '(^|/)4[^/]*\\.html(/|$)') AND NOT regexp_matches(path, '(^|/)40[^/]*\\.html(/|$)')) AND NOT regexp_matches(lower(path), '\\.(png|jpg|jpeg|gif|ico|svg|woff|woff2|ttf|eot|zip|tar|gz|rar|exe|dll|so|dylib|mp3|mp4|avi|mov)$')")
+@query("i02_file_filter", f"SELECT page_id, path FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE NOT regexp_matches(path, '{_RULES}') AND NOT (regexp_matches(path, '(^|/)4[^/]*\\.html(/|$)') AND NOT regexp_matches(path, '(^|/)40[^/]*\\.html(/|$)')) AND NOT regexp_matches(lower(path), '{_ENDS(filters.BINARY)}')")
 def i02(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.filters import keeps
-
     d = read(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
-    return d.where(keeps(F.col("path"), ["4*.html", "!40*.html"], ["**/es"]))
+    return d.where(filters.keeps(F.col("path"), ["4*.html", "!40*.html"], ["**/es"]))
 
 
 # --- filters -----------------------------------------------------------------------------------------------------
@@ -529,7 +530,7 @@ def c05(spark, sf):
 _EXTENSIONS = (".txt", ".md", ".py", ".TS", ".kt", ".mdx", ".go", ".tar.java", "")
 
 
-@query("c01_dispatch", f"SELECT path, CASE WHEN regexp_matches(lower(path), '\\.(ts|tsx|js|jsx|java|kt|kts)$') THEN 'declarations' WHEN regexp_matches(lower(path), '\\.(py|go|rs|rb|php|c|cpp|h|hpp|cs|swift)$') THEN 'blocks' WHEN regexp_matches(lower(path), '\\.(md|mdx|markdown)$') THEN 'markdown' ELSE 'fixed' END AS chunker FROM (SELECT source || '/' || doc_id || ([{', '.join(repr(x) for x in _EXTENSIONS)}])[CAST(doc_id % {len(_EXTENSIONS)} + 1 AS INTEGER)] AS path FROM documents)")
+@query("c01_dispatch", f"SELECT path, CASE WHEN regexp_matches(lower(path), '{_ENDS(chunking.LANGUAGES)}') THEN 'declarations' WHEN regexp_matches(lower(path), '{_ENDS(chunking.BLOCK_LANGUAGES)}') THEN 'blocks' WHEN regexp_matches(lower(path), '{_ENDS(chunking.MARKDOWN)}') THEN 'markdown' ELSE 'fixed' END AS chunker FROM (SELECT source || '/' || doc_id || ([{', '.join(repr(x) for x in _EXTENSIONS)}])[CAST(doc_id % {len(_EXTENSIONS)} + 1 AS INTEGER)] AS path FROM documents)")
 def c01(spark, sf):
     ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % len(_EXTENSIONS) + 1).cast("int"))
     return read(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path")).select("path", chunking.chunker_of().alias("chunker"))
