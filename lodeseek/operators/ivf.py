@@ -20,7 +20,7 @@ from ..functions.vector import cosine
 
 SAMPLE, ROUNDS, BOOKS, CODES = 20_000, 12, 8, 256
 #: Candidates scored exactly for each result that is wanted, and queries that are looked up side by side.
-SHORT, SIDE_BY_SIDE = 4, 256
+SHORT, SIDE_BY_SIDE = 16, 256
 
 
 @dataclass

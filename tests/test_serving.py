@@ -104,17 +104,22 @@ def test_server(spark, tmp_path):
 def test_approximate_index(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    c = ivf.fitted(e, "vec_id", "embedding", 8)
-    assert np.allclose(np.linalg.norm(c, axis=1), 1)
-    ivf.write(e, "vec_id", "embedding", c, str(tmp_path / "ivf"))
+    model = ivf.fitted(e, "vec_id", "embedding", 8)
+    assert np.allclose(np.linalg.norm(model.arrays()[0], axis=1), 1) and ivf.Model.of(model.held()) == model
+    ivf.coded(e, "vec_id", "embedding", model).write.parquet(str(tmp_path / "ivf"))
     index = spark.read.parquet(str(tmp_path / "ivf"))
     exact = vector.topk_batch(e, "vec_id", "embedding", q, "query_id", "embedding", 10)
-    assert index.count() == e.count()
-    probes, got = ivf.calibrated(index, e, q, "query_id", "embedding", "vec_id", "embedding", c, 10, 0.9)
-    assert got >= 0.9 and probes <= 8
-    found = ivf.search(index, q, "query_id", "embedding", "vec_id", "embedding", c, 10, probes)
-    assert ivf.recall(found, exact, "query_id", "vec_id") == got
-    assert ivf.recall(ivf.search(index, q, "query_id", "embedding", "vec_id", "embedding", c, 10, 8), exact, "query_id", "vec_id") >= 0.99
+    assert index.count() == e.count() and index.where("length(code) <> 8").isEmpty()
+    got = ivf.calibrated(index, e, q, "query_id", "embedding", "vec_id", "embedding", model, 10, 0.9)
+    assert got.recall >= 0.9 and got.probes <= 8
+    asked = [tuple(r) for r in q.collect()]
+    found = lambda probes: ivf.search(index, asked, "vec_id", "embedding", got, 10, probes, "long")
+    assert ivf.recall(found(None), exact, "query_id", "vec_id") == got.recall
+    assert ivf.recall(found(8), exact, "query_id", "vec_id") >= 0.99
+    scores = {(r.query_id, r.vec_id): r.score for r in exact.collect()}
+    assert all(scores.get((r.query_id, r.vec_id), r.score) == r.score for r in found(8).collect())  # short lists are scored exactly
+    with pytest.raises(ValueError):
+        ivf.search(index, asked * 100, "vec_id", "embedding", got, 10)
 
 
 def test_statements():
