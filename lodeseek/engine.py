@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .operators import aggregates, changes, indexing, ivf, joins, maintenance, search, summarize
 from .session import ship
-from .sources import archive, config as configuration, git, providers
+from .sources import archive, config as configuration, git, git_tree, providers
 from .sources.scan import scan
 from .store import Store
 
@@ -137,10 +137,47 @@ class Engine:
             change.remove(name, of_view)
         change.commit()
 
-    def index_git(self, url: str, branch: str = "main", folder: str | None = None, **options) -> dict:
-        base = folder or (os.path.join(tempfile.gettempdir(), "lodeseek-clones") if "://" in self.store.folder else os.path.join(self.store.folder, "clones"))
-        target = os.path.join(base, git.repo_name(url))
-        return self.index_path(git.clone_or_pull(url, branch, target), options.pop("name", git.repo_name(url)), **options)
+    def index_commit(self, root: str, ref: str, name: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, as_of: str | None = None, subpath: str | None = None) -> dict:
+        """Indexes what a branch, or another name of a commit (a detached view), holds in a repository that executors see.
+
+        No file is checked out. A tree that is indexed already is skipped; else the paths whose objects differ from those
+        of the commit indexed before are compared, if that one is still there.
+        """
+        name = name or os.path.basename(root.rstrip("/"))
+        head = git_tree.commit_of(root, ref)
+        kind = ("branch", ref) if ref in git.branches(root) else ("detached", f"HEAD@{git.run(root, 'rev-parse', '--short', head).strip()}")
+        whole = git.run(root, "rev-parse", f"{head}^{{tree}}").strip()
+        part = git.run(root, "rev-parse", f"{head}:{subpath}").strip() if subpath else whole
+        fingerprint = f"tree:{part}"
+        s = git.Snapshot(root, subpath, *kind, head, whole, part)
+        view_id = _hash("view", name, *kind)
+        before = self._previous(view_id)
+        how = changes.strategy(before, changes.ViewState(head, whole, part, False, fingerprint))
+        if how == "skip":
+            return {"new": 0, "deleted": 0, "unchanged": 0, "deferred": 0, "repaired": 0, "strategy": "skip", "view_id": view_id}
+        files, _ = git_tree.scan(self.spark, root, head, subpath, include, exclude)
+        known = how == "diff" and before and before.head and git_tree.has_commit(root, before.head)
+        paths = git_tree.changed(self.spark, root, before.head, head, subpath) if known else None
+        return self._put(name, "local", root, kind, files, as_of, s, paths, fingerprint)
+
+    def index_git(self, url: str, branch: str = "main", folder: str | None = None, committed: bool | None = None, **options) -> dict:
+        """Indexes a branch of a remote repository.
+
+        committed: executors read its objects from a bare repository below folder, which they must see; by default so
+        unless Spark runs in one process. Else it is checked out and scanned where the driver runs.
+        """
+        if committed is None:
+            committed = not self.spark.sparkContext.master.startswith("local")
+        shared = self.store.folder if "://" not in self.store.folder else (self.spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+        if committed and not folder and (not shared or "://" in shared):
+            raise ValueError("name a folder for repositories that all executors see")
+        base = folder or (os.path.join(tempfile.gettempdir(), "lodeseek-clones") if "://" in self.store.folder and not committed else os.path.join(shared, "clones"))
+        name = options.pop("name", None) or git.repo_name(url)
+        if committed:
+            target = os.path.join(base, f"{git.repo_name(url)}-{_hash(url)[:12]}.git")
+            git_tree.fetch(url, branch, target)
+            return self.index_commit(target, branch, name, **options)
+        return self.index_path(git.clone_or_pull(url, branch, os.path.join(base, git.repo_name(url))), name, **options)
 
     def index_documents(self, name: str, files: DataFrame, ref: str | None = None, as_of: str | None = None) -> dict:
         """Indexes a DataFrame (path, content) as a source; with ref as a branch view, else as its workspace."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from ..sources.providers import in_order
 from . import changes, chunking
 from .joins import chunkless
 
@@ -41,31 +42,31 @@ class HashEmbedder:
 class BatchEmbedder:
     """Calls embed_many(texts) for batches of a bounded size; one retry a batch, else its vectors stay null.
 
-    Only failures of the provider (RuntimeError, OSError) defer a batch; other errors are programming errors and end the job.
+    A task has at_once calls in flight at most, and their vectors in the texts' order. Only failures of the provider
+    (RuntimeError, OSError) defer a batch, and that batch alone; other errors are programming errors and end the job.
     """
 
-    def __init__(self, embed_many, dimensions: int, batch: int = 32, embed_queries=None):
-        self.embed_many, self.dimensions, self.batch, self.embed_queries = embed_many, dimensions, batch, embed_queries or embed_many
+    def __init__(self, embed_many, dimensions: int, batch: int = 32, embed_queries=None, at_once: int = 3):
+        self.embed_many, self.dimensions, self.batch, self.embed_queries, self.at_once = embed_many, dimensions, batch, embed_queries or embed_many, at_once
 
     def query(self, text: str) -> list[float]:
         return [float(x) for x in self.embed_queries([text])[0]]
 
     def embed(self, rows: DataFrame, text_col: str, out: str) -> DataFrame:
-        embed_many, size = self.embed_many, self.batch
+        embed_many, size, at_once = self.embed_many, self.batch, self.at_once
+
+        def one(part: list[str]) -> list:
+            for attempt in (1, 2):
+                try:
+                    return list(embed_many(part))
+                except (RuntimeError, OSError):
+                    if attempt == 2:
+                        return [None] * len(part)
 
         @F.pandas_udf("array<float>")
         def run(texts: pd.Series) -> pd.Series:
-            made: list = []
-            for i in range(0, len(texts), size):
-                part = texts.iloc[i : i + size].tolist()
-                for attempt in (1, 2):
-                    try:
-                        made += list(embed_many(part))
-                        break
-                    except (RuntimeError, OSError):
-                        if attempt == 2:
-                            made += [None] * len(part)
-            return pd.Series(made)
+            parts = [texts.iloc[i : i + size].tolist() for i in range(0, len(texts), size)]
+            return pd.Series([v for made in in_order(one, parts, at_once) for v in made])
 
         return rows.withColumn(out, run(F.col(text_col)))
 

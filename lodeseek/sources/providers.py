@@ -6,6 +6,7 @@ Transport is a function (url, headers, body) -> (status, body), so nothing here
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -46,16 +47,44 @@ def wait_before(status: int, attempt: int, base: float) -> float | None:
     return base * 2 ** (attempt - 1) if status >= 500 else None
 
 
-def retrying(call: Callable, attempts: int = 3, base: float = 1.0, sleep: Callable[[float], None] = time.sleep):
-    """call(), again after a ProviderError that allows it."""
+class Pace:
+    """When requests to one place may go on: a refusal for their rate (429) holds back all that a process sends there."""
+
+    def __init__(self, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.clock, self.sleep, self.lock, self.free = clock, sleep, threading.Lock(), 0.0
+
+    def enter(self) -> None:
+        while (left := self.free - self.clock()) > 0:
+            self.sleep(left)
+
+    def hold(self, seconds: float) -> None:
+        with self.lock:
+            self.free = max(self.free, self.clock() + seconds)
+
+
+_PACES: dict[str, Pace] = {}
+
+
+def pace_of(url: str) -> Pace:
+    """The process's pace for a URL."""
+    return _PACES.setdefault(url, Pace())
+
+
+def retrying(call: Callable, attempts: int = 3, base: float = 1.0, sleep: Callable[[float], None] = time.sleep, pace: Pace | None = None):
+    """call(), again after a ProviderError that allows it; with a pace, a wait after 429 is one of all its callers."""
     for attempt in range(1, attempts + 1):
         try:
+            if pace:
+                pace.enter()
             return call()
         except ProviderError as e:
             wait = wait_before(e.status, attempt, base)
+            if pace and e.status == 429:
+                pace.hold(wait)
             if wait is None or attempt == attempts:
                 raise
-            sleep(wait)
+            if not pace or e.status != 429:
+                sleep(wait)
 
 
 def in_order(f: Callable, items: list, at_once: int) -> list:
@@ -71,7 +100,7 @@ def _asked(transport: Transport, url: str, key: str | None, body: dict, attempts
             raise ProviderError(status)
         return answer
 
-    return retrying(call, attempts, base)
+    return retrying(call, attempts, base, pace=pace_of(url))
 
 
 class RemoteEmbeddings:
@@ -135,7 +164,7 @@ def embedder_of(c: dict, transport: Transport = post):
     if c["provider"] == "hash":
         return HashEmbedder(c["dimensions"])
     made = lambda more: RemoteEmbeddings(c["url"], c["model"], c["dimensions"], c.get("apiKey"), transport, c.get("attempts", 3), c.get("retryDelay", 1.0), more)
-    return BatchEmbedder(made(c.get("passage")), c["dimensions"], c.get("batch", 32), made(c.get("query")))
+    return BatchEmbedder(made(c.get("passage")), c["dimensions"], c.get("batch", 32), made(c.get("query")), c.get("concurrency", 3))
 
 
 def reranker_of(c: dict, transport: Transport = post):

@@ -2,6 +2,7 @@
 
 import os
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from lodeseek import store
 from lodeseek.cli import main
 from lodeseek.engine import Engine
 from lodeseek.operators import changes, evaluation, indexing, maintenance, search
-from lodeseek.sources import archive, config, filters, git
+from lodeseek.sources import archive, config, filters, git, git_tree
 from lodeseek.sources.scan import scan
 from lodeseek.store import TABLES, Store
 from lodeseek.streaming import ingest
@@ -106,6 +107,29 @@ def test_failing_embedder_defers(spark):
     assert got == {"x": [1.0, 0.0], "bad": None, "y": [1.0, 0.0]} and not calls
 
 
+def test_embedding_batches_in_flight(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def slow(texts):
+        start = time.monotonic()
+        time.sleep(0.2)
+        with open(log, "a") as f:
+            f.write(f"{start} {time.monotonic()}\n")
+        if "7" in texts:
+            raise RuntimeError("no")
+        return [[float(t)] for t in texts]
+
+    df = spark.createDataFrame([(str(i),) for i in range(24)], "t string").coalesce(1)
+    for at_once in (1, 3):
+        got = {r.t: r.e for r in indexing.BatchEmbedder(slow, 1, batch=2, at_once=at_once).embed(df, "t", "e").collect()}
+        assert got == {str(i): None if i in (6, 7) else [float(i)] for i in range(24)}  # the failed batch alone, in order
+        spans = [tuple(map(float, line.split())) for line in open(log)]
+        assert len(spans) == 13 and max(sum(a <= s < b for a, b in spans) for s, _ in spans) == at_once
+        took = max(b for _, b in spans) - min(a for a, _ in spans)
+        assert took >= 2.6 if at_once == 1 else took < 1.6
+        os.remove(log)
+
+
 def test_remove_and_gc(engine):
     assert engine.remove("docs") and not engine.remove("docs")
     s = engine.status()
@@ -378,6 +402,60 @@ def test_git_index(spark, tmp_path):
     assert {r.ref_name for r in e.store.table("source_views").collect()} == {"main"}
 
 
+def test_committed_tree_is_read_as_checked_out(spark, tmp_path):
+    repo, bare = str(tmp_path / "repo"), str(tmp_path / "bare.git")
+    os.makedirs(repo)
+    sh(repo, "init", "-q", "-b", "main")
+    put(repo, {f"s/d{i % 3}/f {i}.txt": f"line {i}\n" * (i + 1) for i in range(40)} | {"top.md": "# é", "empty.txt": "", "node_modules/m.js": "x", "p.png": "y", "s/x.log": "z", "big.txt": "x" * (1 << 20) + "y", ".gitignore": "*.log\n"})
+    os.symlink("top.md", os.path.join(repo, "link.md"))
+    sh(repo, "add", "-f", "."), sh(repo, "commit", "-qm", "1")
+    first = git_tree.commit_of(repo, "main")
+    os.remove(os.path.join(repo, "link.md"))
+    rows = lambda df: sorted((r.path, r.content) for r in df.collect())
+    want = rows(scan(spark, repo)[0])
+    files, excluded = git_tree.scan(spark, repo, first)  # loose objects
+    assert len(want) == 41 and "empty.txt" not in dict(want) and rows(files) == want and {r.path for r in excluded.collect()} >= {"p.png", "s/x.log", "big.txt"}
+    put(repo, {"top.md": "# other", "s/new.txt": "n", "s/d0/f 0.txt": "line 0\nmore\n"})
+    os.remove(os.path.join(repo, "s/d1/f 1.txt"))
+    sh(repo, "rm", "-q", "--cached", "link.md"), sh(repo, "add", "-A"), sh(repo, "commit", "-qm", "2"), sh(repo, "gc", "-q")
+    second = git_tree.fetch("file://" + repo, "main", bare)
+    assert second == git_tree.commit_of(repo, "main") and git_tree.fetch("file://" + repo, "main", bare) == second
+    for root in (repo, bare):  # packed objects
+        assert rows(git_tree.scan(spark, root, second)[0]) == rows(scan(spark, repo)[0])
+    assert rows(git_tree.scan(spark, bare, second, "s/d2", ["**/*.txt"])[0]) == rows(scan(spark, os.path.join(repo, "s/d2"))[0])
+    assert {r.path for r in git_tree.changed(spark, repo, first, second).collect()} == {"top.md", "s/new.txt", "s/d0/f 0.txt", "s/d1/f 1.txt"}
+    assert not git_tree.has_commit(bare, first) and git_tree.has_commit(repo, first)
+    with pytest.raises(Exception, match="no object"):
+        git_tree.contents(spark.createDataFrame([("a", "0" * 40, 1)], "path string, oid string, size long"), repo).collect()
+    with pytest.raises(RuntimeError):
+        git_tree.tree(spark, repo, second, "nowhere")
+
+
+def test_index_commits_without_checkout(spark, tmp_path):
+    repo = str(tmp_path / "repo")
+    os.makedirs(repo)
+    sh(repo, "init", "-q", "-b", "main")
+    put(repo, {"a.txt": "alpha", "s/b.txt": "beta", "s/c.txt": "gamma"})
+    sh(repo, "add", "."), sh(repo, "commit", "-qm", "1")
+    put(repo, {"a.txt": "not committed"})
+    e = Engine(spark, str(tmp_path / "store"))
+    index = lambda: e.index_git("file://" + repo, committed=True, name="r")
+    got = index()
+    assert (got["strategy"], got["new"]) == ("full", 3) and index()["strategy"] == "skip"
+    assert e.read_source(path="a.txt")["content"] == "alpha"
+    sh(repo, "checkout", "-q", "a.txt"), put(repo, {"s/b.txt": "changed", "d.txt": "delta"}), os.remove(os.path.join(repo, "s/c.txt"))
+    sh(repo, "add", "-A"), sh(repo, "commit", "-qm", "2")
+    got = index()
+    assert (got["strategy"], got["new"], got["deleted"], got["unchanged"]) == ("diff", 2, 1, 0)
+    assert {r.path for r in e.store.table("indexed_files").collect()} == {"a.txt", "s/b.txt", "d.txt"}
+    direct = Engine(spark, str(tmp_path / "other"))
+    assert direct.index_commit(repo, "main", "r")["new"] == 3 and direct.index_commit(repo, "main", "r")["strategy"] == "skip"
+    assert direct.index_commit(repo, git_tree.commit_of(repo, "main"), "r")["new"] == 3  # a detached view beside the branch
+    assert {r.view_kind for r in direct.store.table("source_views").collect()} == {"branch", "detached"}
+    below = Engine(spark, str(tmp_path / "below"))
+    assert below.index_commit(repo, "main", "r", subpath="s")["new"] == 1 and below.read_source(path="b.txt")["content"] == "changed"
+
+
 def test_git_helpers(tmp_path):
     assert git.repo_name("https://h/u/r.git") == "r" and git.repo_name("git@h:u/r") == "r" and git.expand_home("~/x").endswith("/x")
     repo = str(tmp_path / "r")

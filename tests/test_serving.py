@@ -28,6 +28,28 @@ def test_retries():
     assert providers.in_order(lambda x: x * 2, [3, 1, 2], 3) == [6, 2, 4]
 
 
+def test_pace_is_shared():
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    pace, left = providers.Pace(lambda: now[0], sleep), [429, 429, 503]
+
+    def call():
+        if left:
+            raise providers.ProviderError(left.pop(0))
+        return now[0]
+
+    own = []
+    assert providers.retrying(call, 4, 2.0, own.append, pace) == 6.0 and waits == [2.0, 4.0] and own == [8.0]
+    pace.hold(3.0)
+    pace.hold(1.0)  # a shorter wait takes nothing from a longer one
+    assert providers.retrying(call, 1, 2.0, own.append, pace) == 9.0 and waits[-1] == 3.0  # another request waits too
+    assert providers.pace_of("u") is providers.pace_of("u") and providers.pace_of("u") is not providers.pace_of("v")
+
+
 def test_remote_embeddings():
     def transport(url, headers, body):
         assert headers["Authorization"] == "Bearer k"
