@@ -17,6 +17,9 @@ A gram with more than MOST classes (the edge of a passage that very many texts s
 task: there the strings themselves are counted by their 128-bit digests, dealt over all tasks. Texts of a short period give
 equal pieces one after another, which are one row with a number.
 
+Symbols are bytes, or words `[^\x20\x09-\x0D]+` by their 64-bit hashes: with `words`, strings of so many words that start at
+two places are found too, by the same steps. They are told as passages beside the spans, and remove nothing.
+
 Texts are UTF-8 bytes, taken whole, and long ones in stretches of bounded memory. Null and empty texts have no bytes; texts
 shorter than `length` lose nothing. Matches never cross texts. Each row counts as a text, also with an equal or null id.
 Equal texts repeat each other, so they lose all bytes. Empty tables give empty ones. Other columns, whatever their
@@ -34,16 +37,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, hot_keys, looked_up, ready, small, written
-from .kernels import BYTE, SLICE_BYTES, U, begin, mix, powers, slices
+from .kernels import BYTE, SLICE_BYTES, U, Words, begin, class_table, mix, powers, slices
 
-LENGTH, BLOCK, MOST = 400, 4096, 4096
+LENGTH, WORDS, BLOCK, MOST = 400, 50, 4096, 4096
+WORD = class_table([(0x20, 0x20), (0x09, 0x0D)])
 PLACE = (1 << 24) - 1
 END = 256
 PIECE = "doc binary, tag long, key long, digest long, start int, n int, shift int, times int"
 
 
+def symbols(texts: pa.Array, words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, symbols, texts' limits in them) of each slice of a column; the words of a long text come part by part."""
+    for s, _, data, origin in slices(texts):
+        if not words:
+            yield s, data, origin
+        elif len(data) <= SLICE_BYTES:
+            w = Words(data, origin, WORD, lower=False)
+            yield s, w.hash, w.first
+        else:
+            found, a = [], 0
+            while a < len(data):
+                b = a + SLICE_BYTES
+                while b < len(data) and not len(gaps := np.flatnonzero(~WORD[data[a:b]])):
+                    b += b - a  # a word longer than the part
+                b = a + gaps[-1] + 1 if b < len(data) else len(data)
+                found.append(Words(data[a:b], np.array([0, b - a]), WORD, lower=False).hash)
+                a = b
+            found = np.concatenate(found)
+            yield s, found, np.array([0, len(found)])
+
+
 def stretches(data: np.ndarray, origin: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first byte, bytes, texts' limits in them) of a slice; a long text in parts that overlap by length - 1 bytes."""
+    """(first symbol, symbols, texts' limits in them) of a slice; a long text in parts that overlap by length - 1 symbols."""
     if len(data) <= SLICE_BYTES:
         yield 0, data, origin
         return
@@ -64,17 +89,17 @@ def least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, origin: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of some texts' bytes the pieces: (text, start, n, shift, key, digest, times).
+    """Of some texts' symbols the pieces: (text, start, n, shift, key, digest, times).
 
-    A piece has the n strings that start at `start` and after; its gram stands `shift` bytes behind the start. `times`
-    equal pieces follow each other, each n bytes after the one before.
+    A piece has the n strings that start at `start` and after; its gram stands `shift` symbols behind the start. `times`
+    equal pieces follow each other, each n symbols after the one before.
     """
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(7))
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * up[:n], dtype=np.uint64, out=total[1:])
+    np.cumsum((BYTE[data] if data.dtype == np.uint8 else data) * up[:n], dtype=np.uint64, out=total[1:])
     h = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     at = (least(h & U(~PLACE & (1 << 64) - 1) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & U(PLACE)).astype(np.int64)
     long = np.flatnonzero(np.diff(origin) >= length)
@@ -97,11 +122,11 @@ def pieces(data: np.ndarray, origin: np.ndarray, length: int, gram: int) -> tupl
     return tuple(x[heads] for x in (text, start, size, shift, key.view(np.int64), digest.view(np.int64))) + (times,)
 
 
-def _pieces(length: int, gram: int):
+def _pieces(length: int, gram: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("repeats")
         for batch in batches:
-            for s, _, data, origin in slices(batch.column(2)):
+            for s, data, origin in symbols(batch.column(2), words):
                 for a, part, limits in stretches(data, origin, length):
                     text, start, n, shift, key, digest, times = pieces(part, limits, length, gram)
                     row = pa.array(text + s)
@@ -149,12 +174,17 @@ def columns(strings: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.nd
         yield t, order, common
 
 
-def repeated(strings: list[bytes], n: np.ndarray, shift: np.ndarray, times: np.ndarray, group: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
-    """For each piece which of its n strings repeat; pieces are sorted by group (their gram)."""
+def repeated(strings: list[bytes], n: np.ndarray, shift: np.ndarray, times: np.ndarray, group: np.ndarray, length: int, gram: int, wide: int = 1) -> list[np.ndarray]:
+    """For each piece which of its n strings repeat; pieces are sorted by group (their gram). wide: bytes a symbol."""
     free = length - gram
-    matrix = np.full((len(strings), length + free), END, np.uint16)
-    for row, s, d in zip(matrix, strings, (free - shift).tolist()):
-        row[d : d + len(s)] = np.frombuffer(s, np.uint8)
+    codes = np.frombuffer(b"".join(strings), np.uint8 if wide == 1 else np.uint64)
+    if wide > 1:
+        codes = np.unique(codes, return_inverse=True)[1]
+        codes = codes + (codes >= END)
+    matrix = np.full((len(strings), length + free), END, np.uint16 if codes.max(initial=0) < 1 << 16 else np.uint32)
+    at = np.cumsum([0, *(len(s) // wide for s in strings)]).tolist()
+    for row, a, b, d in zip(matrix, at, at[1:], (free - shift).tolist()):
+        row[d : d + b - a] = codes[a:b]
     hit = np.zeros((free + 1, len(strings)), bool)
     for t, order, common in columns(matrix, group):
         if t <= free:
@@ -164,7 +194,7 @@ def repeated(strings: list[bytes], n: np.ndarray, shift: np.ndarray, times: np.n
 
 
 def runs(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
-    """First bytes, and bytes after the last, of what the strings that are flagged cover."""
+    """First symbols, and symbols after the last, of what the strings that are flagged cover."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + length - 1).tolist()
 
@@ -172,7 +202,7 @@ def runs(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
 SPANS = "key long, digest long, first array<int>, last array<int>"
 
 
-def _transform(length: int, gram: int):
+def _transform(length: int, gram: int, wide: int):
     """Of sorted rows (key, digest, n, shift, times, string) the spans of each class, in blocks of whole collections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +212,7 @@ def _transform(length: int, gram: int):
         def out(block: list[tuple]) -> pa.RecordBatch:
             key, digest, n, shift, times, strings = zip(*block)
             _, group = np.unique(np.array(key, np.int64), return_inverse=True)
-            flags = repeated(list(strings), np.array(n), np.array(shift), np.array(times), group, length, gram)
+            flags = repeated(list(strings), np.array(n), np.array(shift), np.array(times), group, length, gram, wide)
             first, last = zip(*[runs(f, length) for f in flags])
             ints = pa.list_(pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, ints), pa.array(last, ints)], ["key", "digest", "first", "last"])
@@ -201,22 +231,22 @@ def _transform(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, wide: int):
     """Of rows (key, digest, n, times, string) each string's digest and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("repeats")
         for batch in batches:
             for key, digest, n, times, s in zip(*[c.to_pylist() for c in batch.columns]):
-                found = [hashlib.blake2b(s[j : j + length], digest_size=16).digest() for j in range(n)]
+                found = [hashlib.blake2b(s[j * wide : (j + length) * wide], digest_size=16).digest() for j in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[pa.array(np.full(n, x)) for x in (key, digest)], pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, times))], ["w", "key", "digest", "j", "times"])
 
     return run
 
 
-def _counted(strings: DataFrame, length: int) -> DataFrame:
+def _counted(strings: DataFrame, length: int, wide: int) -> DataFrame:
     """The spans of classes whose gram very many share: each string counted by its digest, over all tasks."""
-    windows = written(strings.dropDuplicates(["key", "digest"]).select("key", "digest", "n", "times", "string").mapInArrow(_windows(length), "w binary, key long, digest long, j int, times long"), "windows")
+    windows = written(strings.dropDuplicates(["key", "digest"]).select("key", "digest", "n", "times", "string").mapInArrow(_windows(length, wide), "w binary, key long, digest long, j int, times long"), "windows")
     counts = windows.groupBy("w").agg(F.sum("times").alias("all"), F.count("*").alias("n"))
     counts = written(counts.where("all > 1"), "window-counts")
     hit = looked_up(windows, counts.select("w"), "w", hot_keys("w", counted=counts.select("w", "n")))
@@ -224,47 +254,60 @@ def _counted(strings: DataFrame, length: int) -> DataFrame:
     return places.select("key", "digest", F.col("j").alias("first"), F.transform("j", lambda j: j + length).alias("last"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (text, wanted pieces) the pieces with their bytes."""
-    begin("repeats")
-    names = ["key", "digest", "n", "shift", "times"]
-    for batch in batches:
-        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-            data = text.as_buffer().to_pybytes()
-            for s in range(0, len(wanted), 4096):
-                some = wanted[s : s + 4096]
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*[pa.array([w[c] for w in some], t) for c, t in zip(names, types)], pa.array([data[w["start"] : w["stop"]] for w in some], pa.binary())], [*names, "string"])
+def _cut(words: bool):
+    """Of rows (text, wanted pieces) the pieces with their symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("repeats")
+        names = ["key", "digest", "n", "shift", "times"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        for batch in batches:
+            for first, data, limits in symbols(batch.column(0), words):
+                held, wide = memoryview(data).cast("B") if len(data) else b"", data.itemsize
+                for row, at in enumerate(limits[:-1].tolist(), first):
+                    wanted = batch.column(1)[row].as_py()
+                    for s in range(0, len(wanted), 4096):
+                        some = wanted[s : s + 4096]
+                        strings = pa.array([bytes(held[(at + w["start"]) * wide : (at + w["stop"]) * wide]) for w in some], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*[pa.array([w[c] for w in some], t) for c, t in zip(names, types)], strings], [*names, "string"])
+
+    return run
+
+
+def united(found: list[dict] | None) -> list[dict]:
+    """Spans in any order as maximal runs."""
+    out: list[dict] = []
+    for s, e in sorted((x["start"], x["stop"]) for x in found or ()):
+        if out and s <= out[-1]["stop"]:
+            out[-1]["stop"] = max(e, out[-1]["stop"])
+        else:
+            out.append({"start": s, "stop": e})
+    return out
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (id, text, spans in any order, or null) the united spans and the bytes outside them."""
+    """Of rows (id, text, spans in any order, or null, perhaps passages alike) the united spans, the bytes outside them and the united passages."""
     begin("repeats")
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     for batch in batches:
-        united, kept, sizes = [], [], []
+        spans, kept, sizes = [], [], []
         for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
-            data, mine, at, left = text.as_buffer().to_pybytes() if text.is_valid else b"", [], 0, []
-            for s, e in sorted((x["start"], x["stop"]) for x in found or ()):
-                if mine and s <= mine[-1]["stop"]:
-                    mine[-1]["stop"] = max(e, mine[-1]["stop"])
-                else:
-                    mine.append({"start": s, "stop": e})
+            data, mine, at, left = text.as_buffer().to_pybytes() if text.is_valid else b"", united(found), 0, []
             for x in mine:
                 left.append(data[at : x["start"]])
                 at = x["stop"]
-            united.append(mine)
+            spans.append(mine)
             kept.append(b"".join([*left, data[at:]]))
             sizes.append(len(data))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(united, spans), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+        passages = [pa.array([united(x) for x in c.to_pylist()], kind) for c in batch.columns[3:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *passages], ["id", "n_bytes", "spans", "kept", *["passages"] * len(passages)])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
-    """(id, n_bytes, spans, kept) of each row: the maximal runs of bytes that repeated strings cover, and the other bytes."""
-    ready(docs.sparkSession)
-    gram = gram or max(1, length // 3)
-    own = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).withColumns({"doc": F.unhex(F.md5("text")), "tag": F.xxhash64("id")})
-    found = written(own.where(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_pieces(length, gram), PIECE), "pieces")
+def _covered(own: DataFrame, length: int, gram: int, words: bool = False) -> DataFrame:
+    """(doc, spans) of each text with strings of length symbols that repeat: what they cover, in any order."""
+    wide = 8 if words else 1
+    least_bytes = 2 * length - 1 if words else length
+    found = written(own.where(F.octet_length("text") >= least_bytes).select("doc", "tag", "text").mapInArrow(_pieces(length, gram, words), PIECE), "pieces")
     grams = written(found.groupBy("key").agg(F.sum("times").alias("n"), F.count("*").alias("rows"), (F.min("digest") != F.max("digest")).alias("mixed")).where("n > 1"), "grams")
     hot = hot_keys("key", counted=grams.select("key", F.col("rows").alias("n")))
     held = small(grams.select("key", "mixed"))
@@ -276,25 +319,44 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     classes = written(classes.select("key", "digest", "times", "rows", "at.*", (F.col("at.start") + F.col("at.n") + length - 1).alias("stop")), "classes")
     wanted = classes.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "digest", "n", "shift", "times", "start", "stop")).alias("wanted"))  # a text's pieces at most
     of_texts = own.join(small(written(wanted, "wanted")), ["doc", "tag"]).select("text", "wanted")
-    strings = written(of_texts.mapInArrow(_cut, "key long, digest long, n int, shift int, times long, string binary"), "strings")
+    strings = written(of_texts.mapInArrow(_cut(words), "key long, digest long, n int, shift int, times long, string binary"), "strings")
     many = written(classes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"), "many")
     alone = strings.join(small(many), "key", "left_anti").repartition("key").sortWithinPartitions("key", "digest")
-    of_classes = alone.select("key", "digest", "n", "shift", "times", "string").mapInArrow(_transform(length, gram), SPANS)
-    of_classes = of_classes.unionByName(_counted(strings.join(small(many), "key", "left_semi"), length))
+    of_classes = alone.select("key", "digest", "n", "shift", "times", "string").mapInArrow(_transform(length, gram, wide), SPANS)
+    of_classes = of_classes.unionByName(_counted(strings.join(small(many), "key", "left_semi"), length, wide))
     of_classes = written(of_classes.where(F.size("first") > 0).select(F.struct("key", "digest").alias("class"), "first", "last"), "class-spans")
     hot = hot_keys("class", counted=classes.select(F.struct("key", "digest").alias("class"), F.col("rows").alias("n")))
     at = looked_up(mixed.withColumn("class", F.struct("key", "digest")), of_classes, "class", hot)
     # Equal pieces in a row make a class with a number, so all of it repeats.
     last = lambda x: F.col("start") + x + F.when(F.col("times") > 1, F.col("n") * (F.col("times") - 1)).otherwise(0)
     covered = at.select("doc", "start", "n", "times", F.explode(F.arrays_zip("first", "last")).alias("x")).select("doc", (F.col("start") + F.col("x.first")).alias("start"), last(F.col("x.last")).alias("stop"))
-    of_docs = written(spans.unionByName(covered).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    return written(spans.unionByName(covered).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, words: int | None = None) -> DataFrame:
+    """(id, n_bytes, spans, kept) of each row: the maximal runs of bytes that repeated strings cover, and the other bytes.
+
+    With words also passages, the maximal runs of words (numbers of the first and after the last) that repeated strings of so many words cover.
+    """
+    ready(docs.sparkSession)
+    own = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).withColumns({"doc": F.unhex(F.md5("text")), "tag": F.xxhash64("id")})
+    of_docs = _covered(own, length, gram or max(1, length // 3))
+    if words:
+        passages = _covered(own, words, max(1, words // 3), words=True).withColumnRenamed("spans", "passages")
+        of_docs = written(of_docs.join(passages, "doc", "full"), "spans-and-passages")
     copies = hot_keys("doc", own.select("doc"))
     met = own.join(small(of_docs), "doc", "left") if copies is None else looked_up(own, of_docs, "doc", copies, "left")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return met.select("id", "text", "spans").mapInArrow(_kept, f"id {kind}, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
+    kind, spans = docs.schema[id_col].dataType.simpleString(), "array<struct<start:int,stop:int>>"
+    return met.drop("doc", "tag").mapInArrow(_kept, f"id {kind}, n_bytes long, spans {spans}, kept binary" + (f", passages {spans}" if words else ""))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words) of each row.
+
+    The last two are passages of WORDS words or more that start anywhere else too, some with fewer bytes than a span.
+    """
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return repeats(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    of_words = F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    found = repeats(docs, id_col, text_col, words=WORDS)
+    base = (F.col("id").alias(id_col), "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(*base, F.size("passages").cast("long").alias("n_passages"), of_words.alias("n_passage_words"))

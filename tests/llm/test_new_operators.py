@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from brute import WORD
 from pyspark.sql import functions as F
 
 from lodeseek.llm import alignment, negatives, repeats
@@ -87,6 +88,72 @@ def test_repeats_odd(spark, most, block, hot, stretch, monkeypatch):
         assert repeats.report(d.limit(0)).count() == 0 and summed(d.where("text is null")) == [(0, 0, 0, hashlib.sha256(b"").hexdigest())]
 
 
+def brute_passages(texts, length):
+    """For each text the runs of words that repeated strings of so many words cover, every string looked at."""
+    data = [WORD.findall(t or "") for t in texts]
+    seen = collections.Counter(tuple(x[i : i + length]) for x in data for i in range(len(x) - length + 1))
+    out = []
+    for x in data:
+        gone = np.zeros(len(x) + 1, np.int8)
+        for i in range(len(x) - length + 1):
+            if seen[tuple(x[i : i + length])] > 1:
+                gone[i : i + length] = 1
+        edge = np.flatnonzero(np.diff(gone, prepend=0))
+        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist())))
+    return out
+
+
+def told(df, **options):
+    return sorted((r.n_bytes, [tuple(x) for x in r.passages]) for r in repeats.repeats(df, **options).collect())
+
+
+def test_repeated_passages_below_400_bytes(spark):
+    """A passage of over 50 short words that two documents share has too few bytes for a span, but is told as a passage."""
+    rng = random.Random(11)
+    words = lambda n: [f"{rng.randrange(16**6):x}" for _ in range(n)]
+    shared, short = words(52), words(49)
+    texts = [" ".join(words(30) + shared + words(40)), " ".join(words(70)) + "\n" + "\t ".join(shared), " ".join(words(9) + short + words(9)), " ".join(short), " ".join(words(200)), "", None]
+    assert len(" ".join(shared)) < 400
+    got = sorted(repeats.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [(r.n_removed, r.n_spans, r.n_passages, r.n_passage_words) for r in got] == [(0, 0, 1, 52), (0, 0, 1, 52), *[(0, 0, 0, 0)] * 5]
+
+
+def test_passages(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = d.select("doc_id", "text").collect()
+    want = {r.doc_id: (len(w), sum(b - a for a, b in w)) for r, w in zip(rows, brute_passages([r.text for r in rows], 50))}
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in repeats.report(d).collect()}
+    assert got == want and any(w[0] for w in want.values())
+
+
+@pytest.mark.parametrize("most,block,hot,stretch", [(4096, 4096, None, None), (2, 3, 5, None), (4096, 7, None, 64)])
+def test_passages_odd(spark, most, block, hot, stretch, monkeypatch):
+    """Strings of few words of a small vocabulary, with every kind of white space, as in test_repeats_odd."""
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    if hot:
+        monkeypatch.setattr("lodeseek.llm.common.HOT_ROWS", hot)
+        monkeypatch.setattr(repeats, "small", lambda df: df)
+    if stretch:
+        monkeypatch.setattr(repeats, "SLICE_BYTES", stretch)
+        monkeypatch.setattr(repeats, "slices", lambda texts: __import__("lodeseek.llm.kernels", fromlist=["slices"]).slices(texts, stretch))
+    rng = random.Random(7)
+    # More than END different words in a block, and words longer than a stretch.
+    of = [*"abcé", "\u00a0x", "A"] + [f"w{k}" for k in range(400)] + ["long" * 40]
+    word = lambda: rng.choice(of[:6]) if rng.random() < 0.6 else rng.choice(of)
+    shared = [[word() for _ in range(rng.randrange(4, 40))] for _ in range(8)]
+    texts = ["a " * 60, "a b " * 40, "a b c " * 20 + "x " + "a b c " * 20, "a " * 11, "a " * 12, " \n\t", None, ""]
+    for _ in range(150):
+        parts = [[word() for _ in range(rng.randrange(0, 20))] if rng.random() < 0.5 else rng.choice(shared) for _ in range(rng.randrange(1, 7))]
+        texts.append("".join(w + rng.choice([" ", "\n", "\t ", "\x0b", "\r\n"]) for p in parts for w in p))
+    texts += texts[-5:]
+    d = spark.createDataFrame([(None if i % 50 == 3 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    d = clashing(d, "spans", "passages", "start", "doc", "tag")
+    want = sorted((len((t or "").encode()), w) for t, w in zip(texts, brute_passages(texts, 12)))
+    assert told(d, length=30, gram=9, words=12) == want and sum(len(w) for _, w in want) > 50
+    assert summed(d, length=30, gram=9) == sorted(brute_repeats(texts, 30))
+
+
 def test_column_transform():
     """Orders and common prefixes of every column, against sorted suffixes."""
     rng = random.Random(1)
