@@ -64,12 +64,16 @@ def prompt(path: Column, kind: Column, text: Column, fqn: Column | None = None,
     return F.concat_ws("\n", *lines, F.lit("---"), text)
 
 
-def mock_summary(path: Column, kind: Column, text: Column, fqn: Column | None = None) -> Column:
-    """A deterministic stand-in for a model's summary; null for blank text. The wording is a fixed value."""
+def mock_wording(path: Column, kind: Column, text: Column, fqn: Column | None = None) -> Column:
+    """What the stand-in says of a text, blank or not; null for null. The wording is a fixed value."""
     name = F.lit("") if fqn is None else F.coalesce(F.concat(F.lit(" ("), fqn, F.lit(")")), F.lit(""))
     digest = F.substring(F.sha2(F.concat(path, F.lit("|"), text), 256), 1, 8)
-    whole = F.concat(F.lit("Mock summary "), digest, F.lit(": "), F.lower(kind), name, F.lit(" in "), path, F.lit(". Content length "), F.length(text).cast("string"), F.lit(" chars; generated deterministically for tests."))
-    return F.when(F.trim(text) != "", whole)
+    return F.concat(F.lit("Mock summary "), digest, F.lit(": "), F.lower(kind), name, F.lit(" in "), path, F.lit(". Content length "), F.length(text).cast("string"), F.lit(" chars; generated deterministically for tests."))
+
+
+def mock_summary(path: Column, kind: Column, text: Column, fqn: Column | None = None) -> Column:
+    """A deterministic stand-in for a model's summary; null for blank text."""
+    return F.when(F.trim(text) != "", mock_wording(path, kind, text, fqn))
 
 
 def fingerprint(dirty: Column, tree: Column, manifest: Column) -> Column:
