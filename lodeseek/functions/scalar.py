@@ -97,8 +97,12 @@ def format_cost(cost: float) -> str:
 
 
 def cost_text(cost: Column) -> Column:
-    """format_cost for a column."""
-    return F.when(cost < 0.01, F.format_string("$%.2fm", cost * 1000)).otherwise(F.format_string("$%.3f", cost))
+    """format_cost for a column; null for null.
+
+    format_number rounds the double's exact value, as printf of C does; format_string rounds its shortest decimal form.
+    """
+    rounded = lambda x, places: F.call_function("format_number", x, F.lit("0." + "0" * places))
+    return F.when(cost < 0.01, F.concat(F.lit("$"), rounded(cost * 1000, 2), F.lit("m"))).otherwise(F.concat(F.lit("$"), rounded(cost, 3)))
 
 
 def js_round(x: float) -> int:
