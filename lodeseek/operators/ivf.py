@@ -9,7 +9,7 @@ measures against exact search.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +19,22 @@ from pyspark.sql import functions as F
 from ..functions.vector import cosine
 
 SAMPLE, ROUNDS, BOOKS, CODES = 20_000, 12, 8, 256
-#: Candidates scored exactly for each result that is wanted, and queries that are looked up side by side.
+#: Candidates scored exactly for each result that is wanted, unless the model needs more, and queries that are looked up side by side.
 SHORT, SIDE_BY_SIDE = 16, 256
+#: Rows of short lists that are sent to every executor; more are joined by a shuffle.
+SENT = 500_000
 
 
 @dataclass
 class Model:
-    """Centroids of the lists, code books of the residuals' parts, and how many lists a query looks into."""
+    """Centroids of the lists, code books of the residuals' parts, how many lists a query looks into, and how many candidates a result it scores."""
 
     dimensions: int
     centroids: list[list[float]]
     books: list[list[list[float]]]
     probes: int = 1
     recall: float = 0.0
+    short: int = SHORT
 
     @staticmethod
     def of(held: dict) -> "Model":
@@ -103,7 +106,7 @@ def search(index: DataFrame, queries: list[tuple], id_col: str, vector_col: str,
     """
     if len(queries) > SIDE_BY_SIDE:
         raise ValueError(f"{len(queries)} queries, more than {SIDE_BY_SIDE}")
-    spark, short = index.sparkSession, SHORT * k
+    spark, short = index.sparkSession, model.short * k
     c, books = model.arrays()
     q = _unit(np.array([v for _, v in queries], np.float64).reshape(len(queries), -1))
     base = q @ c.T
@@ -138,7 +141,8 @@ def search(index: DataFrame, queries: list[tuple], id_col: str, vector_col: str,
     place = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("near"), id_col))
     near = near.withColumn("place", place).where(F.col("place") <= short).select("at", id_col)
     asked = spark.createDataFrame([(i, name, [float(x) for x in v]) for i, (name, v) in enumerate(queries)], f"at int, query_id {query_type}, _v array<double>")
-    scored = inside.select(id_col, vector_col).join(F.broadcast(near), id_col).join(F.broadcast(asked), "at")  # short lists of SIDE_BY_SIDE queries
+    near = F.broadcast(near) if short * len(queries) <= SENT else near
+    scored = inside.select(id_col, vector_col).join(near, id_col).join(F.broadcast(asked), "at")  # SIDE_BY_SIDE queries at most
     scored = scored.select("query_id", id_col, F.round(cosine(F.col(vector_col), F.col("_v")), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return scored.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
@@ -153,7 +157,8 @@ def recall(found: DataFrame, exact: DataFrame, query_id: str, id_col: str) -> fl
 def calibrated(index: DataFrame, vectors: DataFrame, queries: DataFrame, query_id: str, query_col: str, id_col: str, vector_col: str, model: Model, k: int, target: float = 0.9) -> Model:
     """The model with the fewest probes (half as many more each time, then all lists) whose recall against exact search over all rows reaches target.
 
-    queries: SIDE_BY_SIDE at most.
+    Where all lists don't reach it, short lists grow twofold until they do; at the latest they hold all rows, which is
+    exact search. queries: SIDE_BY_SIDE at most.
     """
     from ..functions.vector import topk_batch
 
@@ -161,13 +166,16 @@ def calibrated(index: DataFrame, vectors: DataFrame, queries: DataFrame, query_i
     kind, lists = dict(queries.dtypes)[query_id], len(model.centroids)
     exact = topk_batch(vectors, id_col, vector_col, queries, query_id, query_col, k).persist()
     try:
-        probes = 1
+        probes, short, n = 1, SHORT, index.count()
         while True:
             probes = min(probes, lists)
+            model = replace(model, probes=probes, short=short)
             found = search(index, held, id_col, vector_col, model, k, probes, kind).withColumnRenamed("query_id", query_id)
             got = recall(found, exact, query_id, id_col)
-            if got >= target or probes == lists:
-                return Model(model.dimensions, model.centroids, model.books, probes, got)
+            if got >= target or probes == lists and short * k >= n:
+                return replace(model, recall=got)
+            if probes == lists:
+                short *= 2
             probes = probes + max(1, probes // 2)
     finally:
         exact.unpersist()

@@ -114,9 +114,10 @@ def s03_batch(spark, sf):
 def s03_index(spark, sf):
     """The approximate index over all vectors: how many are coded, and whether the top 10 of a hundred of them are found as by exact search (0.9)."""
     e, path = read(spark, sf, "embeddings").select("vec_id", "embedding"), scratch(spark, "codes")
+    asked = e.where(F.exists("embedding", lambda v: v != 0)).orderBy("vec_id").limit(100).select(F.col("vec_id").alias("query_id"), "embedding")
     model = ivf.fitted(e, "vec_id", "embedding", 64)
     ivf.coded(e, "vec_id", "embedding", model).write.parquet(path)
-    index, asked = spark.read.parquet(path), e.where("embedding is not null").orderBy("vec_id").limit(100).select(F.col("vec_id").alias("query_id"), "embedding")
+    index = spark.read.parquet(path)
     got = ivf.calibrated(index, e, asked, "query_id", "embedding", "vec_id", "embedding", model, 10)
     return index.agg(F.count("*").alias("vectors")).select("vectors", F.lit(asked.count()).cast("long").alias("queries"), F.lit(got.recall >= 0.9).alias("reached"))
 
