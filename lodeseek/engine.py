@@ -69,7 +69,7 @@ class Engine:
                 n[t] += change.add(t, rows).count()
             change.add("file_blobs", done.blobs)
             contents = change.add("chunk_contents", done.contents)
-            change.add("postings", search.postings(contents))
+            change.add("postings", search.postings(contents), in_runs=True)
             deferred = contents.where("embedding is null").count()
             s = state or git.Snapshot(path)
             one = self.spark.range(1)
@@ -225,7 +225,7 @@ class Engine:
             new = self.embedder.embed(new, "content", "embedding").withColumns({"summary": F.lit(None).cast("string"), "summary_embedding": F.lit(None).cast("array<float>"), "created_at": now})
             change = self.store.change()
             change.add("chunks", chunks)
-            change.add("postings", search.postings(change.add("chunk_contents", new)))
+            change.add("postings", search.postings(change.add("chunk_contents", new)), in_runs=True)
             change.commit()
         made.unpersist()
         return n

@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,25 +90,56 @@ def text_search(contents: DataFrame, query: str, k: int, unicode_clean: bool = F
     return scored.where("score is not null")
 
 
+#: Tokens and contents of a run of postings, which is sorted in a task's memory.
+RUN_TOKENS, RUN_CONTENTS = 2_000_000, 8_192
+
+
+def _run(contents: pa.Array, toks: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The postings of some contents, by term and content."""
+    coded = toks.flatten().dictionary_encode()
+    rank_of = lambda values: np.argsort(pc.sort_indices(values).to_numpy(), kind="stable")
+    code, n = coded.indices.to_numpy(), toks.value_lengths().to_numpy()
+    text_of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) + 1
+    order = np.lexsort((rank_of(contents)[text_of], rank_of(coded.dictionary)[code]))  # stable: positions ascend
+    code, text_of, at = code[order], text_of[order], at[order].astype(np.int32)
+    heads = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (text_of[1:] != text_of[:-1])))
+    size = np.diff(np.append(heads, len(code)))
+    keep = np.arange(len(code)) - np.repeat(heads, size) < text.POSITIONS
+    ends = np.concatenate([[0], np.cumsum(np.minimum(size, text.POSITIONS))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[keep]))
+    for k in range(0, len(heads), 1 << 16):
+        some = heads[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[some])), contents.take(pa.array(text_of[some])), lists.slice(k, len(some))], ["term", "content_hash", "at"])
+
+
 def postings(contents: DataFrame) -> DataFrame:
-    """(term, content_hash, at): the first positions of each term in each content, made in the row: nothing is shuffled."""
+    """(term, content_hash, at): the first positions of each term in each content, made in the row: nothing is shuffled.
+
+    A task gives them in runs of RUN_TOKENS or RUN_CONTENTS at most, each by term and content. A run has few contents, so
+    a Parquet file's dictionary holds their hashes once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, rows = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield from _run(table.column(0).chunk(0), table.column(1).chunk(0))
+
         for batch in batches:
-            toks = batch.column(1)
-            coded = toks.flatten().dictionary_encode()
-            code, n = coded.indices.to_numpy(), toks.value_lengths().to_numpy()
-            text_of = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((code, text_of))  # stable: positions ascend
-            at = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) + 1)[order]
-            first = np.ones(len(order), bool)
-            first[1:] = (code[order][1:] != code[order][:-1]) | (text_of[order][1:] != text_of[order][:-1])
-            heads = np.flatnonzero(first)
-            size = np.diff(np.append(heads, len(order)))
-            keep = np.arange(len(order)) - np.repeat(heads, size) < text.POSITIONS
-            ends = np.concatenate([[0], np.cumsum(np.minimum(size, text.POSITIONS))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[keep].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order][heads])), batch.column(0).take(pa.array(text_of[order][heads])), lists], ["term", "content_hash", "at"])
+            n = batch.column(1).value_lengths().to_numpy()
+            start = 0
+            for i in range(batch.num_rows):
+                if tokens and (tokens + n[i] > RUN_TOKENS or rows == RUN_CONTENTS):
+                    held.append(batch.slice(start, i - start))
+                    yield from flush()
+                    held, tokens, rows, start = [], 0, 0, i
+                tokens, rows = tokens + int(n[i]), rows + 1
+            held.append(batch.slice(start))
+        if tokens:
+            yield from flush()
 
     toks = contents.select("content_hash", text.tokens(F.col("content")).alias("toks")).where(F.size("toks") > 0)
     return toks.mapInArrow(run, "term string, content_hash string, at array<int>")
@@ -116,7 +148,7 @@ def postings(contents: DataFrame) -> DataFrame:
 def postings_search(posts: DataFrame, scope: DataFrame, query: str, k: int, unicode_clean: bool = False) -> DataFrame:
     """text_search by postings; scope: the content hashes to look among.
 
-    Postings are sorted by term, so the terms' own row groups and pages are read.
+    Postings are sorted by term in runs, so the terms' own row groups and pages are read.
     """
     terms = text.query_terms(query, unicode_clean)
     if not terms:

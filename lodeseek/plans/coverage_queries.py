@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions import code_nodes, scalar, text, vector
 from ..operators import changes, chunking, fusion, indexing, joins, maintenance, ranks, search
-from ..store import Store
+from ..store import TABLES, Store
 from . import code_shapes
 from .fixtures import TABLES_SQL as T
 from .fixtures import files, read, scratch, shared_store, tables
@@ -80,7 +80,7 @@ def a16(spark, sf):
 @query("w05_append_chunks", T + "SELECT id, path FROM chunks")
 def w05(spark, sf):
     """Two appends in one commit, and a third in another."""
-    c = shared_store(spark, sf).table("chunks")
+    c = shared_store(spark, sf, ("chunks",)).table("chunks")
     store = Store(spark, scratch(spark, "append"))
     change = store.change()
     for kind in ("CLASS", "TYPE"):
@@ -150,7 +150,7 @@ def w20(spark, sf):
 )
 def s07(spark, sf):
     """The views of a name by default and by branch, and what names that can't be resolved say."""
-    engine = Engine(spark, shared_store(spark, sf).folder)
+    engine = Engine(spark, shared_store(spark, sf, ("sources", "source_views")).folder)
     rows = engine.scope(source_name="src6").views.select(F.lit("view").alias("kind"), F.col("id").alias("value")).unionByName(engine.scope("feature", source_name="src6").views.select(F.lit("branch").alias("kind"), F.col("id").alias("value")))
     for wrong in ({"source_name": "nope"}, {"source_name": "src6", "source_id": "x"}):
         try:
@@ -303,7 +303,7 @@ def i11(spark, sf):
 )
 def u04(spark, sf):
     """Engine.read_source by heading, by lines with context, from a branch that isn't there, and of a path that isn't."""
-    store = shared_store(spark, sf)
+    store = shared_store(spark, sf, tuple(TABLES))
     engine, c = Engine(spark, store.folder), store.table("chunks")
     path = joins.in_views(c, main_views(store.tables())).where("header_path = '# fr'").agg(F.min("path")).first()[0]
     asked = {"heading": {"path": path, "header_path": "# fr"}, "lines": {"path": path, "start_line": 2, "context": 1}, "branch": {"path": path, "branch": "nope"}, "nothing": {"path": "no/such.txt", "branch": "feature"}}

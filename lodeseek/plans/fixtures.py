@@ -36,25 +36,39 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path.toString()
 
 
-def stored(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(TABLES)) -> Store:
+STORED = (*TABLES, "postings")
+
+
+def stored(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = STORED) -> Store:
     """A new store with the named tables, whole; columns that the fixtures don't have are null."""
-    store, made = Store(spark, scratch(spark, "store")), tables(spark, sf_dir)
+    store = Store(spark, scratch(spark, "store"))
+    _put(store, tables(spark, sf_dir), names)
+    return store
+
+
+def _put(store: Store, made: dict[str, DataFrame], names: tuple[str, ...]) -> None:
+    """Stores the named tables in one commit; chunk contents come before their postings."""
     change = store.change()
     for name in names:
-        columns = [x.split() for x in TABLES[name].split(", ")]
-        rows = change.add(name, made[name].select(*[F.col(c) if c in made[name].columns else F.lit(None).cast(t).alias(c) for c, t in columns]))
-        if name == "chunk_contents":
-            change.add("postings", postings(rows))
+        if name == "postings":
+            contents = [e["rows"] for e in change.entries["chunk_contents"]]
+            change.add(name, postings(store.spark.read.schema(TABLES["chunk_contents"]).parquet(*[store.files.at("chunk_contents", p) for p in contents])), in_runs=True)
+        else:
+            columns = [x.split() for x in TABLES[name].split(", ")]
+            change.add(name, made[name].select(*[F.col(c) if c in made[name].columns else F.lit(None).cast(t).alias(c) for c, t in columns]))
     change.commit()
-    return store
 
 
-def shared_store(spark: SparkSession, sf_dir: str) -> Store:
-    """One store of all tables for all queries that only read it."""
+def shared_store(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = STORED) -> Store:
+    """One store for all queries that only read it; each table is stored, whole, once a query first asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        _stores[key] = stored(spark, sf_dir).folder
-    return Store(spark, _stores[key])
+        _stores[key] = scratch(spark, "store")
+    store = Store(spark, _stores[key])
+    wanted = set(names) | ({"chunk_contents"} if "postings" in names else set())
+    if missing := tuple(n for n in STORED if n in wanted and not store.current()[1].get(n)):
+        _put(store, tables(spark, sf_dir), missing)
+    return store
 
 
 def _id(*parts) -> F.Column:
@@ -79,14 +93,17 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     views = views.select(_id(F.lit("view"), "source", "ref").alias("id"), _id(F.lit("source"), "source").alias("source_id"), F.lit("branch").alias("view_kind"), F.col("ref").alias("ref_name"), (F.col("ref") == "feature").alias("dirty"))
     stamp = F.to_timestamp(F.lit(EPOCH)) + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
     indexed = f.select(_id("source_view_id", "path").alias("id"), "source_view_id", "path", "content_hash", "doc_id", stamp.alias("indexed_at"))
-    blobs = f.groupBy("content_hash").agg(F.first("content").alias("content"), F.min("doc_id").alias("doc_id"))
+    # Texts are shuffled once a table, by their hash ("" for null); what they are joined with comes to the same places.
+    g = f.select(F.coalesce("content_hash", F.lit("")).alias("k"), "content_hash", "content", "doc_id")
     stamp = F.to_timestamp(F.lit(EPOCH)) + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    blobs = blobs.select("content_hash", "content", F.octet_length("content").cast("long").alias("byte_size"), stamp.alias("created_at"), "doc_id")
+    once = g.groupBy("k").agg(F.first("content_hash").alias("content_hash"), F.first("content").alias("content"), F.min("doc_id").alias("doc_id"))
+    blobs = once.select("content_hash", "content", F.octet_length("content").cast("long").alias("byte_size"), stamp.alias("created_at"), "doc_id")
     vec = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    summary = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Summary "), F.substring("content_hash", 1, 8)))
-    contents = blobs.join(vec, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id").withColumn("summary", summary)
     of_summary = vec.select(F.col("vec_id").alias("v"), F.col("embedding").alias("summary_embedding"))
-    contents = contents.join(of_summary, (F.col("v") == F.col("doc_id") + 1) & (F.col("doc_id") % 3 == 0), "left").drop("v", "byte_size")
+    vectors = g.groupBy("k").agg(F.min("doc_id").alias("doc_id")).join(vec, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
+    vectors = vectors.join(of_summary, (F.col("v") == F.col("doc_id") + 1) & (F.col("doc_id") % 3 == 0), "left").select("k", "embedding", "summary_embedding")
+    summary = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Summary "), F.substring("content_hash", 1, 8)))
+    contents = once.join(vectors, "k").select("content_hash", "content", stamp.alias("created_at"), "doc_id", "embedding", summary.alias("summary"), "summary_embedding")
     n_lines = F.size(F.split("content", "\n"))
     chunks = f.select(
         _id(_id("source_view_id", "path"), F.lit("0")).alias("id"), "source_view_id", _id("source_view_id", "path").alias("indexed_file_id"), F.col("content_hash").alias("chunk_content_hash"), "path",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..operators import changes, maintenance
 from ..sources import archive
-from ..store import Store
+from ..store import TABLES, Store
 from ..streaming import ingest
 from ..streaming.ingest import windowed
 from .fixtures import TABLES_SQL as T
@@ -142,7 +142,7 @@ def w19(spark, sf):
 @query("i15_import_remap", T + "SELECT 'sources' AS kind, name AS id, CASE WHEN name = 'src2' THEN path ELSE replace(path, '/data', '/restored') END AS value FROM sources WHERE name IN ('src1', 'src2') UNION ALL SELECT 'chunks', id, path FROM chunks WHERE starts_with(path, 'src1/') OR starts_with(path, 'src2/') UNION ALL SELECT 'skipped', 'src2', NULL")
 def i15(spark, sf):
     """Exports two sources and imports them with another path into a store that has one of them already, which is left as it is."""
-    store, target = shared_store(spark, sf), scratch(spark, "export")
+    store, target = shared_store(spark, sf, tuple(TABLES)), scratch(spark, "export")
     archive.export(store, ["src1", "src2"], target)
     other = Store(spark, scratch(spark, "import"))
     change = other.change()

@@ -55,9 +55,13 @@ def _inside(t):
     return t["chunk_contents"].join(joins.in_views(t["chunks"], main_views(t)).select(F.col("chunk_content_hash").alias("content_hash")), "content_hash", "left_semi")
 
 
+#: What search reads: all but whole files.
+SEARCHED = ("sources", "source_views", "chunk_contents", "chunks", "postings")
+
+
 def _indexed(spark, sf):
     """The tables of a store over the test tables, its postings, and the content hashes of the main views."""
-    store = shared_store(spark, sf)
+    store = shared_store(spark, sf, SEARCHED)
     t = store.tables()
     return t, store.table("postings"), search.scope_hashes(t["chunks"], _scope(t))
 
@@ -217,7 +221,7 @@ def s14(spark, sf):
 
 @query("s16_response_meta", _TWO + f" SELECT CAST((SELECT count(*) FROM fusion) AS BIGINT) AS total_candidates, CASE WHEN n = 0 THEN 'empty' WHEN n < {search.NARROW} THEN 'narrow' ELSE 'broad' END AS retrieval_mode FROM (SELECT count(DISTINCT chunk_content_hash) AS n FROM chunks WHERE source_view_id IN (SELECT id FROM source_views WHERE ref_name = 'main'))")
 def s16(spark, sf):
-    t = shared_store(spark, sf).tables()
+    t = shared_store(spark, sf, SEARCHED).tables()
     n = search.scope_hashes(t["chunks"], _scope(t)).agg(F.count("*").alias("n")).first().n
     return _found(spark, sf, False).agg(F.count("*").alias("total_candidates")).withColumn("retrieval_mode", F.lit(search.mode(n, False)))
 
@@ -241,7 +245,7 @@ _BATCH = (
 @query("s17_batch_search", _BATCH)
 def s17(spark, sf):
     """All benchmark texts as queries, with hashed vectors, in one job over stored postings."""
-    store = shared_store(spark, sf)
+    store = shared_store(spark, sf, SEARCHED)
     contents = store.table("chunk_contents").select("content_hash", "content", "embedding")
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     q = q.withColumn("embedding", vector.hash_vector_column(F.concat(F.lit("query:"), "query"), 64))

@@ -16,7 +16,7 @@ from .fixtures import TABLES_SQL as T
 from .fixtures import scratch, shared_store, stored
 from .read_queries import _CUT, _as_files
 from .registry import query
-from .search_queries import _OCCURRENCE, _TWO, TERMS, _found, _scope
+from .search_queries import _OCCURRENCE, _TWO, SEARCHED, TERMS, _found, _scope
 
 _MAIN = "source_view_id IN (SELECT id FROM source_views WHERE ref_name = 'main')"
 
@@ -35,7 +35,7 @@ def c03(spark, sf):
     f"JOIN {_OCCURRENCE} o ON o.chunk_content_hash = f.id AND o.o = 1 JOIN chunk_contents k ON k.content_hash = f.id JOIN source_views v ON v.id = o.source_view_id JOIN sources s ON s.id = v.source_id",
 )
 def s13(spark, sf):
-    t = shared_store(spark, sf).tables()
+    t = shared_store(spark, sf, SEARCHED).tables()
     rows = search.hydrated(_found(spark, sf, False), t["chunks"], t["chunk_contents"], t["sources"], t["source_views"], _scope(t))
     return rows.select("place", "chunk_id", "path", "source_name", F.length("content").cast("long").alias("chars"))
 
@@ -69,7 +69,7 @@ _EXPORTED = ["src1", "src4"]
 def i14(spark, sf):
     """The manifest of an export, read back and checked; a manifest of version 1 is refused."""
     files = Files(spark, scratch(spark, "manifest"))
-    archive.export(shared_store(spark, sf), _EXPORTED, files.folder)
+    archive.export(shared_store(spark, sf, tuple(TABLES)), _EXPORTED, files.folder)
     m = archive.checked(json.loads(files.read(files.at("manifest.json"))))
     try:
         archive.checked(m | {"version": 1})
@@ -104,7 +104,7 @@ def u03(spark, sf):
     """The server's search tool with five results; its query vector is the one of the other search queries."""
     from .search_queries import query_vector
 
-    engine = Engine(spark, shared_store(spark, sf).folder)
+    engine = Engine(spark, shared_store(spark, sf, SEARCHED).folder)
     vector = query_vector(spark, sf)
     engine.embedder.query = lambda _: vector
     found = server.call(engine, "search", {"query": TERMS, "topK": 5})
@@ -113,11 +113,11 @@ def u03(spark, sf):
 
 @query("u05_list_sources_tool", T + "SELECT name, path FROM sources WHERE starts_with(path, '/data/src1') ORDER BY name LIMIT 4")
 def u05(spark, sf):
-    found = server.call(Engine(spark, shared_store(spark, sf).folder), "list_sources", {"sourceType": "local", "path": "/data/src1", "limit": 4})
+    found = server.call(Engine(spark, shared_store(spark, sf, ("sources", "source_views")).folder), "list_sources", {"sourceType": "local", "path": "/data/src1", "limit": 4})
     return spark.createDataFrame([(r["name"], r["path"]) for r in found], "name string, path string")
 
 
 @query("u06_status_tool", T + "SELECT CAST((SELECT count(*) FROM sources) AS BIGINT) AS sources, CAST((SELECT count(*) FROM source_views) AS BIGINT) AS views, CAST((SELECT count(*) FROM indexed_files) AS BIGINT) AS files, CAST((SELECT count(*) FROM chunks) AS BIGINT) AS chunks, CAST((SELECT count(*) FROM chunk_contents WHERE embedding IS NOT NULL) AS BIGINT) AS embedded")
 def u06(spark, sf):
-    s = server.call(Engine(spark, shared_store(spark, sf).folder), "status", {})
+    s = server.call(Engine(spark, shared_store(spark, sf, tuple(TABLES)).folder), "status", {})
     return spark.createDataFrame([tuple(s[c] for c in ("sources", "views", "files", "chunks", "embedded"))], "sources long, views long, files long, chunks long, embedded long")

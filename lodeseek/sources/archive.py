@@ -165,7 +165,7 @@ def import_(store: Store, target: str, on_conflict: str = "skip", remap: tuple[s
             change.add(name, new[name])
         for name in ("file_blobs", "chunk_contents"):
             rows = change.add(name, new[name].dropDuplicates(["content_hash"]).join(tables[name].select("content_hash"), "content_hash", "left_anti"))
-        change.add("postings", postings(rows))  # of the chunk contents
+        change.add("postings", postings(rows), in_runs=True)  # of the chunk contents
         change.commit()
         paths = [r.path for r in store.table("sources").where(F.col("name").isin(*todo)).select("path").collect()]
         return todo, skipped, [f"path not found: {p}" for p in paths if p and not os.path.exists(p)]

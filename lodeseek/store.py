@@ -39,6 +39,8 @@ DERIVED = {
 SCHEMAS = TABLES | DERIVED
 #: What the rows of a part are sorted by; hashes order at random, so only for terms, views, lists and paths.
 ORDER = {"postings": ("term", "content_hash"), "vectors": ("list", "content_hash"), "chunks": ("source_view_id", "path"), "indexed_files": ("source_view_id", "path"), "versions": ("source", "path")}
+#: Tables that aren't shuffled for their order: each task's rows are sorted, so it has few contents, whose hashes a dictionary holds.
+IN_RUNS = ("postings",)
 #: Bytes of a row group of a sorted part.
 GROUP_BYTES = 4 << 20
 #: Parts of a tier that are merged into one of the next, and the rows of the lowest tier.
@@ -141,16 +143,23 @@ class Change:
         """df as a written table that goes with the commit, so it isn't computed again."""
         path = self.store.files.at("scratch", uuid.uuid4().hex)
         self.held.append(path)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.store.spark.read.schema(df.schema).parquet(path)
 
-    def add(self, name: str, df: DataFrame) -> DataFrame:
-        """Appends rows; gives them as written. Vectors of chunk contents are coded as well, if there is an index of them."""
+    def add(self, name: str, df: DataFrame, in_runs: bool = False) -> DataFrame:
+        """Appends rows; gives them as written. Vectors of chunk contents are coded as well, if there is an index of them.
+
+        in_runs: each task's rows come in sorted runs (postings), and are written as they come.
+        """
         part = uuid.uuid4().hex
         path = self.store.files.at(name, part)
-        rows, writer = df.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]), {}
+        rows, writer = df.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]), {"compression": "zstd"}
         if name in ORDER:
-            rows, writer = rows.repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name]), {"parquet.block.size": str(GROUP_BYTES)}
+            writer |= {"parquet.block.size": str(GROUP_BYTES), "parquet.dictionary.page.size": str(GROUP_BYTES)}
+            if name not in IN_RUNS:
+                rows = rows.repartitionByRange(*ORDER[name])
+            if not in_runs:
+                rows = rows.sortWithinPartitions(*ORDER[name])
         rows.write.options(**writer).parquet(path)
         out = self.store.spark.read.schema(SCHEMAS[name]).parquet(path)
         self.entries[name].append({"rows": part, "n": out.count()})
@@ -251,7 +260,7 @@ class Store:
 
         self._swap(at, {name: [counted(name, e) for e in entries] for name, entries in tables.items() if name in TABLES})
         change = Change(self)
-        change.add("postings", postings(self.table("chunk_contents")))
+        change.add("postings", postings(self.table("chunk_contents")), in_runs=True)
         change.commit()
         return self.current()
 
