@@ -275,21 +275,36 @@ def scoped(definitions: DataFrame, sources: DataFrame, views: DataFrame, chunks:
     return rows.groupBy("scope", F.col("chunk_content_hash").alias("content_hash")).agg(at)
 
 
+#: Rows of a side that is sent to every executor; a longer one is shuffled.
+SENT = 200_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has SENT rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
+
+
 def search_batch(contents: DataFrame, queries: DataFrame, k: int = RETRIEVE, weights: dict[str, float] | None = None, posts: DataFrame | None = None, inside: DataFrame | None = None) -> DataFrame:
     """(query_id, id, fused, text_score, vector_score, rank) for queries (query_id, query, embedding[, scope]), all in one job.
 
-    Text: each query's terms meet the postings by an equal join on the term: the stored ones (posts), or those of the
-    contents, made in the row. Vectors: topk_batch. inside: (scope, content_hash) that a query's scope (a number from 0)
+    Text: the postings, the stored ones (posts) or those of the contents, made in the row, give each query the contents
+    that hold its rarest term; only the postings of these contents are brought together, and those that hold all terms
+    are ranked. Vectors: topk_batch. inside: (scope, content_hash) that a query's scope (a number from 0)
     lets it find; both channels are ranked after it.
     """
     of_scope = ["scope"] if inside is not None else []
-    asked = queries.select("query_id", *of_scope, text.query_terms_column(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    terms = asked.select("query_id", *of_scope, F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    asked = queries.select("query_id", *of_scope, text.query_terms_column(F.col("query")).alias("terms")).where(F.size("terms") > 0).distinct()
+    terms = asked.select("query_id", F.explode("terms").alias("term")).distinct()
     posts = (postings(contents.select("content_hash", "content")) if posts is None else posts).select("term", F.col("content_hash").alias("id"), "at")
-    met = posts.join(terms, "term")
+    mine = posts.join(_few(terms.select("term").distinct()), "term", "left_semi")
+    often = terms.join(_few(mine.groupBy("term").agg(F.count("*").alias("often"))), "term", "left")
+    rarest = often.groupBy("query_id").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term")).alias("of")).select("query_id", "of.term")
+    maybe = posts.select("term", "id").join(_few(rarest), "term").select("query_id", "id")
     if inside is not None:
-        met = met.join(inside.select("scope", F.col("content_hash").alias("id")), ["scope", "id"], "left_semi")
-    hits = met.groupBy("query_id", "id", "n").agg(F.sort_array(F.collect_list(F.struct("term", "at"))).alias("held")).where(F.size("held") == F.col("n"))
+        maybe = maybe.join(_few(asked.select("query_id", "scope")), "query_id").join(inside.select("scope", F.col("content_hash").alias("id")), ["scope", "id"], "left_semi").select("query_id", "id")
+    texts = mine.join(_few(maybe.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("term", "at")).alias("all"))
+    held = F.sort_array(F.filter("all", lambda x: F.array_contains("terms", x["term"])))
+    hits = maybe.join(texts, "id").join(_few(asked.select("query_id", "terms")), "query_id").select("query_id", "id", F.size("terms").alias("n"), held.alias("held")).where(F.size("held") == F.col("n"))
     one = F.aggregate(F.sequence(F.lit(1), F.size(F.col("held")[0]["at"])), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j)) * text.WEIGHT / text.ONE_TERM
     none = F.struct(F.lit(0.0).alias("miss"), F.expr("cast(array() as array<int>)").alias("seen"))
     step = lambda s, h: F.struct((s["miss"] + text.pair_misses(h["at"], s["seen"], text.log_misses())).alias("miss"), F.concat(s["seen"], h["at"]).alias("seen"))

@@ -266,10 +266,10 @@ _KNOWN = _BATCH.replace(f"{_HASHED} AS raw FROM benchmark", "item_id FROM benchm
 )
 def a13(spark, sf):
     """Batch search for all benchmark texts, each with the vector of its number; expected is the document of that number."""
-    t, b = tables(spark, sf), read(spark, sf, "benchmark")
+    store, b = shared_store(spark, sf, ("chunk_contents", "chunks", "postings")), read(spark, sf, "benchmark")
     q = b.join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id", "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding")
-    found = search.search_batch(t["chunk_contents"].select("content_hash", "content", "embedding"), q, 10)
-    at = search.occurrences(t["chunks"], search.Scope()).select(F.col("chunk_content_hash").alias("id"), "path", "start_line", "end_line")
+    found = search.search_batch(store.table("chunk_contents").select("content_hash", "content", "embedding"), q, 10, posts=store.table("postings"))
+    at = search.occurrences(store.table("chunks"), search.Scope()).select(F.col("chunk_content_hash").alias("id"), "path", "start_line", "end_line")
     main = files(spark, sf).where("ref = 'main'")
     want = b.select("item_id").join(main, F.col("item_id") == F.col("doc_id")).select(F.col("item_id").alias("query_id"), F.col("lang").alias("category"), "path", F.lit(1).alias("lo"), F.lit(None).cast("int").alias("hi"))
     return evaluation.evaluated(found.join(at, "id").select("query_id", "path", "start_line", "end_line", "rank"), want)
