@@ -406,10 +406,9 @@ class Engine:
     def _updated(change, contents: DataFrame, new: DataFrame, columns: list[str]) -> None:
         """Puts columns of new into the contents of their hash: those rows go and come back."""
         if not new.isEmpty():
-            hit = contents.join(new.select("content_hash"), "content_hash", "left_semi")
-            rows = change.scratch(maintenance.updated(hit, new, "content_hash", columns))
+            put = contents.drop(*columns).join(new.select("content_hash", *columns).dropDuplicates(["content_hash"]), "content_hash")
             change.remove("chunk_contents", new.select("content_hash"))
-            change.add("chunk_contents", rows)
+            change.add("chunk_contents", put)
             change.commit()
         change.drop()
 

@@ -49,13 +49,13 @@ def orphans(rows: DataFrame, uses: DataFrame, key: str, used_key: str, as_of: st
 
 
 def summary_candidates(tables: dict[str, DataFrame], views: DataFrame, n: int | None = None) -> DataFrame:
-    """Contents in the views that have no summary, each with its occurrence of the smallest id, in order of hash."""
+    """Contents in the views that have no summary, each with its occurrence of the smallest id; with n the first n by hash, in order."""
     open_ = tables["chunk_contents"].where("summary is null").select("content_hash", "content")
     c = in_views(tables["chunks"], views).join(tables["indexed_files"].select(F.col("id").alias("indexed_file_id")), "indexed_file_id", "left_semi")
     keep = [x for x in ("id", "path", "source_type", "language", "metadata") if x in c.columns]
     first = c.groupBy(F.col("chunk_content_hash").alias("content_hash")).agg(F.min_by(F.struct(*keep), "id").alias("o")).select("content_hash", "o.*")
-    out = open_.join(first, "content_hash").orderBy("content_hash")
-    return out if n is None else out.limit(n)
+    out = open_.join(first, "content_hash")
+    return out if n is None else out.orderBy("content_hash").limit(n)
 
 
 def default_views(sources: DataFrame, views: DataFrame) -> DataFrame:

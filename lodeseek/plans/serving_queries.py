@@ -51,9 +51,9 @@ _KIND = "coalesce(fragment_type, source_type)"
 )
 def w14(spark, sf):
     """Engine.summarize over all contents of the active views without a summary; a second run finds none left."""
-    store = stored(spark, sf)
+    store = stored(spark, sf, ("sources", "source_views", "indexed_files", "chunk_contents", "chunks"))
     engine = Engine(spark, store.folder, {"summarization": {"enabled": True}})
-    before = shared_store(spark, sf).table("chunk_contents").where("summary is null").select("content_hash")
+    before = store.table("chunk_contents").where("summary is null").select("content_hash")  # of this commit, whatever comes after
     engine.summarize()
     again = engine.summarize()
     return store.table("chunk_contents").where("summary is not null").join(before, "content_hash", "left_semi").select("content_hash", "summary", F.lit(not again).alias("done"))
