@@ -81,8 +81,8 @@ def i14(spark, sf):
 @query("i16_statements", T + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(count(*) AS BIGINT) AS statements, CAST(0 AS BIGINT) AS torn FROM {n}" for n in TABLES))
 def i16(spark, sf):
     """The SQL text of an export of all sources, split into statements: as many as rows, each whole."""
-    target, store = scratch(spark, "sql"), shared_store(spark, sf)
-    archive.export(store, [r.name for r in store.table("sources").select("name").collect()], target, sql=True)
+    target, store = scratch(spark, "sql"), shared_store(spark, sf, tuple(TABLES))
+    archive.export(store, [r.name for r in store.table("sources").select("name").collect()], target, sql=True, compression="gzip")
 
     def split(batches):
         for batch in batches:

@@ -97,10 +97,15 @@ def statements(text: str) -> list[str]:
     return out + (["\n".join(held)] if held else [])
 
 
-def export(store: Store, names: list[str], target: str, sql: bool = False) -> dict:
+#: Statements of an SQL file.
+STATEMENTS = 20_000
+
+
+def export(store: Store, names: list[str], target: str, sql: bool = False, compression: str | None = None) -> dict:
     """Writes the sources' tables with all columns to target (a folder, or an archive by its ending); gives the manifest.
 
-    sql: INSERT statements as text beside the tables, in the order of their references.
+    sql: INSERT statements as text beside the tables, in the order of their references; compression: of the text, as
+    Spark names it (gzip), none by default. Statements are made of the tables as written, so no text is joined twice.
     """
     rows = tables_of(store.tables(), names)
     m = manifest(rows)
@@ -108,10 +113,10 @@ def export(store: Store, names: list[str], target: str, sql: bool = False) -> di
     folder = store.files.at("scratch", uuid.uuid4().hex) if _is_archive(target) else target
     files = Files(store.spark, folder)
     for name, df in rows.items():
-        df.write.mode("overwrite").parquet(files.at(name))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(files.at(name))
         if sql:
-            content = name in ("file_blobs", "chunk_contents")
-            df.select(insert_text(name, dict(df.dtypes), content)).write.mode("overwrite").text(files.at("sql", name))
+            content, rows_of = name in ("file_blobs", "chunk_contents"), store.spark.read.schema(df.schema).parquet(files.at(name))
+            rows_of.select(insert_text(name, dict(df.dtypes), content)).write.mode("overwrite").option("maxRecordsPerFile", STATEMENTS).text(files.at("sql", name), compression=compression)
     files.delete(files.at("manifest.json"))
     files.create(files.at("manifest.json"), json.dumps(m, indent=2))
     if _is_archive(target):
