@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, log
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +64,8 @@ def lengths(g: int, d: int, part: float, t: float) -> tuple[float, float, float]
 
 
 def bands(s: float, k: int) -> int:
-    """Bands of k minima after which a pair of similarity s is missed with probability MISS."""
-    return max(1, ceil(log(MISS) / log(1 - s**k))) if s < 1 else 1
+    """Bands of k minima after which a pair of similarity s is missed with probability MISS; s of short texts may be so small that 1 - s**k is 1."""
+    return max(1, ceil(log(MISS) / log1p(-(s**k)))) if s < 1 else 1
 
 
 def chosen(members: int, n: float, shares: list[float], t: float) -> tuple[float, int]:
